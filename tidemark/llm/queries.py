@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dedup, quality, sharding, tokens, toxicity
+from . import decontam, mixing, near_dedup, pii, quality, sharding, tokens, toxicity
 from .common import n_words, text_of
 
 
@@ -44,6 +44,17 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda nr: F.size(F.filter("base", lambda s: s["kind"] == nr)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(nr).alias(f"n_{kind}") for nr, kind in enumerate(pii.KINDS[:4])],
+        F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+        pii.told(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +91,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_personal_data": op3_personal_data,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_leaks": op6_benchmark_leaks,
         "op7_bagminhash": op7_bagminhash,
