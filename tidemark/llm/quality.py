@@ -193,6 +193,13 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float =
     m = materialize(m.withColumn("stratum", lang))
     m = ratios(m)
     cuts = materialize(cutoffs(m, labels, risk, delta).coalesce(1))  # MAX_STRATA + 1 rows at most
+    return verdict(m, cuts).select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
+    """m with `kept`. cuts has MAX_STRATA + 1 rows at most."""
     names = [f"cut_{r}" for r in RULES]
     own = cuts.filter("stratum != '*'").withColumn("__own", F.lit(True))
     pooled = cuts.filter("stratum = '*'").select(*[F.col(c).alias(f"all_{c}") for c in names])
@@ -201,6 +208,28 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float =
     for rule in RULES:
         cut = F.when(F.col("__own"), F.col(f"cut_{rule}")).otherwise(F.col(f"all_cut_{rule}"))
         bad = bad | F.coalesce(beyond(rule, cut), F.lit(False))
-    return both.withColumn("kept", ~F.col("base_failed") & ~bad).select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    return both.withColumn("kept", ~F.col("base_failed") & ~bad)
+
+
+#: accepted() learns its cutoffs from about this many labelled documents, picked by a hash of doc_id.
+LABELLED = 50_000
+
+
+def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that judge() would keep, all columns as they were; no text is shuffled.
+
+    The measures are columns of one narrow pass; the cutoffs come before it, from a bounded labelled sample.
+    """
+    n = labels.count()
+    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, LABELLED / max(n, 1))))
+    some = labels.filter(share & F.col("doc_id").isNotNull())
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    known = docs.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    keep = ["doc_id", *(["lang"] if "lang" in docs.columns else [])]
+    sample = materialize(ratios(measured(known, keep).withColumn("stratum", lang)))
+    cuts = materialize(cutoffs(sample, some, risk, delta).coalesce(1))
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    moved = docs.select(*[docs[c].alias(new) for c, new in own.items()], docs["text"], lang.alias("__lang"))
+    m = ratios(measured(moved, [*own.values(), "__lang"]).withColumnRenamed("__lang", "stratum"))
+    kept = verdict(m, cuts).filter("kept")
+    return kept.select(*[F.col(new).alias(c) for c, new in own.items()])
