@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dedup, pii, quality, sharding, tokens, toxicity
+from . import decontam, line_dedup, mixing, near_dedup, pii, quality, sharding, tokens, toxicity
 from .common import n_words, text_of
 
 
@@ -55,6 +55,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_personal_data": op3_personal_data,
+        "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_benchmark_leaks": op6_benchmark_leaks,
         "op7_bagminhash": op7_bagminhash,
