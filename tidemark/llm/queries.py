@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, near_dedup, pii, quality, sharding, tokens, toxicity
+from . import decontam, licenses, line_dedup, mixing, near_dedup, pii, quality, sharding, tokens, toxicity
 from .common import n_words, text_of
 
 
@@ -44,6 +44,10 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda nr: F.size(F.filter("base", lambda s: s["kind"] == nr)).cast("long")
@@ -95,6 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_license_scan": op2_license_scan,
         "op3_personal_data": op3_personal_data,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
