@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def slope(y: Column, x: Column, n: int) -> Column:
 def ewm(df: DataFrame, **means: tuple[str, float]) -> DataFrame:
     """df with the exponentially weighted means name=(column, alpha): m = alpha x + (1 - alpha) m, started at the first
     value. A series' fold is sequential, so an asset's series is one group; the groups run side by side."""
-    import pandas as pd
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in means)
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:

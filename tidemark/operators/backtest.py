@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,6 @@ def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 10_000
     Signals come from the columns side and strength, or from strategy(): a maker of signal functions. One fold per
     asset and fee: the bars are repeated for each fee, the folds are parallel.
     """
-    import pandas as pd
-
     size = size or fixed_fraction()
     each = bars.withColumn("fee_bps", F.explode(F.array(*[F.lit(float(f)) for f in fees])))
     kind = bars.schema["timestamp"].dataType.simpleString()

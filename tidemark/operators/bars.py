@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def information_ids(candles: DataFrame, kind: str, threshold: float, ewm_span: i
     The threshold adapts to the bars formed so far, so an asset's rows are one sequential fold; only the ids
     are found there, bars are then aggregated as any other.
     """
-    import pandas as pd
-
     run = kind.endswith("_run")
     base = kind.split("_")[0]
     alpha = 2.0 / (ewm_span + 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import log
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +112,6 @@ def hurst_rs(x: np.ndarray, least: int = 10) -> float:
 
 def with_hurst(df: DataFrame, n: int = 100) -> DataFrame:
     """df with hurst_n: hurst_rs() of the last n closes. A pandas kernel by asset."""
-    import pandas as pd
-
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("timestamp", kind="stable")
         x = g["close"].to_numpy(float)

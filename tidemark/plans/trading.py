@@ -195,7 +195,7 @@ def reco_metrics(spark, d):
     return rounded(m.select("asset", "deploy_rate", "deploy_precision", F.round("mean_deployed", 6).alias("mean_deployed"), F.round("log_growth", 6).alias("log_growth")), places=9)
 
 
-@query("conformal_split", _DEP + """, r AS (SELECT asset, abs(actual - pred) AS r FROM p WHERE actual - pred IS NOT NULL), n AS (SELECT asset, list(r ORDER BY r) AS v, count(*) AS n FROM r GROUP BY 1), a AS (SELECT *, least(1.0, 0.9 * (1 + 1.0::DOUBLE / n)) * (n - 1) AS x0 FROM n)
+@query("conformal_split", _DEP + """, ab AS (SELECT asset, abs(actual - pred) AS r FROM p WHERE actual - pred IS NOT NULL), n AS (SELECT asset, list(r ORDER BY r) AS v, count(*) AS n FROM ab GROUP BY 1), a AS (SELECT *, least(1.0, 0.9 * (1 + 1.0::DOUBLE / n)) * (n - 1) AS x0 FROM n)
 SELECT asset, round(v[CAST(floor(x0) AS INT) + 1] + (x0 - floor(x0)) * (v[least(CAST(floor(x0) AS INT) + 2, n)] - v[CAST(floor(x0) AS INT) + 1]), 9) AS q FROM a""")
 def conformal_split(spark, d):
     return rounded(RC.conformal_quantile(_predictions(spark, d), F.col("actual") - F.col("pred")), places=9)
