@@ -25,7 +25,7 @@ GRID = {
 #: About this many good labelled documents, picked by a hash of doc_id, serve for a stratum's bounds; strata with
 #: fewer than MIN_STRATUM of them, or beyond the MAX_STRATA largest, are judged by the pooled stratum "*".
 HOLDOUT = 20_000
-MIN_STRATUM = 300
+MIN_STRATUM = 1_500
 MAX_STRATA = 1_000
 
 
@@ -144,13 +144,13 @@ def log_tail(k: Column, n: Column, risk: float) -> Column:
     return F.aggregate(steps, zero, step, lambda acc: F.least(acc["sum"], F.lit(0.0)))
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, grid=GRID) -> DataFrame:
+def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, grid=GRID) -> DataFrame:
     """One row for each stratum (lang, or "*" pooled) with the cutoffs that are certified there.
 
     A cutoff is certified if the good labelled holdouts (quality 1) that it would reject are so few that a true
-    false-rejection rate above risk / rules is refuted by the exact binomial tail at level
-    delta / (strata * rules * cutoffs) (Bonferroni over all that is tried). The strictest one that is certified
-    along with all more lenient ones is taken; a rule without any is off (null). With all rules on, a stratum
+    false-rejection rate above risk / rules is refuted by the exact binomial tail at level delta / (strata * rules):
+    Bonferroni over strata and rules, and a fixed sequence within a rule, from lenient to strict up to the first
+    cutoff that fails, which needs no further correction. A rule without a certified cutoff is off (null). With all rules on, a stratum
     loses at most `risk` of its good documents, for all strata at once with probability 1 - delta.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id")).distinct()
@@ -167,7 +167,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.01, delta: f
     wide = wide.filter(F.col("n") >= MIN_STRATUM).unionByName(pooled.filter("n > 0"))
     wide = wide.join(F.broadcast(wide.agg(F.count(F.lit(1)).alias("__strata"))))
     part = risk / len(grid)
-    level = F.lit(log(delta / len(tried))) - F.log(F.col("__strata").cast("double"))
+    level = F.lit(log(delta / len(grid))) - F.log(F.col("__strata").cast("double"))
     # a count above its expectation is never certified, so its tail need not be summed
     passes = lambda k: F.when(k > F.col("n") * part, F.lit(False)).otherwise(log_tail(k, F.col("n"), part) <= level)
     flags = wide.select("stratum", *[F.coalesce(passes(F.col(c)), F.lit(False)).alias(c) for c in named])
@@ -180,7 +180,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.01, delta: f
     return flags.select("stratum", *picks)
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the counts of measured(), base_failed, kept, and `carry`.
 
     kept: not base_failed, and beyond no cutoff of its stratum (lang; those unlabelled or rare: the pooled one;
@@ -215,7 +215,7 @@ def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
 LABELLED = 50_000
 
 
-def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of docs that judge() would keep, all columns as they were; no text is shuffled.
 
     The measures are columns of one narrow pass; the cutoffs come before it, from a bounded labelled sample.
