@@ -24,9 +24,10 @@ def harvey_z(trials: int, alpha: float = 0.05, least: float = 3.0) -> float:
     return max(least, norm_ppf(1 - alpha / (2 * max(trials, 1))))
 
 
-def deflated_sharpe(sharpe: float, n: int, trials: int, skew: float = 0.0, excess_kurtosis: float = 0.0, spread: float = 1.0) -> float:
+def deflated_sharpe(sharpe: float, n: int, trials: int, skew: float = 0.0, excess_kurtosis: float = 0.0, spread: float | None = None) -> float:
     """Probability that the Sharpe ratio beats the best of `trials` lucky ones (Bailey and Lopez de Prado, 2014)."""
     euler = 0.5772156649015329
+    spread = 1 / sqrt(n - 1) if spread is None and n > 1 else spread or 0.0  # the trials' spread under the null
     lucky = 0.0
     if trials > 1:
         lucky = spread * ((1 - euler) * norm_ppf(1 - 1 / trials) + euler * norm_ppf(1 - 1 / (trials * e)))
