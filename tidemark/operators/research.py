@@ -104,3 +104,31 @@ def dedup_vote(df: DataFrame, cut: float = 0.5) -> DataFrame:
     """Fold predictions (row, p, y) averaged by row and voted: accuracy over the rows."""
     v = df.groupBy("row").agg(F.avg("p").alias("p"), F.first("y").alias("y"))
     return v.withColumn("hit", ((F.round("p", 9) > cut).cast("int") == F.col("y")).cast("int"))
+
+
+def feature_target_correlations(df: DataFrame, features: list[str], targets: list[str], by: list[str]) -> DataFrame:
+    """(.., feature, target, r) in one aggregate; null where either side does not vary."""
+    pairs = [(f, t) for f in features for t in targets]
+    both = lambda f, t, c: F.when(F.col(f).isNotNull() & F.col(t).isNotNull(), F.col(c))
+    r = lambda f, t: F.when((F.var_pop(both(f, t, f)) > 1e-18) & (F.var_pop(both(f, t, t)) > 1e-18), F.corr(f, t))
+    one = df.groupBy(*by).agg(*[r(f, t).alias(f"{i}") for i, (f, t) in enumerate(pairs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"`{i}`").alias("r")) for i, (f, t) in enumerate(pairs)]))
+    return one.select(*by, rows.alias("z")).select(*by, "z.*")
+
+
+def horizon_summary(correlations: DataFrame) -> DataFrame:
+    """Per target: how many pairs, mean and largest |r|."""
+    return correlations.groupBy("target").agg(F.count("r").alias("n"), F.avg(F.abs("r")).alias("mean_abs"), F.max(F.abs("r")).alias("max_abs"))
+
+
+def mi_table(correlations: DataFrame) -> DataFrame:
+    """correlations with the mutual information of a normal pair of that r, and its effect size."""
+    mi = -0.5 * F.log(1 - F.col("r") * F.col("r"))
+    return correlations.withColumn("mi", mi).withColumn("effect", effect_size(F.col("mi")))
+
+
+def flag_summary(df: DataFrame, by: str, flag: str) -> DataFrame:
+    """Per feature how many of its series carry the flag: universal, never or mixed."""
+    a = df.groupBy(by).agg(F.sum(F.col(flag).cast("long")).alias("n_true"), F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("n_true") == F.col("n"), "universal").when(F.col("n_true") == 0, "never").otherwise("mixed")
+    return a.withColumns({"share": F.col("n_true") / F.col("n"), "kind": kind})

@@ -412,3 +412,40 @@ def dedup_vote(spark, d):
     return RS.dedup_vote(f).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 9).alias("accuracy"))
 
 
+
+
+_FT = f"{FE}, ft AS (SELECT asset, rv, slope, volume, {', '.join(f'CASE WHEN {_lead("close", h)} > 0 AND close > 0 THEN ln({_lead("close", h)} / close) END AS fwd_{h}' for h in (1, 4, 24))} FROM x)"
+_PAIRS = [(f, h) for f in ("rv", "slope", "volume") for h in (1, 4, 24)]
+_FTC = _FT + ", fc AS (" + " UNION ALL ".join(f"SELECT asset, '{f}' AS feature, 'fwd_{h}' AS target, corr({f}, fwd_{h}) AS r FROM ft GROUP BY 1" for f, h in _PAIRS) + ")"
+
+
+def _correlated(spark, d):
+    x = _features(spark, d).withColumns({f"fwd_{h}": W.log_ratio(F.lead("close", h).over(W.ordered()), F.col("close")) for h in (1, 4, 24)})
+    return RS.feature_target_correlations(x, ["rv", "slope", "volume"], ["fwd_1", "fwd_4", "fwd_24"], ["asset"])
+
+
+@query("feature_target_corr", f"WITH {_FTC} SELECT asset, feature, target, round(r, 9) AS r FROM fc")
+def feature_target_corr(spark, d):
+    return rounded(_correlated(spark, d), places=9)
+
+
+@query("horizon_summary", f"WITH {_FTC} SELECT target, count(r) AS n, round(avg(abs(r)), 9) AS mean_abs, round(max(abs(r)), 9) AS max_abs FROM fc GROUP BY 1")
+def horizon_summary(spark, d):
+    return rounded(RS.horizon_summary(_correlated(spark, d)), places=9)
+
+
+@query("mi_table", f"WITH {_FTC}, m AS (SELECT *, -0.5 * ln(1 - r * r) AS mi FROM fc) SELECT asset, feature, target, round(r, 9) AS r, round(mi, 9) AS mi, CASE WHEN mi > 0.05 THEN 'strong' WHEN mi > 0.01 THEN 'moderate' WHEN mi > 0.001 THEN 'weak' ELSE 'negligible' END AS effect FROM m")
+def mi_table(spark, d):
+    return rounded(RS.mi_table(_correlated(spark, d)), places=9)
+
+
+@query("stability_pivot", f"WITH {_FTC} SELECT feature, " + ", ".join(f"round(max(CASE WHEN target = 'fwd_{h}' THEN r END), 9) AS fwd_{h}" for h in (1, 4, 24)) + " FROM fc WHERE asset = 'purchase' GROUP BY 1")
+def stability_pivot(spark, d):
+    x = _correlated(spark, d).filter("asset = 'purchase'")
+    return rounded(RS.pivot(x, "feature", "target", ["fwd_1", "fwd_4", "fwd_24"], "r"), places=9)
+
+
+@query("flag_summary", f"WITH {_FTC}, s AS (SELECT feature, sum(CASE WHEN abs(r) > 0.02 THEN 1 ELSE 0 END)::BIGINT AS n_true, count(*) AS n FROM fc WHERE r IS NOT NULL GROUP BY 1) SELECT feature, n_true, n, round(n_true / n, 9) AS share, CASE WHEN n_true = n THEN 'universal' WHEN n_true = 0 THEN 'never' ELSE 'mixed' END AS kind FROM s")
+def flag_summary(spark, d):
+    x = _correlated(spark, d).filter("r IS NOT NULL").withColumn("flag", F.abs("r") > 0.02)
+    return rounded(RS.flag_summary(x, "feature", "flag"), places=9)
