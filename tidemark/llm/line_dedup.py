@@ -122,50 +122,35 @@ def candidates(spread: DataFrame, similarity: float, most: int | None) -> DataFr
     """
     rows = spread.repartition("token").sortWithinPartitions("token", "id")
 
-    def bucket(ids, n, i, b0, b1, wanted):
-        k = len(ids)
-        got_x, got_y, more = [], [], np.zeros(k, bool)
-        have = np.zeros(k, np.int64)
-        want = wanted.copy()
-        last = np.flatnonzero(want)
-        for y in range(k - 1):
-            x = last[last > y] if len(last) < k else np.arange(y + 1, k)
+    def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        """The candidates of whole buckets: in step j every open row meets its bucket's j-th set, all buckets at once."""
+        token, ids, n, i, b0, b1, wanted = columns
+        n, i = n.astype(np.int64), i.astype(np.int64)
+        head = np.ones(len(token), bool)
+        head[1:] = token[1:] != token[:-1]
+        start = np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))
+        place = np.arange(len(token)) - start
+        have, more = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+        x, j, got = np.flatnonzero((place > 0) & wanted), 0, []
+        while len(x := x[place[x] > j]):
             if most is not None:
                 full = have[x] >= most
                 more[x[full]] = True
                 x = x[~full]
-                last = x
-            if not len(x):
-                break
-            nx, ny = n[x], n[y]
-            need = np.ceil(similarity / (1 + similarity) * (nx + ny) - 1e-9)
-            ok = (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny) - 1e-9) & (1 + np.minimum(nx - i[x] - 1, ny - i[y] - 1) >= need)
-            x, need = x[ok], need[ok]
-            if len(x):
-                apart = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
-                x = x[apart <= n[x] + ny - 2 * need]
-                have[x] += 1
-                got_x.append(x)
-                got_y.append(np.full(len(x), y))
-        if not got_x:
-            return None
-        gx, gy = np.concatenate(got_x), np.concatenate(got_y)
-        return ids[gx], ids[gy], more[gx]
+            y = start[x] + j
+            j += 1
+            need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9)
+            ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9) & (1 + np.minimum(n[x] - i[x], n[y] - i[y]) - 1 >= need)
+            a, b, need = x[ok], y[ok], need[ok]
+            apart = np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
+            near = apart <= n[a] + n[b] - 2 * need
+            have[a[near]] += 1
+            got.append((a[near], b[near]))
+        gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
-
-        def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            token = columns[0]
-            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-            size = np.diff(cuts)
-            for g in np.flatnonzero(size > 1):
-                a, b = cuts[g], cuts[g + 1]
-                _, ids, n, i, b0, b1, wanted = (c[a:b] for c in columns)
-                got = bucket(ids, n.astype(np.int64), i.astype(np.int64), b0, b1, wanted) if wanted[1:].any() else None
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2])], ["x", "y", "more"])
-
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(columns[0]):
@@ -173,10 +158,11 @@ def candidates(spread: DataFrame, similarity: float, most: int | None) -> DataFr
             if rest is not None:
                 columns = [np.concatenate([a, b]) for a, b in zip(rest, columns)]
             edge = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-            yield from closed([c[:edge] for c in columns])
+            if edge:
+                yield closed([c[:edge] for c in columns])
             rest = [c[edge:] for c in columns]
         if rest is not None:
-            yield from closed(rest)
+            yield closed(rest)
 
     return rows.select("token", "id", "n", "i", "b0", "b1", "open").mapInArrow(pairs, "x long, y long, more boolean")
 
