@@ -41,7 +41,7 @@ def weekly(df: DataFrame, value: Column, name: str) -> DataFrame:
     spine = w.groupBy("asset").agg(F.min("m").alias("a"), F.max("m").alias("b"))
     spine = spine.select("asset", F.explode(F.expr("sequence(a, b, INTERVAL 7 DAYS)")).alias("m"))
     out = spine.join(w, ["asset", "m"], "left")
-    return out.select("asset", F.date_add("m", 6).alias("week"), F.coalesce(F.col(name), F.lit(0)).alias(name))
+    return out.select("asset", F.date_add("m", 6).cast("timestamp_ntz").alias("week"), F.coalesce(F.col(name), F.lit(0)).alias(name))
 
 
 def durations(bars: DataFrame) -> DataFrame:

@@ -332,12 +332,12 @@ def coverage_pivot(spark, d):
     return RS.pivot(n[0].unionByName(n[1]), "asset", "timeframe", ["hour", "day"], "n")
 
 
-@query("weekly_bar_counts", f"WITH {C}, w AS (SELECT asset, CAST(date_trunc('week', timestamp) AS DATE) AS m, count(*) AS n FROM c GROUP BY 1, 2), s AS (SELECT asset, unnest(range(min(m), max(m) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS m FROM w GROUP BY 1) SELECT s.asset, CAST(s.m + INTERVAL 6 DAY AS DATE) AS week, coalesce(w.n, 0) AS n FROM s LEFT JOIN w ON w.asset = s.asset AND w.m = s.m")
+@query("weekly_bar_counts", f"WITH {C}, w AS (SELECT asset, CAST(date_trunc('week', timestamp) AS DATE) AS m, count(*) AS n FROM c GROUP BY 1, 2), s AS (SELECT asset, unnest(range(min(m), max(m) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS m FROM w GROUP BY 1) SELECT s.asset, CAST(s.m + INTERVAL 6 DAY AS TIMESTAMP) AS week, coalesce(w.n, 0) AS n FROM s LEFT JOIN w ON w.asset = s.asset AND w.m = s.m")
 def weekly_bar_counts(spark, d):
     return RS.weekly(candles(spark, d), F.count(F.lit(1)), "n")
 
 
-@query("volume_profile", "WITH o AS (SELECT o_orderpriority AS asset, o_orderdate AS timestamp, o_totalprice AS v FROM orders), w AS (SELECT asset, CAST(date_trunc('week', timestamp) AS DATE) AS m, sum(v) AS v FROM o GROUP BY 1, 2), s AS (SELECT asset, unnest(range(min(m), max(m) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS m FROM w GROUP BY 1) SELECT s.asset, CAST(s.m + INTERVAL 6 DAY AS DATE) AS week, round(coalesce(w.v, 0), 2) AS volume FROM s LEFT JOIN w ON w.asset = s.asset AND w.m = s.m")
+@query("volume_profile", "WITH o AS (SELECT o_orderpriority AS asset, o_orderdate AS timestamp, o_totalprice AS v FROM orders), w AS (SELECT asset, CAST(date_trunc('week', timestamp) AS DATE) AS m, sum(v) AS v FROM o GROUP BY 1, 2), s AS (SELECT asset, unnest(range(min(m), max(m) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS m FROM w GROUP BY 1) SELECT s.asset, CAST(s.m + INTERVAL 6 DAY AS TIMESTAMP) AS week, round(coalesce(w.v, 0), 2) AS volume FROM s LEFT JOIN w ON w.asset = s.asset AND w.m = s.m")
 def volume_profile(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").alias("timestamp"), "o_totalprice")
     return rounded(RS.weekly(o, F.sum("o_totalprice"), "volume"), places=2)
