@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import chunks, mix, multisets, shingles, words
@@ -69,8 +69,21 @@ def signatures(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n_rows: in
     return sig.reshape(n_rows, m)
 
 
-def bands_of(data: np.ndarray, offsets: np.ndarray, width: int, bands: int, rows: int) -> list:
-    """Band hashes of each text of a chunk, None for a text without words."""
+#: Slots of the parity maps: SLOTS / 64 numbers a text.
+SLOTS = 1024
+
+
+def parities(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n_rows: int) -> np.ndarray:
+    """For each row SLOTS bits: whether an odd number of its items, each copy counting apart, falls into the slot."""
+    each = np.repeat(np.arange(len(item)), weight)
+    copy = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+    slot = mix(item[each] + mix((copy + 1).astype(np.uint64) * _G)) & np.uint64(SLOTS - 1)
+    odd = np.bincount(row[each] * SLOTS + slot.astype(np.int64), minlength=n_rows * SLOTS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_rows, SLOTS), axis=1).view(np.int64)
+
+
+def bands_of(data: np.ndarray, offsets: np.ndarray, width: int, bands: int, rows: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Band hashes of each text of a chunk, None for a text without words; number of shingles; parity maps."""
     n = len(offsets) - 1
     h, r, _, _ = words(data, offsets)
     s, r = shingles(h, r, n, width)
@@ -79,9 +92,19 @@ def bands_of(data: np.ndarray, offsets: np.ndarray, width: int, bands: int, rows
     acc = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64) * _G), (n, bands))
     for k in range(rows):
         acc = mix(acc ^ sig[:, :, k])
-    some = np.bincount(row, minlength=n) > 0
+    size = np.bincount(row, weights=weight, minlength=n).astype(np.int64)
     keys = acc.view(np.int64)
-    return [keys[i] if some[i] else None for i in range(n)]
+    return [keys[i] if size[i] else None for i in range(n)], size, parities(row, item, weight, n)
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """An exact filter: false only for pairs below the similarity.
+
+    Multisets of sizes n and m at Jaccard s differ in (1 - s) / (1 + s) (n + m) copies at most, and their parity maps
+    (columns a0.., b0..; sizes a_n, b_n) differ in no more slots than the multisets differ in copies.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(SLOTS // 64)), F.lit(0))
+    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}_n") + F.col(f"{b}_n")) + 1e-6
 
 
 def overlaps(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
@@ -130,37 +153,56 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     """(node, root): the class of each distinct text that is similar to another one. node is the md5 of the text.
 
     Equal texts are one node from the start. Nodes that share a band meet in a bucket; each bucket's members
-    are verified against its least member (a star, not all pairs), and the links make components. Buckets that still
+    are verified against its least member (a star, not all pairs), and the links make components. Only pairs
+    that pass an exact filter on parity maps are verified in full. Buckets that still
     hold several components are then compared in full between components: every member outside the bucket's
     largest component against all members of other components. So each pair that shares a band is either verified
     or within one class already, and no group emits all its pairs.
     """
     slim = docs.select(F.unhex(F.md5(text_of(docs))).alias("node"), text_of(docs).alias("text"))
-    m = "node binary, bands array<bigint>"
+    bits = [f"s{k}" for k in range(SLOTS // 64)]
+    shape = ["s_n", *bits]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = []
+            keys: list = []
+            sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, len(bits)), np.int64)]
             for _, _, data, offsets in chunks(batch.column(1)):
-                out += bands_of(data, offsets, width, bands, rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "bands"])
+                k, n, p = bands_of(data, offsets, width, bands, rows)
+                keys += k
+                sizes.append(n)
+                maps.append(p)
+            flat = np.concatenate(maps)
+            columns = [pa.array(np.concatenate(sizes)), *[pa.array(flat[:, k]) for k in range(len(bits))]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), *columns], ["node", "bands", *shape])
 
-    signed = materialize(slim.mapInArrow(sign, m).filter("bands IS NOT NULL").dropDuplicates(["node"]))
+    schema = "node binary, bands array<bigint>, " + ", ".join(f"{c} long" for c in shape)
+    signed = materialize(slim.mapInArrow(sign, schema).filter("bands IS NOT NULL").dropDuplicates(["node"]))
+    named_as = lambda to: [F.col(c).alias(to + c[1:]) for c in shape]
+    shapes = lambda name, to: signed.select(F.col("node").alias(name), *named_as(to))
     keys = signed.select("node", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("__z")).filter("a <> __z").drop("__z")
     pairs = keys.join(stars, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs)
+    pairs = pairs.join(shapes("b", "q"), "b").join(shapes("a", "p"), "a").filter(may_be_similar("p", "q", similarity))
+    pairs = materialize(pairs.select("a", "b"))
     links = materialize(verified(pairs, first_texts(slim, pairs), similarity, width))
     found = components(links)
     named = signed.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "bands")
-    placed = named.select("root", "node", F.explode("bands").alias("key"))
+    placed = named.select("root", "node", F.posexplode("bands").alias("band", "key"))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     live = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
-    live = live.filter("k > 1").drop("k")
-    members = materialize(placed.join(live, "key"))
-    few = members.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    other = members.select("key", "node", "root", "main")
-    cross = few.join(other, "key").filter("root <> rx AND (root = main OR x < node)")
+    live = materialize(live.filter("k > 1").drop("k"))
+    members = placed.join(live, "key")
+    full = signed.select("node", F.col("bands").alias("s_bands"), *shape)
+    members = materialize(members.join(full, "node"))
+    few = members.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("s_bands").alias("x_bands"), *named_as("x"))
+    other = members.select("key", "node", "root", "main", "band", "s_bands", *shape)
+    # a pair counts in the first band that it shares only
+    earlier = F.lit(False)
+    for k in range(bands):
+        earlier = earlier | ((F.col("band") > k) & (F.get("x_bands", F.lit(k)) == F.get("s_bands", F.lit(k))))
+    wanted = F.expr("root <> rx AND (root = main OR x < node)") & may_be_similar("x", "s", similarity) & ~earlier
+    cross = few.join(other, "key").filter(wanted)
     cross = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"))
     late = verified(cross, first_texts(slim, cross), similarity, width)
@@ -168,10 +210,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     return components(joined)
 
 
+#: Bits of the map that tells most texts apart from those that are wanted, before texts are moved.
+MAP_BITS = 1 << 24
+
+
 def first_texts(slim: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each node of the pairs, with its text."""
+    """One row for each node of the pairs, with its text.
+
+    Texts are wide and most are in no pair: a map of MAP_BITS bits, MAP_BITS / 64 rows at most whatever the input, is
+    broadcast and drops most of them before the exact semi-join; the fuller it is the less it saves.
+    """
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return slim.join(used, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    used = materialize(used)
+    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
+    cell, flag = F.shiftright(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {MAP_BITS}) % 64 as int))")
+    cells = used.select(cell.alias("__cell"), flag.alias("__f")).groupBy("__cell").agg(F.bit_or("__f").alias("__set"))
+    maybe = slim.withColumns({"__cell": cell, "__f": flag}).join(F.broadcast(cells), "__cell")
+    maybe = maybe.filter(F.col("__set").bitwiseAND(F.col("__f")) != 0).select("node", "text")
+    return maybe.join(used, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
