@@ -43,13 +43,13 @@ def set_hash(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
 
 
 def token_counts(slim: DataFrame) -> np.ndarray:
-    """How many lines hold a token of each slot, over all documents. SLOTS numbers reach the driver."""
+    """How often a token of each slot occurs, over all documents. SLOTS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(1)):
-                h, *_ = line_sets(data, offsets)
+                h, *_ = words(data, offsets, GAP_BYTES)
                 total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
@@ -209,7 +209,12 @@ def repeats(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = materialize(similar(early, set_texts(texts, early, ids), similarity).select("x").distinct())
     left = materialize(early.filter("more").select("x").distinct().join(gone, "x", "left_anti"))
     if left.head(1):
-        marked = spread.join(left.withColumn("open", F.lit(True)), F.col("id") == F.col("x"), "left").drop("x")
+        # only buckets that an open set is in are looked at again
+        asked = sets.join(left.select(F.col("x").alias("id")), "id", "left_semi").select(F.explode("prefix").alias("token"))
+        near = cells(asked, "token").withColumnRenamed("cell", "__cell")
+        again = spread.withColumn("__cell", F.shiftright(F.col("token").bitwiseAND(F.lit(MAP_BITS - 1)), 6)).join(F.broadcast(near), "__cell")
+        again = again.filter(F.expr(f"(bits & shiftleft(1L, cast((token & {MAP_BITS - 1}) & 63 as int))) != 0")).drop("__cell", "bits")
+        marked = again.join(left.withColumn("open", F.lit(True)), F.col("id") == F.col("x"), "left").drop("x")
         late = candidates(marked.withColumn("open", F.coalesce("open", F.lit(False))), similarity, None).select("x", "y").distinct()
         late = materialize(late.join(early, ["x", "y"], "left_anti"))
         gone = materialize(gone.unionByName(similar(late, set_texts(texts, late, ids), similarity).select("x").distinct()))
@@ -220,20 +225,43 @@ def repeats(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select("rid", "doc_id", "line", ((F.col("line") >= 0) & (F.col("gone") | ~is_first)).alias("removed"))
 
 
+#: Bits of the maps that tell most lines and tokens apart from those that are wanted, before they are moved.
+MAP_BITS = 1 << 24
+
+
+def cells(df: DataFrame, number: str) -> DataFrame:
+    """(cell, bits): which of MAP_BITS slots the numbers take; MAP_BITS / 64 rows at most, whatever the input."""
+    bit = F.col(number).bitwiseAND(F.lit(MAP_BITS - 1))
+    flag = F.expr(f"shiftleft(1L, cast(({number} & {MAP_BITS - 1}) & 63 as int))")
+    return df.select(F.shiftright(bit, 6).alias("cell"), flag.alias("f")).groupBy("cell").agg(F.bit_or("f").alias("bits"))
+
+
 def set_texts(texts: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text): one line of each set that the pairs name."""
+    """(id, text): one line of each set that the pairs name. A bit map drops most other lines where they are read."""
     used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     used = materialize(used.join(ids, "id").select("id", "h"))
+    table = np.zeros(MAP_BITS // 64, np.uint64)
+    for cell, bits in cells(used, "h").toLocalIterator():
+        table[cell] = bits & 0xFFFFFFFFFFFFFFFF
+    shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = shared.value
         for batch in batches:
             column = batch.column(0)
-            for start, end, data, offsets in chunks(column):
-                h, line, row, _ = line_sets(data, offsets)
+            for start, _, data, offsets in chunks(column):
+                h, line, row, number = line_sets(data, offsets)
                 key = set_hash(h, line, len(row))
-                some = np.bincount(line, minlength=len(row)) > 0
-                found = [t for i in range(start, end) for t in column[i].as_py().split("\n") if t.strip(" \t\x0b\x0c\r")]
-                yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(found, pa.string())], ["h", "text"])
+                bit = key & np.uint64(MAP_BITS - 1)
+                wanted = (taken[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                wanted &= np.bincount(line, minlength=len(row)) > 0
+                found, at, lines = [], -1, []
+                for k in np.flatnonzero(wanted):
+                    if row[k] != at:
+                        at = row[k]
+                        lines = column[start + int(at)].as_py().split("\n")
+                    found.append(lines[number[k]])
+                yield pa.RecordBatch.from_arrays([pa.array(key[wanted].view(np.int64)), pa.array(found, pa.string())], ["h", "text"])
 
     every = texts.mapInArrow(split, "h long, text string")
     return every.join(used, "h").groupBy("id").agg(F.first("text").alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import GAP_BYTES, chunks, span_hashes, spans, words
+from .batches import GAP_BYTES, chunks, span_hashes, words
 from .common import materialize, text_of
 
 #: About this many labelled rows, picked by a hash of doc_id, train the model; the first CALIBRATE of 5 parts by
