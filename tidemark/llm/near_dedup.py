@@ -149,6 +149,16 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return both.mapInArrow(check, "a binary, b binary")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Edges with the components of links(a, b), fewer: each b keeps its least a, and its other a go to that one.
+
+    b has one a in each band at most, so its window holds that many rows.
+    """
+    m = links.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    own = m.select(F.col("m").alias("a"), "b").distinct()
+    return materialize(own.unionByName(m.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()).distinct())
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, root): the class of each distinct text that is similar to another one. node is the md5 of the text.
 
@@ -186,6 +196,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     pairs = pairs.join(shapes("b", "q"), "b").join(shapes("a", "p"), "a").filter(may_be_similar("p", "q", similarity))
     pairs = materialize(pairs.select("a", "b"))
     links = materialize(verified(pairs, first_texts(slim, pairs), similarity, width))
+    links = contracted(links)
     found = components(links)
     named = signed.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "bands")
     placed = named.select("root", "node", F.posexplode("bands").alias("band", "key"))
