@@ -137,6 +137,25 @@ def test_cutoffs_keep_good_documents(spark):
     assert sum(not got[i] for i in got if i % 10) <= 30 and not any(got[i] for i in got if i % 10 == 0)
 
 
+def measures(spark, n, **columns):
+    rules = {r: F.lit(5.0 if r in ("mean_word", "short_word") else 0.0) for r in quality.RULES}
+    own = {"doc_id": F.col("id"), "stratum": F.lit("en"), "base_failed": F.lit(False)} | rules | columns
+    return spark.range(n).select(*[c.alias(name) for name, c in own.items()])
+
+
+def test_strata_without_power_use_the_pooled_cutoffs(spark):
+    sizes = {"en": 6000, "de": 2250, "fr": 2140, "es": 1700}
+    ends = list(itertools.accumulate(sizes.values()))
+    lang = F.when(F.col("id") < ends[0], "en").when(F.col("id") < ends[1], "de").when(F.col("id") < ends[2], "fr").otherwise("es")
+    m = measures(spark, ends[-1], stratum=lang)
+    cuts = quality.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality")))
+    got = {r["stratum"]: r for r in cuts.collect()}
+    assert set(got) == {"*", "en", "de"}  # 3 strata need 2,112 rows each, 4 need 2,212
+    assert all(r["cut_symbol_ratio"] == 0.02 for r in got.values())
+    junk = measures(spark, 4, stratum=F.element_at(F.array(*[F.lit(x) for x in sizes]), (F.col("id") + 1).cast("int")), symbol_ratio=F.lit(0.6))
+    assert not any(r["kept"] for r in quality.verdict(junk, cuts).collect())
+
+
 def test_token_counts(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log, log1p
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, materialize, text_of, word_array
@@ -23,9 +23,8 @@ GRID = {
     "short_word": [1.0, 1.2, 1.5, 1.8, 2.0, 2.3, 2.6, 3.0],
 }
 #: About this many good labelled documents, picked by a hash of doc_id, serve for a stratum's bounds; strata with
-#: fewer than MIN_STRATUM of them, or beyond the MAX_STRATA largest, are judged by the pooled stratum "*".
+#: too few of them for any cutoff to be certified, or beyond the MAX_STRATA largest, are judged by the pooled stratum "*".
 HOLDOUT = 20_000
-MIN_STRATUM = 1_500
 MAX_STRATA = 1_000
 
 
@@ -151,7 +150,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     false-rejection rate above risk / rules is refuted by the exact binomial tail at level delta / (strata * rules):
     Bonferroni over strata and rules, and a fixed sequence within a rule, from lenient to strict up to the first
     cutoff that fails, which needs no further correction. A rule without a certified cutoff is off (null). With all rules on, a stratum
-    loses at most `risk` of its good documents, for all strata at once with probability 1 - delta.
+    loses at most `risk` of its good documents, for all strata at once with probability 1 - delta. A stratum so small
+    that no cutoff could be certified there even without a false rejection has no row.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id")).distinct()
     held = measures.join(good, "doc_id", "left_semi").filter(~F.col("base_failed"))
@@ -164,10 +164,16 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     hits = [F.sum(beyond(rule, F.lit(cut)).cast("long")).alias(c) for c, (rule, _, cut) in zip(named, tried)]
     wide = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits)
     pooled = wide.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in named]).withColumn("stratum", F.lit("*"))
-    wide = wide.filter(F.col("n") >= MIN_STRATUM).unionByName(pooled.filter("n > 0"))
-    wide = wide.join(F.broadcast(wide.agg(F.count(F.lit(1)).alias("__strata"))))
     part = risk / len(grid)
-    level = F.lit(log(delta / len(grid))) - F.log(F.col("__strata").cast("double"))
+    level = lambda strata: F.lit(log(delta / len(grid))) - F.log(strata.cast("double"))
+    # no false rejection at all must be enough to certify a cutoff; the largest strata that pass together are kept,
+    # and the pooled one counts as one more
+    strong = lambda strata: F.col("n") * F.lit(log1p(-part)) <= level(strata)
+    nth = F.row_number().over(Window.orderBy(F.desc("n"), "stratum"))
+    wide = wide.filter(strong(F.lit(2))).withColumn("__nth", nth).filter(strong(F.col("__nth") + 1)).drop("__nth")
+    wide = materialize(wide.unionByName(pooled.filter("n > 0")))
+    wide = wide.join(F.broadcast(wide.agg(F.count(F.lit(1)).alias("__strata"))))
+    level = level(F.col("__strata"))
     # a count above its expectation is never certified, so its tail need not be summed
     passes = lambda k: F.when(k > F.col("n") * part, F.lit(False)).otherwise(log_tail(k, F.col("n"), part) <= level)
     flags = wide.select("stratum", *[F.coalesce(passes(F.col(c)), F.lit(False)).alias(c) for c in named])
