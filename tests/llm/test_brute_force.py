@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import sys
@@ -156,6 +157,36 @@ def test_strata_without_power_use_the_pooled_cutoffs(spark):
     assert not any(r["kept"] for r in quality.verdict(junk, cuts).collect())
 
 
+def test_long_binomial_tails(spark):
+    cases = [(1001, 400_000), (1100, 400_000), (2700, 1_000_000), (2857, 1_000_000), (1500, 400_000)]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.log_tail(F.col("k"), F.col("n"), 0.02 / 7).alias("p"))
+    for k, n, p in df.collect():
+        term = math.fsum([math.lgamma(n + 1), -math.lgamma(k + 1), -math.lgamma(n - k + 1), k * math.log(0.02 / 7), (n - k) * math.log1p(-0.02 / 7)])
+        total = x = 1.0
+        for i in range(k, 0, -1):
+            x *= i / (n - i + 1) * (1 - 0.02 / 7) / (0.02 / 7)
+            total += x
+        assert p == pytest.approx(min(0.0, term + math.log(total)), abs=1e-6)
+
+
+@pytest.mark.parametrize("stage", ["judge", "accepted"])
+def test_cutoffs_come_from_all_labels(spark, stage, monkeypatch):
+    # 0.24 % of the good documents lie beyond 0.5, which only some 100,000 labels tell from the risk of 0.02 / 7
+    if stage == "judge":
+        m = measures(spark, 400_000, symbol_ratio=F.when(F.col("id") % 2500 < 6, 0.6).otherwise(0.45))
+        cut = quality.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality"))).filter("stratum = '*'").first()["cut_symbol_ratio"]
+    else:
+        counts = {"n_words": 20, "word_chars": 100, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1, "n_bangs": 0, "n_upper": 0, "n_letters": 90}
+        one = lambda docs, keep: docs.select(*keep, F.when(F.col("doc_id") % 2500 < 6, 60).otherwise(45).alias("n_symbols"), *[F.lit(v).alias(c) for c, v in counts.items()])
+        real, seen, whole = quality.cutoffs, [], quality.measured
+        monkeypatch.setattr(quality, "measured", lambda docs, keep: one(docs, keep) if "doc_id" in keep else whole(docs, keep))
+        monkeypatch.setattr(quality, "cutoffs", lambda *a: seen.append(real(*a)) or seen[0])
+        docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+        quality.accepted(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+        cut = seen[0].filter("stratum = '*'").first()["cut_symbol_ratio"]
+    assert cut == 0.5
+
+
 def test_token_counts(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer

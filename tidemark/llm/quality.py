@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log, log1p
+from math import log, log1p, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,8 @@ GRID = {
     "mean_word": [40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0],
     "short_word": [1.0, 1.2, 1.5, 1.8, 2.0, 2.3, 2.6, 3.0],
 }
-#: About this many good labelled documents, picked by a hash of doc_id, serve for a stratum's bounds; strata with
-#: too few of them for any cutoff to be certified, or beyond the MAX_STRATA largest, are judged by the pooled stratum "*".
-HOLDOUT = 20_000
-MAX_STRATA = 1_000
+#: Tails of at most this many terms are summed from the first term on.
+SHORT_TAIL = 1_000
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -130,8 +128,13 @@ def beyond(rule: str, cut: Column) -> Column:
 
 
 def log_tail(k: Column, n: Column, risk: float) -> Column:
-    """ln P(Binomial(n, risk) <= k): the exact sum of its terms, each got from the one before, in logarithms."""
+    """ln P(Binomial(n, risk) <= k): the exact sum of its terms, each got from the one before, in logarithms.
+
+    Above SHORT_TAIL the sum starts at its last term (log_term) and goes down until what is left is below a double's
+    last place, which takes a multiple of sqrt(n * risk) terms.
+    """
     odds = log(risk) - log1p(-risk)
+    k, n = k.cast("long"), n.cast("long")
     zero = F.struct((n * F.lit(log1p(-risk))).alias("term"), (n * F.lit(log1p(-risk))).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -139,14 +142,34 @@ def log_tail(k: Column, n: Column, risk: float) -> Column:
         top = F.greatest(term, acc["sum"])
         return F.struct(term.alias("term"), (top + F.log1p(F.exp(F.least(term, acc["sum"]) - top))).alias("sum"))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(steps, zero, step, lambda acc: F.least(acc["sum"], F.lit(0.0)))
+    def down(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((k - i + 1).cast("double") / (n - k + i)) - F.lit(odds)
+        top = F.greatest(term, acc["sum"])
+        return F.struct(term.alias("term"), (top + F.log1p(F.exp(F.least(term, acc["sum"]) - top))).alias("sum"))
+
+    one, none = F.lit(1).cast("long"), F.array().cast("array<long>")
+    end = lambda acc: F.least(acc["sum"], F.lit(0.0))
+    steps = F.when((k >= 1) & (k <= SHORT_TAIL), F.sequence(one, k)).otherwise(none)
+    mean = n * F.lit(risk)
+    many = (F.greatest(k - mean, F.lit(0.0)) + 10 * F.sqrt(mean) + 100).cast("long")
+    last = F.struct(log_term(k, n, risk).alias("term"), log_term(k, n, risk).alias("sum"))
+    long = F.aggregate(F.when(k > SHORT_TAIL, F.sequence(one, F.least(k, many))).otherwise(none), last, down, end)
+    return F.when(k >= n, F.lit(0.0)).when(k <= SHORT_TAIL, F.aggregate(steps, zero, step, end)).otherwise(long)
+
+
+def log_term(k: Column, n: Column, risk: float) -> Column:
+    """ln P(Binomial(n, risk) = k) for large k and n - k: Stirling's series and deviances (Loader's form)."""
+    stirling = lambda x: (1 / 12.0 - (1 / 360.0 - 1 / (1260.0 * x * x)) / (x * x)) / x
+    off = lambda x, mean: x * F.log1p((x - mean) / mean) - (x - mean)
+    a, b, m = k.cast("double"), (n - k).cast("double"), n.cast("double")
+    front = 0.5 * F.log(m / (2 * pi * a * b))
+    return front + stirling(m) - stirling(a) - stirling(b) - off(a, m * risk) - off(b, m * (1 - risk))
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, grid=GRID) -> DataFrame:
     """One row for each stratum (lang, or "*" pooled) with the cutoffs that are certified there.
 
-    A cutoff is certified if the good labelled holdouts (quality 1) that it would reject are so few that a true
+    A cutoff is certified if, of all good labelled documents (quality 1), those that it would reject are so few that a true
     false-rejection rate above risk / rules is refuted by the exact binomial tail at level delta / (strata * rules):
     Bonferroni over strata and rules, and a fixed sequence within a rule, from lenient to strict up to the first
     cutoff that fails, which needs no further correction. A rule without a certified cutoff is off (null). With all rules on, a stratum
@@ -155,14 +178,10 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     """
     good = labels.filter("quality = 1").select(F.col("doc_id")).distinct()
     held = measures.join(good, "doc_id", "left_semi").filter(~F.col("base_failed"))
-    share = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("__n"))
-    share = share.orderBy(F.desc("__n"), "stratum").limit(MAX_STRATA)
-    held = held.join(F.broadcast(share), "stratum")
-    held = held.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("__n") < F.lit(HOLDOUT << 20))
     tried = [(rule, i, cut) for rule, cuts in grid.items() for i, cut in enumerate(cuts)]
     named = [f"{rule}__{i}" for rule, i, _ in tried]
     hits = [F.sum(beyond(rule, F.lit(cut)).cast("long")).alias(c) for c, (rule, _, cut) in zip(named, tried)]
-    wide = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits)
+    wide = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits))
     pooled = wide.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in named]).withColumn("stratum", F.lit("*"))
     part = risk / len(grid)
     level = lambda strata: F.lit(log(delta / len(grid))) - F.log(strata.cast("double"))
@@ -198,14 +217,14 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     m = materialize(m.withColumn("stratum", lang))
     m = ratios(m)
-    cuts = materialize(cutoffs(m, labels, risk, delta).coalesce(1))  # MAX_STRATA + 1 rows at most
+    cuts = materialize(cutoffs(m, labels, risk, delta).coalesce(1))
     return verdict(m, cuts).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
-    """m with `kept`. cuts has MAX_STRATA + 1 rows at most."""
+    """m with `kept`. cuts has the pooled row and one for each stratum of about 2,000 good labels, so it is broadcast."""
     names = [f"cut_{r}" for r in RULES]
     own = cuts.filter("stratum != '*'").withColumn("__own", F.lit(True))
     pooled = cuts.filter("stratum = '*'").select(*[F.col(c).alias(f"all_{c}") for c in names])
@@ -217,23 +236,16 @@ def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
-#: accepted() learns its cutoffs from about this many labelled documents, picked by a hash of doc_id.
-LABELLED = 50_000
-
-
 def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of docs that judge() would keep, all columns as they were; no text is shuffled.
 
-    The measures are columns of one narrow pass; the cutoffs come before it, from a bounded labelled sample.
+    Two passes measure the texts: the first keeps the measures alone, from which the cutoffs come as in judge(); the
+    second filters the rows.
     """
-    n = labels.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, LABELLED / max(n, 1))))
-    some = labels.filter(share & F.col("doc_id").isNotNull())
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    known = docs.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
     keep = ["doc_id", *(["lang"] if "lang" in docs.columns else [])]
-    sample = materialize(ratios(measured(known, keep).withColumn("stratum", lang)))
-    cuts = materialize(cutoffs(sample, some, risk, delta).coalesce(1))
+    m = ratios(materialize(measured(docs, keep).withColumn("stratum", lang)))
+    cuts = materialize(cutoffs(m, labels, risk, delta).coalesce(1))
     own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     moved = docs.select(*[docs[c].alias(new) for c, new in own.items()], docs["text"], lang.alias("__lang"))
     m = ratios(measured(moved, [*own.values(), "__lang"]).withColumnRenamed("__lang", "stratum"))
