@@ -350,6 +350,36 @@ def test_benchmark_leaks(spark):
         assert (hit[0] if hit else len(p)) == slow(p, t)
 
 
+def test_leaks_use_the_whole_edit_budget(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    items, texts, want = [], [], set()
+    for length in (9, 10, 19, 23, 24, 81, 144, 254):
+        for kind in ("change", "drop", "add", "any", "spread"):
+            core = (" ".join(word() for _ in range(length)))[: length - 2].replace(" ", "q" if length < 30 else " ").strip().ljust(length - 2, "q")
+            item, k = f" {core} ", length // 10
+            for extra in (0, 1):
+                cut = list(core)
+                places = [int((j + 0.5) * len(core) / (k + extra)) for j in range(k + extra)] if kind == "spread" else rng.sample(range(len(core)), k + extra)
+                for at in sorted(places, reverse=True):
+                    how = rng.choice(["change", "drop", "add"]) if kind == "any" else "change" if kind == "spread" else kind
+                    cut[at : at + 1] = {"change": ["7"], "drop": [], "add": ["7", cut[at]]}[how]
+                texts.append(f"{word()} {word()} {''.join(cut)} {word()} {word()}")
+            items.append((len(items), item))
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    tidy = lambda t: f" {' '.join(re.findall('[a-z0-9]+', t))} "
+    for i, t in enumerate(texts):
+        for nr, item in items:
+            item, t = tidy(item), tidy(t)
+            k = len(item) // 10
+            hit = decontam.best_end(item, t, k)
+            want |= {(i, nr, hit[0])} if hit else set()
+    assert sum(d == len(items[nr][1]) // 10 for _, nr, d in want) >= 30
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(docs, bench).collect()} == want
+    kept = {r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()}
+    assert kept == set(range(len(texts))) - {i for i, _, _ in want}
+
+
 def test_licences(spark):
     texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.OTHER + [None, "", "prose\nReleased under the MIT License.\nmore"]
     got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}

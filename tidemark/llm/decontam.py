@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Edits allowed as a share of an item's characters, and the shortest piece that is searched for.
+#: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
-SHORTEST = 12
 #: Characters of items that one pass over the documents looks for; more items make more passes.
 BLOCK = 4_000_000
 
@@ -24,9 +23,9 @@ def plain(text: Column) -> Column:
     return F.when(core == "", F.lit("")).otherwise(F.concat(F.lit(" "), core, F.lit(" ")))
 
 
-def budget(length: int, rate: float = ERROR_RATE, shortest: int = SHORTEST) -> int:
-    """Edits allowed for an item: rate * length, but so few that no piece is shorter than `shortest`."""
-    return max(0, min(int(rate * length), length // shortest - 1))
+def budget(length: int, rate: float = ERROR_RATE) -> int:
+    """Edits allowed for an item: rate * length in whole edits, fewer than it has characters."""
+    return max(0, min(int(rate * length), length - 1))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -35,16 +34,47 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def best_end(item: str, text: str, k: int) -> tuple[int, int] | None:
+def parents(item: str, k: int) -> list[list[tuple[int, str, int, dict[str, int]]]]:
+    """For each piece the larger stretches around it, small to large and without the whole item: (offset, text, edits, bits).
+
+    The pieces are halved again and again. Of p pieces with fewer than p edits, one half of p' pieces has fewer than p',
+    so each match of the item has a whole piece all of whose stretches match within their edits.
+    """
+    own = pieces(item, k)
+    out: list[list[tuple[int, str, int, dict[str, int]]]] = [[] for _ in own]
+
+    def halve(a: int, b: int) -> None:
+        if b - a < 2:
+            return
+        if b - a <= k:
+            text = "".join(t for _, t in own[a:b])
+            node = (own[a][0], text, b - a - 1, bits(text))
+            for i in range(a, b):
+                out[i].insert(0, node)
+        mid = (a + b) // 2
+        halve(a, mid)
+        halve(mid, b)
+
+    halve(0, k + 1)
+    return out
+
+
+def bits(item: str) -> dict[str, int]:
+    """For each character, a whole number with a bit for each of its places."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    return masks
+
+
+def best_end(item: str, text: str, k: int, masks: dict[str, int] | None = None) -> tuple[int, int] | None:
     """(least edit distance of item to any stretch of text, end of the first such stretch), None if above k.
 
     Myers' bit-parallel search: one whole-number word holds a column of the table's vertical differences.
     """
     n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
-    masks: dict[str, int] = {}
-    for i, c in enumerate(item):
-        masks[c] = masks.get(c, 0) | (1 << i)
+    masks = masks or bits(item)
     plus, minus, score, best = full, 0, n, None
     for at, c in enumerate(text, 1):
         eq = masks.get(c, 0)
@@ -66,14 +96,15 @@ def best_end(item: str, text: str, k: int) -> tuple[int, int] | None:
 class Searcher:
     """Finds the items of one block in plain texts."""
 
-    def __init__(self, items: list[tuple], rate: float, shortest: int):
+    def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
-        self.items = [(key, text, budget(len(text), rate, shortest)) for key, text in items if text]
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.items = [(key, text, budget(len(text), rate)) for key, text in items if text]
+        self.bits = [bits(text) for _, text, _ in self.items]
+        found: dict[str, list[tuple[int, int, list]]] = {}
         for nr, (_, text, k) in enumerate(self.items):
-            for offset, piece in pieces(text, k):
-                found.setdefault(piece, []).append((nr, offset))
+            for (offset, piece), around in zip(pieces(text, k), parents(text, k)):
+                found.setdefault(piece, []).append((nr, offset, around))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -87,8 +118,14 @@ class Searcher:
             return []
         starts: dict[int, list[int]] = {}
         for end, (length, uses) in self.automaton.iter(text):
-            for nr, offset in uses:
-                starts.setdefault(nr, []).append(end + 1 - length - offset)
+            for nr, offset, around in uses:
+                start = end + 1 - length - offset  # of the item, if nothing before the piece is edited
+                for at, part, k, masks in around:
+                    a = start + at
+                    if best_end(part, text[max(0, a - k) : a + len(part) + k], k, masks) is None:
+                        break
+                else:
+                    starts.setdefault(nr, []).append(start)
         out = []
         for nr, at in starts.items():
             _, item, k = self.items[nr]
@@ -105,7 +142,7 @@ class Searcher:
                     low, high = a, b
             windows.append((low, high))
             for a, b in windows:
-                hit = best_end(item, text[a:b], k)
+                hit = best_end(item, text[a:b], k, self.bits[nr])
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
                     if best[0] == 0:
@@ -118,10 +155,10 @@ class Searcher:
 _searchers: dict[str, Searcher] = {}
 
 
-def searcher(name: str, load, rate: float, shortest: int) -> Searcher:
+def searcher(name: str, load, rate: float) -> Searcher:
     if name not in _searchers:
         _searchers.clear()
-        _searchers[name] = Searcher(load(), rate, shortest)
+        _searchers[name] = Searcher(load(), rate)
     return _searchers[name]
 
 
@@ -137,7 +174,7 @@ def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator:
         yield uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, distance, allowed, end: the items that a text holds within their edit budget.
 
     distance is the least one in the text, end where that stretch ends in the plain text. Texts and items are compared
@@ -153,7 +190,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, short
     for name, items in blocks(benchmark, block):
 
         def search(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
-            find = searcher(f"{name}|{rate}|{shortest}", lambda: items.value, rate, shortest)
+            find = searcher(f"{name}|{rate}", lambda: items.value, rate)
             for batch in batches:
                 row, found = [], []
                 for i, text in enumerate(batch.column(1)):
@@ -180,18 +217,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, short
 ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose text holds no item within its budget; all columns stay, nothing is shuffled."""
     out = docs
     for name, items in blocks(benchmark, block):
-        out = out.filter(_without(name, items, rate, shortest)(plain(text_of(out))))
+        out = out.filter(_without(name, items, rate)(plain(text_of(out))))
     return out
 
 
-def _without(name: str, items, rate: float, shortest: int):
+def _without(name: str, items, rate: float):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        find = searcher(f"{name}|{rate}|{shortest}", lambda: items.value, rate, shortest)
+        find = searcher(f"{name}|{rate}", lambda: items.value, rate)
         return pa.array([not find(t.as_py()) for t in texts], pa.bool_())
 
     return clean
