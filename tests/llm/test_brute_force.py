@@ -320,6 +320,20 @@ def test_personal_data(spark):
     assert hashlib.sha256(b"").hexdigest()  # of no spans
 
 
+def test_personal_data_by_discovered_instances(spark):
+    # a seed leads to the handles of step 0, these to the pattern of step 1, and so on; no later pattern has a seed
+    texts = [f"hi there please contact me user{i}@mail.example.org now" for i in range(60)] + [f"so please contact me @s0_{i}x soon" for i in range(10)]
+    for step in range(1, 6):
+        texts += [f"and word{chr(96 + step)} handle @s{step - 1}_{i}x again" for i in range(10)]
+        texts += [f"and word{chr(96 + step)} handle @s{step}_{i}x again" for i in range(2 if step < 5 else 1)]
+        if step < 5:  # enough others that only this step's pattern introduces
+            texts += [f"and word{chr(96 + step)} handle @s{step}_{i}x again" for i in range(2, 10)] + [f"and word{chr(96 + step)} handle @s{step - 1}_{i}x again" for i in range(10)] * 4
+    texts += [f"near other thing @n{i}x there" for i in range(10)] + ["of word here"] * 5  # no seed leads there
+    rows = pii.find(frame(spark, texts)).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()
+    got = {re.search("@[sn][0-9_]+x", texts[r["doc_id"]])[0] for r in rows if "found" in r["s"]}
+    assert got == {f"@s{s}_{i}x" for s in range(5) for i in range(10)} | {"@s5_0x"}
+
+
 def test_benchmark_leaks(spark):
     rng = random.Random(8)
     letters = "abcdefghij "

@@ -20,9 +20,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+"}
 #: A token that may be an identifier: 5 to 64 characters between gaps, one digit at least.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{0,63}[0-9])[^\x20\x09-\x0D]{5,64}(?![^\x20\x09-\x0D])"
-#: Bootstrapping: rounds, least number of distinct known instances of a pattern, least precision of a pattern, least
-#: score of an instance.
-ROUNDS, SUPPORT, PRECISION, ACCEPT = 3, 5, 0.8, 0.75
+#: Bootstrapping: least number of distinct known instances of a pattern, least precision of a pattern, least score of an
+#: instance.
+SUPPORT, PRECISION, ACCEPT = 5, 0.8, 0.75
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -109,16 +109,27 @@ def bigrams(text: Column) -> Column:
 
 
 def promoted(mentions: DataFrame, totals: DataFrame) -> DataFrame:
-    """Instances that trusted patterns discover. mentions: (pattern, instance, seed); totals: (pattern, total).
+    """Instances that trusted patterns discover. mentions: (pattern, instance, seed); totals: (pattern, total)."""
+    return scored(joined(mentions, totals))[0]
 
-    The graph of patterns and instances is scored in turns. A pattern's precision is the share of its places in the
-    corpus that hold a known instance; it is trusted with PRECISION and SUPPORT distinct known instances. An instance
-    scores 1 - product of (1 - precision) over its trusted patterns, and is known from ACCEPT on. Seeds are known.
-    """
+
+def joined(mentions: DataFrame, totals: DataFrame) -> DataFrame:
     edges = mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    edges = materialize(edges.join(totals, "pattern"))
-    known = edges.filter("seed").select("instance").distinct()
-    for _ in range(ROUNDS):
+    return materialize(edges.join(totals, "pattern"))
+
+
+def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(discovered instances, trusted patterns) of edges(pattern, instance, n, seed, total).
+
+    The graph of patterns and instances is scored in turns until no more instances become known. A pattern's precision is
+    the share of its places in the corpus that hold a known instance; it is trusted with PRECISION and SUPPORT distinct
+    known instances. An instance scores 1 - product of (1 - precision) over its trusted patterns, and is known from
+    ACCEPT on. Seeds are known. Known instances only grow, so precisions do too, and the turns end.
+    """
+    seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed")).filter("seed").select("instance")
+    known = materialize(seeds)
+    many = known.count()
+    while True:
         by_pattern = edges.join(known, "instance", "left_semi").groupBy("pattern", "total")
         p = by_pattern.agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("support"))
         p = p.withColumn("precision", F.least(F.try_divide("hits", "total"), F.lit(1.0)))
@@ -127,8 +138,9 @@ def promoted(mentions: DataFrame, totals: DataFrame) -> DataFrame:
         score = trusted.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("score"))
         fresh = score.filter(F.col("score") >= ACCEPT).select("instance")
         known = materialize(known.unionByName(fresh).distinct())
-    seeds = edges.filter("seed").select("instance").distinct()
-    return known.join(seeds, "instance", "left_anti")
+        before, many = many, known.count()
+        if many == before:
+            return known.join(seeds, "instance", "left_anti"), p.select("pattern")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -138,7 +150,7 @@ def find(docs: DataFrame) -> DataFrame:
     and that the bootstrapping discovers: base spans are seeds, the two words ahead of them are patterns, and
     promoted() decides which identifier-like tokens are identifiers too; all their places count. A pattern's places are
     counted over the whole corpus: first in the texts that hold a seed or a token at all, which bounds its precision from above;
-    those that stay in the running are then counted in every text. Null text is empty. Repeated rows are searched
+    those that stay in the running are then counted in every text, where a known instance may be a seed or discovered. Null text is empty. Repeated rows are searched
     each. An empty table gives an empty result.
     """
     t = text_of(docs)
@@ -186,19 +198,21 @@ def none_found() -> Column:
 
 
 def candidate_patterns(mentions: DataFrame, slim: DataFrame) -> DataFrame:
-    """(pattern) with SUPPORT distinct seed instances that PRECISION does not rule out yet.
+    """(pattern) that promoted() may trust: with SUPPORT distinct instances, seeds or not, that PRECISION does not rule out yet.
 
     A pattern's places in texts with a digit or an @ are some of its places, so hits by their number is an upper bound
-    of the precision; known instances can at most grow to all mentions.
+    of the precision; known instances can at most grow to all mentions. Scored with these bounds, whatever the true
+    totals will let be known or trusted is known or trusted too, so the patterns that no seed leads to fall away.
     """
-    per = mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    able = per.groupBy("pattern").agg(F.sum("n").alias("most"), F.sum(F.col("seed").cast("int")).alias("support"))
+    per = mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"))
+    able = per.groupBy("pattern").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("support"))
     able = materialize(able.filter(F.col("support") >= SUPPORT))  # a size that the planner knows
     # texts that can hold a mention
     near = slim.filter(F.col("text").rlike("[0-9@]"))
     pairs = near.select(F.explode(bigrams(F.col("text"))).alias("pattern")).join(able, "pattern", "left_semi")
     seen = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    return able.join(seen, "pattern").filter(F.col("most") >= PRECISION * F.col("total")).select("pattern")
+    bounds = able.join(seen, "pattern").filter(F.col("most") >= PRECISION * F.col("total")).select("pattern", "total")
+    return scored(joined(mentions, bounds))[1]
 
 
 def corpus_totals(candidates: DataFrame, slim: DataFrame) -> DataFrame:
