@@ -7,6 +7,7 @@ import math
 import random
 import re
 import sys
+import textwrap
 import zlib
 from math import comb
 
@@ -405,6 +406,19 @@ def test_licences(spark):
     assert got[len(texts) - 1]["families"] == "mit"
 
 
+def test_wrapped_licences(spark):
+    blocks = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 100]
+    texts = []
+    for i, (_, t) in enumerate(blocks):
+        mark = ["", " * ", "# ", "// "][i % 4]
+        texts.append("import this\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, 72)) + "\n\nand some more prose\n")
+    texts += ["\n\n".join(x.split()) for _, x in blocks]  # words of their own paragraphs are no licence
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
+    assert [got[i]["families"] for i in range(len(blocks))] == [f for f, _ in blocks]
+    assert all(got[i]["n_paragraphs"] == 1 for i in range(len(blocks)))
+    assert all(got[i]["n_paragraphs"] == 0 for i in range(len(blocks), len(texts)))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     v, bad = [f"w{i}" for i in range(500)], ["idiot", "scum", "trash"]

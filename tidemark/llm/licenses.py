@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -89,10 +91,11 @@ SLOTS = 1 << 13
 CONTAINED = 0.6
 #: Part of the unknown paragraphs of the calibration set that may pass.
 FALSE_ACCEPT = 0.005
+TOKEN = r"[a-z0-9\x80-\U0010ffff]+"
 
 
 def tokens(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    return re.findall(TOKEN, text.lower())
 
 
 def grams(w: list[str]) -> np.ndarray:
@@ -158,15 +161,32 @@ class Classifier:
         # a licence may be one sentence of a long paragraph: the classifier reads the stretch around what matches
         best = None
         for family, at, end in self.confirmed(w):
-            p = self.raw(grams(w[max(0, at - 3) : end + 3]), self.heat)
-            k = int(p[1:].argmax()) + 1
-            if self.names[k] == family and p[k] >= self.least and (best is None or p[k] > best[1]):
-                best = (family, float(p[k]))
+            p = self.stretch(w, family, at, end)
+            if p and (best is None or p > best[1]):
+                best = (family, p)
         return best
 
+    def stretch(self, w: list[str], family: str, at: int, end: int) -> float:
+        """Calibrated probability of a confirmed stretch, 0 if the classifier does not take it for its family."""
+        p = self.raw(grams(w[max(0, at - 3) : end + 3]), self.heat)
+        k = int(p[1:].argmax()) + 1
+        return float(p[k]) if self.names[k] == family and p[k] >= self.least else 0.0
+
+    def across(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(family, probability, first line, last line) of the licences in text that go over more than one line."""
+        found = list(re.finditer(TOKEN, text.lower()))
+        w, feeds = [m[0] for m in found], [m.start() for m in re.finditer("\n", text.lower())]
+        line = [bisect(feeds, m.start()) for m in found]
+        out = []
+        for family, at, end in self.confirmed(w, every=True):
+            if line[at] != line[end - 1]:
+                p = self.stretch(w, family, at, end)
+                out += [(family, p, line[at], line[end - 1])] if p else []
+        return out
+
     @staticmethod
-    def confirmed(w: list[str]) -> list[tuple[str, int, int]]:
-        """(family, start, end) of the stretches that hold enough of a template."""
+    def confirmed(w: list[str], every: bool = False) -> list[tuple[str, int, int]]:
+        """(family, start, end) of the stretches that hold enough of a template: the first of each, or every one."""
         out: list[tuple[str, int, int]] = []
         places: dict[tuple, list[int]] = {}
         for n in (2, 3):
@@ -178,7 +198,8 @@ class Classifier:
                 inside = {tuple(w[j : j + n]) for j in held[i:] if j < at + length + 4}
                 if len(inside) >= CONTAINED * len(parts):
                     out.append((family, at, min(len(w), at + length + 1)))
-                    break
+                    if not every:
+                        break
         return out
 
 
@@ -208,6 +229,34 @@ _no_token[48:58] = _no_token[97:123] = _no_token[128:] = False
 COMMON = set("a an the of in on by to for with from and or not this that is are was be been it its as at any all no may can you your he she they we".split())
 
 
+def telling(parts: frozenset) -> dict[tuple, list[tuple]]:
+    """Of each part, its word pairs that are not of COMMON words only."""
+    return {p: [q for q in zip(p, p[1:]) if not COMMON.issuperset(q)] for p in parts}
+
+
+def hashed(pairs: list[tuple]) -> np.ndarray:
+    data = np.frombuffer("\n".join(" ".join(p) for p in pairs).encode(), np.uint8)
+    h, _, _, _ = words(data, np.array([0, len(data)]), _no_token)
+    return h[::2] * np.uint64(3) + h[1::2]
+
+
+@cache
+def pair_uses() -> list[tuple[int, int, np.ndarray]]:
+    """(words, least number of its telling pairs in a confirmed stretch, places of the pairs in pair_hashes()) of each template."""
+    out = []
+    for _, length, _, parts in profiles():
+        per = telling(parts)
+        lack = int(np.ceil(CONTAINED * len(parts) - 1e-9)) - sum(not q for q in per.values())
+        holders = Counter(q for x in per.values() for q in set(x))
+        need = 0
+        for _, n in holders.most_common():
+            if lack <= 0:
+                break
+            lack, need = lack - n, need + 1
+        out.append((length, need, np.isin(pair_hashes(), hashed(sorted(holders)))))
+    return out
+
+
 @cache
 def pair_hashes() -> np.ndarray:
     """Hashes of the templates' word pairs that are not of COMMON words only.
@@ -217,31 +266,67 @@ def pair_hashes() -> np.ndarray:
     """
     pairs = set()
     for _, _, _, parts in profiles():
-        telling = {p: [q for q in zip(p, p[1:]) if not COMMON.issuperset(q)] for p in parts}
-        assert sum(not q for q in telling.values()) < CONTAINED * len(parts)
-        pairs.update(q for x in telling.values() for q in x)
-    data = np.frombuffer("\n".join(" ".join(p) for p in sorted(pairs)).encode(), np.uint8)
-    h, _, _, _ = words(data, np.array([0, len(data)]), _no_token)
-    return np.unique(h[::2] * np.uint64(3) + h[1::2])
+        per = telling(parts)
+        assert sum(not q for q in per.values()) < CONTAINED * len(parts)
+        pairs.update(q for x in per.values() for q in x)
+    return np.unique(hashed(sorted(pairs)))
+
 
+def hits(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[int, list[int]], dict[int, list[tuple[int, int, int]]]]:
+    """{row: numbers of its lines} that hold one of pair_hashes() at least, and {row: (line, start, end) of its stretches}
+    that may hold a licence over more than one line.
 
-def hits(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[int]]:
-    """{row: numbers of its lines} that hold one of pair_hashes() at least."""
+    A paragraph ends at a line without a word. A stretch is dropped only if each template has fewer telling pairs in
+    its length there than a confirmed one needs, or no line ends in it.
+    """
     low = _low[data]
     h, row, start, _ = words(low, offsets, _no_token)
     feeds = np.concatenate([[0], np.cumsum(data == 10)])
     line = feeds[start] - feeds[offsets[row]]
-    ok = np.isin(h[:-1] * np.uint64(3) + h[1:], pair_hashes()) & (row[:-1] == row[1:]) & (line[:-1] == line[1:])
-    out: dict[int, list[int]] = {}
-    for r, n in sorted(set(zip(row[:-1][ok].tolist(), line[:-1][ok].tolist()))):
-        out.setdefault(r, []).append(n)
-    return out
+    known, code = pair_hashes(), h[:-1] * np.uint64(3) + h[1:]
+    near = (row[:-1] == row[1:]) & (line[1:] - line[:-1] <= 1)
+    at = np.flatnonzero(np.isin(code, known) & near)
+    lines: dict[int, list[int]] = {}
+    one = at[line[at] == line[at + 1]]
+    for r, n in sorted(set(zip(row[one].tolist(), line[one].tolist()))):
+        lines.setdefault(r, []).append(n)
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    if not len(at):
+        return lines, parts
+    ends = np.append(np.flatnonzero(~near), len(h) - 1)  # last words of the paragraphs
+    nth = np.searchsorted(ends, at)
+    last, first = ends[nth], np.where(nth > 0, ends[nth - 1] + 1, 0)
+    place = np.searchsorted(known, code[at])
+    spans = []
+    for length, need, uses in pair_uses():
+        mine = np.flatnonzero(uses[place])
+        a = at[mine]
+        reach = np.minimum(a + length + 5, last[mine])
+        enough = np.searchsorted(a, reach, "right") - np.arange(len(a)) >= need
+        a, reach, mine = a[enough], reach[enough], mine[enough]
+        back = np.maximum(a - length - 10, first[mine])
+        ahead = np.minimum(reach + length + 10, last[mine])
+        some = line[back] != line[ahead]
+        spans += zip(back[some].tolist(), ahead[some].tolist())
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        r = int(row[a])
+        end = int(start[b + 1]) if b + 1 < len(h) and row[b + 1] == r else int(offsets[r + 1])
+        parts.setdefault(r, []).append((int(line[a]), int(start[a]), end))
+    return lines, parts
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (lines that name a licence), families (comma-joined, sorted), score (highest) of each row.
+    """doc_id, n_paragraphs (places that name a licence), families (comma-joined, sorted), score (highest) of each row.
 
-    Every line of every whole text is a paragraph. A licence counts if the classifier gives its family more than
+    Every line of every whole text is read by itself, and so are the paragraphs that its lines make up to the next line
+    without a word, for notices that are wrapped over lines (comment marks are no words). Notices of one family that share
+    a line count once. A licence counts if the classifier gives its family more than
     the calibrated least probability and a template of that family confirms it; else it is unknown and not
     reported. Lines without a telling word pair of a template are passed over, as they cannot be confirmed. Null text is empty; score is 0 without licences; repeated rows are scanned each.
     """
@@ -254,9 +339,20 @@ def scan(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             count, names, top = np.zeros(n, np.int64), [""] * n, np.zeros(n)
             for start, _, data, offsets in chunks(batch.column(1)):
-                for i, numbers in hits(data, offsets).items():
+                single, wrapped = hits(data, offsets)
+                for i in sorted({*single, *wrapped}):
                     lines = batch.column(1)[start + i].as_py().split("\n")
-                    found = [x for x in (judge(lines[k]) for k in numbers) if x]
+                    found, seen = [], set()
+                    for k in single.get(i, ()):
+                        if x := judge(lines[k]):
+                            found.append(x)
+                            seen.add((x[0], k))
+                    for line, a, b in wrapped.get(i, ()):
+                        for family, p, low, high in judge.across(data[a:b].tobytes().decode()):
+                            touched = {(family, line + k) for k in range(low, high + 1)}
+                            if not touched & seen:
+                                found.append((family, p))
+                            seen |= touched
                     if found:
                         count[start + i] = len(found)
                         names[start + i] = ",".join(sorted({f for f, _ in found}))
