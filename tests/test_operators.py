@@ -187,3 +187,27 @@ def test_stream_of_imbalance_bars(spark, tmp_path):
     q.awaitTermination()
     closed = bars.information_ids(df, "volume_imbalance", 15.0, 20, 5).agg({"bar_id": "max"}).first()[0]
     assert spark.table("t_imb").count() in (closed, closed + 1)
+
+
+def test_feature_gate_runs_at_production_numbers(spark, sf, monkeypatch):
+    from tidemark.plans import learning
+
+    seen = {}
+    monkeypatch.setattr(learning.V, "permutation_tests", lambda long, n, **more: seen.update(n=n, **more) or long.select("asset", "feature").distinct().selectExpr("*", "0.01 AS p_mi", "0.01 AS p_da"))
+    whole = learning.V.stability
+    monkeypatch.setattr(learning.V, "stability", lambda long, windows: seen.update(windows=windows) or whole(long, windows))
+    rows = learning.feature_validation(spark, sf).collect()
+    assert seen["n"] >= 1000 and seen["ridge"] >= 500 and len(seen["windows"]) >= 2
+    assert len(rows) == 20
+
+
+def test_feature_gate_corrects_and_needs_stable_weeks(spark):
+    rows = [("a", f"f{i}", p, 0.01, 1.0) for i, p in enumerate([0.01, 0.02, 0.04, 0.2, 0.9])]
+    report = spark.createDataFrame(rows, "asset string, feature string, p_mi double, p_da double, stable_share double")
+    got = {r["feature"]: r for r in validation.keep(report, least=1).collect()}
+    assert [got[f"f{i}"]["q_mi"] for i in range(5)] == pytest.approx([0.05, 0.05, 0.2 / 3, 0.25, 0.9])
+    assert not got["f2"]["kept"] and got["f0"]["kept"]
+    x = spark.range(400).selectExpr("'a' AS asset", "'f' AS feature", "timestamp_ntz '2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS timestamp", "CAST(id % 7 AS DOUBLE) AS x", "IF(id < 168, id % 7, id % 2) * 1.0D AS y")
+    weeks = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22")]
+    assert validation.stability(x, weeks[:2], cut=0.5).first()["stable_share"] == 0.5
+    assert validation.stability(x, weeks[2:]).first()["stable_share"] == 1.0

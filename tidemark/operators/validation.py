@@ -51,13 +51,17 @@ def ridge_accuracy(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, split: floa
     return da, float(abs(true - pred)[right].mean()) if right.any() else float("inf")
 
 
-def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50, seed: int = 42, per_task: int = 50) -> DataFrame:
+COLUMNS = ["asset", "feature", "mi", "da", "dc_mae", "above_mi", "above_da", "n", "n_da"]
+
+
+def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50, seed: int = 42, per_task: int = 50, ridge: int | None = None) -> DataFrame:
     """(asset, feature, mi, da, dc_mae, p_mi, p_da) of long(asset, feature, timestamp, x, y).
 
     The work is features x permutations: each series is repeated once for each batch of `per_task` permutations and
     the batches run in parallel; batch b's permutation i uses the seed's stream b * per_task + i. The empirical p is
-    (nulls at or above + 1) / (permutations + 1).
+    (nulls at or above + 1) / (permutations + 1). The ridge's null has the first `ridge` permutations only, if given.
     """
+    ridge = permutations if ridge is None else min(ridge, permutations)
     batches = -(-permutations // per_task)
     each = long.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
 
@@ -65,7 +69,7 @@ def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50,
         g = g.sort_values("timestamp", kind="stable").dropna()
         x, y = g["x"].to_numpy(float), g["y"].to_numpy(float)
         if len(x) < 30:
-            return pd.DataFrame(columns=["asset", "feature", "mi", "da", "dc_mae", "above_mi", "above_da", "n"])
+            return pd.DataFrame(columns=COLUMNS)
         mi, (da, dc) = mutual_information(x, y), ridge_accuracy(x, y)
         first = key[2] * per_task
         count = min(per_task, permutations - first)
@@ -73,12 +77,12 @@ def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50,
         for i in range(first, first + count):
             z = block_permute(y, block, np.random.default_rng(seed + i + 1))
             m += mutual_information(x, z) >= mi
-            d += ridge_accuracy(x, z)[0] >= da
-        return pd.DataFrame([(key[0], key[1], mi, da, dc, m, d, count)], columns=["asset", "feature", "mi", "da", "dc_mae", "above_mi", "above_da", "n"])
+            d += i < ridge and ridge_accuracy(x, z)[0] >= da
+        return pd.DataFrame([(key[0], key[1], mi, da, dc, m, d, count, max(0, min(count, ridge - first)))], columns=COLUMNS)
 
-    got = each.groupBy("asset", "feature", "batch").applyInPandas(one, "asset string, feature string, mi double, da double, dc_mae double, above_mi long, above_da long, n long")
-    s = got.groupBy("asset", "feature").agg(*[F.first(c).alias(c) for c in ("mi", "da", "dc_mae")], F.sum("above_mi").alias("m"), F.sum("above_da").alias("d"), F.sum("n").alias("n"))
-    return s.select("asset", "feature", "mi", "da", "dc_mae", ((F.col("m") + 1) / (F.col("n") + 1)).alias("p_mi"), ((F.col("d") + 1) / (F.col("n") + 1)).alias("p_da"))
+    got = each.groupBy("asset", "feature", "batch").applyInPandas(one, "asset string, feature string, mi double, da double, dc_mae double, above_mi long, above_da long, n long, n_da long")
+    s = got.groupBy("asset", "feature").agg(*[F.first(c).alias(c) for c in ("mi", "da", "dc_mae")], F.sum("above_mi").alias("m"), F.sum("above_da").alias("d"), F.sum("n").alias("n"), F.sum("n_da").alias("n_da"))
+    return s.select("asset", "feature", "mi", "da", "dc_mae", ((F.col("m") + 1) / (F.col("n") + 1)).alias("p_mi"), ((F.col("d") + 1) / (F.col("n_da") + 1)).alias("p_da"))
 
 
 def group_of(feature: Column) -> Column:
@@ -91,23 +95,35 @@ def group_of(feature: Column) -> Column:
     return out.otherwise("other")
 
 
-def stability(long: DataFrame, windows: list[tuple[int, int]], least: int = 100, cut: float = 0.05) -> DataFrame:
-    """(asset, feature, stable_share): share of year windows [a, b) with |corr| above `cut` among those with enough rows;
+def stability(long: DataFrame, windows: list[tuple[int, int]] | list[tuple[str, str]], least: int = 100, cut: float = 0.05) -> DataFrame:
+    """(asset, feature, stable_share): share of windows [a, b) of years or timestamps (text) with |corr| above `cut` among those with enough rows;
     1 if fewer than two have."""
     at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in windows]))
-    x = long.withColumn("w", at).filter((F.year("timestamp") >= F.col("w.a")) & (F.year("timestamp") < F.col("w.b")))
+    x = long.withColumn("w", at)
+    years = isinstance(windows[0][0], int)
+    when = F.year("timestamp") if years else F.col("timestamp").cast("timestamp_ntz")
+    a, b = (F.col(f"w.{c}") if years else F.col(f"w.{c}").cast("timestamp_ntz") for c in "ab")
+    inside = (when >= a) & (when < b)
+    x = x.select("asset", "feature", "w", inside.alias("in"), *[F.when(inside, F.col(c)).alias(c) for c in "xy"])
     r = F.when((F.var_pop("x") > 0) & (F.var_pop("y") > 0), F.corr("x", "y"))
-    per = x.groupBy("asset", "feature", "w").agg(F.count(F.lit(1)).alias("n"), r.alias("r")).filter(F.col("n") >= least)
-    s = per.groupBy("asset", "feature").agg(F.count(F.lit(1)).alias("k"), F.avg((F.abs("r") > cut).cast("double")).alias("s"))
+    per = x.groupBy("asset", "feature", "w").agg(F.count_if("in").alias("n"), r.alias("r"))
+    enough = F.col("n") >= least
+    s = per.groupBy("asset", "feature").agg(F.count_if(enough).alias("k"), F.avg(F.when(enough, (F.abs("r") > cut).cast("double"))).alias("s"))
     return s.select("asset", "feature", F.when(F.col("k") < 2, 1.0).otherwise(F.col("s")).alias("stable_share"))
 
 
 def keep(report: DataFrame, alpha: float = 0.05, least: int = 5) -> DataFrame:
-    """report(asset, feature, p_mi, p_da, stable_share) with kept: all three pass; with fewer than `least` of an asset,
+    """report(asset, feature, p_mi, p_da, stable_share) with q_mi (p_mi corrected over an asset's
+    features by Benjamini and Hochberg) and kept: q_mi, p_da and stable_share pass; with fewer than `least` of an asset,
     its best by (1 - p_mi) + (1 - p_da) + stable_share."""
     from pyspark.sql import Window
 
-    ok = (F.col("p_mi") <= alpha) & (F.col("p_da") <= alpha) & (F.col("stable_share") >= 0.5)
+    of = Window.partitionBy("asset")
+    tied = of.orderBy("p_mi").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    above = of.orderBy("p_mi").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ratio = F.col("p_mi") * F.count("p_mi").over(of) / F.count("p_mi").over(tied)
+    report = report.withColumn("__ratio", ratio).withColumn("q_mi", F.least(F.min("__ratio").over(above), F.lit(1.0))).drop("__ratio")
+    ok = (F.col("q_mi") <= alpha) & (F.col("p_da") <= alpha) & (F.col("stable_share") >= 0.5)
     w = Window.partitionBy("asset")
     nth = F.row_number().over(w.orderBy(F.desc((1 - F.col("p_mi")) + (1 - F.col("p_da")) + F.col("stable_share")), "feature"))
     d = report.withColumns({"__ok": ok, "__nth": nth}).withColumn("__n", F.sum(F.col("__ok").cast("int")).over(w))

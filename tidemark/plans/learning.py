@@ -64,10 +64,13 @@ def bootstrap_mean(spark, d):
     return rounded(MD.bootstrap_mean(_eval(spark, d), "actual"))
 
 
+WEEKS = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22"), ("2024-01-22", "2024-01-31")]
+
+
 @query("feature_validation")
 def feature_validation(spark, d):
-    """The statistical gate on four features of each asset, 20 permutations."""
+    """The statistical gate on four features of each asset: 1,000 permutations (ridge: 500), four windows of a week."""
     x = _data(spark, d)
     long = x.unpivot(["asset", "timestamp", "actual"], NAMES, "feature", "x").withColumnRenamed("actual", "y")
-    r = V.permutation_tests(long, 20, per_task=10).join(V.stability(long, [(2024, 2025)]), ["asset", "feature"])
+    r = V.permutation_tests(long, 1000, ridge=500).join(V.stability(long, WEEKS), ["asset", "feature"])
     return rounded(V.keep(r, least=2).withColumn("group", V.group_of(F.col("feature"))))
