@@ -174,11 +174,11 @@ def test_long_binomial_tails(spark):
 def test_cutoffs_come_from_all_labels(spark, stage, monkeypatch):
     # 0.24 % of the good documents lie beyond 0.5, which only some 100,000 labels tell from the risk of 0.02 / 7
     if stage == "judge":
-        m = measures(spark, 400_000, symbol_ratio=F.when(F.col("id") % 2500 < 6, 0.6).otherwise(0.45))
+        m = measures(spark, 400_000, symbol_ratio=F.when((F.col("id") % 2500).between(100, 105), 0.6).otherwise(0.45))
         cut = quality.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality"))).filter("stratum = '*'").first()["cut_symbol_ratio"]
     else:
         counts = {"n_words": 20, "word_chars": 100, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1, "n_bangs": 0, "n_upper": 0, "n_letters": 90}
-        one = lambda docs, keep: docs.select(*keep, F.when(F.col("doc_id") % 2500 < 6, 60).otherwise(45).alias("n_symbols"), *[F.lit(v).alias(c) for c, v in counts.items()])
+        one = lambda docs, keep: docs.select(*keep, F.when((F.col("doc_id") % 2500).between(100, 105), 60).otherwise(45).alias("n_symbols"), *[F.lit(v).alias(c) for c, v in counts.items()])
         real, seen, whole = quality.cutoffs, [], quality.measured
         monkeypatch.setattr(quality, "measured", lambda docs, keep: one(docs, keep) if "doc_id" in keep else whole(docs, keep))
         monkeypatch.setattr(quality, "cutoffs", lambda *a: seen.append(real(*a)) or seen[0])
