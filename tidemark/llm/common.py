@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: text rules, durable intermediates, global row numbers."""
+"""Shared pieces of the corpus operators: text rules, durable intermediates, global row numbers, joins of hot keys."""
 
 from __future__ import annotations
 
@@ -16,27 +16,110 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (unset: tests on one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    If it is unset and all run in this process (master local), a temporary folder of this machine; else an error, as
+    executors of a cluster would each write to a disk of their own.
+    """
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _own_folder
 
 
-def materialize(df: DataFrame, partitions_of: tuple[str, ...] = ()) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later stages and retries see one fixed set of rows.
 
-    The files go when the session's JVM ends.
+    The files go by discard(), at the latest when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidemark_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_tidemark_path", None)
+        if path:
+            at, files = _hadoop(table.sparkSession, path)
+            files.delete(at, True)
+
+
+#: A key is hot if more than one in HOT of a table's rows have it, and more than HOT rows; so there are at most HOT hot keys.
+HOT, SALTS = 1000, 32
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """big.join(small, key) where small has one row per key; a hot key's rows of big are dealt over SALTS tasks by `by`.
+
+    big is a materialized table. At most HOT keys reach the driver, and their rows of small are copied SALTS times.
+    """
+    rows = big.count()
+    if rows <= HOT:
+        return big.join(small, key)
+    least = max(rows // HOT, HOT)
+    hot = [r[0] for r in big.groupBy(key).count().filter(F.col("count") > least).select(key).collect() if r[0] is not None]
+    if not hot:
+        return big.join(small, key)
+    spark = big.sparkSession
+    named = F.broadcast(spark.createDataFrame([(h,) for h in hot], big.select(F.col(key).alias("__hot")).schema))
+    dealt = big.join(named, big[key] == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))).drop("__hot")
+    copied = small.join(named, small[key] == F.col("__hot"), "left")
+    last = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(SALTS - 1))
+    copied = copied.withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__hot")
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
+#: Least and most bits of a map; a map of n values has about 16 n of them.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+
+class BitMap:
+    """A map of the hashes of a materialized table's column, broadcast as MOST_BITS / 64 rows at most, whatever its size.
+
+    It drops most other rows of a large table where they are read; the fuller it is the less it saves, and an exact join
+    follows always.
+    """
+
+    def __init__(self, values: DataFrame, name: str):
+        self.bits = LEAST_BITS
+        n = values.count()
+        while self.bits < min(16 * n, MOST_BITS):
+            self.bits *= 2
+        cell, flag = self._place(F.col(name))
+        self.cells = values.select(cell.alias("__cell"), flag.alias("__f")).groupBy("__cell").agg(F.bit_or("__f").alias("__set"))
+
+    def _place(self, value: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(value), F.lit(self.bits))
+        return F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+
+    def split(self, df: DataFrame, value: Column) -> DataFrame:
+        """df with __in: whether the value may be in the table."""
+        cell, flag = self._place(value)
+        own = df.withColumns({"__cell": cell, "__f": flag}).join(F.broadcast(self.cells), "__cell", "left")
+        return own.withColumn("__in", F.coalesce(F.col("__set").bitwiseAND(F.col("__f")) != 0, F.lit(False))).drop("__cell", "__f", "__set")
+
+    def within(self, df: DataFrame, value: Column) -> DataFrame:
+        """The rows of df whose value may be in the table."""
+        return self.split(df, value).filter("__in").drop("__in")
 
 
 def let(value: Column, body) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, hot_join, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b); root is the least node of its component.
+    """(node, root) for every node of edges(a, b), a materialized table; root is the least node of its component.
 
     Large and small stars in turn (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) until an
     iteration changes nothing. Each step needs the least neighbour of a node only, which is a partial aggregate, and
-    a join that gives it to the node's edges; a hot node's rows stay spread. Nulls and loops are ignored.
+    a join that gives it to the node's edges, in which a hot node's edges are dealt over many tasks. Nulls and loops are
+    ignored.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e)
@@ -22,15 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: the larger neighbours of a node go to the least one among all neighbours and itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = moved.filter("u <> v").distinct()
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        moved = hot_join(up, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(moved.filter("u <> v").distinct())
         # small star: the smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = hot_join(large, least, "u", "v")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small)
+        before, e = e, materialize(small)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(before, large)
         if tuple(state) == seen:
             break
         seen = tuple(state)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import chunks, mix, multisets, shingles, words
-from .common import materialize, text_of
+from .common import HOT, BitMap, discard, hot_join, materialize, text_of
 from .components import components
 
 WIDTH = 5
@@ -137,108 +137,164 @@ def overlaps(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of pairs(a, b) whose texts are similar enough. texts: one row per node."""
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """Those of the materialized pairs(a, b) whose texts are similar enough. texts(id, text): one row per node."""
+    text = lambda name, to: texts.select(F.col("id").alias(name), F.col("text").alias(to))
+    both = hot_join(pairs, text("a", "ta"), "a", "b").join(text("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = pa.array(overlaps(batch.column(2), batch.column(3), width) >= similarity)
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def contracted(links: DataFrame) -> DataFrame:
     """Edges with the components of links(a, b), fewer: each b keeps its least a, and its other a go to that one.
 
-    b has one a in each band at most, so its window holds that many rows.
+    b has a few a in each band at most, so its window holds that many rows.
     """
     m = links.withColumn("m", F.min("a").over(Window.partitionBy("b")))
     own = m.select(F.col("m").alias("a"), "b").distinct()
-    return materialize(own.unionByName(m.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()).distinct())
+    return own.unionByName(m.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()).distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, root): the class of each distinct text that is similar to another one. node is the md5 of the text.
+class Signed:
+    """The distinct texts of slim(node, text) with their signatures: node is the md5 of the text, id a number for it.
 
-    Equal texts are one node from the start. Nodes that share a band meet in a bucket; each bucket's members
-    are verified against its least member (a star, not all pairs), and the links make components. Only pairs
-    that pass an exact filter on parity maps are verified in full. Buckets that still
-    hold several components are then compared in full between components: every member outside the bucket's
-    largest component against all members of other components. So each pair that shares a band is either verified
-    or within one class already, and no group emits all its pairs.
+    signed: (node, id, bands, s_n, s0, s1, ...); texts without words are not in it.
     """
-    slim = docs.select(F.unhex(F.md5(text_of(docs))).alias("node"), text_of(docs).alias("text"))
+
     bits = [f"s{k}" for k in range(SLOTS // 64)]
-    shape = ["s_n", *bits]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list = []
-            sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, len(bits)), np.int64)]
-            for _, _, data, offsets in chunks(batch.column(1)):
-                k, n, p = bands_of(data, offsets, width, bands, rows)
-                keys += k
-                sizes.append(n)
-                maps.append(p)
-            flat = np.concatenate(maps)
-            columns = [pa.array(np.concatenate(sizes)), *[pa.array(flat[:, k]) for k in range(len(bits))]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), *columns], ["node", "bands", *shape])
-
-    schema = "node binary, bands array<bigint>, " + ", ".join(f"{c} long" for c in shape)
-    signed = materialize(slim.mapInArrow(sign, schema).filter("bands IS NOT NULL").dropDuplicates(["node"]))
-    named_as = lambda to: [F.col(c).alias(to + c[1:]) for c in shape]
-    shapes = lambda name, to: signed.select(F.col("node").alias(name), *named_as(to))
-    keys = signed.select("node", F.explode("bands").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("__z")).filter("a <> __z").drop("__z")
-    pairs = keys.join(stars, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = pairs.join(shapes("b", "q"), "b").join(shapes("a", "p"), "a").filter(may_be_similar("p", "q", similarity))
-    pairs = materialize(pairs.select("a", "b"))
-    links = materialize(verified(pairs, first_texts(slim, pairs), similarity, width))
-    links = contracted(links)
-    found = components(links)
-    named = signed.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "bands")
-    placed = named.select("root", "node", F.posexplode("bands").alias("band", "key"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    live = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
-    live = materialize(live.filter("k > 1").drop("k"))
-    members = placed.join(live, "key")
-    full = signed.select("node", F.col("bands").alias("s_bands"), *shape)
-    members = materialize(members.join(full, "node"))
-    few = members.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("s_bands").alias("x_bands"), *named_as("x"))
-    other = members.select("key", "node", "root", "main", "band", "s_bands", *shape)
-    # a pair counts in the first band that it shares only
-    earlier = F.lit(False)
-    for k in range(bands):
-        earlier = earlier | ((F.col("band") > k) & (F.get("x_bands", F.lit(k)) == F.get("s_bands", F.lit(k))))
-    wanted = F.expr("root <> rx AND (root = main OR x < node)") & may_be_similar("x", "s", similarity) & ~earlier
-    cross = few.join(other, "key").filter(wanted)
-    cross = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"))
-    late = verified(cross, first_texts(slim, cross), similarity, width)
-    joined = links.unionByName(materialize(late))
-    return components(joined)
-
-
-#: Bits of the map that tells most texts apart from those that are wanted, before texts are moved.
-MAP_BITS = 1 << 24
-
-
-def first_texts(slim: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each node of the pairs, with its text.
-
-    Texts are wide and most are in no pair: a map of MAP_BITS bits, MAP_BITS / 64 rows at most whatever the input, is
-    broadcast and drops most of them before the exact semi-join; the fuller it is the less it saves.
+    def __init__(self, slim: DataFrame, similarity: float, width: int, bands: int, rows: int):
+        self.slim, self.similarity, self.width = slim, similarity, width
+        shape = ["s_n", *self.bits]
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys: list = []
+                sizes, maps = [np.zeros(0, np.int64)], [np.zeros((0, len(shape) - 1), np.int64)]
+                for _, _, data, offsets in chunks(batch.column(1)):
+                    k, n, p = bands_of(data, offsets, width, bands, rows)
+                    keys += k
+                    sizes.append(n)
+                    maps.append(p)
+                flat = np.concatenate(maps)
+                columns = [pa.array(np.concatenate(sizes)), *[pa.array(flat[:, k]) for k in range(len(shape) - 1)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), *columns], ["node", "bands", *shape])
+
+        schema = "node binary, bands array<bigint>, " + ", ".join(f"{c} long" for c in shape)
+        one = slim.mapInArrow(sign, schema).filter("bands IS NOT NULL").dropDuplicates(["node"])
+        self.signed = materialize(one.withColumn("id", F.monotonically_increasing_id()))
+
+    def buckets(self) -> DataFrame:
+        """(key, id, least, greatest) of the nodes that share a band with another one."""
+        keys = self.signed.select("id", F.explode("bands").alias("key"))
+        ends = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).filter("least <> greatest")
+        ends = materialize(ends)
+        shared = materialize(BitMap(ends, "key").within(keys, F.col("key")))
+        out = materialize(hot_join(shared, ends, "key", "id"))
+        discard(shared, ends)
+        return out
+
+    def shapes(self, ids: DataFrame, name: str, to: str) -> DataFrame:
+        """(name, to_n, to0, ...) of the materialized ids(id), among others."""
+        some = BitMap(ids, "id").within(self.signed.select("id", "s_n", *self.bits), F.col("id"))
+        return some.select(F.col("id").alias(name), *[F.col(c).alias(to + c[1:]) for c in ["s_n", *self.bits]])
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the materialized pairs(a, b) that the parity maps leave."""
+        left, right = (materialize(pairs.select(F.col(c).alias("id")).distinct()) for c in "ab")
+        both = hot_join(pairs, self.shapes(left, "a", "p"), "a", "b").join(self.shapes(right, "b", "q"), "b")
+        out = materialize(both.filter(may_be_similar("p", "q", self.similarity)).select("a", "b"))
+        discard(left, right)
+        return out
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the materialized pairs(a, b) whose texts are similar enough, materialized."""
+        used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        used = materialize(used)
+        named = materialize(BitMap(used, "id").within(self.signed.select("id", "node"), F.col("id")).join(used, "id"))
+        maybe = BitMap(named, "node").within(self.slim, F.col("node"))
+        # copies of a text meet before they move; then the exact join
+        texts = materialize(maybe.groupBy("node").agg(F.first("text").alias("text")).join(named, "node").select("id", "text"))
+        out = materialize(verified(pairs, texts, self.similarity, self.width))
+        discard(used, named, texts)
+        return out
+
+
+def classes(slim: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root): the class of each distinct text of slim(node, text) that is similar to another one, materialized.
+
+    Equal texts are one node from the start. Nodes that share a band meet in a bucket; each bucket's members
+    are verified against its least member (a star, not all pairs), and the links make components. Only pairs
+    that pass an exact filter on parity maps are verified in full. In buckets that still hold several components, the
+    members outside the largest one first meet the least of them, for buckets whose least member is unlike the others.
+    Then the members outside the bucket's largest component meet all members of other components, in full. So each pair
+    that shares a band is either verified or within one class already, and no group emits all its pairs.
     """
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = materialize(used)
-    bit = F.pmod(F.xxhash64("node"), F.lit(MAP_BITS))
-    cell, flag = F.shiftright(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {MAP_BITS}) % 64 as int))")
-    cells = used.select(cell.alias("__cell"), flag.alias("__f")).groupBy("__cell").agg(F.bit_or("__f").alias("__set"))
-    maybe = slim.withColumns({"__cell": cell, "__f": flag}).join(F.broadcast(cells), "__cell")
-    maybe = maybe.filter(F.col("__set").bitwiseAND(F.col("__f")) != 0).select("node", "text")
-    return maybe.join(used, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    s = Signed(slim, similarity, width, bands, rows)
+    members = s.buckets()
+    first = materialize(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
+    near = s.near(first)
+    links = materialize(contracted(s.links(near)))
+    found = materialize(components(links))
+    discard(first, near, links)
+    for pairs_of in (starred, crossed):
+        left = mixed(members, found)
+        if not left.head(1):
+            break
+        pairs = pairs_of(s, left)
+        links = s.links(pairs)
+        if links.head(1):
+            # the classes so far are stars already
+            edges = materialize(links.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+            found = materialize(components(edges))
+            discard(edges)
+        discard(left, pairs, links)
+    return materialize(s.signed.select("id", "node").join(found.select(F.col("node").alias("id"), "root"), "id").select("node", "root"))
+
+
+def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, root, main) of the buckets whose members are in several components; main is the largest one there."""
+    placed = members.select("key", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "id")))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    live = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
+    live = materialize(live.filter("k > 1").select("key", F.col("main.root").alias("main")))
+    left = materialize(hot_join(placed, live, "key", "id"))
+    discard(placed, live)
+    return left
+
+
+def starred(s: Signed, left: DataFrame) -> DataFrame:
+    """(a, b): of each bucket the members outside the largest component with the least of them."""
+    few = materialize(left.filter("root <> main").select("key", "id", "root"))
+    least = few.groupBy("key").agg(F.min(F.struct("id", "root")).alias("c"))
+    star = hot_join(few, least, "key", "id").filter(F.col("root") != F.col("c.root"))
+    pairs = materialize(star.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
+    out = s.near(pairs)
+    discard(few, pairs)
+    return out
+
+
+def crossed(s: Signed, left: DataFrame) -> DataFrame:
+    """(a, b): of each bucket the members outside the largest component with all members of other components, as the parity maps allow."""
+    few = left.filter("root <> main")
+    ids = materialize(left.select("id").distinct())
+    shaped = lambda rows, to: rows.join(s.shapes(ids, "id", to), "id")
+    x = shaped(few.select("key", "id", F.col("root").alias("rx")), "x").withColumnRenamed("id", "x")
+    y = shaped(left.select("key", "id", "root", "main"), "y").withColumnRenamed("id", "y")
+    wanted = F.expr("root <> rx AND (root = main OR x < y)") & may_be_similar("x", "y", s.similarity)
+    pairs = x.join(y, (x["key"] == y["key"]) & wanted)
+    out = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(ids)
+    return out
+
+
+def noded(docs: DataFrame) -> DataFrame:
+    return docs.select(F.unhex(F.md5(text_of(docs))).alias("node"), text_of(docs).alias("text"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -249,26 +305,43 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     stay and share a class. A null doc_id gets the class of its text, null if no other doc_id is there. An empty
     table gives an empty result.
     """
-    found = classes(docs, similarity, width)
-    slim = docs.select("doc_id", F.unhex(F.md5(text_of(docs))).alias("node"))
-    placed = slim.join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    placed = materialize(placed)
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(least, "root").select("doc_id", "class_id")
+    found = classes(noded(docs), similarity, width)
+    slim = materialize(docs.select("doc_id", F.unhex(F.md5(text_of(docs))).alias("node")))
+    own = slim.groupBy("node").agg(F.min("doc_id").alias("own"))
+    rooted = materialize(own.join(found, "node"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("class_id"))
+    named = hot_join(rooted, least, "root", "node").select("node", "class_id")
+    each = own.join(named, "node", "left").select("node", F.coalesce("class_id", "own").alias("class_id"))
+    return hot_join(slim, each, "node", "doc_id").select("doc_id", "class_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """docs with one row of each class: that of the least (doc_id, text); of rows that repeat, one stays."""
-    found = classes(docs, similarity, width)
+    """docs with one row of each class: that of the least (doc_id, text); of rows that repeat, one stays.
+
+    A row whose text neither repeats nor is in a class stays where it is. Of the others only those that are kept move,
+    to tell repeated rows apart; the rows of a very common text (there are HOT such at most) are dropped where they are.
+    """
+    found = classes(noded(docs), similarity, width)
     node = F.unhex(F.md5(text_of(docs)))
-    slim = docs.select("doc_id", node.alias("node"))
-    root = slim.join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     # nulls last
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "node"))
-    kept = root.groupBy("root").agg(first.alias("k")).select("k.doc_id", F.col("k.node").alias("node"))
-    kept = materialize(kept)
-    rows = docs.withColumn("__node", node)
-    match = (rows["doc_id"].eqNullSafe(kept["doc_id"])) & (rows["__node"] == kept["node"])
-    left = rows.join(kept, match, "left_semi")
-    one = left.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("__node"))).filter("__nth = 1")
-    return one.drop("__node", "__nth")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")).alias("k")
+    own = materialize(docs.select("doc_id", node.alias("node")).groupBy("node").agg(first, F.count(F.lit(1)).alias("n")))
+    some = materialize(own.join(found, "node", "left").filter("n > 1 OR root IS NOT NULL"))
+    best = some.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("k.x", "k.doc_id", "node")).alias("b"))
+    kept = best.select("b.node", "b.doc_id").unionByName(some.filter("root IS NULL").select("node", "k.doc_id"))
+    told = BitMap(some, "node")
+    # texts that the map takes for some of these are kept too, each by its own first row
+    others = told.within(own, F.col("node")).join(some.select("node"), "node", "left_anti").select("node", "k.doc_id")
+    kept = materialize(kept.unionByName(others).select("node", F.col("doc_id").alias("doc"), F.xxhash64("node", "doc_id").alias("hash")))
+    many = max((own.agg(F.sum("n")).first()[0] or 0) // HOT, HOT)
+    common = own.filter(F.col("n") > many).select("node").join(kept, "node", "left").select("node", F.struct("doc").alias("hot"), F.col("hash").isNotNull().alias("stays"))
+    common = materialize(common.select(F.col("node").alias("__node"), "hot", "stays"))
+    names = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    doc = F.col(names["doc_id"])
+    moved = told.split(docs.select(*[docs[c].alias(new) for c, new in names.items()], node.alias("__node")), F.col("__node"))
+    moved = moved.join(F.broadcast(common), "__node", "left").filter(F.col("stays").isNull() | (F.col("stays") & F.col("hot.doc").eqNullSafe(doc)))
+    doubted = BitMap(kept, "hash").within(moved.filter("__in").withColumn("__hash", F.xxhash64("__node", names["doc_id"])), F.col("__hash"))
+    exact = doubted.join(kept, (doubted["__node"] == kept["node"]) & doc.eqNullSafe(kept["doc"]))
+    one = exact.withColumn("__nth", F.row_number().over(Window.partitionBy("__node").orderBy("__hash"))).filter("__nth = 1")
+    back = lambda df: df.select(*[F.col(new).alias(c) for c, new in names.items()])
+    return back(moved.filter("NOT __in")).unionByName(back(one))
