@@ -144,19 +144,26 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """df with column `name`: 0-based rank of each row in the order of keys, over the whole table.
 
     The range exchange splits hot keys as far as the keys tell rows apart; the id of the scan (last key) parts
-    equal rows. Ranks within a partition come from the position after the local sort; one row per partition gives
-    the offsets. The positions are written out before they are used: a recomputed partition could differ.
+    equal rows.
+    """
+    order, rid = f"__{name}_order", f"__{name}_rid"
+    names = [f"k{i}" for i in range(len(keys))]
+    # nulls last
+    parts = [x for n, k in zip(names, keys) for x in (k.isNull().alias(f"{n}_null"), k.alias(n))]
+    keyed = df.withColumn(order, F.struct(*parts, F.monotonically_increasing_id().alias(rid)))
+    return ranked(keyed, order, name, keep=False)
+
+
+def ranked(df: DataFrame, order: str, name: str, keep: bool = True) -> DataFrame:
+    """df with column `name`: 0-based rank of each row by the column `order`, which tells all rows apart.
+
+    Ranks within a partition of the range exchange come from the position after the local sort; one row per partition
+    gives the offsets. The positions are written out before they are used: a recomputed partition could differ.
     """
     spark = df.sparkSession
-    rid, mid, pid = f"__{name}_rid", f"__{name}_mid", f"__{name}_pid"
-    names = [f"__{name}_k{i}" for i in range(len(keys))]
-    keyed = df.withColumns(dict(zip(names, keys)) | {rid: F.monotonically_increasing_id()})
-    ranged = keyed.repartitionByRange(*[F.col(n).asc_nulls_last() for n in names], F.col(rid))
-    fixed = materialize(
-        ranged.sortWithinPartitions(*[F.col(n).asc_nulls_last() for n in names], F.col(rid))
-        .drop(*names, rid)
-        .withColumn(mid, F.monotonically_increasing_id())
-    )
+    mid, pid = f"__{name}_mid", f"__{name}_pid"
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    fixed = materialize((ranged if keep else ranged.drop(order)).withColumn(mid, F.monotonically_increasing_id()))
     sizes = fixed.groupBy(F.shiftright(mid, 33).alias(pid)).agg(F.count(F.lit(1)).alias("__n")).collect()
     # one row per partition of the exchange
     at, offsets = 0, []
@@ -164,10 +171,10 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
         offsets.append((row[0], at))
         at += row[1]
     starts = spark.createDataFrame(offsets, f"{pid} long, __start long")
-    part = fixed.withColumn(pid, F.shiftright(mid, 33))
     mask = (1 << 33) - 1
     return (
-        part.join(F.broadcast(starts), pid)
+        fixed.withColumn(pid, F.shiftright(mid, 33))
+        .join(F.broadcast(starts), pid)
         .withColumn(name, F.col("__start") + F.col(mid).bitwiseAND(F.lit(mask).cast("long")))
         .drop(mid, pid, "__start")
     )

@@ -6,171 +6,286 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import GAP_BYTES, chunks, mix, multisets, words
-from .common import WORD, materialize, numbered, text_of
+from .batches import GAP_BYTES, chunks, mix, words
+from .common import BitMap, discard, materialize, ranked, text_of, WORD
 
 SIMILARITY = 0.8
 #: Slots of the table of token counts by hash that orders tokens by rarity. Tokens of one slot share a count: that
 #: costs candidates, never results.
 SLOTS = 1 << 16
+#: Bytes of a token in a prefix, and the largest size and place that an index entry tells; larger ones pass the filters.
+TOKEN_BYTES, MOST = 5, (1 << 12) - 1
+#: Candidates that a bucket gives a set in the first round, and how much longer each further round's lists are.
+FIRST, LONGER = 3, 8
 
 _NEWLINE = 10
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray):
-    """(token hash, line id) of the distinct tokens of each line, (row, line number) of each line id."""
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, row and number of each line of a chunk."""
     breaks = np.flatnonzero(data == _NEWLINE)
     starts = np.union1d(offsets[:-1], breaks + 1)
     starts = starts[starts < len(data)]
     row = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets[:-1])
-    number = np.arange(len(starts)) - first[row]
-    h, _, at, _ = words(data, offsets, GAP_BYTES)
-    line = np.searchsorted(starts, at, "right") - 1
-    line, h, _ = multisets(h, line)
-    return h, line, row, number
+    return starts, row, np.arange(len(starts)) - first[row]
 
 
-def set_hash(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """A hash of each line's set that does not depend on an order: two sums of mixed token hashes, mixed."""
-    a, b = np.zeros(n_lines, np.uint64), np.zeros(n_lines, np.uint64)
-    np.add.at(a, line, mix(h))
-    np.add.at(b, line, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-    return mix(a ^ mix(b))
+class LineSets:
+    """The sets of distinct tokens of a chunk's lines.
 
+    h, line: the tokens, by line, rarest first; size, key, b0, b1: of each line the number of its tokens, a hash of the set
+    that does not depend on their order, and their parity in 128 slots. Lines that agree in all four count as equal.
+    """
 
-def token_counts(slim: DataFrame) -> np.ndarray:
-    """How often a token of each slot occurs, over all documents. SLOTS numbers reach the driver."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray):
+        starts, self.row, self.number = lines_of(data, offsets)
+        h, _, at, _ = words(data, offsets, GAP_BYTES)
+        line = np.searchsorted(starts, at, "right") - 1
+        slot = rank[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+        order = None
+        if len(starts) < 1 << 20:
+            # one number sorts by line, rarity and most of the hash
+            one = (line.astype(np.uint64) << np.uint64(44)) | (slot << np.uint64(28)) | (h >> np.uint64(36))
+            order = np.argsort(one)
+            one, two = one[order], h[order]
+            if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():
+                order = None
+        if order is None:
+            order = np.lexsort((h, slot, line))
+        h, line = h[order], line[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        self.h, self.line = h[new], line[new]
+        n = len(starts)
+        self.size = np.bincount(self.line, minlength=n)
+        self.first = np.cumsum(self.size) - self.size
+        self.real = np.flatnonzero(self.size > 0)
+        at = self.first[self.real]
+        bit = mix(self.h + np.uint64(77))
+        flag = np.uint64(1) << (bit & np.uint64(63))
+        high = ((bit >> np.uint64(6)) & np.uint64(1)) == 1
+        a, b, self.b0, self.b1 = (np.zeros(n, np.uint64) for _ in range(4))
+        if len(at):
+            a[self.real] = np.add.reduceat(mix(self.h), at)
+            b[self.real] = np.add.reduceat(mix(self.h ^ np.uint64(0x5851F42D4C957F2D)), at)
+            self.b0[self.real] = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), flag), at)
+            self.b1[self.real] = np.bitwise_xor.reduceat(np.where(high, flag, np.uint64(0)), at)
+        self.key = mix(a ^ mix(b))
+
+    def identity(self, lines: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x[lines].view(np.int64)) for x in (self.key, self.b0, self.b1)] + [pa.array(self.size[lines].astype(np.int32))]
+
+
+IDENTITY = ["h", "b0", "b1", "n"]
+
+
+def rarity(slim: DataFrame) -> np.ndarray:
+    """The rank of each slot by how often its tokens occur, over all documents. SLOTS numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(1)):
+            for _, _, data, offsets in chunks(batch.column(0)):
                 h, *_ = words(data, offsets, GAP_BYTES)
                 total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
-    rows = slim.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(SLOTS, np.int64)
+    rows = slim.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(SLOTS, np.int64)
     for slot, n in rows:
-        out[slot] = n
-    return out
+        counts[slot] = n
+    rank = np.empty(SLOTS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    return rank
 
 
-def prefixed(slim: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(rid, doc_id, line, h, n, b0, b1, prefix) of each line with words: its set's hash and size, the parity of its
-    tokens in 128 slots, and its rarest tokens in order. A row without such lines gives one with line -1.
+def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
+    """(doc_id, th, line, h, b0, b1, n, prefix) of each line with words of slim(doc_id, th, text).
 
-    Sets of sizes n and m that are similar share a token of their first n - ceil(t n) + 1 and m - ceil(t m) + 1.
+    prefix: TOKEN_BYTES of each of the set's rarest tokens, in order. Sets of sizes n and m that are similar share a token
+    of their first n - ceil(t n) + 1 and m - ceil(t m) + 1.
     """
-    shared = slim.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
         for batch in batches:
-            for start, end, data, offsets in chunks(batch.column(2)):
-                h, line, row, number = line_sets(data, offsets)
-                n_lines = len(row)
-                key = set_hash(h, line, n_lines)
-                slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-                order = np.lexsort((h, rare[slot], line))
-                h, line = h[order], line[order]
-                size = np.bincount(line, minlength=n_lines)
-                bit = mix(h + np.uint64(77))
-                flag = np.uint64(1) << (bit & np.uint64(63))
-                high = (bit >> np.uint64(6)) & np.uint64(1) == 1
-                parity = np.zeros((2, n_lines), np.uint64)
-                np.bitwise_xor.at(parity[0], line[~high], flag[~high])
-                np.bitwise_xor.at(parity[1], line[high], flag[high])
-                place = np.arange(len(h)) - (np.cumsum(size) - size)[line]
-                keep = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-                short = place < keep[line]
-                lines = np.flatnonzero(size > 0)
-                empty = np.setdiff1d(np.arange(end - start), row[lines])
-                ends = np.concatenate([[0], np.cumsum(keep[lines]), np.full(len(empty), keep[lines].sum())]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[short].view(np.int64)))
-                at = pa.array(start + np.concatenate([row[lines], empty]).astype(np.int64))
-                pad = lambda x, fill: pa.array(np.concatenate([x, np.full(len(empty), fill, x.dtype)]))
+            for start, _, data, offsets in chunks(batch.column(2)):
+                s = LineSets(data, offsets, rank.value)
+                keep = s.size - np.ceil(similarity * s.size - 1e-9).astype(np.int64) + 1
+                short = np.arange(len(s.h)) - s.first[s.line] < keep[s.line]
+                tokens = s.h[short].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+                ends = np.concatenate([[0], np.cumsum(keep[s.real]) * TOKEN_BYTES]).astype(np.int32)
+                raw = np.ascontiguousarray(tokens)
+                prefix = pa.Array.from_buffers(pa.binary(), len(s.real), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                at = pa.array(start + s.row[s.real])
+                number = pa.array(s.number[s.real].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(at), batch.column(1).take(at), pad(number[lines].astype(np.int32), -1), pad(key[lines].view(np.int64), 0),
-                        pad(size[lines].astype(np.int32), 0), pad(parity[0][lines].view(np.int64), 0), pad(parity[1][lines].view(np.int64), 0), prefix,
-                    ],
-                    ["rid", "doc_id", "line", "h", "n", "b0", "b1", "prefix"],
-                )
+                    [batch.column(0).take(at), batch.column(1).take(at), number, *s.identity(s.real), prefix],
+                    ["doc_id", "th", "line", *IDENTITY, "prefix"],
+                )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(cut, f"rid long, doc_id {kind}, line int, h long, n int, b0 long, b1 long, prefix array<bigint>")
+    return slim.mapInArrow(cut, f"doc_id {kind}, th long, line int, h long, b0 long, b1 long, n int, prefix binary")
 
 
-#: Candidates that a bucket gives a set in the first round; sets that have more and stay unmatched get all in the second.
-FIRST = 3
+def spread(sets: DataFrame, tokens=None, open_sets=None) -> DataFrame:
+    """(p, id, b0, open): an entry for each prefix token of sets(id, n, b0, prefix); p packs token, size and place.
 
+    With the maps `tokens` and `open_sets` only entries of such tokens, and `open` for such sets only.
+    """
 
-def candidates(spread: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, b0 = (batch.column(k).to_numpy() for k in range(3))
+            prefix = batch.column(3).cast(pa.large_binary())
+            if not len(ids):
+                continue
+            _, offs, data = prefix.buffers()
+            ends = np.frombuffer(offs, np.int64)[prefix.offset : prefix.offset + len(ids) + 1]
+            raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN_BYTES)
+            token = np.zeros(len(raw), np.int64)
+            for k in range(TOKEN_BYTES):
+                token = (token << 8) | raw[:, k]
+            many = np.diff(ends) // TOKEN_BYTES
+            owner = np.repeat(np.arange(len(ids)), many)
+            place = np.arange(len(token)) - (np.cumsum(many) - many)[owner]
+            p = (token << 24) | (np.minimum(n[owner], MOST).astype(np.int64) << 12) | np.minimum(place, MOST)
+            wanted = np.ones(len(ids), bool) if open_sets is None else held(open_sets.value, ids)
+            if tokens is not None:
+                some = held(tokens.value, token)
+                p, owner = p[some], owner[some]
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ids[owner]), pa.array(b0[owner]), pa.array(wanted[owner])], ["p", "id", "b0", "open"])
+
+    return sets.select("id", "n", "b0", "prefix").mapInArrow(entries, "p long, id long, b0 long, open boolean")
+
+
+def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
     """(x, y, more) from buckets of equal tokens: earlier sets y that the filters leave for x, earliest first.
 
-    spread: (token, id, n, i, b0, b1, open); only sets with `open` are asked for. The filters are exact: sizes within the
-    ratio; the overlap that can still be reached from the two places of the token; and the parity of the tokens in
-    128 slots, which differs in no more slots than the sets differ in tokens. With `most`, a set gets that many
-    candidates of a bucket at most, and more = true if it may have further ones. A bucket's rows are fixed-width
-    numbers, about 50 bytes a set.
+    Only entries with `open` are asked for. The filters are exact: sizes within the ratio; the overlap that can still be
+    reached from the two places of the token; and the parity of the tokens in 64 slots, which differs in no more slots
+    than the sets differ in tokens. A set gets `most` candidates of a bucket at most, and more = true if it may have
+    further ones. Entries of a bucket are in classes of size, so that a set meets three of them only; a bucket's entries
+    are fixed-width numbers, about 25 bytes a set.
     """
-    rows = spread.repartition("token").sortWithinPartitions("token", "id")
+    rows = entries.repartition(F.shiftright("p", 24)).sortWithinPartitions("p")
+    size_class = np.floor(np.log(np.maximum(np.arange(MOST + 1), 1)) / -np.log(similarity) + 1e-9).astype(np.int64) if similarity < 1 else np.arange(MOST + 1)
 
     def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
-        """The candidates of whole buckets: in step j every open row meets its bucket's j-th set, all buckets at once."""
-        token, ids, n, i, b0, b1, wanted = columns
-        n, i = n.astype(np.int64), i.astype(np.int64)
-        head = np.ones(len(token), bool)
-        head[1:] = token[1:] != token[:-1]
-        start = np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))
-        place = np.arange(len(token)) - start
-        have, more = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-        x, j, got = np.flatnonzero((place > 0) & wanted), 0, []
-        while len(x := x[place[x] > j]):
-            if most is not None:
-                full = have[x] >= most
+        """The candidates of whole buckets: in each step every open entry meets the next set of its list, all buckets at once."""
+        p, ids, bits, wanted = columns
+        order = np.lexsort((ids, size_class[(p >> 12) & MOST], p >> 24))
+        p, ids, bits, wanted = p[order], ids[order], bits[order], wanted[order]
+        token, n, i = p >> 24, (p >> 12) & MOST, p & MOST
+        cls = size_class[n]
+        head = np.ones(len(p), bool)
+        head[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        group, start = np.cumsum(head) - 1, np.flatnonzero(head)
+        rank = np.unique(ids, return_inverse=True)[1]
+        key = group * len(p) + rank
+        have, more, got = np.zeros(len(p), np.int64), np.zeros(len(p), bool), []
+        for side in (0, -1, 1):
+            other = group + side
+            able = wanted & (other >= 0) & (other < len(start))
+            x = np.flatnonzero(able)
+            g = start[other[x]]
+            x = x[(token[g] == token[x]) & (cls[g] == cls[x] + side)]
+            at, end = start[other[x]], np.searchsorted(key, other[x] * len(p) + rank[x])
+            while True:
+                live = at < end
+                full = live & (have[x] >= most)
                 more[x[full]] = True
-                x = x[~full]
-            y = start[x] + j
-            j += 1
-            need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9)
-            ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9) & (1 + np.minimum(n[x] - i[x], n[y] - i[y]) - 1 >= need)
-            a, b, need = x[ok], y[ok], need[ok]
-            apart = np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
-            near = apart <= n[a] + n[b] - 2 * need
-            have[a[near]] += 1
-            got.append((a[near], b[near]))
+                live &= ~full
+                x, at, end = x[live], at[live], end[live]
+                if not len(x):
+                    break
+                a, b = n[x], n[at]
+                both, vague = a + b, (a == MOST) | (b == MOST)
+                need = np.ceil(similarity / (1 + similarity) * both - 1e-9)
+                ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((np.minimum(a - i[x], b - i[at]) >= need) | vague)
+                ok[ok] = (np.bitwise_count(bits[x[ok]] ^ bits[at[ok]]) <= (both - 2 * need)[ok]) | vague[ok]
+                have[x[ok]] += 1
+                got.append((x[ok], at[ok]))
+                at = at + 1
         gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(columns[0]):
                 continue
-            if rest is not None:
-                columns = [np.concatenate([a, b]) for a, b in zip(rest, columns)]
-            edge = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-            if edge:
-                yield closed([c[:edge] for c in columns])
-            rest = [c[edge:] for c in columns]
-        if rest is not None:
-            yield closed(rest)
+            token = columns[0] >> 24
+            edge = int(np.searchsorted(token, token[-1], "left"))
+            if edge or (rest and (rest[-1][0][-1] >> 24) != token[0]):
+                yield closed([np.concatenate(c) for c in zip(*rest, [c[:edge] for c in columns])])
+                rest = []
+            rest.append([c[edge:] for c in columns])
+        if rest:
+            yield closed([np.concatenate(c) for c in zip(*rest)])
+
+    return rows.mapInArrow(pairs, "x long, y long, more boolean")
+
+
+#: Bits of the maps that tell most sets, lines and tokens apart from those that are wanted, before they are moved.
+MAP_BITS = 1 << 24
+
+
+def bit_map(df: DataFrame, number: str):
+    """Broadcast map of which of MAP_BITS slots the numbers take; MAP_BITS / 64 rows at most reach the driver."""
+    slot = F.pmod(F.col(number), F.lit(MAP_BITS))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    cells = df.select(F.shiftright(slot, 6).alias("cell"), flag.alias("f")).groupBy("cell").agg(F.bit_or("f").alias("bits"))
+    table = np.zeros(MAP_BITS // 64, np.uint64)
+    for cell, bits in cells.toLocalIterator():
+        table[cell] = bits & 0xFFFFFFFFFFFFFFFF
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each number may be in the map."""
+    slot = numbers.astype(np.int64) & (MAP_BITS - 1)
+    return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def set_texts(slim: DataFrame, pairs: DataFrame, sets: DataFrame, rank) -> DataFrame:
+    """(id, text): one line of each set that the pairs name, from the documents that may hold its first line."""
+    used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    used = materialize(used)
+    named = BitMap(used, "id").within(sets.select("id", *IDENTITY, F.col("first.doc_id").alias("doc_id")), F.col("id"))
+    named = materialize(named.join(used, "id"))
+    taken = bit_map(named, "h")
+    texts = BitMap(named, "doc_id").within(slim.select("doc_id", "text"), F.col("doc_id")).select("text")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            for start, _, data, offsets in chunks(column):
+                s = LineSets(data, offsets, rank.value)
+                wanted = s.real[held(taken.value, s.key[s.real].view(np.int64))]
+                found, at, lines = [], -1, []
+                for k in wanted:
+                    if s.row[k] != at:
+                        at = s.row[k]
+                        lines = column[start + int(at)].as_py().split("\n")
+                    found.append(lines[s.number[k]])
+                yield pa.RecordBatch.from_arrays([*s.identity(wanted), pa.array(found, pa.string())], [*IDENTITY, "text"])
 
-    return rows.select("token", "id", "n", "i", "b0", "b1", "open").mapInArrow(pairs, "x long, y long, more boolean")
+    lines = texts.mapInArrow(pick, "h long, b0 long, b1 long, n int, text string").groupBy(*IDENTITY).agg(F.first("text").alias("text"))
+    out = materialize(lines.join(named.drop("doc_id"), IDENTITY).select("id", "text"))
+    discard(used, named)
+    return out
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs(x, y) whose token sets have the similarity. texts: (id, text), one row per set."""
+    """The x of pairs(x, y) whose token sets have the similarity. texts: (id, text), one row per set."""
     both = pairs.select("x", "y").join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
-    both = both.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
+    both = both.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "tx", "ty")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -178,97 +293,68 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         find = re.compile(WORD).findall
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            for a, b in zip(batch.column(1), batch.column(2)):
                 s, t = set(find(a.as_py())), set(find(b.as_py()))
                 ok.append(len(s & t) >= similarity * len(s | t) - 1e-9)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:2]], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["x"])
 
-    return both.mapInArrow(check, "x long, y long")
+    return both.mapInArrow(check, "x long").distinct()
 
 
-def repeats(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(rid, doc_id, line, removed) of each line of slim(rid, doc_id, text); line -1 for a row without lines.
+def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, th, line) of the lines of slim(doc_id, th, text) that stay; th is a hash of the text.
 
     A line is a piece between line feeds with a word; its set is that of its distinct words. Lines are ordered by
-    (doc_id, nulls last, rid, line number). A line is removed if an earlier line's set is equal or has the similarity
+    (doc_id, nulls last, th, line number). A line goes if an earlier line's set is equal or has the similarity
     (Jaccard). Equal sets are one class from the start, represented by its first line. Classes meet in the buckets
-    of their prefix tokens; a first round verifies the earliest candidates of each, a second one, for those that it
-    does not remove and that had more, all the others: so a group of like lines does not emit all its pairs.
+    of their prefix tokens; a first round verifies the earliest candidates of each. Further rounds, with longer lists
+    each, verify the next ones of those that are not settled: so a group of like lines does not emit all its pairs.
     """
-    texts = slim.select("text")
-    lines = materialize(prefixed(slim, token_counts(slim.select("rid", "text")), similarity))
-    real = lines.filter("line >= 0")
-    firsts = real.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "line")).alias("first"))
-    ids = numbered(firsts, [F.col("first")], "id")
-    ids = materialize(ids)
-    shape = real.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix")])
-    sets = materialize(shape.join(ids.select("h", "id"), "h"))
-    spread = sets.select("id", "n", "b0", "b1", F.posexplode("prefix").alias("i", "token"))
-    early = materialize(candidates(spread.withColumn("open", F.lit(True)), similarity, FIRST).groupBy("x", "y").agg(F.max("more").alias("more")))
-    gone = materialize(similar(early, set_texts(texts, early, ids), similarity).select("x").distinct())
-    left = materialize(early.filter("more").select("x").distinct().join(gone, "x", "left_anti"))
-    if left.head(1):
-        # only buckets that an open set is in are looked at again
-        asked = sets.join(left.select(F.col("x").alias("id")), "id", "left_semi").select(F.explode("prefix").alias("token"))
-        near = cells(asked, "token").withColumnRenamed("cell", "__cell")
-        again = spread.withColumn("__cell", F.shiftright(F.col("token").bitwiseAND(F.lit(MAP_BITS - 1)), 6)).join(F.broadcast(near), "__cell")
-        again = again.filter(F.expr(f"(bits & shiftleft(1L, cast((token & {MAP_BITS - 1}) & 63 as int))) != 0")).drop("__cell", "bits")
-        marked = again.join(left.withColumn("open", F.lit(True)), F.col("id") == F.col("x"), "left").drop("x")
-        late = candidates(marked.withColumn("open", F.coalesce("open", F.lit(False))), similarity, None).select("x", "y").distinct()
-        late = materialize(late.join(early, ["x", "y"], "left_anti"))
-        gone = materialize(gone.unionByName(similar(late, set_texts(texts, late, ids), similarity).select("x").distinct()))
-    verdict = ids.join(gone.select(F.col("x").alias("id"), F.lit(True).alias("gone")), "id", "left")
-    verdict = verdict.select("h", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = lines.select("rid", "doc_id", "line", "h").join(verdict, "h", "left")
-    is_first = (F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))
-    return out.select("rid", "doc_id", "line", ((F.col("line") >= 0) & (F.col("gone") | ~is_first)).alias("removed"))
-
-
-#: Bits of the maps that tell most lines and tokens apart from those that are wanted, before they are moved.
-MAP_BITS = 1 << 24
-
-
-def cells(df: DataFrame, number: str) -> DataFrame:
-    """(cell, bits): which of MAP_BITS slots the numbers take; MAP_BITS / 64 rows at most, whatever the input."""
-    bit = F.col(number).bitwiseAND(F.lit(MAP_BITS - 1))
-    flag = F.expr(f"shiftleft(1L, cast(({number} & {MAP_BITS - 1}) & 63 as int))")
-    return df.select(F.shiftright(bit, 6).alias("cell"), flag.alias("f")).groupBy("cell").agg(F.bit_or("f").alias("bits"))
+    rank = slim.sparkSession.sparkContext.broadcast(rarity(slim))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line"))
+    every = prefixed(slim, rank, similarity).groupBy(*IDENTITY).agg(first.alias("first"), F.first("prefix").alias("prefix"))
+    sets = ranked(every, "first", "id")
+    early, gone, most = None, None, FIRST
+    entries = spread(sets)
+    while True:
+        found = candidates(entries, similarity, most).groupBy("x", "y").agg(F.max("more").alias("more"))
+        fresh = materialize(found if early is None else found.join(early, ["x", "y"], "left_anti"))
+        texts = set_texts(slim, fresh, sets, rank)
+        now = similar(fresh, texts, similarity)
+        gone = materialize(now if gone is None else gone.unionByName(now).distinct())
+        early = fresh.select("x", "y") if early is None else materialize(early.unionByName(fresh.select("x", "y")))
+        left = materialize(fresh.filter("more").select("x").distinct().join(gone, "x", "left_anti"))
+        discard(texts)
+        if not left.head(1):
+            break
+        most *= LONGER
+        asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("id", "n", "b0", "prefix")
+        tokens = spread(asked).select(F.shiftright("p", 24).alias("token"))
+        entries = spread(sets, bit_map(tokens, "token"), bit_map(left, "x"))
+        discard(left)
+    out = sets.join(gone, F.col("id") == F.col("x"), "left_anti")
+    return out.select("first.doc_id", "first.th", "first.line")
 
 
-def set_texts(texts: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text): one line of each set that the pairs name. A bit map drops most other lines where they are read."""
-    used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    used = materialize(used.join(ids, "id").select("id", "h"))
-    table = np.zeros(MAP_BITS // 64, np.uint64)
-    for cell, bits in cells(used, "h").toLocalIterator():
-        table[cell] = bits & 0xFFFFFFFFFFFFFFFF
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): doc_id and a hash of the text tell rows apart, but for repeated rows."""
+    text = text_of(docs)
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = shared.value
-        for batch in batches:
-            column = batch.column(0)
-            for start, _, data, offsets in chunks(column):
-                h, line, row, number = line_sets(data, offsets)
-                key = set_hash(h, line, len(row))
-                bit = key & np.uint64(MAP_BITS - 1)
-                wanted = (taken[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                wanted &= np.bincount(line, minlength=len(row)) > 0
-                found, at, lines = [], -1, []
-                for k in np.flatnonzero(wanted):
-                    if row[k] != at:
-                        at = row[k]
-                        lines = column[start + int(at)].as_py().split("\n")
-                    found.append(lines[number[k]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[wanted].view(np.int64)), pa.array(found, pa.string())], ["h", "text"])
 
-    every = texts.mapInArrow(split, "h long, text string")
-    return every.join(used, "h").groupBy("id").agg(F.first("text").alias("text"))
+def lines_with_words(text: Column) -> Column:
+    """The numbers of the lines that have a word, from 0."""
+    number = lambda line, i: F.when(F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0, i)
+    return F.array_compact(F.transform(F.split(text, "\n", -1), number))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of(docs).alias("text"))
+def judged(slim: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, th, copies, lines, stay): of each distinct row its lines with words and those of its first copy that stay."""
+    own = slim.select("doc_id", "th", lines_with_words(F.col("text")).alias("lines"), F.lit(None).cast("int").alias("line"))
+    kept = kept_lines(slim, similarity).select("doc_id", "th", F.lit(None).cast("array<int>").alias("lines"), "line")
+    return own.unionByName(kept).groupBy("doc_id", "th").agg(
+        F.count("lines").alias("copies"), F.first("lines", True).alias("lines"), F.collect_list("line").alias("stay")
+    )
 
 
 def line_counts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -277,17 +363,19 @@ def line_counts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Null text is empty; texts without words have no lines; a very long line is one set like any other; an empty
     table gives an empty result; of repeated rows all but one lose their lines.
     """
-    removed = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line"))))
-    per = repeats(identified(docs), similarity).groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"), removed.alias("removed")
-    )
-    return per.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    each = judged(identified(docs), similarity).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    removed = F.when(F.col("nth") == 1, F.array_except("lines", "stay")).otherwise(F.col("lines"))
+    out = each.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("removed"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and the text without its removed lines (lines without words stay)."""
-    rows = materialize(identified(docs))
-    cut = repeats(rows, similarity).filter("removed").groupBy("rid").agg(F.collect_set("line").alias("cut"))
-    out = rows.join(cut, "rid", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("cut", i), F.lit(False)))
-    return out.select("doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    rows = identified(docs)
+    stay = judged(rows, similarity).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "stay", "lines")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("th"))
+    out = rows.withColumn("nth", nth).join(stay, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    cut = F.when(F.col("nth") == 1, F.array_except("lines", "stay")).otherwise(F.col("lines"))
+    out = out.select("doc_id", "text", cut.alias("cut"))
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("cut", i))
+    return out.select("doc_id", F.when(F.size("cut") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
