@@ -167,14 +167,15 @@ def log_term(k: Column, n: Column, risk: float) -> Column:
 
 
 def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, grid=GRID) -> DataFrame:
-    """One row for each stratum (lang, or "*" pooled) with the cutoffs that are certified there.
-
-    A cutoff is certified if, of all good labelled documents (quality 1), those that it would reject are so few that a true
-    false-rejection rate above risk / rules is refuted by the exact binomial tail at level delta / (strata * rules):
-    Bonferroni over strata and rules, and a fixed sequence within a rule, from lenient to strict up to the first
-    cutoff that fails, which needs no further correction. A rule without a certified cutoff is off (null). With all rules on, a stratum
-    loses at most `risk` of its good documents, for all strata at once with probability 1 - delta. A stratum so small
-    that no cutoff could be certified there even without a false rejection has no row.
+    """One row for each stratum (lang) in which a cutoff can be certified, with its cutoffs.
+
+    A cutoff is certified if, of all the stratum's good labelled documents (quality 1), those that it would reject are so
+    few that a true false-rejection rate above risk / rules is refuted by the exact binomial tail at level
+    delta / (strata * rules): Bonferroni over strata and rules, and a fixed sequence within a rule, from lenient to strict
+    up to the first cutoff that fails, which needs no further correction. A rule without a certified cutoff is off
+    (null). With all rules on, a stratum loses at most `risk` of its good documents, for all strata at once with
+    probability 1 - delta. A stratum so small that no cutoff could be certified there even without a false rejection
+    (its size alone decides that) has no row: all its learned rules are off.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id")).distinct()
     held = measures.join(good, "doc_id", "left_semi").filter(~F.col("base_failed"))
@@ -182,15 +183,13 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     named = [f"{rule}__{i}" for rule, i, _ in tried]
     hits = [F.sum(beyond(rule, F.lit(cut)).cast("long")).alias(c) for c, (rule, _, cut) in zip(named, tried)]
     wide = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *hits))
-    pooled = wide.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in named]).withColumn("stratum", F.lit("*"))
     part = risk / len(grid)
     level = lambda strata: F.lit(log(delta / len(grid))) - F.log(strata.cast("double"))
-    # no false rejection at all must be enough to certify a cutoff; the largest strata that pass together are kept,
-    # and the pooled one counts as one more
+    # no false rejection at all must be enough to certify a cutoff; the largest strata that pass together are tested
     strong = lambda strata: F.col("n") * F.lit(log1p(-part)) <= level(strata)
     nth = F.row_number().over(Window.orderBy(F.desc("n"), "stratum"))
-    wide = wide.filter(strong(F.lit(2))).withColumn("__nth", nth).filter(strong(F.col("__nth") + 1)).drop("__nth")
-    wide = materialize(wide.unionByName(pooled.filter("n > 0")))
+    wide = wide.filter(strong(F.lit(1))).withColumn("__nth", nth).filter(strong(F.col("__nth"))).drop("__nth")
+    wide = materialize(wide)
     wide = wide.join(F.broadcast(wide.agg(F.count(F.lit(1)).alias("__strata"))))
     level = level(F.col("__strata"))
     # a count above its expectation is never certified, so its tail need not be summed
@@ -208,8 +207,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the counts of measured(), base_failed, kept, and `carry`.
 
-    kept: not base_failed, and beyond no cutoff of its stratum (lang; those unlabelled or rare: the pooled one;
-    if there are no labels at all no rule is on). Null text has no words and fails the base rules. A document
+    kept: not base_failed, and beyond no cutoff of its stratum (lang); in strata with too few labels to certify a cutoff, or
+    with none, only the base rules are on. Null text has no words and fails the base rules. A document
     labelled several times counts once. Rows that repeat are judged each. An empty table gives an empty result.
     """
     keep = list(dict.fromkeys(["doc_id", *(["lang"] if "lang" in docs.columns else []), *carry]))
@@ -224,15 +223,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
 
 
 def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
-    """m with `kept`. cuts has the pooled row and one for each stratum of about 2,000 good labels, so it is broadcast."""
-    names = [f"cut_{r}" for r in RULES]
-    own = cuts.filter("stratum != '*'").withColumn("__own", F.lit(True))
-    pooled = cuts.filter("stratum = '*'").select(*[F.col(c).alias(f"all_{c}") for c in names])
-    both = m.join(F.broadcast(own), "stratum", "left").join(F.broadcast(pooled), how="left")
+    """m with `kept`. cuts has one row for each stratum of about 1,900 good labels or more, so it is broadcast."""
+    both = m.join(F.broadcast(cuts), "stratum", "left")
     bad = F.lit(False)
     for rule in RULES:
-        cut = F.when(F.col("__own"), F.col(f"cut_{rule}")).otherwise(F.col(f"all_cut_{rule}"))
-        bad = bad | F.coalesce(beyond(rule, cut), F.lit(False))
+        bad = bad | F.coalesce(beyond(rule, F.col(f"cut_{rule}")), F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
