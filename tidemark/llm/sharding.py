@@ -18,7 +18,7 @@ def feistel(number: Column, n: int, seed: int, rounds: int = ROUNDS) -> Column:
     """A keyed bijection of 0..a*b-1, a*b >= n, as two digits that take turns in shifting each other."""
     a = max(1, isqrt(max(n - 1, 0)))
     b = -(-n // a) if n else 1
-    high, low = F.floor(number / F.lit(b)).cast("long"), F.pmod(number, F.lit(b).cast("long"))
+    high, low = F.call_function("div", number, F.lit(b).cast("long")), F.pmod(number, F.lit(b).cast("long"))
     for r in range(rounds):
         if r % 2 == 0:
             high = F.pmod(high + F.pmod(F.xxhash64(low, F.lit(seed), F.lit(r)), F.lit(a).cast("long")), F.lit(a).cast("long"))
@@ -46,7 +46,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20240, text: str =
 
     Rows are numbered in the order of (doc_id, crc32 of the text, bytes of the text), nulls last; row i goes to
     place p = permuted(i), shard p mod shards, slot p div shards, so both can be computed from i, n and the seed.
-    Rows that are equal in that order are interchangeable. Null text counts as empty. An empty table gives an
+    Rows of equal texts are rows of their own, which the shuffle spreads over the shards like any others; those that are
+    equal in that order are interchangeable. Null text counts as empty. An empty table gives an
     empty result. Columns named shard or slot are replaced.
     """
     body = text_of(docs) if text == "text" else F.coalesce(docs[text], F.lit(""))
@@ -61,6 +62,6 @@ def placed(rows: DataFrame, keys: list[Column], shards: int = SHARDS, seed: int
         return rn.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__row")
     return (
         rn.withColumn("__p", permuted(F.col("__row"), n, seed))
-        .withColumns({"shard": F.pmod("__p", F.lit(shards)).cast("int"), "slot": F.floor(F.col("__p") / shards).cast("long")})
+        .withColumns({"shard": F.pmod("__p", F.lit(shards)).cast("int"), "slot": F.call_function("div", F.col("__p"), F.lit(shards).cast("long"))})
         .drop("__p", "__row")
     )
