@@ -27,7 +27,7 @@ _counters: dict[str, Counter] = {}
 class Counter:
     """Counts the tokens that tokenizers gives for a byte-level BPE file, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -39,11 +39,14 @@ class Counter:
         self.specials = sorted((t.content for t in self.lib.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.specials)).split if self.specials else None
         self.letters = byte_letters()
-        self.whole = self.proven()
+        self.whole = self.proven() if whole is None else whole
         self.spaced: dict[str, int] = {}
 
-    def proven(self) -> set[str]:
-        """The vocabulary strings that are a pre-token of their own and that the merges build into one token."""
+    def proven(self) -> frozenset[str]:
+        """The vocabulary strings that are a pre-token of their own and that the merges build into one token.
+
+        The driver proves them once and sends the set to the workers.
+        """
         from_letters = {ord(c): b for b, c in enumerate(self.letters)}
         out = set()
         for mapped in self.lib.get_vocab(with_added_tokens=False):
@@ -53,7 +56,7 @@ class Counter:
                 continue
             if self.split(text) == [text] and len(self.model.tokenize(mapped)) == 1:
                 out.add(text)
-        return out
+        return frozenset(out)
 
     def merged(self, piece: str) -> int:
         letters = self.letters
@@ -109,9 +112,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole=None) -> Counter:
+    """The process's counter of a file; whole: a broadcast of the set that the driver has proven."""
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, None if whole is None else whole.value)
     return _counters[path]
 
 
@@ -124,8 +128,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     text = text_of(docs)
     slim = docs.select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
+    whole = docs.sparkSession.sparkContext.broadcast(counter(path).whole)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count_one = counter(path)
+        count_one = counter(path, whole)
         for batch in batches:
             n = [count_one(t.as_py()) for t in batch.column(2)]
             tokens = pa.array(n, pa.int64())
