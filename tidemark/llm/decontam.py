@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_of
+from .common import discard, materialize, text_of
 
 #: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
@@ -162,16 +163,19 @@ def searcher(name: str, load, rate: float) -> Searcher:
     return _searchers[name]
 
 
-def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator:
-    """(name, broadcast list) of (item_id, plain text), about `block` characters in each; items are parted by hash."""
-    spark = benchmark.sparkSession
-    items = benchmark.select("item_id", plain(text_of(benchmark)).alias("text")).filter("text <> ''")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block)
-    for i in range(n):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).distinct().collect()
-        rows = sorted(((r[0], r[1]) for r in part), key=repr)
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
+def block_count(items: DataFrame, block: int) -> int:
+    """How many passes the items need."""
+    return -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block)
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", plain(text_of(benchmark)).alias("text")).filter("text <> ''").distinct()
+
+
+def one_block(items: DataFrame, i: int, n: int):
+    """(name, broadcast list) of block i of n: (item_id, plain text); items are parted by hash."""
+    rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=repr))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
@@ -179,29 +183,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block
 
     distance is the least one in the text, end where that stretch ends in the plain text. Texts and items are compared
     in the plain() form, whole words at either end. Null and wordless texts and items match nothing; repeated
-    documents are reported each, repeated items once. Documents stay where they are: each block of items is
-    searched in one pass without a shuffle.
+    documents are reported each, repeated items once. Documents stay where they are: each block of items, about `block`
+    characters, is searched in one pass without a shuffle. The driver holds one block at a time: if there are several, what a
+    pass finds is written out before the next block is read.
     """
     slim = docs.select("doc_id", plain(text_of(docs)).alias("text"))
-    doc_type = slim.schema["doc_id"].dataType.simpleString()
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, item_id {item_type}, distance int, allowed int, end long"
+    items = items_of(benchmark)
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, distance int, allowed int, end long"
+    n = block_count(items, block)
     out = None
-    for name, items in blocks(benchmark, block):
+    for i in range(n):
+        name, part = one_block(items, i, n)
 
-        def search(batches: Iterator[pa.RecordBatch], items=items, name=name) -> Iterator[pa.RecordBatch]:
-            find = searcher(f"{name}|{rate}", lambda: items.value, rate)
+        def search(batches: Iterator[pa.RecordBatch], part=part, name=name) -> Iterator[pa.RecordBatch]:
+            find = searcher(f"{name}|{rate}", lambda: part.value, rate)
             for batch in batches:
                 row, found = [], []
-                for i, text in enumerate(batch.column(1)):
+                for k, text in enumerate(batch.column(1)):
                     for hit in find(text.as_py()):
-                        row.append(i)
+                        row.append(k)
                         found.append(hit)
                 own = find.items
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row, pa.int64())),
-                        pa.array([own[nr][0] for nr, _, _ in found], ITEM[item_type]),
+                        pa.array([own[nr][0] for nr, _, _ in found], item_type),
                         pa.array([d for _, d, _ in found], pa.int32()),
                         pa.array([own[nr][2] for nr, _, _ in found], pa.int32()),
                         pa.array([e for _, _, e in found], pa.int64()),
@@ -210,18 +217,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block
                 )
 
         one = slim.mapInArrow(search, schema)
+        if n > 1:
+            one = materialize(one)
+            part.destroy()
         out = one if out is None else out.unionByName(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs whose text holds no item within its budget; all columns stay, nothing is shuffled."""
+    """The rows of docs whose text holds no item within its budget; all columns stay, nothing is shuffled.
+
+    The driver holds one block of items at a time: if there are several, the rows that a pass leaves are written out
+    before the next block is read.
+    """
+    items = items_of(benchmark)
+    n = block_count(items, block)
     out = docs
-    for name, items in blocks(benchmark, block):
-        out = out.filter(_without(name, items, rate)(plain(text_of(out))))
+    for i in range(n):
+        name, part = one_block(items, i, n)
+        left = out.filter(_without(name, part, rate)(plain(text_of(out))))
+        if n > 1:
+            left = materialize(left)
+            part.destroy()
+            if out is not docs:
+                discard(out)
+        out = left
     return out
 
 
