@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import GAP_BYTES, chunks, span_hashes, words
@@ -15,15 +15,16 @@ from .common import materialize, text_of
 #: About this many labelled rows, picked by a hash of doc_id, train the model; the first CALIBRATE of 5 parts by
 #: another hash calibrate it.
 SAMPLE = 20_000
-#: A lexicon word is in LEAST documents of the sample or more, and its share of toxic documents is RATIO times as high.
-LEXICON, LEAST, RATIO = 300, 10, 4.0
+#: A lexicon entry is a whole word or the first STEMS letters of longer ones. Its log-ratio of shares in toxic and other
+#: documents, both shrunk by SHRINK documents, must be CERTAIN times its standard deviation and its ratio RATIO at least.
+LEXICON, STEMS, SHRINK, CERTAIN, RATIO = 600, (4, 5, 6), 0.5, 3.0, 4.0
 NEAR = 5
 #: Words of the second person.
 SECOND = "you your yours yourself youre ya u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus su sus".split()
 #: Signs that stand for letters.
 LEET = dict(zip("0134578@$!|+", "oieastbasiit"))
 
-FEATURES = ("log_words", "hits", "hit_rate", "distinct", "hidden", "hidden_rate", "second_rate", "near_hits", "nearness", "upper_rate", "caps_rate", "bang_rate", "question_rate", "mask_rate", "digit_in_word", "single_rate", "stretch_rate", "dense")
+FEATURES = ("log_words", "hits", "hit_rate", "distinct", "hidden", "hidden_rate", "second_rate", "near_hits", "nearness", "upper_rate", "caps_rate", "bang_rate", "question_rate", "mask_rate", "digit_in_word", "single_rate", "stretch_rate", "dense", "stems", "stem_rate", "stem_kinds")
 
 _low = np.arange(256, dtype=np.uint8)
 _low[65:91] += 32
@@ -34,6 +35,8 @@ _letter = np.zeros(256, bool)
 _letter[97:123] = True
 _letter[128:] = True
 _not_letter_low = ~_letter[_low]
+#: Tells the hash of a stem from that of a word.
+_STAR = np.uint64(0x2A5C6E1B9D3F7081)
 
 
 def word_hash(word: str) -> int:
@@ -41,6 +44,22 @@ def word_hash(word: str) -> int:
     return int(span_hashes(_low[data], np.array([0]), np.array([len(data)]))[0])
 
 
+def stem_hits(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Whether the first letters of each word are a stem of the lexicon, whose stems end in a star."""
+    hit = np.zeros(len(starts), bool)
+    if not len(starts):
+        return hit
+    # places of the letters: UTF-8 bytes that continue none
+    heads = np.append(np.flatnonzero((low & 0xC0) != 0x80), len(low))
+    at = np.searchsorted(heads, starts)
+    for k in STEMS:
+        stop = heads[np.minimum(at + k, len(heads) - 1)]
+        longer = np.flatnonzero(stop < ends)
+        if len(longer):
+            hit[longer] |= np.isin(span_hashes(low, starts[longer], stop[longer]) ^ _STAR, lexicon)
+    return hit
+
+
 def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text of a chunk; texts without words have zeros."""
     n = len(offsets) - 1
@@ -71,6 +90,10 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, second:
         last = np.searchsorted(at, at + 50)
         stop = np.searchsorted(row[at], row[at], "right")
         np.maximum.at(dense, row[at], np.minimum(last, stop) - np.arange(len(at)))
+    stemmed = stem_hits(low, starts, ends, lexicon)
+    stem = count(row[stemmed])
+    pairs = np.unique(np.stack([row[stemmed].astype(np.int64), h[stemmed].view(np.int64)]), axis=1)
+    kinds = count(pairs[0])
     # tokens between gaps, read with signs as letters and other signs left out
     leet = _leet[data]
     gaps = GAP_BYTES[data]
@@ -96,6 +119,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, second:
             np.log1p(total), hits, hits / safe, distinct, hidden, hidden / safe, count(row[is_second]) / safe, near, nearness,
             per_row(upper) / chars, count(row[caps]) / safe, per_row(data == 33) / chars, per_row(data == 63) / chars,
             per_row(mask) / safe, per_row(digit) / safe, count(row[ends - starts == 1]) / safe, per_row(same) / safe, dense,
+            stem, stem / safe, kinds,
         ]
     )
     return out * (total > 0)[:, None]
@@ -163,7 +187,8 @@ class Trees:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probability; within a step the raw score still ranks, by a millionth at most."""
+        """Calibrated probability, linear between the steps of the isotonic fit; within a step the raw score still ranks, by a
+        millionth at most."""
         f = self.raw(x)
         step = np.interp(f, self.at, self.value)
         return np.clip(step * (1 - 1e-6) + 1e-6 / (1 + np.exp(-f)), 0.0, 1.0)
@@ -205,25 +230,35 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return slim.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "part", "text")
 
 
+def stems(word: Column) -> Column:
+    """The entries that a word may hit: itself, and with a star its first letters."""
+    cut = [F.when(F.length(word) > k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in STEMS]
+    return F.array_compact(F.array(word, *cut))
+
+
 def lexicon_of(train: DataFrame) -> list[str]:
-    """Words much more usual in toxic documents of the sample, the strongest first."""
+    """Words and stems much more usual in toxic documents of the sample, the surest first.
+
+    Inflected languages spread a word over many forms, each too rare to tell; their common stem is not.
+    """
     sizes = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return []
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")
-    seen = train.select("toxic", word).filter("length(w) > 1")
-    c = seen.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-    ratio = ((F.col("p") + 0.5) / (pos + 1.0)) / ((F.col("q") + 0.5) / (neg + 1.0))
-    # strength: log-ratio by the square root of the toxic documents that have the word
-    top = c.filter(F.col("p") >= LEAST).withColumn("r", ratio).filter(F.col("r") >= RATIO)
-    rows = top.orderBy(F.desc(F.log("r") * F.sqrt("p")), "w").limit(LEXICON).collect()
+    entries = F.flatten(F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), stems))
+    seen = train.select("toxic", F.explode(F.array_distinct(entries)).alias("w")).filter("length(w) > 1")
+    c = seen.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p > 1")
+    p, q = F.col("p") + SHRINK, F.col("q") + SHRINK
+    ratio = (p / (pos + 2 * SHRINK)) / (q / (neg + 2 * SHRINK))
+    sure = F.log("r") / F.sqrt(1 / p + 1 / q)
+    top = c.withColumn("r", ratio).withColumn("z", sure).filter((F.col("r") >= RATIO) & (F.col("z") >= CERTAIN))
+    rows = top.orderBy(F.desc("z"), "w").limit(LEXICON).collect()
     return [r["w"] for r in rows]
 
 
 def with_features(df: DataFrame, keep: list[str], lexicon: list[str], finish, schema: str) -> DataFrame:
     """mapInArrow over df (keep..., text): keep and what finish(features) adds."""
-    lex = np.array(sorted({word_hash(w) for w in lexicon}), np.uint64)
+    lex = np.array(sorted({word_hash(w[:-1]) ^ int(_STAR) if w.endswith("*") else word_hash(w) for w in lexicon}), np.uint64)
     second = np.array(sorted({word_hash(w) for w in SECOND}), np.uint64)
     slim = df.select(*keep, "text")
 
