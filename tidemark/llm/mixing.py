@@ -80,7 +80,11 @@ def sampled(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, see
     )
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """A row for each copy taken, without the sampling columns."""
-    many = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return many.drop("__copy", "size", "source_size", "target", "copies")
+def emit(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix") -> DataFrame:
+    """A row of docs for each copy that mix() takes, with the columns of docs as they are, whatever their names."""
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    size = n_words(text_of(docs)).alias("size")
+    sized = docs.select(*[docs[c].alias(new) for c, new in own.items()], docs["doc_id"], docs["source"], size)
+    taken = sampled(sized, weights, max_repeat, seed).filter("copies > 0")
+    many = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return many.select(*[F.col(new).alias(c) for c, new in own.items()])
