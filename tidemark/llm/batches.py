@@ -128,3 +128,20 @@ def multisets(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     at = np.flatnonzero(new)
     return r[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], group=lambda key: key) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first one, cut so that no group(first column) is parted."""
+    rest: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        own = group(columns[0])
+        edge = int(np.searchsorted(own, own[-1], "left"))
+        if edge or (rest and group(rest[-1][0][-1:])[0] != own[0]):
+            yield [np.concatenate(c) for c in zip(*rest, [c[:edge] for c in columns])]
+            rest = []
+        rest.append([c[edge:] for c in columns])
+    if rest:
+        yield [np.concatenate(c) for c in zip(*rest)]

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import GAP_BYTES, chunks, mix, words
-from .common import BitMap, discard, materialize, ranked, text_of, WORD
+from .batches import GAP_BYTES, chunks, mix, whole_groups, words
+from .common import WORD, BitMap, discard, materialize, ranked, text_of
 
 SIMILARITY = 0.8
 #: Slots of the table of token counts by hash that orders tokens by rarity. Tokens of one slot share a count: that
@@ -215,19 +215,8 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            token = columns[0] >> 24
-            edge = int(np.searchsorted(token, token[-1], "left"))
-            if edge or (rest and (rest[-1][0][-1] >> 24) != token[0]):
-                yield closed([np.concatenate(c) for c in zip(*rest, [c[:edge] for c in columns])])
-                rest = []
-            rest.append([c[edge:] for c in columns])
-        if rest:
-            yield closed([np.concatenate(c) for c in zip(*rest)])
+        for columns in whole_groups(batches, lambda p: p >> 24):
+            yield closed(columns)
 
     return rows.mapInArrow(pairs, "x long, y long, more boolean")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import chunks, mix, multisets, shingles, words
+from .batches import chunks, mix, multisets, shingles, whole_groups, words
 from .common import HOT, BitMap, discard, hot_join, materialize, text_of
 from .components import components
 
@@ -229,30 +229,37 @@ def classes(slim: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
 
     Equal texts are one node from the start. Nodes that share a band meet in a bucket; each bucket's members
     are verified against its least member (a star, not all pairs), and the links make components. Only pairs
-    that pass an exact filter on parity maps are verified in full. In buckets that still hold several components, the
-    members outside the largest one first meet the least of them, for buckets whose least member is unlike the others.
-    Then the members outside the bucket's largest component meet all members of other components, in full. So each pair
-    that shares a band is either verified or within one class already, and no group emits all its pairs.
+    that pass an exact filter on parity maps are verified in full. In buckets that still hold several components, each
+    member outside the largest one then meets the members of other components in lists of growing length, until it has a
+    link, and so is in a larger class, or has met them all. So each pair that shares a band is either verified or within
+    one class already, and no group emits all its pairs.
     """
     s = Signed(slim, similarity, width, bands, rows)
     members = s.buckets()
     first = materialize(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
-    near = s.near(first)
-    links = materialize(contracted(s.links(near)))
+    first_near = s.near(first)
+    links = materialize(contracted(s.links(first_near)))
     found = materialize(components(links))
-    discard(first, near, links)
-    for pairs_of in (starred, crossed):
+    discard(first, links)
+    tested, most = first_near, FIRST
+    while True:
         left = mixed(members, found)
         if not left.head(1):
             break
-        pairs = pairs_of(s, left)
+        listed = crossed(s, left, most)
+        pairs = materialize(listed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        open_left = bool(listed.filter("more").head(1))
         links = s.links(pairs)
         if links.head(1):
             # the classes so far are stars already
             edges = materialize(links.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
             found = materialize(components(edges))
             discard(edges)
-        discard(left, pairs, links)
+        discard(left, listed, links)
+        if not open_left:
+            break
+        tested = materialize(tested.unionByName(pairs))
+        most *= LONGER
     return materialize(s.signed.select("id", "node").join(found.select(F.col("node").alias("id"), "root"), "id").select("node", "root"))
 
 
@@ -268,27 +275,59 @@ def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return left
 
 
-def starred(s: Signed, left: DataFrame) -> DataFrame:
-    """(a, b): of each bucket the members outside the largest component with the least of them."""
-    few = materialize(left.filter("root <> main").select("key", "id", "root"))
-    least = few.groupBy("key").agg(F.min(F.struct("id", "root")).alias("c"))
-    star = hot_join(few, least, "key", "id").filter(F.col("root") != F.col("c.root"))
-    pairs = materialize(star.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct())
-    out = s.near(pairs)
-    discard(few, pairs)
-    return out
+#: Partners of a list in the first round, and how much longer each further round's lists are.
+FIRST, LONGER = 4, 16
 
 
-def crossed(s: Signed, left: DataFrame) -> DataFrame:
-    """(a, b): of each bucket the members outside the largest component with all members of other components, as the parity maps allow."""
-    few = left.filter("root <> main")
+def crossed(s: Signed, left: DataFrame, most: int) -> DataFrame:
+    """(a, b, more): members x of left(key, id, root, main) outside a bucket's largest component with members of its other
+    components that the parity maps leave, `most` of a bucket at most for each x; more: x may have further ones.
+
+    A bucket's rows are fixed-width numbers, about 150 bytes a text.
+    """
     ids = materialize(left.select("id").distinct())
-    shaped = lambda rows, to: rows.join(s.shapes(ids, "id", to), "id")
-    x = shaped(few.select("key", "id", F.col("root").alias("rx")), "x").withColumnRenamed("id", "x")
-    y = shaped(left.select("key", "id", "root", "main"), "y").withColumnRenamed("id", "y")
-    wanted = F.expr("root <> rx AND (root = main OR x < y)") & may_be_similar("x", "y", s.similarity)
-    pairs = x.join(y, (x["key"] == y["key"]) & wanted)
-    out = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    rows = left.join(s.shapes(ids, "id", "m"), "id")
+    maps = [f"m{k}" for k in range(SLOTS // 64)]
+    rows = rows.select("key", "id", "root", (F.col("root") == F.col("main")).alias("in_main"), "m_n", *maps)
+    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    share = (1 - s.similarity) / (1 + s.similarity)
+
+    def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        """The lists of whole buckets: in each step every open member meets the next one of its bucket, all buckets at once."""
+        key, ids, root, in_main, size, *words = columns
+        parity = np.stack(words, axis=1).view(np.uint64)
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(head)
+        of = np.cumsum(head) - 1
+        stop = np.append(start[1:], len(key))
+        x = np.flatnonzero(~in_main)
+        at, end = start[of[x]], stop[of[x]]
+        have, more, got = np.zeros(len(key), np.int64), np.zeros(len(key), bool), []
+        while True:
+            live = at < end
+            full = live & (have[x] >= most)
+            more[x[full]] = True
+            live &= ~full
+            x, at, end = x[live], at[live], end[live]
+            if not len(x):
+                break
+            ok = np.flatnonzero((root[x] != root[at]) & (in_main[at] | (ids[x] < ids[at])))
+            p, q = x[ok], at[ok]
+            apart = np.bitwise_count(parity[p] ^ parity[q]).sum(axis=1)
+            near = apart <= share * (size[p] + size[q]) + 1e-6
+            have[p[near]] += 1
+            got.append((p[near], q[near]))
+            at = at + 1
+        gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        i, j = ids[gx], ids[gy]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more[gx])], ["a", "b", "more"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            yield closed(columns)
+
+    out = materialize(rows.mapInArrow(pairs, "a long, b long, more boolean"))
     discard(ids)
     return out
 
