@@ -107,15 +107,15 @@ def rarity(slim: DataFrame) -> np.ndarray:
 def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
     """(doc_id, th, line, h, b0, b1, n, prefix) of each line with words of slim(doc_id, th, text).
 
-    prefix: TOKEN_BYTES of each of the set's rarest tokens, in order. Sets of sizes n and m that are similar share a token
-    of their first n - ceil(t n) + 1 and m - ceil(t m) + 1.
+    prefix: TOKEN_BYTES of each of the set's rarest tokens, in order. Sets of sizes n and m that are similar, and so share
+    two tokens, have the first two that they share among their first n - ceil(t n) + 2 and m - ceil(t m) + 2.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, _, data, offsets in chunks(batch.column(2)):
                 s = LineSets(data, offsets, rank.value)
-                keep = s.size - np.ceil(similarity * s.size - 1e-9).astype(np.int64) + 1
+                keep = np.minimum(s.size, s.size - np.ceil(similarity * s.size - 1e-9).astype(np.int64) + 2)
                 short = np.arange(len(s.h)) - s.first[s.line] < keep[s.line]
                 tokens = s.h[short].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
                 ends = np.concatenate([[0], np.cumsum(keep[s.real]) * TOKEN_BYTES]).astype(np.int32)
@@ -167,8 +167,9 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
     """(x, y, more) from buckets of equal tokens: earlier sets y that the filters leave for x, earliest first.
 
     Only entries with `open` are asked for. The filters are exact: sizes within the ratio; the overlap that can still be
-    reached from the two places of the token; and the parity of the tokens in 64 slots, which differs in no more slots
-    than the sets differ in tokens. A set gets `most` candidates of a bucket at most, and more = true if it may have
+    reached if the token is one of the first two that the sets share; and the parity of the tokens in 64 slots, which
+    differs in no more slots than the sets differ in tokens. So a similar pair is listed in two buckets at least (one of sets
+    that may share a single token is listed twice). A set gets `most` candidates of a bucket at most, and more = true if it may have
     further ones. Entries of a bucket are in classes of size, so that a set meets three of them only; a bucket's entries
     are fixed-width numbers, about 25 bytes a set.
     """
@@ -206,10 +207,13 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
                 a, b = n[x], n[at]
                 both, vague = a + b, (a == MOST) | (b == MOST)
                 need = np.ceil(similarity / (1 + similarity) * both - 1e-9)
-                ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((np.minimum(a - i[x], b - i[at]) >= need) | vague)
+                reach = np.minimum(a - i[x], b - i[at]) + (np.minimum(i[x], i[at]) > 0)
+                ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((reach >= need) | vague)
                 ok[ok] = (np.bitwise_count(bits[x[ok]] ^ bits[at[ok]]) <= (both - 2 * need)[ok]) | vague[ok]
                 have[x[ok]] += 1
                 got.append((x[ok], at[ok]))
+                if (lone := ok & (need < 2)).any():
+                    got.append((x[lone], at[lone]))
                 at = at + 1
         gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
@@ -296,27 +300,35 @@ def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     A line is a piece between line feeds with a word; its set is that of its distinct words. Lines are ordered by
     (doc_id, nulls last, th, line number). A line goes if an earlier line's set is equal or has the similarity
     (Jaccard). Equal sets are one class from the start, represented by its first line. Classes meet in the buckets
-    of their prefix tokens; a first round verifies the earliest candidates of each. Further rounds, with longer lists
-    each, verify the next ones of those that are not settled: so a group of like lines does not emit all its pairs.
+    of their prefix tokens; a pair is a candidate if two buckets list it. A first round verifies the two earliest candidates of
+    each class. Further rounds, with longer lists each, verify the next ones of those that are not settled: so a group of
+    like lines does not emit all its pairs.
     """
     rank = slim.sparkSession.sparkContext.broadcast(rarity(slim))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line"))
     every = prefixed(slim, rank, similarity).groupBy(*IDENTITY).agg(first.alias("first"), F.first("prefix").alias("prefix"))
     sets = ranked(every, "first", "id")
-    early, gone, most = None, None, FIRST
+    tested, gone, most, taken = None, None, FIRST, 2
     entries = spread(sets)
     while True:
-        found = candidates(entries, similarity, most).groupBy("x", "y").agg(F.max("more").alias("more"))
-        fresh = materialize(found if early is None else found.join(early, ["x", "y"], "left_anti"))
-        texts = set_texts(slim, fresh, sets, rank)
-        now = similar(fresh, texts, similarity)
+        found = candidates(entries, similarity, most).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
+        # of each set the earliest few that two buckets list
+        each = found.groupBy("x").agg(F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.col("y")))).alias("ys"), F.max("more").alias("more"))
+        if tested is not None:
+            each = each.join(tested.groupBy("x").agg(F.collect_set("y").alias("done")), "x", "left")
+            each = each.withColumn("ys", F.array_except("ys", F.coalesce("done", F.array().cast("array<bigint>"))))
+        now_few, further = F.slice("ys", 1, taken).alias("ys"), (F.col("more") | (F.size("ys") > taken)).alias("more")
+        fresh = materialize(each.select("x", now_few, further))
+        pairs = materialize(fresh.select("x", F.explode("ys").alias("y")))
+        texts = set_texts(slim, pairs, sets, rank)
+        now = similar(pairs, texts, similarity)
         gone = materialize(now if gone is None else gone.unionByName(now).distinct())
-        early = fresh.select("x", "y") if early is None else materialize(early.unionByName(fresh.select("x", "y")))
-        left = materialize(fresh.filter("more").select("x").distinct().join(gone, "x", "left_anti"))
-        discard(texts)
+        left = materialize(fresh.filter("more").select("x").join(gone, "x", "left_anti"))
+        discard(texts, fresh)
         if not left.head(1):
             break
-        most *= LONGER
+        most, taken = most * LONGER, taken * LONGER
+        tested = pairs if tested is None else materialize(tested.unionByName(pairs))
         asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("id", "n", "b0", "prefix")
         tokens = spread(asked).select(F.shiftright("p", 24).alias("token"))
         entries = spread(sets, bit_map(tokens, "token"), bit_map(left, "x"))
