@@ -74,3 +74,18 @@ def t_sf(t: float, v: float) -> float:
 
 def f_sf(f: float, a: float, b: float) -> float:
     return beta_inc(b / 2, a / 2, b / (b + a * f)) if f > 0 else 1.0
+
+
+def t_ppf(p: float, v: float) -> float:
+    """Quantile of Student's t by bisection."""
+    if p == 0.5:
+        return 0.0
+    low, high = -1.0, 1.0
+    while t_sf(low, v) < 1 - p:
+        low *= 2
+    while t_sf(high, v) > 1 - p:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_sf(mid, v) > 1 - p else (low, mid)
+    return (low + high) / 2

@@ -114,7 +114,7 @@ def fold(seconds, opens, highs, lows, closes, times, signal, bps: float, cash: f
     return a
 
 
-def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 10_000.0, size=None, strategy: Callable | None = None, trades: bool = False) -> DataFrame:
+def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 100_000.0, size=None, strategy: Callable | None = None, trades: bool = False) -> DataFrame:
     """The equity curve (or the trades) of bars(asset, timestamp, open, high, low, close[, side, strength]).
 
     Signals come from the columns side and strength, or from strategy(): a maker of signal functions. One fold per

@@ -26,7 +26,7 @@ def metric(kind: str) -> Column:
 
 def config_hash(bar_type: str, threshold: float, ewm_span: int = 100, warmup: int = 100) -> str:
     """16 hex digits that name a configuration."""
-    text = json.dumps({"bar_type": bar_type, "threshold": threshold, "ewm_span": ewm_span, "warmup_period": warmup}, sort_keys=True)
+    text = json.dumps({"bar_type": bar_type, "threshold": float(threshold), "ewm_span": ewm_span, "warmup_period": warmup}, separators=(",", ":"))
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import ordered
@@ -81,3 +81,23 @@ def effective_n(weights: DataFrame, w: str = "uniqueness") -> DataFrame:
 
 def non_overlapping(df: DataFrame, horizon: int) -> DataFrame:
     return positioned(df).filter(F.col("pos") % horizon == 0)
+
+
+def purge_by_time(df: DataFrame, window: float) -> DataFrame:
+    """df(asset, fold, timestamp, part) with the training rows within `window` seconds of a tested segment marked purged.
+
+    A fold's tested segments break where the step between its tested rows is above twice their median step; a segment is one
+    row of (low, high), so the purge is a join with few bounds.
+    """
+    t = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
+    tested = df.filter("part = 'test'").select("asset", "fold", t.alias("t"))
+    w = Window.partitionBy("asset", "fold").orderBy("t")
+    gaps = tested.withColumn("gap", F.col("t") - F.lag("t").over(w))
+    median = gaps.groupBy("asset", "fold").agg(F.percentile("gap", F.lit(0.5)).alias("m"))
+    cut = gaps.join(median, ["asset", "fold"]).withColumn("new", F.coalesce((F.col("gap") > 2 * F.col("m")).cast("int"), F.lit(0)))
+    parts = cut.withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = parts.groupBy("asset", "fold", "segment").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    bounds = bounds.groupBy("asset", "fold").agg(F.collect_list(F.struct("low", "high")).alias("__tested"))
+    near = F.exists("__tested", lambda b: (t >= b["low"] - window) & (t <= b["high"] + window))
+    out = df.join(bounds, ["asset", "fold"], "left")
+    return out.withColumn("part", F.when((F.col("part") == "train") & F.coalesce(near, F.lit(False)), "purged").otherwise(F.col("part"))).drop("__tested")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from itertools import permutations
 from math import log
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import lag, lead, mean, ordered, rolling, std, trailing, whole
@@ -134,9 +136,96 @@ def recommendation_metrics(df: DataFrame, actual: str = "actual") -> DataFrame:
 def conformal_quantile(df: DataFrame, residual: Column, alpha: float = 0.1) -> DataFrame:
     """(asset, q): the split-conformal quantile of the absolute residuals at min(1, (1 - alpha)(1 + 1/n))."""
     a = df.select("asset", F.abs(residual).alias("__r")).filter("__r IS NOT NULL")
-    s = a.groupBy("asset").agg(F.sort_array(F.collect_list("__r")).alias("v"))
-    n = F.size("v")
-    at = F.least(F.lit(1.0), F.lit(1 - alpha) * (1 + 1.0 / n)) * (n - 1)
-    low = F.floor(at).cast("int")
-    high = F.least(low + 1, n - 1)
-    return s.select("asset", (F.get("v", low) + (at - low) * (F.get("v", high) - F.get("v", low))).alias("q"))
+    counts = a.groupBy("asset").agg(F.count(F.lit(1)).alias("__n"))
+    # values are counted and merged; the two that the level falls between are found by their running counts
+    by_value = a.groupBy("asset", "__r").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("asset").orderBy("__r"))
+    x = by_value.withColumn("__upto", upto).join(counts, "asset")
+    at = F.least(F.lit(1.0), F.lit(1 - alpha) * (1 + 1.0 / F.col("__n"))) * (F.col("__n") - 1)
+    low = F.floor(at)
+    x = x.withColumns({"__at": at, "__low": low, "__high": F.least(low + 1, F.col("__n") - 1)})
+    value = lambda place: F.min(F.when(F.col("__upto") > F.col(place), F.col("__r")))
+    s = x.groupBy("asset").agg(value("__low").alias("a"), value("__high").alias("b"), F.first(F.col("__at") - F.col("__low")).alias("part"))
+    return s.select("asset", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("q"))
+
+
+def regressor_features(df: DataFrame) -> DataFrame:
+    """The key and those of the regressor's columns that are there."""
+    return df.select("asset", "timestamp", *[c for c in ("reg_predicted_return", "reg_prediction_std", "reg_quantile_spread", "reg_ci_width") if c in df.columns])
+
+
+# -- the walk-forward run ------------------------------------------------------------------------------------------------
+
+_MARK = "\x01"
+
+
+def slices(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """df's rows by position in each window's training and test part; the part is in the asset's name, so that every window
+    function starts anew in it."""
+    rows = df.withColumn("__pos", F.row_number().over(ordered()) - 1)
+    both = rows.join(F.broadcast(bounds.withColumnRenamed("asset", "__a")), (F.col("asset") == F.col("__a")) & (F.col("__pos") >= F.col("low")) & (F.col("__pos") < F.col("high")))
+    return both.withColumn("asset", F.concat_ws(_MARK, "asset", F.col("window").cast("string"), "part")).drop("__a", "__pos", "low", "high", "window", "part")
+
+
+def window_bounds(bars: DataFrame, **kw) -> DataFrame:
+    """(asset, window, part, low, high) of pipeline_splits(); two rows for each asset and window, from one count per asset."""
+    from .cv import pipeline_splits
+
+    rows = []
+    for asset, n in bars.groupBy("asset").count().collect():
+        for w, (a, b, c, d) in enumerate(pipeline_splits(n, **kw)):
+            rows += [(asset, w, "train", a, b), (asset, w, "test", c, d)]
+    return bars.sparkSession.createDataFrame(rows, "asset string, window int, part string, low int, high int")
+
+
+def boosted_recommender(x: np.ndarray, y: np.ndarray, z: np.ndarray, **kw) -> tuple[np.ndarray, float]:
+    """Expected returns at z of trees fitted to (x, y), and the sample deviation of y."""
+    from .models import Boosted
+
+    return Boosted(**kw).fit(x, y).predict(z), max(float(y.std(ddof=1)), 1e-10)
+
+
+def random_recommender(n: int, seed: int, p: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(expected return, deploy, size) by chance: sides alike, magnitudes up to 0.01, deployed with probability p."""
+    rng = np.random.default_rng(seed)
+    go = rng.uniform(0.0, 1.0, n) < p
+    side = rng.choice(np.array([1, -1]), size=n)
+    r = side * rng.uniform(0.0, 0.01, n)
+    return r, go, np.where(go, rng.uniform(0.0, 1.0, n), 0.0)
+
+
+RUN = "asset string, window int, recommender string, timestamp {t}, actual double, pred double, deploy boolean, size double, confidence double"
+
+
+def run(bars: DataFrame, signals: DataFrame, market: DataFrame, parts: dict[str, tuple], names: list[str], threshold: float = 0.0, cap: float = 1.0, seed: int = 42, bounds: DataFrame | None = None, **kw) -> DataFrame:
+    """Walk-forward recommendations (asset, window, recommender, timestamp, actual, pred, deploy, size, confidence).
+
+    parts: name -> (frame, function that makes its features); each is left-joined to market on (asset, timestamp). Every
+    input is cut by row position into each window's training and test part (window_bounds(), with purge and embargo between
+    them); features and labels are made within a part, so nothing looks across its edge. The boosted recommender and the
+    random one are fitted in one kernel for each asset and window, which run side by side; a window with fewer than two
+    training labels, or without a test label, gives no rows.
+    """
+    bounds = window_bounds(bars, **kw) if bounds is None else bounds
+    made = {k: make(slices(frame, bounds)) for k, (frame, make) in parts.items()}
+    x = features(slices(market, bounds), **made)
+    y = labels(slices(bars, bounds), slices(signals, bounds))
+    rows = aligned(x, y, names)
+    key = F.split("asset", _MARK)
+    rows = rows.select(F.get(key, F.lit(0)).alias("asset"), F.get(key, F.lit(1)).cast("int").alias("window"), F.get(key, F.lit(2)).alias("part"), "timestamp", *names, F.col("strategy_return").alias("actual"))
+    columns = [c.split(" ")[0] for c in RUN.split(", ")]
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("timestamp", kind="stable")
+        train, test = g[g["part"] == "train"], g[g["part"] == "test"]
+        if len(train) < 2 or not len(test):
+            return pd.DataFrame(columns=columns)
+        r, sigma = boosted_recommender(train[names].to_numpy(float), train["actual"].to_numpy(float), test[names].to_numpy(float))
+        boosted = {"recommender": "gradient_boosting", "pred": r, "deploy": r > threshold, "size": np.minimum(np.maximum(r - threshold, 0) / sigma, cap), "confidence": np.minimum(abs(r) / sigma, 1.0) if sigma > 1e-10 else 0.0}
+        q, go, size = random_recommender(len(test), seed + key[1])
+        chance = {"recommender": "random", "pred": q, "deploy": go, "size": size, "confidence": 0.5}
+        base = test[["timestamp", "actual"]].assign(asset=key[0], window=key[1])
+        return pd.concat([base.assign(**boosted), base.assign(**chance)])[columns]
+
+    kind = rows.schema["timestamp"].dataType.simpleString()
+    return rows.groupBy("asset", "window").applyInPandas(one, RUN.format(t=kind))

@@ -132,3 +132,144 @@ def flag_summary(df: DataFrame, by: str, flag: str) -> DataFrame:
     a = df.groupBy(by).agg(F.sum(F.col(flag).cast("long")).alias("n_true"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("n_true") == F.col("n"), "universal").when(F.col("n_true") == 0, "never").otherwise("mixed")
     return a.withColumns({"share": F.col("n_true") / F.col("n"), "kind": kind})
+
+
+# -- result tables ------------------------------------------------------------------------------------------------------
+
+
+def weekly_variability(counts: DataFrame, by: str = "bar_type", value: str = "n") -> DataFrame:
+    """(by, n_weeks, mean, std, cv) of weekly counts."""
+    a = counts.groupBy(by).agg(F.count(F.lit(1)).alias("n_weeks"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return a.withColumn("cv", F.try_divide("std", "mean"))
+
+
+def distributions(df: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """(.., feature, n, mean, std, q25, median, q75, skew, kurtosis): moments corrected for bias, null for too few rows."""
+    long = df.unpivot(by, names, "feature", "v").filter("v IS NOT NULL")
+    a = long.groupBy(*by, "feature").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("__q"),
+        F.skewness("v").alias("__g"), F.kurtosis("v").alias("__k"),
+    )
+    n = F.col("n").cast("double")
+    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.col("__g"))
+    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("__k") + 6))
+    return a.select(*by, "feature", "n", "mean", "std", *[F.col("__q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))], skew.alias("skew"), kurt.alias("kurtosis"))
+
+
+def entropy_table(pe: DataFrame, dimensions: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
+    """pe(asset, bar_type, d, entropy, complexity) with a column for each dimension."""
+    wide = pe.groupBy("asset", "bar_type").pivot("d", list(dimensions)).agg(F.first("entropy"))
+    return wide.withColumnsRenamed({str(d): f"H_d{d}" for d in dimensions})
+
+
+def complexity_entropy(pe: DataFrame, d: int = 5) -> DataFrame:
+    return pe.filter(F.col("d") == d).select("asset", "bar_type", "entropy", "complexity")
+
+
+#: Published permutation entropies that a study's are compared with.
+REFERENCE_ENTROPY = {"BTCUSDT": 0.985, "ETHUSDT": 0.987}
+
+
+def against_reference(pe: DataFrame, reference: dict[str, float] = REFERENCE_ENTROPY, d: int = 5) -> DataFrame:
+    """complexity_entropy() with the reference value and the difference; null for assets without one."""
+    ref = pe.sparkSession.createDataFrame(list(reference.items()), "asset string, reference double")
+    out = complexity_entropy(pe, d).join(F.broadcast(ref), "asset", "left")
+    return out.withColumn("difference", F.col("entropy") - F.col("reference"))
+
+
+def profile_rows(profile: DataFrame, name: str, parameter: str, value: str) -> DataFrame:
+    """(asset, bar_type, <parameter>, <value>, p) of one statistic of a long profile."""
+    return profile.filter(F.col("name") == name).select("asset", "bar_type", F.col("parameter").alias(parameter), F.col("value").alias(value), "p").orderBy("asset", "bar_type", parameter)
+
+
+def n_eff_table(profile: DataFrame) -> DataFrame:
+    """(asset, bar_type, n, n_eff, ratio), the largest effective size first."""
+    one = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    a = profile.groupBy("asset", "bar_type").agg(one("n").alias("n"), one("n_eff").alias("n_eff")).filter("n_eff IS NOT NULL")
+    return a.withColumn("ratio", F.try_divide("n_eff", "n")).orderBy(F.desc("n_eff"), "asset", "bar_type")
+
+
+def feasibility(df: DataFrame, margin: float = 0.01) -> DataFrame:
+    """df(.., breakeven_da, mde_da) with gap and status: feasible if the break-even accuracy is above the least detectable one by
+    `margin`, underpowered if it is below it by as much, else marginal."""
+    gap = F.col("breakeven_da") - F.col("mde_da")
+    return df.withColumn("gap", gap).withColumn("status", F.when(gap > margin, "feasible").when(gap < -margin, "underpowered").otherwise("marginal"))
+
+
+def stationarity_summary(df: DataFrame) -> DataFrame:
+    """df(feature, verdict, ..) by feature: share of each verdict's series, and universal, never or mixed."""
+    a = flag_summary(df.withColumn("__s", F.col("verdict") == "stationary"), "feature", "__s")
+    share = df.groupBy("feature").agg(*[F.avg((F.col("verdict") == v).cast("double") * 100).alias(f"pct_{v}") for v in ("stationary", "trend_stationary", "unit_root", "inconclusive")])
+    return a.join(share, "feature")
+
+
+def stationarity_cross(df: DataFrame, combos: list[str]) -> DataFrame:
+    """feature x combo with the verdicts, "missing" where there is none."""
+    return df.groupBy("feature").pivot("combo", combos).agg(F.first("verdict")).fillna("missing", combos)
+
+
+def da_table(report: DataFrame) -> DataFrame:
+    """report(.., da, da_null) with the excess in percentage points, the largest first."""
+    return report.withColumn("excess_pp", (F.col("da") - F.col("da_null")) * 100).orderBy(F.desc("excess_pp"), "feature")
+
+
+def cross_bars(report: DataFrame, bar_types: list[str], value: str = "mi") -> DataFrame:
+    """feature x bar type of one value."""
+    return report.groupBy("feature").pivot("bar_type", bar_types).agg(F.first(value))
+
+
+def horizons(report: DataFrame, hs: list[int], values: tuple[str, ...] = ("mi", "da")) -> DataFrame:
+    """feature x horizon with several values at once."""
+    return report.groupBy("feature").pivot("horizon", hs).agg(*[F.first(v).alias(v) for v in values])
+
+
+def variances(df: DataFrame, names: list[str], by: list[str], least: float = 1e-10) -> DataFrame:
+    """(.., feature, variance, degenerate)."""
+    a = df.unpivot(by, names, "feature", "v").groupBy(*by, "feature").agg(F.var_samp("v").alias("variance"))
+    return a.withColumn("degenerate", F.coalesce(F.col("variance") < least, F.lit(True)))
+
+
+def conditional_breakeven(df: DataFrame, by: list[str], cost: float = 0.002) -> DataFrame:
+    """(.., regime, n, breakeven_da) for each regime; 1 where nothing moves."""
+    m = F.avg(F.abs("ret"))
+    return df.groupBy(*by, "regime").agg(F.count("ret").alias("n"), F.least(F.lit(1.0), F.coalesce(0.5 + F.try_divide(F.lit(cost), 2 * m), F.lit(1.0))).alias("breakeven_da"))
+
+
+def breakeven_grid(df: DataFrame, bps: tuple[int, ...] = (10, 15, 20, 25, 30)) -> DataFrame:
+    """(asset, cost_bps, breakeven_da): one aggregate, the costs are columns first."""
+    a = df.groupBy("asset").agg(F.avg(F.abs("ret")).alias("m"))
+    x = a.withColumn("cost_bps", F.explode(F.array(*[F.lit(b) for b in bps])))
+    return x.select("asset", "cost_bps", F.least(F.lit(1.0), 0.5 + F.try_divide(F.col("cost_bps") / 10_000.0, 2 * F.col("m"))).alias("breakeven_da"))
+
+
+def dedup_metrics(df: DataFrame) -> DataFrame:
+    """Accuracy, precision, recall and F1 of the voted fold predictions df(asset, row, p, y), y in {0, 1}."""
+    v = df.groupBy("asset", "row").agg((F.round(F.avg("p"), 9) > 0.5).cast("int").alias("vote"), F.first("y").alias("y"))
+    cell = lambda a, b: F.sum(((F.col("vote") == a) & (F.col("y") == b)).cast("double"))
+    a = v.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), cell(1, 1).alias("tp"), cell(1, 0).alias("fp"), cell(0, 1).alias("fn"), cell(0, 0).alias("tn"))
+    z = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return a.select("asset", "n", ((tp + F.col("tn")) / F.col("n")).alias("accuracy"), z(tp, tp + fp).alias("precision"), z(tp, tp + fn).alias("recall"), z(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def histogram(df: DataFrame, c: str, by: list[str], bins: int = 50) -> DataFrame:
+    """(.., bin, low, high, n) of equal bins between the least and the greatest value; the frame of a distribution chart."""
+    x = df.filter(F.col(c).isNotNull())
+    s = x.groupBy(*by).agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
+    step = (F.col("__hi") - F.col("__lo")) / bins
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col(c) - F.col("__lo"), step)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    b = x.join(s, by).groupBy(*by, at.alias("bin"), "__lo", "__hi").agg(F.count(F.lit(1)).alias("n"))
+    return b.select(*by, "bin", (F.col("__lo") + F.col("bin") * step).alias("low"), (F.col("__lo") + (F.col("bin") + 1) * step).alias("high"), "n")
+
+
+def boxes(df: DataFrame, c: str, by: list[str]) -> DataFrame:
+    """(.., min, q25, median, q75, max): the frame of a box chart."""
+    q = F.percentile(c, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)]))
+    a = df.groupBy(*by).agg(F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max"))
+    return a.select(*by, "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))], "max")
+
+
+def acf_bands(acf: DataFrame) -> DataFrame:
+    """acf(asset, n, lag, rho) with the band 1.96 / sqrt(n) and whether rho is beyond it: the frame of a stem chart."""
+    band = 1.96 / F.sqrt(F.col("n").cast("double"))
+    return acf.withColumns({"band": band, "significant": F.abs("rho") > band})

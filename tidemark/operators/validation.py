@@ -51,11 +51,11 @@ def ridge_accuracy(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, split: floa
     return da, float(abs(true - pred)[right].mean()) if right.any() else float("inf")
 
 
-COLUMNS = ["asset", "feature", "mi", "da", "dc_mae", "above_mi", "above_da", "n", "n_da"]
+COLUMNS = ["asset", "feature", "mi", "da", "dc_mae", "above_mi", "above_da", "sum_da", "n", "n_da"]
 
 
 def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50, seed: int = 42, per_task: int = 50, ridge: int | None = None) -> DataFrame:
-    """(asset, feature, mi, da, dc_mae, p_mi, p_da) of long(asset, feature, timestamp, x, y).
+    """(asset, feature, mi, da, dc_mae, p_mi, p_da, da_null) of long(asset, feature, timestamp, x, y); da_null: mean of the null.
 
     The work is features x permutations: each series is repeated once for each batch of `per_task` permutations and
     the batches run in parallel; batch b's permutation i uses the seed's stream b * per_task + i. The empirical p is
@@ -74,15 +74,22 @@ def permutation_tests(long: DataFrame, permutations: int = 200, block: int = 50,
         first = key[2] * per_task
         count = min(per_task, permutations - first)
         m = d = 0
+        null = 0.0
         for i in range(first, first + count):
             z = block_permute(y, block, np.random.default_rng(seed + i + 1))
             m += mutual_information(x, z) >= mi
-            d += i < ridge and ridge_accuracy(x, z)[0] >= da
-        return pd.DataFrame([(key[0], key[1], mi, da, dc, m, d, count, max(0, min(count, ridge - first)))], columns=COLUMNS)
+            if i < ridge:
+                other = ridge_accuracy(x, z)[0]
+                d += other >= da
+                null += other
+        return pd.DataFrame([(key[0], key[1], mi, da, dc, m, d, null, count, max(0, min(count, ridge - first)))], columns=COLUMNS)
 
-    got = each.groupBy("asset", "feature", "batch").applyInPandas(one, "asset string, feature string, mi double, da double, dc_mae double, above_mi long, above_da long, n long, n_da long")
-    s = got.groupBy("asset", "feature").agg(*[F.first(c).alias(c) for c in ("mi", "da", "dc_mae")], F.sum("above_mi").alias("m"), F.sum("above_da").alias("d"), F.sum("n").alias("n"), F.sum("n_da").alias("n_da"))
-    return s.select("asset", "feature", "mi", "da", "dc_mae", ((F.col("m") + 1) / (F.col("n") + 1)).alias("p_mi"), ((F.col("d") + 1) / (F.col("n_da") + 1)).alias("p_da"))
+    got = each.groupBy("asset", "feature", "batch").applyInPandas(one, "asset string, feature string, mi double, da double, dc_mae double, above_mi long, above_da long, sum_da double, n long, n_da long")
+    total = [F.sum(c).alias(c) for c in ("above_mi", "above_da", "sum_da", "n", "n_da")]
+    s = got.groupBy("asset", "feature").agg(*[F.first(c).alias(c) for c in ("mi", "da", "dc_mae")], *total)
+    p = lambda above, n: (F.col(above) + 1) / (F.col(n) + 1)
+    null = F.try_divide("sum_da", "n_da")
+    return s.select("asset", "feature", "mi", "da", "dc_mae", p("above_mi", "n").alias("p_mi"), p("above_da", "n_da").alias("p_da"), null.alias("da_null"))
 
 
 def group_of(feature: Column) -> Column:
@@ -95,59 +102,96 @@ def group_of(feature: Column) -> Column:
     return out.otherwise("other")
 
 
-def stability(long: DataFrame, windows: list[tuple[int, int]] | list[tuple[str, str]], least: int = 100, cut: float = 0.05) -> DataFrame:
-    """(asset, feature, stable_share): share of windows [a, b) of years or timestamps (text) with |corr| above `cut` among those with enough rows;
-    1 if fewer than two have."""
-    at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in windows]))
-    x = long.withColumn("w", at)
-    years = isinstance(windows[0][0], int)
-    when = F.year("timestamp") if years else F.col("timestamp").cast("timestamp_ntz")
-    a, b = (F.col(f"w.{c}") if years else F.col(f"w.{c}").cast("timestamp_ntz") for c in "ab")
-    inside = (when >= a) & (when < b)
-    x = x.select("asset", "feature", "w", inside.alias("in"), *[F.when(inside, F.col(c)).alias(c) for c in "xy"])
-    r = F.when((F.var_pop("x") > 0) & (F.var_pop("y") > 0), F.corr("x", "y"))
-    per = x.groupBy("asset", "feature", "w").agg(F.count_if("in").alias("n"), r.alias("r"))
-    enough = F.col("n") >= least
-    s = per.groupBy("asset", "feature").agg(F.count_if(enough).alias("k"), F.avg(F.when(enough, (F.abs("r") > cut).cast("double"))).alias("s"))
-    return s.select("asset", "feature", F.when(F.col("k") < 2, 1.0).otherwise(F.col("s")).alias("stable_share"))
+def stability(long: DataFrame, windows: list[tuple[str, str]], permutations: int = 500, least: int = 100, alpha: float = 0.05, threshold: float = 0.5, **kw) -> DataFrame:
+    """(asset, feature, stable_share, stable) for every asset and feature of long: the share of the time windows [a, b) of
+    at least `least` rows in which the feature's mutual information is significant (raw permutation p below alpha).
+
+    All windows' tests run side by side, as assets of their own. With fewer than two windows an asset's features count as
+    stable.
+    """
+    keys = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("w"), F.lit(a).cast("timestamp_ntz").alias("a"), F.lit(b).cast("timestamp_ntz").alias("b")) for i, (a, b) in enumerate(windows)]))
+    when = F.col("timestamp").cast("timestamp_ntz")
+    each = long.withColumn("__k", keys).filter((when >= F.col("__k.a")) & (when < F.col("__k.b")))
+    rows = each.groupBy("asset", "feature", "__k.w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    kept = each.select("asset", "feature", "timestamp", "x", "y", "__k.w").join(rows.select("asset", "feature", "w"), ["asset", "feature", "w"])
+    tests = permutation_tests(kept.withColumn("asset", F.concat_ws("\x01", "asset", "w")), permutations, ridge=0, **kw)
+    tests = tests.select(F.element_at(F.split("asset", "\x01"), 1).alias("asset"), "feature", (F.col("p_mi") < alpha).cast("double").alias("hit"))
+    share = tests.groupBy("asset", "feature").agg(F.avg("hit").alias("s"), F.count(F.lit(1)).alias("k"))
+    out = long.select("asset", "feature").distinct().join(share, ["asset", "feature"], "left")
+    own = F.when(F.coalesce("k", F.lit(0)) < 2, 1.0).otherwise(F.col("s"))
+    return out.select("asset", "feature", own.alias("stable_share")).withColumn("stable", F.col("stable_share") >= threshold)
 
 
 def keep(report: DataFrame, alpha: float = 0.05, least: int = 5) -> DataFrame:
-    """report(asset, feature, p_mi, p_da, stable_share) with q_mi (p_mi corrected over an asset's
-    features by Benjamini and Hochberg) and kept: q_mi, p_da and stable_share pass; with fewer than `least` of an asset,
-    its best by (1 - p_mi) + (1 - p_da) + stable_share."""
+    """report(asset, feature, p_mi, p_da, da, da_null, stable_share, stable) with q_mi (p_mi corrected over an asset's features by
+    Benjamini and Hochberg) and kept: q_mi at most alpha, p_da below alpha and stable. If fewer than `least` of an asset
+    are kept, and it has as many features, its best `least` by (1 - p_mi) + (da - da_null) + stable_share are kept too.
+
+    One row per feature: a window holds an asset's table of tests.
+    """
     from pyspark.sql import Window
 
-    of = Window.partitionBy("asset")
-    tied = of.orderBy("p_mi").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    above = of.orderBy("p_mi").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    ratio = F.col("p_mi") * F.count("p_mi").over(of) / F.count("p_mi").over(tied)
-    report = report.withColumn("__ratio", ratio).withColumn("q_mi", F.least(F.min("__ratio").over(above), F.lit(1.0))).drop("__ratio")
-    ok = (F.col("q_mi") <= alpha) & (F.col("p_da") <= alpha) & (F.col("stable_share") >= 0.5)
+    from .profiling import benjamini_hochberg
+
+    d = benjamini_hochberg(report, "p_mi", alpha, ["asset"]).withColumnRenamed("p_adj", "q_mi")
+    ok = F.col("reject") & (F.col("p_da") < alpha) & F.col("stable")
     w = Window.partitionBy("asset")
-    nth = F.row_number().over(w.orderBy(F.desc((1 - F.col("p_mi")) + (1 - F.col("p_da")) + F.col("stable_share")), "feature"))
-    d = report.withColumns({"__ok": ok, "__nth": nth}).withColumn("__n", F.sum(F.col("__ok").cast("int")).over(w))
-    return d.withColumn("kept", F.when(F.col("__n") >= least, F.col("__ok")).otherwise(F.col("__nth") <= least)).drop("__ok", "__nth", "__n")
+    score = (1 - F.col("p_mi")) + (F.col("da") - F.col("da_null")) + F.col("stable_share")
+    d = d.withColumns({"__ok": ok, "__nth": F.row_number().over(w.orderBy(F.desc(score), "feature"))})
+    short = (F.sum(F.col("__ok").cast("int")).over(w) < least) & (F.count(F.lit(1)).over(w) >= least)
+    return d.withColumn("kept", F.col("__ok") | (short & (F.col("__nth") <= least))).drop("__ok", "__nth", "reject")
+
 
+def interactions(df: DataFrame, names: list[str], y: str, by: str = "asset", alpha: float = 1.0, tolerance: float = 1.1, least: int = 2) -> DataFrame:
+    """(by, group, n_features, combined_r2, sum_r2, ratio, has_interaction, is_redundant) of the feature groups with
+    `least` names or more: a ridge on all of a group's features against ridges on each.
 
-def group_r2(df: DataFrame, names: list[str], y: str, alpha: float = 1.0) -> dict[str, float]:
-    """R2 of a ridge on all names together and of the best one: from one aggregate of cross products, solved on the driver."""
+    All come from cross products, one aggregate over the rows; the small systems are solved one task per asset.
+    """
     cols = [*names, y]
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    row = clean.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *sums).first()
-    n = row["n"]
-    if not n:
-        return {"group": 0.0, "best": 0.0}
-    s = np.array([row[f"s{i}"] for i in range(len(cols))])
-    xx = np.array([[row[f"{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))]) - np.outer(s, s) / n
-
-    def r2(idx: list[int]) -> float:
-        a, b = xx[np.ix_(idx, idx)], xx[idx, -1]
-        w = np.linalg.solve(a + alpha * np.eye(len(idx)), b)
-        return float((2 * w @ b - w @ a @ w) / xx[-1, -1]) if xx[-1, -1] > 0 else 0.0
-
-    return {"group": r2(list(range(len(names)))), "best": max(r2([i]) for i in range(len(names)))}
+    groups: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        group = next((g for g, prefixes in GROUPS.items() for p in prefixes if name.startswith(p)), "other")
+        groups.setdefault(group, []).append(i)
+    groups = {g: idx for g, idx in groups.items() if len(idx) >= least}
+    clean = df.select(by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    cells = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    one = clean.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in cells]).alias("xx")
+    )
+
+    def solve(batches):
+        for g in batches:
+            rows = []
+            for key, n, s, flat in zip(g[by], g["n"], g["s"], g["xx"]):
+                m = np.zeros((len(cols), len(cols)))
+                for (i, j), v in zip(cells, flat):
+                    m[i, j] = m[j, i] = v
+                m -= np.outer(s, s) / n
+
+                def r2(idx: list[int]) -> float:
+                    a, b = m[np.ix_(idx, idx)], m[idx, -1]
+                    w = np.linalg.solve(a + alpha * np.eye(len(idx)), b)
+                    return float((2 * w @ b - w @ a @ w) / m[-1, -1]) if m[-1, -1] > 0 else 0.0
+
+                for group, idx in groups.items():
+                    single, both = [r2([i]) for i in idx], r2(idx)
+                    rows.append((key, group, len(idx), both, sum(single), both / (sum(single) + 1e-12), both > sum(single), both <= max(single) * tolerance))
+            yield pd.DataFrame(rows, columns=[by, "group", "n_features", "combined_r2", "sum_r2", "ratio", "has_interaction", "is_redundant"])
+
+    return one.mapInPandas(solve, f"{by} string, group string, n_features int, combined_r2 double, sum_r2 double, ratio double, has_interaction boolean, is_redundant boolean")
+
+
+def validate(df: DataFrame, names: list[str], y: str, windows: list[tuple[str, str]], permutations: int = 1000, ridge: int = 500, stable: int = 500, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(report, interactions) of df(asset, timestamp, names, y): the four batteries and the decision. NaN, null or infinite values
+    are an error."""
+    checks = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(c) == float("inf"))).alias(c) for c in [*names, y]]).first()
+    wrong = [c for c in [*names, y] if checks[c]]
+    if wrong:
+        raise ValueError(f"NaN, null or infinite values in {wrong}")
+    long = df.unpivot(["asset", "timestamp", y], names, "feature", "x").withColumnRenamed(y, "y")
+    report = permutation_tests(long, permutations, ridge=ridge).join(stability(long, windows, stable), ["asset", "feature"])
+    return keep(report, least=least).withColumn("group", group_of(F.col("feature"))), interactions(df, names, y)
 
 
 def vif(df: DataFrame, names: list[str]) -> dict[str, float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -55,9 +56,18 @@ def stat_ljung_box(spark, d):
     return rounded(P.ljung_box(P.autocorrelations(_ret(spark, d), lags=20), (5, 10, 20)))
 
 
-@query("stat_ljung_box_p")
+_LBP = " UNION ALL ".join(f"SELECT asset, lag, q, round(exp(-q / 2) * ({' + '.join(f'pow(q / 2, {i}) / {float(factorial(i))!r}' for i in range(m // 2))}), 9) AS p FROM lb WHERE lag = {m}" for m in (10, 20))
+
+
+@query("stat_ljung_box_p", f"WITH {_ACF}, lb AS ({_LB}) {_LBP}")
 def stat_ljung_box_p(spark, d):
-    return rounded(P.chi2_p(P.ljung_box(P.autocorrelations(_ret(spark, d))), "q", "lag"), places=9)
+    q = rounded(P.ljung_box(P.autocorrelations(_ret(spark, d), lags=20), (10, 20)))
+    return P.chi2_p(q, "q", "lag").withColumn("p", F.round("p", 9))
+
+
+@query("stat_acf_bands", f"WITH {_ACF} " + " UNION ALL ".join(f"SELECT asset, n, {k} AS lag, round(r{k}, 9) AS rho, round(1.96 / sqrt(n), 9) AS band, abs(r{k}) > 1.96 / sqrt(n) AS significant FROM ac" for k in range(1, 11)))
+def stat_acf_bands(spark, d):
+    return rounded(RS.acf_bands(P.autocorrelations(_ret(spark, d), lags=10)), places=9)
 
 
 @query("stat_perm_entropy", f"""WITH {LR}, l AS (SELECT asset, timestamp, lag(ret, 2) OVER ({T0}) AS a, lag(ret, 1) OVER ({T0}) AS b, ret AS c3 FROM lr WHERE ret IS NOT NULL),
@@ -132,29 +142,41 @@ def _kernel(name: str, fit, schema: str):
         return rounded(P.kernel(_ret(spark, d), "ret", fit, schema))
 
 
-_kernel("stat_variance_ratio", lambda x: dict(zip(("vr", "z"), P.variance_ratio(x, 8))), "vr double, z double")
-_kernel("stat_adf_kpss", lambda x: {"adf": P.adf_t(x), "kpss": P.kpss_eta(x), "verdict": P.stationarity(x)}, "adf double, kpss double, verdict string")
-_kernel("stat_garch", P.garch_fit, "omega double, alpha double, gamma double, beta double")
-_kernel("stat_gjr_garch", lambda x: P.garch_fit(x, True), "omega double, alpha double, gamma double, beta double")
-_kernel("stat_student_fit", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double")
-_kernel("stat_bds", lambda x: {"bds": P.bds(x)}, "bds double")
+_VR = f"""{LR}, dv AS (SELECT *, row_number() OVER ({T0}) AS i, ret - avg(ret) OVER (PARTITION BY asset) AS d FROM lr WHERE ret IS NOT NULL),
+s AS (SELECT *, CASE WHEN i >= 8 THEN sum(d) OVER ({T0} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) END AS s8, {', '.join(f'd * d * pow(lag(d, {k}) OVER ({T0}), 2) AS p{k}' for k in range(1, 8))} FROM dv),
+a AS (SELECT asset, count(*) AS n, sum(d * d) AS v, sum(s8 * s8) AS q, {' + '.join(f'pow(2 * {8 - k} / 8.0, 2) * sum(p{k})' for k in range(1, 8))} AS t FROM s GROUP BY 1),
+rt AS (SELECT asset, (q / (8 * (n - 7) * (1 - 8.0 / n))) / (v / (n - 1)) AS vr, t / (v * v) AS theta FROM a)"""
+
+
+@query("stat_variance_ratio", f"WITH {_VR} SELECT asset, round(vr, 6) AS vr, round((vr - 1) / sqrt(theta), 6) AS z FROM rt")
+def stat_variance_ratio(spark, d):
+    return rounded(P.kernel(_ret(spark, d), "ret", lambda x: dict(zip(("vr", "z"), P.variance_ratio(x, 8))), "vr double, z double"))
+
+
+_FIT = "omega double, alpha double, gamma double, beta double, nu double, skew double, aic double, bic double"
+_kernel("stat_adf_kpss", P.stationarity, "adf double, adf_p double, kpss double, kpss_p double, verdict string")
+_kernel("stat_garch", P.garch_fit, _FIT)
+_kernel("stat_gjr_garch", lambda x: P.garch_fit(x, True), _FIT)
+_kernel("stat_student_fit", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double, bic_t double, bic_normal double")
+_kernel("stat_bds", lambda x: {f"bds_{m}": s for m, s, _ in P.bds(x)}, "bds_2 double, bds_3 double, bds_4 double, bds_5 double")
+_kernel("stat_sign_bias", lambda x: P.sign_bias(x / x.std()), "sign_t double, sign_p double, negative_t double, negative_p double, positive_t double, positive_p double, joint_f double, joint_p double")
+_kernel("stat_arch_lm", lambda x: dict(zip(("lm", "p"), P.arch_lm(x))), "lm double, p double")
+_kernel("stat_ks_normal", lambda x: dict(zip(("ks", "p"), P.ks_normal(x))), "ks double, p double")
 
 
 @query("stat_granger")
 def stat_granger(spark, d):
-    """p of every ordered pair of assets at lags 1, 2 and 4, on daily mean returns."""
-    import itertools
-
+    """p of every ordered pair of assets at lags 1, 2, 4 and 8, on daily mean returns. The pairs are the result, so it grows with
+    the square of the number of assets; a pair's two series are one task."""
     daily = _ret(spark, d).groupBy("asset", F.date_trunc("day", "timestamp").alias("day")).agg(F.avg("ret").alias("x"))
-    names = [r[0] for r in daily.select("asset").distinct().collect()]
-    pairs = spark.createDataFrame(list(itertools.permutations(sorted(names), 2)), "a string, b string")
-    a = pairs.join(daily.select(F.col("asset").alias("a"), "day", F.col("x").alias("xa")), "a")
-    both = a.join(daily.select(F.col("asset").alias("b"), "day", F.col("x").alias("xb")), ["b", "day"])
+    a, b = (daily.select(F.col("asset").alias(k), "day", F.col("x").alias(f"x{k}")) for k in "ab")
+    both = a.join(b, "day").filter("a <> b")
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("day").dropna()
         x, y = g["xa"].to_numpy(float), g["xb"].to_numpy(float)
-        return pd.DataFrame({"cause": key[0], "effect": key[1], "lag": [1, 2, 4], "p": [float(np.round(P.granger_p(x, y, k), 9)) for k in (1, 2, 4)]})
+        lags = [1, 2, 4, 8]
+        return pd.DataFrame({"cause": key[0], "effect": key[1], "lag": lags, "p": [float(np.round(P.granger_p(x, y, k), 9)) for k in lags]})
 
     return both.groupBy("a", "b").applyInPandas(one, "cause string, effect string, lag int, p double")
 
@@ -268,12 +290,31 @@ def reliability_quantile(spark, d):
     return rounded(FC.quantile_reliability(e, ["asset"], {0.1: "q0", 0.5: "q1", 0.9: "q2"}), places=9)
 
 
-@query("conformal_adaptive")
+_SPLIT = "2024-01-16"
+_ACI = f"""WITH RECURSIVE {_EV}, sc AS (SELECT asset, list(abs(actual - predicted) ORDER BY abs(actual - predicted)) AS v, count(*) AS n FROM ev WHERE timestamp < TIMESTAMP '{_SPLIT}' GROUP BY 1),
+t AS (SELECT asset, timestamp, actual, predicted, row_number() OVER ({T0}) AS i FROM ev WHERE timestamp >= TIMESTAMP '{_SPLIT}'),
+f AS (SELECT asset, CAST(1 AS BIGINT) AS i, CAST(0.1 AS DOUBLE) AS alpha FROM sc UNION ALL
+ SELECT f.asset, f.i + 1, least(0.5::DOUBLE, greatest(0.001::DOUBLE, f.alpha + 0.01::DOUBLE * (CASE WHEN abs(t.actual - t.predicted) > v[CAST(floor((1 - f.alpha) * (n - 1)) AS INT) + 1] + ((1 - f.alpha) * (n - 1) - floor((1 - f.alpha) * (n - 1))) * (v[least(CAST(floor((1 - f.alpha) * (n - 1)) AS INT) + 2, n)] - v[CAST(floor((1 - f.alpha) * (n - 1)) AS INT) + 1]) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 0.1::DOUBLE)))
+ FROM f JOIN t ON t.asset = f.asset AND t.i = f.i JOIN sc ON sc.asset = f.asset),
+w AS (SELECT t.asset, timestamp, alpha, predicted, actual, v[CAST(floor((1 - alpha) * (n - 1)) AS INT) + 1] + ((1 - alpha) * (n - 1) - floor((1 - alpha) * (n - 1))) * (v[least(CAST(floor((1 - alpha) * (n - 1)) AS INT) + 2, n)] - v[CAST(floor((1 - alpha) * (n - 1)) AS INT) + 1]) AS width FROM t JOIN f ON f.asset = t.asset AND f.i = t.i JOIN sc ON sc.asset = t.asset)
+SELECT asset, timestamp, round(alpha, 6) AS alpha, round(predicted - width, 6) AS lower, round(predicted + width, 6) AS upper, abs(actual - predicted) <= width AS covered FROM w"""
+
+
+@query("conformal_adaptive", _ACI)
 def conformal_adaptive(spark, d):
-    return rounded(FC.adaptive_conformal(_eval(spark, d).select("asset", "timestamp", (F.col("actual") - F.col("predicted")).alias("residual"))))
+    e, cut = _eval(spark, d), F.lit(_SPLIT).cast("timestamp_ntz")
+    scores = e.filter(F.col("timestamp") < cut).select("asset", (F.col("actual") - F.col("predicted")).alias("residual"))
+    rows = e.filter(F.col("timestamp") >= cut).select("asset", "timestamp", F.col("predicted").alias("pred"), "actual")
+    return rounded(FC.adaptive_conformal(scores, rows))
+
+
+def _cdf_sql(z: str) -> str:
+    """The normal distribution function by its series, the terms through logarithms of gamma functions."""
+    terms = f"list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {z} > 7 THEN 1.0 WHEN {z} < -7 THEN 0.0 WHEN {z} = 0 THEN 0.5 ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {terms} END"
 
 
-@query("crps_gaussian")
+@query("crps_gaussian", f"WITH {_EV}, z AS (SELECT asset, vol, (actual - predicted) / vol AS z FROM ev WHERE vol IS NOT NULL), p AS (SELECT asset, vol, z, {_cdf_sql('z')} AS cdf FROM z) SELECT asset, round(avg(vol * (z * (2 * cdf - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 6) AS crps FROM p GROUP BY 1")
 def crps_gaussian(spark, d):
     return rounded(FC.crps_gaussian(_eval(spark, d).filter("vol IS NOT NULL"), "actual", "predicted", "vol").groupBy("asset").agg(F.avg("crps").alias("crps")))
 

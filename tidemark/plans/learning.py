@@ -69,8 +69,12 @@ WEEKS = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-1
 
 @query("feature_validation")
 def feature_validation(spark, d):
-    """The statistical gate on four features of each asset: 1,000 permutations (ridge: 500), four windows of a week."""
+    """The statistical gate on four features of each asset: 1,000 permutations (ridge: 500, stability: 500), four windows of a week."""
+    report, _ = V.validate(_data(spark, d).select("asset", "timestamp", *NAMES, "actual"), NAMES, "actual", WEEKS, least=2)
+    return rounded(report)
+
+
+@query("feature_interactions")
+def feature_interactions(spark, d):
     x = _data(spark, d)
-    long = x.unpivot(["asset", "timestamp", "actual"], NAMES, "feature", "x").withColumnRenamed("actual", "y")
-    r = V.permutation_tests(long, 1000, ridge=500).join(V.stability(long, WEEKS), ["asset", "feature"])
-    return rounded(V.keep(r, least=2).withColumn("group", V.group_of(F.col("feature"))))
+    return rounded(V.interactions(x.withColumnsRenamed({"rv": "rv_24", "lr": "rv_1"}), ["rv_24", "rv_1", "slope", "lv"], "actual"))

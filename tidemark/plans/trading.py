@@ -213,9 +213,9 @@ m AS (SELECT asset, 2 * list(sec - psec ORDER BY sec - psec)[CAST(floor(count(se
 k AS (SELECT g.*, n, ROW_NUMBER() OVER (PARTITION BY g.asset ORDER BY g.rn) AS seq FROM g JOIN m ON g.asset = m.asset WHERE psec IS NULL OR sec - psec <= stale),
 e AS (SELECT k.asset, k.open AS entry FROM k WHERE seq = 2),
 z AS (SELECT asset, arg_max(close, rn) AS last_close FROM g GROUP BY 1),
-v AS (SELECT k.asset, k.timestamp, k.seq, k.close, entry, 10000.0::DOUBLE * 0.99 / entry AS units, last_close, max(k.seq) OVER (PARTITION BY k.asset) AS last_seq FROM k JOIN e ON e.asset = k.asset JOIN z ON z.asset = k.asset)
-SELECT asset, 10.0::DOUBLE AS fee_bps, timestamp, round(CASE WHEN seq = 1 THEN 10000.0 WHEN seq = last_seq THEN 10000.0 - entry * units * 1.001 + last_close * units - last_close * units * 0.001
- ELSE greatest(0.0, 10000.0 - entry * units * 1.001 + close * units) END, 4) AS equity FROM v"""
+v AS (SELECT k.asset, k.timestamp, k.seq, k.close, entry, 100000.0::DOUBLE * 0.99 / entry AS units, last_close, max(k.seq) OVER (PARTITION BY k.asset) AS last_seq FROM k JOIN e ON e.asset = k.asset JOIN z ON z.asset = k.asset)
+SELECT asset, 10.0::DOUBLE AS fee_bps, timestamp, round(CASE WHEN seq = 1 THEN 100000.0 WHEN seq = last_seq THEN 100000.0 - entry * units * 1.001 + last_close * units - last_close * units * 0.001
+ ELSE greatest(0.0, 100000.0 - entry * units * 1.001 + close * units) END, 4) AS equity FROM v"""
 
 
 @query("backtest_equity", _BH)

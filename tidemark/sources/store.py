@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,12 +51,20 @@ def fresh(batch: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequen
 
 
 def ingest(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -> int:
-    """Append the fresh rows of batch to table `name`; the number of rows added."""
+    """Append the fresh rows of batch to table `name`, partitioned by `by`; the number of rows added, counted as they are written.
+
+    Only the stored rows of the batch's partitions and span of the key's last column are read.
+    """
     spark = batch.sparkSession
-    before = spark.table(name).count()
-    rows = fresh(batch, spark.table(name), key).select(*spark.table(name).columns)
+    stored, at = spark.table(name), key[-1]
+    low, high = batch.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return 0
+    near = stored.filter(F.col(at).between(F.lit(low), F.lit(high))).join(batch.select(*by).distinct(), list(by), "left_semi")
+    seen = Observation()
+    rows = fresh(batch, near, key).select(*stored.columns).observe(seen, F.count(F.lit(1)).alias("n"))
     rows.write.mode("append").insertInto(name)
-    return spark.table(name).count() - before
+    return seen.get["n"]
 
 
 def ingest_parquet(spark: SparkSession, path: str, asset: str, timeframe: str, name: str) -> int:
