@@ -110,18 +110,28 @@ def hurst_rs(x: np.ndarray, least: int = 10) -> float:
     return float(np.clip(np.polyfit(sizes, means, 1)[0], 0.0, 1.0))
 
 
-def with_hurst(df: DataFrame, n: int = 100) -> DataFrame:
-    """df with hurst_n: hurst_rs() of the last n closes. A pandas kernel by asset."""
+def with_hurst(df: DataFrame, n: int = 100, rows: int = 256) -> DataFrame:
+    """df with hurst_n: hurst_rs() of the last n closes.
+
+    An asset's rows are cut into segments of `rows`, each with the n - 1 rows before it, so a kernel holds one segment.
+    """
+    at = F.row_number().over(ordered()) - 1
+    own = df.withColumn("__at", at).withColumn("__own", F.floor(F.col("__at") / rows))
+    ahead = -(-(n - 1) // rows)  # segments that a row may be context of
+    seen = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ahead)), lambda k: F.col("__own") + k), lambda s: (s == F.col("__own")) | (F.col("__at") >= s * rows - (n - 1)))
+    each = own.withColumn("__seg", F.explode(seen))
+
+    names = df.columns
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp", kind="stable")
+        g = g.sort_values("__at", kind="stable")
         x = g["close"].to_numpy(float)
-        out = np.full(len(x), np.nan)
-        for i in range(n - 1, len(x)):
-            out[i] = hurst_rs(x[i - n + 1 : i + 1])
-        return g.assign(**{f"hurst_{n}": out})
+        mine = np.flatnonzero((g["__own"] == g["__seg"]).to_numpy())
+        out = [hurst_rs(x[i - n + 1 : i + 1]) if i >= n - 1 else np.nan for i in mine]
+        return g.iloc[mine][names].assign(**{f"hurst_{n}": np.array(out, float)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", hurst_{n} double"
-    return df.groupBy("asset").applyInPandas(run, schema)
+    return each.groupBy("asset", "__seg").applyInPandas(run, schema)
 
 
 #: The features and the prefixes of their groups.

@@ -182,15 +182,15 @@ def interactions(df: DataFrame, names: list[str], y: str, by: str = "asset", alp
     return one.mapInPandas(solve, f"{by} string, group string, n_features int, combined_r2 double, sum_r2 double, ratio double, has_interaction boolean, is_redundant boolean")
 
 
-def validate(df: DataFrame, names: list[str], y: str, windows: list[tuple[str, str]], permutations: int = 1000, ridge: int = 500, stable: int = 500, least: int = 5) -> tuple[DataFrame, DataFrame]:
+def validate(df: DataFrame, names: list[str], y: str, windows: list[tuple[str, str]], permutations: int = 1000, ridge: int = 500, stable: int = 500, least: int = 5, block: int = 50) -> tuple[DataFrame, DataFrame]:
     """(report, interactions) of df(asset, timestamp, names, y): the four batteries and the decision. NaN, null or infinite values
-    are an error."""
+    are an error. `block`: rows that a permutation keeps together; a window needs many such."""
     checks = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(c) == float("inf"))).alias(c) for c in [*names, y]]).first()
     wrong = [c for c in [*names, y] if checks[c]]
     if wrong:
         raise ValueError(f"NaN, null or infinite values in {wrong}")
     long = df.unpivot(["asset", "timestamp", y], names, "feature", "x").withColumnRenamed(y, "y")
-    report = permutation_tests(long, permutations, ridge=ridge).join(stability(long, windows, stable), ["asset", "feature"])
+    report = permutation_tests(long, permutations, block, ridge=ridge).join(stability(long, windows, stable, block=block), ["asset", "feature"])
     return keep(report, least=least).withColumn("group", group_of(F.col("feature"))), interactions(df, names, y)
 
 

@@ -69,8 +69,8 @@ WEEKS = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-1
 
 @query("feature_validation")
 def feature_validation(spark, d):
-    """The statistical gate on four features of each asset: 1,000 permutations (ridge: 500, stability: 500), four windows of a week."""
-    report, _ = V.validate(_data(spark, d).select("asset", "timestamp", *NAMES, "actual"), NAMES, "actual", WEEKS, least=2)
+    """The statistical gate on four features of each asset: 1,000 permutations (ridge: 500, stability: 500) of blocks of 12 hours, four windows of a week."""
+    report, _ = V.validate(_data(spark, d).select("asset", "timestamp", *NAMES, "actual"), NAMES, "actual", WEEKS, least=2, block=12)
     return rounded(report)
 
 
