@@ -230,8 +230,8 @@ def classes(slim: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     Equal texts are one node from the start. Nodes that share a band meet in a bucket; each bucket's members
     are verified against its least member (a star, not all pairs), and the links make components. Only pairs
     that pass an exact filter on parity maps are verified in full. In buckets that still hold several components, each
-    member outside the largest one then meets the members of other components in lists of growing length, until it has a
-    link, and so is in a larger class, or has met them all. So each pair that shares a band is either verified or within
+    member outside the largest one then meets the nearest members of other components, in lists of growing length, until it
+    has a link, and so is in a larger class, or has met them all. So each pair that shares a band is either verified or within
     one class already, and no group emits all its pairs.
     """
     s = Signed(slim, similarity, width, bands, rows)
@@ -277,13 +277,15 @@ def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 #: Partners of a list in the first round, and how much longer each further round's lists are.
 FIRST, LONGER = 4, 16
+EXPANDED = 1 << 17
 
 
 def crossed(s: Signed, left: DataFrame, most: int) -> DataFrame:
     """(a, b, more): members x of left(key, id, root, main) outside a bucket's largest component with members of its other
-    components that the parity maps leave, `most` of a bucket at most for each x; more: x may have further ones.
+    components that the parity maps leave: of a bucket the `most` nearest ones by the maps for each x, so a text that many
+    are copies of comes first; more: x has further ones.
 
-    A bucket's rows are fixed-width numbers, about 150 bytes a text.
+    A bucket's rows are fixed-width numbers, about 150 bytes a text; they are compared EXPANDED pairs at a time.
     """
     ids = materialize(left.select("id").distinct())
     rows = left.join(s.shapes(ids, "id", "m"), "id")
@@ -292,40 +294,46 @@ def crossed(s: Signed, left: DataFrame, most: int) -> DataFrame:
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
     share = (1 - s.similarity) / (1 + s.similarity)
 
-    def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
-        """The lists of whole buckets: in each step every open member meets the next one of its bucket, all buckets at once."""
+    def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The lists of whole buckets."""
         key, ids, root, in_main, size, *words = columns
         parity = np.stack(words, axis=1).view(np.uint64)
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(head)
         of = np.cumsum(head) - 1
-        stop = np.append(start[1:], len(key))
-        x = np.flatnonzero(~in_main)
-        at, end = start[of[x]], stop[of[x]]
-        have, more, got = np.zeros(len(key), np.int64), np.zeros(len(key), bool), []
-        while True:
-            live = at < end
-            full = live & (have[x] >= most)
-            more[x[full]] = True
-            live &= ~full
-            x, at, end = x[live], at[live], end[live]
-            if not len(x):
-                break
-            ok = np.flatnonzero((root[x] != root[at]) & (in_main[at] | (ids[x] < ids[at])))
-            p, q = x[ok], at[ok]
-            apart = np.bitwise_count(parity[p] ^ parity[q]).sum(axis=1)
-            near = apart <= share * (size[p] + size[q]) + 1e-6
-            have[p[near]] += 1
-            got.append((p[near], q[near]))
-            at = at + 1
-        gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        i, j = ids[gx], ids[gy]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more[gx])], ["a", "b", "more"])
+        width = np.diff(np.append(start, len(key)))
+        few = np.flatnonzero(~in_main)
+        total = np.cumsum(width[of[few]])
+        at = 0
+        while at < len(few):
+            done = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, done + EXPANDED, "right")))
+            x = few[at:end]
+            at = end
+            each = width[of[x]]
+            p = np.repeat(x, each)
+            q = np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each) + start[of[p]]
+            other = root[p] != root[q]
+            p, q = p[other], q[other]
+            apart = np.zeros(len(p), np.int64)
+            for k in range(parity.shape[1]):
+                apart += np.bitwise_count(parity[p, k] ^ parity[q, k])
+            both = size[p] + size[q]
+            near = apart <= share * both + 1e-6
+            p, q, ratio = p[near], q[near], apart[near] / np.maximum(both[near], 1)
+            order = np.lexsort((q, ratio, p))
+            p, q = p[order], q[order]
+            first = np.searchsorted(p, p, "left")
+            rank = np.arange(len(p)) - first
+            some = rank < most
+            more = (np.searchsorted(p, p, "right") - first > most)[some]
+            i, j = ids[p[some]], ids[q[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more)], ["a", "b", "more"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
-            yield closed(columns)
+            yield from closed(columns)
 
     out = materialize(rows.mapInArrow(pairs, "a long, b long, more boolean"))
     discard(ids)
