@@ -210,8 +210,8 @@ def test_pipeline_on_empty_tables(spark, empty):
 def test_personal_data_extra_spans_by_the_stated_scores(spark):
     """Candidates, patterns and instances of a small corpus, scored in plain Python from the definition."""
     rng = random.Random(8)
-    texts = [f"please write to user{i}@mail.example.org now" for i in range(12)]
-    texts += [f"please write to @x{i}handle soon" for i in range(4)] + [f"you may find @x{i}handle there" for i in range(4)] + [f"you may find @y{i}handle there" for i in range(2)]
+    texts = [f"please write to user{i}@mail.example.org now" for i in range(40)]
+    texts += [f"please write to @x{i}handle soon" for i in range(6)] + [f"you may find @x{i}handle there" for i in range(6)] + ["you may find @y0handle there"]
     texts += ["please write to nobody 7 times"] * 2 + [f"room number {rng.randrange(10**6)}" for _ in range(20)]
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
     got = pii.find(spark.createDataFrame(rows, COLUMNS)).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()

@@ -18,8 +18,9 @@ SIMILARITY = 0.8
 SLOTS = 1 << 16
 #: Bytes of a token in a prefix, and the largest size and place that an index entry tells; larger ones pass the filters.
 TOKEN_BYTES, MOST = 5, (1 << 12) - 1
-#: Candidates that a bucket gives a set in the first round, and how much longer each further round's lists are.
-FIRST, LONGER = 3, 8
+#: Candidates that a bucket gives a set in the first round, how much longer each further round's lists are, and how many of
+#: a set's list are verified first.
+FIRST, LONGER, TAKEN = 8, 8, 2
 
 _NEWLINE = 10
 
@@ -133,15 +134,15 @@ def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
 
 
 def spread(sets: DataFrame, tokens=None, open_sets=None) -> DataFrame:
-    """(p, id, b0, open): an entry for each prefix token of sets(id, n, b0, prefix); p packs token, size and place.
+    """(p, id, b0, b1, open): an entry for each prefix token of sets(id, n, b0, b1, prefix); p packs token, size and place.
 
     With the maps `tokens` and `open_sets` only entries of such tokens, and `open` for such sets only.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, b0 = (batch.column(k).to_numpy() for k in range(3))
-            prefix = batch.column(3).cast(pa.large_binary())
+            ids, n, b0, b1 = (batch.column(k).to_numpy() for k in range(4))
+            prefix = batch.column(4).cast(pa.large_binary())
             if not len(ids):
                 continue
             _, offs, data = prefix.buffers()
@@ -158,29 +159,30 @@ def spread(sets: DataFrame, tokens=None, open_sets=None) -> DataFrame:
             if tokens is not None:
                 some = held(tokens.value, token)
                 p, owner = p[some], owner[some]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(ids[owner]), pa.array(b0[owner]), pa.array(wanted[owner])], ["p", "id", "b0", "open"])
+            columns = [p, ids[owner], b0[owner], b1[owner], wanted[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p", "id", "b0", "b1", "open"])
 
-    return sets.select("id", "n", "b0", "prefix").mapInArrow(entries, "p long, id long, b0 long, open boolean")
+    return sets.select("id", "n", "b0", "b1", "prefix").mapInArrow(entries, "p long, id long, b0 long, b1 long, open boolean")
 
 
 def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
     """(x, y, more) from buckets of equal tokens: earlier sets y that the filters leave for x, earliest first.
 
     Only entries with `open` are asked for. The filters are exact: sizes within the ratio; the overlap that can still be
-    reached if the token is one of the first two that the sets share; and the parity of the tokens in 64 slots, which
+    reached if the token is one of the first two that the sets share; and the parity of the tokens in 128 slots, which
     differs in no more slots than the sets differ in tokens. So a similar pair is listed in two buckets at least (one of sets
     that may share a single token is listed twice). A set gets `most` candidates of a bucket at most, and more = true if it may have
     further ones. Entries of a bucket are in classes of size, so that a set meets three of them only; a bucket's entries
-    are fixed-width numbers, about 25 bytes a set.
+    are fixed-width numbers, about 35 bytes a set.
     """
     rows = entries.repartition(F.shiftright("p", 24)).sortWithinPartitions("p")
     size_class = np.floor(np.log(np.maximum(np.arange(MOST + 1), 1)) / -np.log(similarity) + 1e-9).astype(np.int64) if similarity < 1 else np.arange(MOST + 1)
 
     def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
         """The candidates of whole buckets: in each step every open entry meets the next set of its list, all buckets at once."""
-        p, ids, bits, wanted = columns
+        p, ids, b0, b1, wanted = columns
         order = np.lexsort((ids, size_class[(p >> 12) & MOST], p >> 24))
-        p, ids, bits, wanted = p[order], ids[order], bits[order], wanted[order]
+        p, ids, b0, b1, wanted = p[order], ids[order], b0[order], b1[order], wanted[order]
         token, n, i = p >> 24, (p >> 12) & MOST, p & MOST
         cls = size_class[n]
         head = np.ones(len(p), bool)
@@ -209,7 +211,9 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
                 need = np.ceil(similarity / (1 + similarity) * both - 1e-9)
                 reach = np.minimum(a - i[x], b - i[at]) + (np.minimum(i[x], i[at]) > 0)
                 ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((reach >= need) | vague)
-                ok[ok] = (np.bitwise_count(bits[x[ok]] ^ bits[at[ok]]) <= (both - 2 * need)[ok]) | vague[ok]
+                i0, i1 = x[ok], at[ok]
+                apart = np.bitwise_count(b0[i0] ^ b0[i1]).astype(np.int64) + np.bitwise_count(b1[i0] ^ b1[i1])
+                ok[ok] = (apart <= (both - 2 * need)[ok]) | vague[ok]
                 have[x[ok]] += 1
                 got.append((x[ok], at[ok]))
                 if (lone := ok & (need < 2)).any():
@@ -294,42 +298,53 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(check, "x long").distinct()
 
 
+def verified_in_turn(listed: DataFrame, gone: DataFrame | None, slim: DataFrame, sets: DataFrame, rank, similarity: float) -> DataFrame:
+    """gone (x) and the x of listed(x, ys) that are similar to one of their ys, materialized; a few of a list are verified at a
+    time, and only while nothing is found."""
+    at, width, left = 0, TAKEN, listed
+    while True:
+        pairs = materialize(left.select("x", F.explode(F.slice("ys", at + 1, width)).alias("y")))
+        if not pairs.head(1):
+            return gone if gone is not None else materialize(pairs.select("x"))
+        texts = set_texts(slim, pairs, sets, rank)
+        now = similar(pairs, texts, similarity)
+        gone = materialize(now if gone is None else gone.unionByName(now).distinct())
+        discard(texts, pairs)
+        at, width = at + width, width * LONGER
+        left = listed.filter(F.size("ys") > at).join(gone, "x", "left_anti")
+
+
 def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, line) of the lines of slim(doc_id, th, text) that stay; th is a hash of the text.
 
     A line is a piece between line feeds with a word; its set is that of its distinct words. Lines are ordered by
     (doc_id, nulls last, th, line number). A line goes if an earlier line's set is equal or has the similarity
     (Jaccard). Equal sets are one class from the start, represented by its first line. Classes meet in the buckets
-    of their prefix tokens; a pair is a candidate if two buckets list it. A first round verifies the two earliest candidates of
-    each class. Further rounds, with longer lists each, verify the next ones of those that are not settled: so a group of
-    like lines does not emit all its pairs.
+    of their prefix tokens, which list the earliest of them; a pair is a candidate if two buckets list it. Candidates are
+    verified a few at a time. Further rounds, with longer lists each, are for those that are not settled and whose lists
+    were cut: so a group of like lines does not emit all its pairs.
     """
     rank = slim.sparkSession.sparkContext.broadcast(rarity(slim))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line"))
     every = prefixed(slim, rank, similarity).groupBy(*IDENTITY).agg(first.alias("first"), F.first("prefix").alias("prefix"))
     sets = ranked(every, "first", "id")
-    tested, gone, most, taken = None, None, FIRST, 2
+    done, gone, most = None, None, FIRST
     entries = spread(sets)
     while True:
         found = candidates(entries, similarity, most).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-        # of each set the earliest few that two buckets list
+        # of each set those that two buckets list, the earliest first
         each = found.groupBy("x").agg(F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.col("y")))).alias("ys"), F.max("more").alias("more"))
-        if tested is not None:
-            each = each.join(tested.groupBy("x").agg(F.collect_set("y").alias("done")), "x", "left")
-            each = each.withColumn("ys", F.array_except("ys", F.coalesce("done", F.array().cast("array<bigint>"))))
-        now_few, further = F.slice("ys", 1, taken).alias("ys"), (F.col("more") | (F.size("ys") > taken)).alias("more")
-        fresh = materialize(each.select("x", now_few, further))
-        pairs = materialize(fresh.select("x", F.explode("ys").alias("y")))
-        texts = set_texts(slim, pairs, sets, rank)
-        now = similar(pairs, texts, similarity)
-        gone = materialize(now if gone is None else gone.unionByName(now).distinct())
-        left = materialize(fresh.filter("more").select("x").join(gone, "x", "left_anti"))
-        discard(texts, fresh)
+        if done is not None:
+            each = each.join(done.select("x", F.col("ys").alias("old")), "x", "left")
+            each = each.withColumn("ys", F.array_except("ys", F.coalesce("old", F.array().cast("array<bigint>")))).drop("old")
+        listed = materialize(each.filter(F.col("more") | (F.size("ys") > 0)))
+        gone = verified_in_turn(listed, gone, slim, sets, rank, similarity)
+        left = materialize(listed.filter("more").select("x").join(gone, "x", "left_anti"))
         if not left.head(1):
             break
-        most, taken = most * LONGER, taken * LONGER
-        tested = pairs if tested is None else materialize(tested.unionByName(pairs))
-        asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("id", "n", "b0", "prefix")
+        most *= LONGER
+        done = listed if done is None else materialize(done.unionByName(listed).groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys")))
+        asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("id", "n", "b0", "b1", "prefix")
         tokens = spread(asked).select(F.shiftright("p", 24).alias("token"))
         entries = spread(sets, bit_map(tokens, "token"), bit_map(left, "x"))
         discard(left)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_of
+from .common import BitMap, hot_join, let, materialize, text_of
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: The base patterns in a form that matches the same stretches without stepping back: runs are possessive, and a
@@ -114,8 +114,8 @@ def promoted(mentions: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def joined(mentions: DataFrame, totals: DataFrame) -> DataFrame:
-    edges = mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    return materialize(edges.join(totals, "pattern"))
+    edges = materialize(mentions.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
+    return materialize(hot_join(edges, totals, "pattern", "instance"))
 
 
 def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +134,7 @@ def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         p = by_pattern.agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("support"))
         p = p.withColumn("precision", F.least(F.try_divide("hits", "total"), F.lit(1.0)))
         p = p.filter((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION)).select("pattern", "precision")
-        trusted = edges.join(p, "pattern").groupBy("instance")
+        trusted = hot_join(edges, p, "pattern", "instance").groupBy("instance")
         score = trusted.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-9)))))).alias("score"))
         fresh = score.filter(F.col("score") >= ACCEPT).select("instance")
         known = materialize(known.unionByName(fresh).distinct())
@@ -209,13 +209,17 @@ def candidate_patterns(mentions: DataFrame, slim: DataFrame) -> DataFrame:
     able = materialize(able.filter(F.col("support") >= SUPPORT))  # a size that the planner knows
     # texts that can hold a mention
     near = slim.filter(F.col("text").rlike("[0-9@]"))
-    pairs = near.select(F.explode(bigrams(F.col("text"))).alias("pattern")).join(able, "pattern", "left_semi")
-    seen = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    bounds = able.join(seen, "pattern").filter(F.col("most") >= PRECISION * F.col("total")).select("pattern", "total")
+    bounds = able.join(counted(near, able), "pattern").filter(F.col("most") >= PRECISION * F.col("total")).select("pattern", "total")
     return scored(joined(mentions, bounds))[1]
 
 
 def corpus_totals(candidates: DataFrame, slim: DataFrame) -> DataFrame:
     """(pattern, total): how often each candidate stands in all texts."""
+    return counted(slim, candidates)
+
+
+def counted(slim: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total) of the materialized patterns in the texts of slim: counted where they are read, then joined."""
     every = slim.select(F.explode(bigrams(F.col("text"))).alias("pattern"))
-    return every.join(candidates, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    some = BitMap(patterns, "pattern").within(every, F.col("pattern"))
+    return some.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns.select("pattern"), "pattern")
