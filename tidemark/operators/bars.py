@@ -58,13 +58,15 @@ def with_bar_id(candles: DataFrame, kind: str, threshold: float) -> DataFrame:
 
 
 def candle_period(candles: DataFrame) -> DataFrame:
-    """(asset, period): the second timestamp less the first, one minute if there is none or it is not later."""
-    first = candles.groupBy("asset").agg(F.min("timestamp").alias("a"))
-    second = candles.join(first, "asset").filter(F.col("timestamp") > F.col("a")).groupBy("asset").agg(F.min("timestamp").alias("b"), F.first("a").alias("a"))
-    ties = candles.join(first, "asset").filter(F.col("timestamp") == F.col("a")).groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
-    out = ties.join(second, "asset", "left")
+    """(asset, period): the second timestamp less the first, one minute if there is none or it is not later.
+
+    The two first rows of an asset are found within each task before they meet.
+    """
+    nth = F.row_number().over(Window.partitionBy("asset").orderBy("timestamp"))
+    two = candles.select("asset", "timestamp").withColumn("__n", nth).filter("__n <= 2")
+    ends = two.groupBy("asset").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
     minute = F.expr("INTERVAL '0 00:01:00' DAY TO SECOND")
-    return out.select("asset", F.when((F.col("n") > 1) | F.col("b").isNull(), minute).otherwise(F.col("b") - F.col("a")).alias("period"))
+    return ends.select("asset", F.when(F.col("a") == F.col("b"), minute).otherwise(F.col("b") - F.col("a")).alias("period"))
 
 
 def collect_bars(rows: DataFrame, period: DataFrame | None = None) -> DataFrame:
