@@ -123,8 +123,8 @@ def test_statistics():
     rng = np.random.default_rng(0)
     x = rng.normal(size=3000)
     assert abs(profiling.variance_ratio(x, 8)[0] - 1) < 0.2
-    assert profiling.stationarity(x) == "stationary" and profiling.stationarity(np.cumsum(x)) == "unit_root"
-    assert profiling.stationarity(np.ones(50)) == "inconclusive"
+    assert profiling.stationarity(x)["verdict"] == "stationary" and profiling.stationarity(np.cumsum(x))["verdict"] == "unit_root"
+    assert profiling.stationarity(np.ones(50))["verdict"] == "inconclusive"
     y = np.concatenate([[0], x[:-1]]) + 0.3 * rng.normal(size=3000)
     assert profiling.granger_p(x, y, 2) < 1e-6 < profiling.granger_p(y, x, 2)
     h, r = 1.0, []
@@ -134,7 +134,7 @@ def test_statistics():
     g = profiling.garch_fit(np.array(r) / 100)
     assert 0.02 < g["alpha"] < 0.25 and 0.6 < g["beta"] < 0.97
     assert 3 < profiling.student_fit(rng.standard_t(5, 3000))["nu"] < 9
-    assert abs(profiling.bds(x[:400])) < 3
+    assert all(abs(stat) < 3 for _, stat, _ in profiling.bds(x[:400]))
     assert validation.mutual_information(x, x + 0.1 * rng.normal(size=3000)) > 1 > 0.05 > validation.mutual_information(x, rng.normal(size=3000))
     assert sorted(validation.block_permute(np.arange(10), 3, rng)) == list(range(10))
     assert (validation.block_permute(np.arange(3), 5, rng) == np.arange(3)).all()
@@ -192,22 +192,27 @@ def test_stream_of_imbalance_bars(spark, tmp_path):
 def test_feature_gate_runs_at_production_numbers(spark, sf, monkeypatch):
     from tidemark.plans import learning
 
-    seen = {}
-    monkeypatch.setattr(learning.V, "permutation_tests", lambda long, n, **more: seen.update(n=n, **more) or long.select("asset", "feature").distinct().selectExpr("*", "0.01 AS p_mi", "0.01 AS p_da"))
+    seen, stable = {}, {}
+
+    def tests(long, n, block=50, ridge=None, **more):
+        (seen if ridge else stable).update(n=n, ridge=ridge)
+        return long.select("asset", "feature").distinct().selectExpr("*", "0.01 AS p_mi", "0.01 AS p_da", "0.6D AS da", "0.5D AS da_null")
+
+    monkeypatch.setattr(learning.V, "permutation_tests", tests)
     whole = learning.V.stability
-    monkeypatch.setattr(learning.V, "stability", lambda long, windows: seen.update(windows=windows) or whole(long, windows))
+    monkeypatch.setattr(learning.V, "stability", lambda long, windows, n, **kw: seen.update(windows=windows) or whole(long, windows, n, **kw))
     rows = learning.feature_validation(spark, sf).collect()
-    assert seen["n"] >= 1000 and seen["ridge"] >= 500 and len(seen["windows"]) >= 2
+    assert seen["n"] >= 1000 and seen["ridge"] >= 500 and stable["n"] >= 500 and len(seen["windows"]) >= 2
     assert len(rows) == 20
 
 
 def test_feature_gate_corrects_and_needs_stable_weeks(spark):
-    rows = [("a", f"f{i}", p, 0.01, 1.0) for i, p in enumerate([0.01, 0.02, 0.04, 0.2, 0.9])]
-    report = spark.createDataFrame(rows, "asset string, feature string, p_mi double, p_da double, stable_share double")
+    rows = [("a", f"f{i}", p, 0.01, 0.6, 0.5, 1.0, True) for i, p in enumerate([0.01, 0.02, 0.04, 0.2, 0.9])]
+    report = spark.createDataFrame(rows, "asset string, feature string, p_mi double, p_da double, da double, da_null double, stable_share double, stable boolean")
     got = {r["feature"]: r for r in validation.keep(report, least=1).collect()}
     assert [got[f"f{i}"]["q_mi"] for i in range(5)] == pytest.approx([0.05, 0.05, 0.2 / 3, 0.25, 0.9])
     assert not got["f2"]["kept"] and got["f0"]["kept"]
     x = spark.range(400).selectExpr("'a' AS asset", "'f' AS feature", "timestamp_ntz '2024-01-01' + make_dt_interval(0, CAST(id AS INT)) AS timestamp", "CAST(id % 7 AS DOUBLE) AS x", "IF(id < 168, id % 7, id % 2) * 1.0D AS y")
     weeks = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22")]
-    assert validation.stability(x, weeks[:2], cut=0.5).first()["stable_share"] == 0.5
-    assert validation.stability(x, weeks[2:]).first()["stable_share"] == 1.0
+    assert validation.stability(x, weeks[:2], 60, block=6).first()["stable_share"] == 0.5
+    assert validation.stability(x, weeks[2:], 60).first()["stable_share"] == 1.0
