@@ -384,3 +384,32 @@ def test_result_tables_of_a_profile(spark):
     d = spark.createDataFrame([("a", float(v)) for v in s], "asset string, v double")
     r = research.distributions(d, ["v"], ["asset"]).first()
     assert r["skew"] == pytest.approx(s.skew()) and r["kurtosis"] == pytest.approx(s.kurtosis()) and r["median"] == pytest.approx(s.median())
+
+
+def test_recurrent_gradients_and_fits(spark):
+    from tidemark.operators.recurrent import Gru, recurrent_forecast
+
+    rng = np.random.default_rng(4)
+    net = Gru(3, hidden=4, layers=2, seed=1)
+    x, y = rng.normal(size=(5, 6, 3)), rng.integers(0, 2, 5).astype(float)
+    masks = net.masks(5, 6)
+    for classes in (True, False):
+        z, kept = net.forward(x, masks)
+        grads = net.backward(kept, masks, net.loss(z, y, classes)[1])
+        for i, p in enumerate(net.p):  # against finite differences
+            for at in [tuple(rng.integers(0, n) for n in p.shape) for _ in range(4)]:
+                old, ends = p[at], []
+                for d in (1e-6, -1e-6):
+                    p[at] = old + d
+                    ends.append(net.loss(net.forward(x, masks)[0], y, classes)[0])
+                p[at] = old
+                assert grads[i][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-6)
+    s = np.sin(np.arange(400) / 5)
+    rows = [("a", T0 + timedelta(hours=i), float(s[i]), float(s[i + 1] - s[i]), 1 if s[i + 1] > s[i] else -1) for i in range(399)] + [("b", T0, 0.0, 0.0, 1)]
+    df = spark.createDataFrame(rows, "asset string, timestamp timestamp_ntz, x double, move double, side int")
+    got = recurrent_forecast(df, ["x"], "side", True, steps=8, hidden=12, epochs=40, passes=10).collect()
+    true = {(r[0], r[1]): r for r in rows}
+    assert len(got) == 399 - int(399 * 0.7) and all(0.5 <= r["spread"] <= 1 for r in got)
+    assert np.mean([r["pred"] == true["a", r["timestamp"]][4] for r in got]) > 0.85
+    moves = recurrent_forecast(df, ["x"], "move", False, steps=8, hidden=12, epochs=40, passes=10).collect()
+    assert np.corrcoef([r["pred"] for r in moves], [true["a", r["timestamp"]][3] for r in moves])[0, 1] > 0.8

@@ -257,6 +257,17 @@ def qq_normal(spark, d):
     return rounded(P.qq(_ret(spark, d)).select("asset", "p", "ordered"), places=9)
 
 
+@query("model_gru")
+def model_gru(spark, d):
+    """Directions and returns of each asset's last rows by small recurrent networks (two layers of 16 units, 8 epochs)."""
+    from ..operators.recurrent import recurrent_forecast
+
+    x = _eval(spark, d).filter("vol IS NOT NULL").select("asset", "timestamp", "predicted", "vol", "actual", "y")
+    make = lambda target, classes: recurrent_forecast(x, ["predicted", "vol"], target, classes, steps=12, hidden=16, epochs=8, passes=20)
+    side = make("y", True).select("asset", "timestamp", F.col("pred").cast("int").alias("direction"), F.col("spread").alias("confidence"))
+    return rounded(side.join(make("actual", False), ["asset", "timestamp"]))
+
+
 # -- recommendations -------------------------------------------------------------------------------------------------------
 
 RECO = ["volatility", "momentum", "rolling_strategy_sharpe", "rolling_win_rate"]
