@@ -66,16 +66,22 @@ def discard(*tables: DataFrame) -> None:
 HOT, SALTS = 1000, 32
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, rows: int, n: str = "count") -> list:
+    """The hot keys of a table of `rows` rows, from counts(key, n); they are HOT at most."""
+    if rows <= HOT:
+        return []
+    return [r[0] for r in counts.filter((F.col(n) > max(rows // HOT, HOT)) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, by: str, hot: list | None = None, rows: int | None = None) -> DataFrame:
     """big.join(small, key) where small has one row per key; a hot key's rows of big are dealt over SALTS tasks by `by`.
 
-    big is a materialized table. At most HOT keys reach the driver, and their rows of small are copied SALTS times.
+    Without `hot` big is a materialized table (of `rows` rows) whose hot keys are looked up. At most HOT keys reach the driver,
+    and their rows of small are copied SALTS times.
     """
-    rows = big.count()
-    if rows <= HOT:
-        return big.join(small, key)
-    least = max(rows // HOT, HOT)
-    hot = [r[0] for r in big.groupBy(key).count().filter(F.col("count") > least).select(key).collect() if r[0] is not None]
+    if hot is None:
+        rows = big.count() if rows is None else rows
+        hot = hot_keys(big.groupBy(key).count(), key, rows) if rows > HOT else []
     if not hot:
         return big.join(small, key)
     spark = big.sparkSession
@@ -93,15 +99,16 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 class BitMap:
-    """A map of the hashes of a materialized table's column, broadcast as MOST_BITS / 64 rows at most, whatever its size.
+    """A map of the hashes of a table's column, broadcast as MOST_BITS / 64 rows at most, whatever its size.
 
     It drops most other rows of a large table where they are read; the fuller it is the less it saves, and an exact join
     follows always.
     """
 
-    def __init__(self, values: DataFrame, name: str):
+    def __init__(self, values: DataFrame, name: str, n: int | None = None):
+        """n: how many values there are at most; counted if it is not given."""
         self.bits = LEAST_BITS
-        n = values.count()
+        n = values.count() if n is None else n
         while self.bits < min(16 * n, MOST_BITS):
             self.bits *= 2
         cell, flag = self._place(F.col(name))

@@ -18,25 +18,25 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e)
-    seen = None
-    while True:
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = state(e)
+    while seen[0]:
         # large star: the larger neighbours of a node go to the least one among all neighbours and itself
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        moved = hot_join(up, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(moved.filter("u <> v").distinct())
+        moved = hot_join(up, least, "u", "v", rows=seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = moved.filter("u <> v").distinct()
         # small star: the smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = hot_join(large, least, "u", "v")
+        joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         before, e = e, materialize(small)
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(before, large)
-        if tuple(state) == seen:
+        discard(before)
+        last, seen = seen, state(e)
+        if seen == last:
             break
-        seen = tuple(state)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -250,14 +250,13 @@ def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def set_texts(slim: DataFrame, pairs: DataFrame, sets: DataFrame, rank) -> DataFrame:
-    """(id, text): one line of each set that the pairs name, from the documents that may hold its first line."""
+def set_texts(slim: DataFrame, pairs: DataFrame, n: int, sets: DataFrame, rank) -> DataFrame:
+    """(id, text): one line of each set that the n pairs name, from the documents that may hold its first line."""
     used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    used = materialize(used)
-    named = BitMap(used, "id").within(sets.select("id", *IDENTITY, F.col("first.doc_id").alias("doc_id")), F.col("id"))
+    named = BitMap(used, "id", 2 * n).within(sets.select("id", *IDENTITY, F.col("first.doc_id").alias("doc_id")), F.col("id"))
     named = materialize(named.join(used, "id"))
     taken = bit_map(named, "h")
-    texts = BitMap(named, "doc_id").within(slim.select("doc_id", "text"), F.col("doc_id")).select("text")
+    texts = BitMap(named, "doc_id", 2 * n).within(slim.select("doc_id", "text"), F.col("doc_id")).select("text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +274,7 @@ def set_texts(slim: DataFrame, pairs: DataFrame, sets: DataFrame, rank) -> DataF
 
     lines = texts.mapInArrow(pick, "h long, b0 long, b1 long, n int, text string").groupBy(*IDENTITY).agg(F.first("text").alias("text"))
     out = materialize(lines.join(named.drop("doc_id"), IDENTITY).select("id", "text"))
-    discard(used, named)
+    discard(named)
     return out
 
 
@@ -304,9 +303,10 @@ def verified_in_turn(listed: DataFrame, gone: DataFrame | None, slim: DataFrame,
     at, width, left = 0, TAKEN, listed
     while True:
         pairs = materialize(left.select("x", F.explode(F.slice("ys", at + 1, width)).alias("y")))
-        if not pairs.head(1):
-            return gone if gone is not None else materialize(pairs.select("x"))
-        texts = set_texts(slim, pairs, sets, rank)
+        n = pairs.count()
+        if not n:
+            return gone if gone is not None else pairs.select("x")
+        texts = set_texts(slim, pairs, n, sets, rank)
         now = similar(pairs, texts, similarity)
         gone = materialize(now if gone is None else gone.unionByName(now).distinct())
         discard(texts, pairs)

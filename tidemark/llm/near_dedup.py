@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import chunks, mix, multisets, shingles, whole_groups, words
-from .common import HOT, BitMap, discard, hot_join, materialize, text_of
+from .common import HOT, BitMap, discard, hot_join, hot_keys, materialize, text_of
 from .components import components
 
 WIDTH = 5
@@ -136,10 +136,10 @@ def overlaps(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those of the materialized pairs(a, b) whose texts are similar enough. texts(id, text): one row per node."""
+def verified(pairs: DataFrame, rows: int, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of the `rows` materialized pairs(a, b) whose texts are similar enough. texts(id, text): one row per node."""
     text = lambda name, to: texts.select(F.col("id").alias(name), F.col("text").alias(to))
-    both = hot_join(pairs, text("a", "ta"), "a", "b").join(text("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = hot_join(pairs, text("a", "ta"), "a", "b", rows=rows).join(text("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,38 +189,41 @@ class Signed:
         self.signed = materialize(one.withColumn("id", F.monotonically_increasing_id()))
 
     def buckets(self) -> DataFrame:
-        """(key, id, least, greatest) of the nodes that share a band with another one."""
+        """(key, id, least) of the nodes that share a band with another one; least: the least id of the bucket."""
         keys = self.signed.select("id", F.explode("bands").alias("key"))
-        ends = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).filter("least <> greatest")
-        ends = materialize(ends)
-        shared = materialize(BitMap(ends, "key").within(keys, F.col("key")))
-        out = materialize(hot_join(shared, ends, "key", "id"))
-        discard(shared, ends)
+        ends = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("__top"), F.count(F.lit(1)).alias("n")).filter("least <> __top")
+        ends = materialize(ends.drop("__top"))
+        many, rows = ends.agg(F.count(F.lit(1)), F.sum("n")).first()
+        self.hot = hot_keys(ends, "key", rows or 0, "n")
+        shared = BitMap(ends, "key", many).within(keys, F.col("key"))
+        out = materialize(hot_join(shared, ends.drop("n"), "key", "id", self.hot))
+        discard(ends)
         return out
 
-    def shapes(self, ids: DataFrame, name: str, to: str) -> DataFrame:
-        """(name, to_n, to0, ...) of the materialized ids(id), among others."""
-        some = BitMap(ids, "id").within(self.signed.select("id", "s_n", *self.bits), F.col("id"))
+    def shapes(self, ids: DataFrame, n: int, name: str, to: str) -> DataFrame:
+        """(name, to_n, to0, ...) of the ids(id), n at most, among others."""
+        some = BitMap(ids, "id", n).within(self.signed.select("id", "s_n", *self.bits), F.col("id"))
         return some.select(F.col("id").alias(name), *[F.col(c).alias(to + c[1:]) for c in ["s_n", *self.bits]])
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of the materialized pairs(a, b) that the parity maps leave."""
-        left, right = (materialize(pairs.select(F.col(c).alias("id")).distinct()) for c in "ab")
-        both = hot_join(pairs, self.shapes(left, "a", "p"), "a", "b").join(self.shapes(right, "b", "q"), "b")
-        out = materialize(both.filter(may_be_similar("p", "q", self.similarity)).select("a", "b"))
-        discard(left, right)
-        return out
+        n = pairs.count()
+        left, right = (pairs.select(F.col(c).alias("id")) for c in "ab")
+        both = hot_join(pairs, self.shapes(left, n, "a", "p"), "a", "b", rows=n).join(self.shapes(right, n, "b", "q"), "b")
+        return materialize(both.filter(may_be_similar("p", "q", self.similarity)).select("a", "b"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the materialized pairs(a, b) whose texts are similar enough, materialized."""
+        n = pairs.count()
+        if not n:
+            return pairs
         used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        used = materialize(used)
-        named = materialize(BitMap(used, "id").within(self.signed.select("id", "node"), F.col("id")).join(used, "id"))
-        maybe = BitMap(named, "node").within(self.slim, F.col("node"))
+        named = materialize(BitMap(used, "id", 2 * n).within(self.signed.select("id", "node"), F.col("id")).join(used, "id"))
+        maybe = BitMap(named, "node", 2 * n).within(self.slim, F.col("node"))
         # copies of a text meet before they move; then the exact join
         texts = materialize(maybe.groupBy("node").agg(F.first("text").alias("text")).join(named, "node").select("id", "text"))
-        out = materialize(verified(pairs, texts, self.similarity, self.width))
-        discard(used, named, texts)
+        out = materialize(verified(pairs, n, texts, self.similarity, self.width))
+        discard(named, texts)
         return out
 
 
@@ -243,36 +246,35 @@ def classes(slim: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     discard(first, links)
     tested, most = first_near, FIRST
     while True:
-        left = mixed(members, found)
-        if not left.head(1):
+        left = mixed(s, members, found)
+        n = left.count()
+        if not n:
             break
-        listed = crossed(s, left, most)
+        listed = crossed(s, left, n, most)
         pairs = materialize(listed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        open_left = bool(listed.filter("more").head(1))
         links = s.links(pairs)
-        if links.head(1):
+        if links is not pairs and links.head(1):
             # the classes so far are stars already
             edges = materialize(links.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
             found = materialize(components(edges))
             discard(edges)
-        discard(left, listed, links)
-        if not open_left:
+        cut = bool(listed.filter("more").head(1))
+        discard(left, listed)
+        if not cut:
             break
         tested = materialize(tested.unionByName(pairs))
         most *= LONGER
     return materialize(s.signed.select("id", "node").join(found.select(F.col("node").alias("id"), "root"), "id").select("node", "root"))
 
 
-def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+def mixed(s: Signed, members: DataFrame, found: DataFrame) -> DataFrame:
     """(key, id, root, main) of the buckets whose members are in several components; main is the largest one there."""
     placed = members.select("key", "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left")
-    placed = materialize(placed.withColumn("root", F.coalesce("root", "id")))
+    placed = placed.withColumn("root", F.coalesce("root", "id"))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     live = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
-    live = materialize(live.filter("k > 1").select("key", F.col("main.root").alias("main")))
-    left = materialize(hot_join(placed, live, "key", "id"))
-    discard(placed, live)
-    return left
+    live = live.filter("k > 1").select("key", F.col("main.root").alias("main"))
+    return materialize(hot_join(placed, live, "key", "id", s.hot))
 
 
 #: Partners of a list in the first round, and how much longer each further round's lists are.
@@ -280,15 +282,14 @@ FIRST, LONGER = 4, 16
 EXPANDED = 1 << 17
 
 
-def crossed(s: Signed, left: DataFrame, most: int) -> DataFrame:
-    """(a, b, more): members x of left(key, id, root, main) outside a bucket's largest component with members of its other
+def crossed(s: Signed, left: DataFrame, n: int, most: int) -> DataFrame:
+    """(a, b, more): members x of left(key, id, root, main), n rows, outside a bucket's largest component with members of its other
     components that the parity maps leave: of a bucket the `most` nearest ones by the maps for each x, so a text that many
     are copies of comes first; more: x has further ones.
 
     A bucket's rows are fixed-width numbers, about 150 bytes a text; they are compared EXPANDED pairs at a time.
     """
-    ids = materialize(left.select("id").distinct())
-    rows = left.join(s.shapes(ids, "id", "m"), "id")
+    rows = left.join(s.shapes(left, n, "id", "m"), "id")
     maps = [f"m{k}" for k in range(SLOTS // 64)]
     rows = rows.select("key", "id", "root", (F.col("root") == F.col("main")).alias("in_main"), "m_n", *maps)
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
@@ -335,9 +336,7 @@ def crossed(s: Signed, left: DataFrame, most: int) -> DataFrame:
         for columns in whole_groups(batches):
             yield from closed(columns)
 
-    out = materialize(rows.mapInArrow(pairs, "a long, b long, more boolean"))
-    discard(ids)
-    return out
+    return materialize(rows.mapInArrow(pairs, "a long, b long, more boolean"))
 
 
 def noded(docs: DataFrame) -> DataFrame:
@@ -353,13 +352,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     table gives an empty result.
     """
     found = classes(noded(docs), similarity, width)
-    slim = materialize(docs.select("doc_id", F.unhex(F.md5(text_of(docs))).alias("node")))
-    own = slim.groupBy("node").agg(F.min("doc_id").alias("own"))
+    slim = docs.select("doc_id", F.unhex(F.md5(text_of(docs))).alias("node"))
+    own = materialize(slim.groupBy("node").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(own, "node", own.agg(F.sum("n")).first()[0] or 0, "n")
     rooted = materialize(own.join(found, "node"))
     least = rooted.groupBy("root").agg(F.min("own").alias("class_id"))
-    named = hot_join(rooted, least, "root", "node").select("node", "class_id")
+    named = hot_join(rooted.select("node", "root"), least, "root", "node").select("node", "class_id")
     each = own.join(named, "node", "left").select("node", F.coalesce("class_id", "own").alias("class_id"))
-    return hot_join(slim, each, "node", "doc_id").select("doc_id", "class_id")
+    return hot_join(slim, each, "node", "doc_id", hot).select("doc_id", "class_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
