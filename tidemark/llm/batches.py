@@ -130,18 +130,24 @@ def multisets(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return r[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], group=lambda key: key) -> Iterator[list[np.ndarray]]:
-    """The columns of batches that are sorted by their first one, cut so that no group(first column) is parted."""
-    rest: list[list[np.ndarray]] = []
+def whole_groups(batches: Iterator[pa.RecordBatch], group=lambda key: key, least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first one, in pieces of about `least` rows, cut so that no
+    group(first column) is parted."""
+    ready: list[list[np.ndarray]] = []
+    last: list[list[np.ndarray]] = []  # of the group that may go on
+    join = lambda parts: [np.concatenate(c) for c in zip(*parts)]
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(columns[0]):
             continue
         own = group(columns[0])
         edge = int(np.searchsorted(own, own[-1], "left"))
-        if edge or (rest and group(rest[-1][0][-1:])[0] != own[0]):
-            yield [np.concatenate(c) for c in zip(*rest, [c[:edge] for c in columns])]
-            rest = []
-        rest.append([c[edge:] for c in columns])
-    if rest:
-        yield [np.concatenate(c) for c in zip(*rest)]
+        if edge or (last and group(last[-1][0][-1:])[0] != own[0]):
+            ready += [*last, [c[:edge] for c in columns]]
+            last = []
+        last.append([c[edge:] for c in columns])
+        if sum(len(c[0]) for c in ready) >= least:
+            yield join(ready)
+            ready = []
+    if ready or last:
+        yield join([*ready, *last])

@@ -20,7 +20,7 @@ SLOTS = 1 << 16
 TOKEN_BYTES, MOST = 5, (1 << 12) - 1
 #: Candidates that a bucket gives a set in the first round, how much longer each further round's lists are, and how many of
 #: a set's list are verified first.
-FIRST, LONGER, TAKEN = 8, 8, 2
+FIRST, LONGER, TAKEN = 16, 64, 4
 
 _NEWLINE = 10
 
