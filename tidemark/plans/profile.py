@@ -206,7 +206,7 @@ def purge_by_time(spark, d):
 
 #: Buy and hold in each window: a share f of the cash enters at the second live bar's open, leaves at the last close.
 _WF = f"""WITH {C}, p AS (SELECT *, row_number() OVER ({T0}) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS n, epoch_us(timestamp) / 1e6 AS sec FROM c),
-w AS (SELECT p.*, w FROM p, range(0, 1000) t(w) WHERE pos >= 200 + w * 60 AND pos < 260 + w * 60 AND 260 + w * 60 <= n),
+w AS (SELECT p.*, w FROM p, range(0, 1000) t(w) WHERE pos >= 60 + w * 30 AND pos < 90 + w * 30 AND 90 + w * 30 <= n),
 g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY asset, w ORDER BY pos) AS gap FROM w),
 st AS (SELECT asset, w, 2 * list(gap ORDER BY gap)[CAST(floor(count(gap) / 2) AS INT) + 1] AS stale, arg_max(close, pos) AS last_close FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT g.*, last_close, row_number() OVER (PARTITION BY g.asset, g.w ORDER BY pos) AS seq FROM g JOIN st ON st.asset = g.asset AND st.w = g.w WHERE gap IS NULL OR gap <= stale),
@@ -222,13 +222,13 @@ def _ohlc(spark, d):
 
 @query("walk_forward_equity", _WF)
 def walk_forward_equity(spark, d):
-    curve = WF.walk_forward(_ohlc(spark, d), lambda train: BT.buy_and_hold, 200, 60, size=BT.fixed_fraction(0.9))
+    curve = WF.walk_forward(_ohlc(spark, d), lambda train: BT.buy_and_hold, 60, 30, size=BT.fixed_fraction(0.9))
     return rounded(WF.chained(curve), places=2)
 
 
 @query("walk_forward_trades")
 def walk_forward_trades(spark, d):
-    return rounded(WF.walk_forward(_ohlc(spark, d), WF.momentum, 200, 60, size=BT.fixed_fraction(0.9), trades=True))
+    return rounded(WF.walk_forward(_ohlc(spark, d), WF.momentum, 60, 30, size=BT.fixed_fraction(0.9), trades=True))
 
 
 # -- profiles --------------------------------------------------------------------------------------------------------------
