@@ -208,12 +208,12 @@ def purge_by_time(spark, d):
 _WF = f"""WITH {C}, p AS (SELECT *, row_number() OVER ({T0}) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS n, epoch_us(timestamp) / 1e6 AS sec FROM c),
 w AS (SELECT p.*, w FROM p, range(0, 1000) t(w) WHERE pos >= 60 + w * 30 AND pos < 90 + w * 30 AND 90 + w * 30 <= n),
 g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY asset, w ORDER BY pos) AS gap FROM w),
-st AS (SELECT asset, w, 2 * list(gap ORDER BY gap)[CAST(floor(count(gap) / 2) AS INT) + 1] AS stale, arg_max(close, pos) AS last_close FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
-k AS (SELECT g.*, last_close, row_number() OVER (PARTITION BY g.asset, g.w ORDER BY pos) AS seq FROM g JOIN st ON st.asset = g.asset AND st.w = g.w WHERE gap IS NULL OR gap <= stale),
+st AS (SELECT asset, w, 2 * list(gap ORDER BY gap)[CAST(floor(count(gap) / 2) AS INT) + 1] AS stale, arg_max(close, pos) AS last_close, max(timestamp) AS last_ts FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT g.*, last_close, last_ts, row_number() OVER (PARTITION BY g.asset, g.w ORDER BY pos) AS seq FROM g JOIN st ON st.asset = g.asset AND st.w = g.w WHERE gap IS NULL OR gap <= stale),
 e AS (SELECT asset, w, open AS entry FROM k WHERE seq = 2),
-v AS (SELECT k.asset, k.w, k.timestamp, seq, max(seq) OVER (PARTITION BY k.asset, k.w) AS top, CASE WHEN seq = 1 THEN 1.0 ELSE 1 - 0.9 * 1.001 + 0.9 * close / entry END AS h, 1 - 0.9 * 1.001 + 0.9 * last_close / entry * 0.999 AS gain FROM k JOIN e ON e.asset = k.asset AND e.w = k.w),
+v AS (SELECT k.asset, k.w, k.timestamp, last_ts, seq, max(seq) OVER (PARTITION BY k.asset, k.w) AS top, CASE WHEN seq = 1 THEN 1.0 ELSE 1 - 0.9 * 1.001 + 0.9 * close / entry END AS h, 1 - 0.9 * 1.001 + 0.9 * last_close / entry * 0.999 AS gain FROM k JOIN e ON e.asset = k.asset AND e.w = k.w),
 gn AS (SELECT DISTINCT asset, w, gain FROM v), cs AS (SELECT asset, w, 100000.0::DOUBLE * coalesce(exp(sum(ln(gain)) OVER (PARTITION BY asset ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0) AS cash FROM gn)
-SELECT v.asset, timestamp, round(cash * CASE WHEN seq = top THEN gain ELSE h END, 2) AS equity FROM v JOIN cs ON cs.asset = v.asset AND cs.w = v.w"""
+SELECT v.asset, CASE WHEN seq = top THEN last_ts ELSE timestamp END AS timestamp, round(cash * CASE WHEN seq = top THEN gain ELSE h END, 2) AS equity FROM v JOIN cs ON cs.asset = v.asset AND cs.w = v.w"""
 
 
 def _ohlc(spark, d):
@@ -275,13 +275,13 @@ RECO = ["volatility", "momentum", "rolling_strategy_sharpe", "rolling_win_rate"]
 
 @query("reco_pipeline")
 def reco_pipeline(spark, d):
-    """Walk-forward recommendations of every asset: momentum signals, market and strategy features, boosted and random ones."""
+    """Walk-forward recommendations of every asset: momentum signals, market and strategy features, boosted and random ones; three windows with 10 rows between their parts."""
     x = _features(spark, d).select("asset", "timestamp", "close", F.col("rv").alias("volatility"), F.col("slope").alias("momentum"), F.col("__lr").alias("ret"))
     bars = x.select("asset", "timestamp", "close")
     signals = ST.momentum(_features(spark, d), "slope", 0.1).select("asset", "timestamp", "side", "strength")
     strategy = x.select("asset", "timestamp", (F.signum(F.coalesce("momentum", F.lit(0.0))) * F.coalesce("ret", F.lit(0.0))).alias("strategy_return"))
     made = lambda s: RC.strategy_features(s).drop("strategy_return")
-    return rounded(RC.run(bars, signals, x.drop("close", "ret"), {"strategy": (strategy, made)}, RECO))
+    return rounded(RC.run(bars, signals, x.drop("close", "ret"), {"strategy": (strategy, made)}, RECO, windows=3, purge=7, embargo=3))
 
 
 @query("reco_run_metrics")
