@@ -192,16 +192,16 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     wide = materialize(wide)
     wide = wide.join(F.broadcast(wide.agg(F.count(F.lit(1)).alias("__strata"))))
     level = level(F.col("__strata"))
+    # a row for each stratum and candidate: the tail is one expression, whatever their number
+    each = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(float(cut)).alias("cut"), F.col(c).alias("k")) for c, (rule, i, cut) in zip(named, tried)]
+    long = wide.select("stratum", "n", level.alias("level"), F.explode(F.array(*each)).alias("t")).select("stratum", "n", "level", "t.*")
     # a count above its expectation is never certified, so its tail need not be summed
-    passes = lambda k: F.when(k > F.col("n") * part, F.lit(False)).otherwise(log_tail(k, F.col("n"), part) <= level)
-    flags = wide.select("stratum", *[F.coalesce(passes(F.col(c)), F.lit(False)).alias(c) for c in named])
-    picks = []
-    for rule, cuts in grid.items():
-        first_bad = F.array_position(F.array(*[F.col(f"{rule}__{i}") for i in range(len(cuts))]), False)  # from 1; 0: none
-        last = F.when(first_bad == 0, F.lit(len(cuts))).otherwise(first_bad - 1).cast("int")
-        cut = F.element_at(F.array(*[F.lit(float(c)) for c in cuts]), F.greatest(last, F.lit(1)))
-        picks.append(F.when(last > 0, cut).alias(f"cut_{rule}"))
-    return flags.select("stratum", *picks)
+    passes = F.when(F.col("k") > F.col("n") * part, F.lit(False)).otherwise(log_tail(F.col("k"), F.col("n"), part) <= F.col("level"))
+    failed = long.withColumn("failed", F.when(~F.coalesce(passes, F.lit(False)), F.col("i")))
+    first_bad = F.min("failed").over(Window.partitionBy("stratum", "rule"))
+    fine = failed.withColumn("bad", first_bad).filter("bad IS NULL OR i < bad")
+    of = lambda rule, c: F.when(F.col("rule") == rule, F.col(c))
+    return fine.groupBy("stratum").agg(*[F.max_by(of(rule, "cut"), of(rule, "i")).alias(f"cut_{rule}") for rule in grid])
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
