@@ -337,6 +337,51 @@ def test_line_dedup(spark):
     assert clean[3] == "a b c d e\n" and clean[1] == ""
 
 
+def test_line_dedup_packs_entries_and_reads_texts_once_a_round(spark, monkeypatch):
+    rng = random.Random(8)
+    v = [f"w{i}" for i in range(40)]
+    texts = ["\n".join(" ".join(rng.choice(v[: rng.choice([9, 40])]) for _ in range(rng.choice([2, 6, 12]))) for _ in range(40)) for _ in range(12)]
+    slim = line_dedup.identified(frame(spark, texts))
+    lines, ranks = line_dedup.surveyed(slim)
+    want = {i: [k for k, line in enumerate(t.split("\n")) if words(line)] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["lines"] for r in lines.collect()} == want
+    sets = line_dedup.prefixed(slim, spark.sparkContext.broadcast(ranks), 0.8).withColumn("id", F.monotonically_increasing_id())
+    sets = line_dedup.materialize(sets.coalesce(1))
+    monkeypatch.setattr(line_dedup, "PARTS", 8)
+    rows = line_dedup.spread(sets).collect()
+    entries = [(r["part"], *e) for r in rows for e in np.frombuffer(r["block"], np.int64).reshape(-1, line_dedup.ENTRY).tolist()]
+    # one row a task and part, however many entries there are; a token is in one part
+    assert len(rows) <= max(8, 16 * 4) < len(entries) == sets.agg(F.sum(F.length("prefix"))).first()[0] // line_dedup.TOKEN_BYTES
+    assert len({(e[0], e[1] >> 24) for e in entries}) == len({e[1] >> 24 for e in entries})
+    # lists of several turns: their texts are read once a round
+    calls = []
+    for name in ("set_texts", "candidates"):
+        monkeypatch.setattr(line_dedup, name, lambda *a, name=name, f=getattr(line_dedup, name): calls.append(name) or f(*a))
+    for name, value in (("FIRST", 8), ("LONGER", 4), ("TAKEN", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_counts(frame(spark, texts)).collect()}
+    assert calls.count("set_texts") <= calls.count("candidates")
+    seen = []
+    for i, t in enumerate(texts):
+        out = []
+        for k, line in enumerate(t.split("\n")):
+            s = frozenset(words(line))
+            if s and any(len(s & o) >= 0.8 * len(s | o) for o in seen):
+                out.append(k)
+            seen.append(s)
+        assert got[i] == out
+
+
+def test_line_dedup_meets_sets_whose_parity_differs_in_the_sign(spark):
+    a, b = np.array([-1, 1, -(1 << 63), 0], np.int64), np.array([0, 0, 0, -2], np.int64)
+    assert line_dedup.slots_apart(a, b).tolist() == [64, 1, 1, 63]
+    # one text and copies with one word of 20 changed, by 120 different words: all but the first go, whichever slots differ
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(base)] + [" ".join(base[: i % 20] + [f"u{i}"] + base[i % 20 + 1 :]) for i in range(120)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_counts(frame(spark, texts)).collect()}
+    assert got == {i: int(i > 0) for i in range(121)}
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

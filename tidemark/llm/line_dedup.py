@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import GAP_BYTES, chunks, mix, whole_groups, words
@@ -18,6 +18,9 @@ SIMILARITY = 0.8
 SLOTS = 1 << 16
 #: Bytes of a token in a prefix, and the largest size and place that an index entry tells; larger ones pass the filters.
 TOKEN_BYTES, MOST = 5, (1 << 12) - 1
+TOKEN_MASK = (1 << 8 * TOKEN_BYTES) - 1
+#: Numbers of an entry; least parts that the tokens are dealt over, and entries that a task packs at a time.
+ENTRY, PARTS, BLOCK = 4, 1 << 12, 1 << 19
 #: Candidates that a bucket gives a set in the first round, how much longer each further round's lists are, and how many of
 #: a set's list are verified first.
 FIRST, LONGER, TAKEN = 16, 64, 4
@@ -66,16 +69,16 @@ class LineSets:
         self.first = np.cumsum(self.size) - self.size
         self.real = np.flatnonzero(self.size > 0)
         at = self.first[self.real]
-        bit = mix(self.h + np.uint64(77))
+        own = mix(self.h)
+        bit = own >> np.uint64(57)
         flag = np.uint64(1) << (bit & np.uint64(63))
-        high = ((bit >> np.uint64(6)) & np.uint64(1)) == 1
-        a, b, self.b0, self.b1 = (np.zeros(n, np.uint64) for _ in range(4))
+        high = bit >> np.uint64(6) == 1
+        a, self.b0, self.b1 = (np.zeros(n, np.uint64) for _ in range(3))
         if len(at):
-            a[self.real] = np.add.reduceat(mix(self.h), at)
-            b[self.real] = np.add.reduceat(mix(self.h ^ np.uint64(0x5851F42D4C957F2D)), at)
+            a[self.real] = np.add.reduceat(own, at)
             self.b0[self.real] = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), flag), at)
             self.b1[self.real] = np.bitwise_xor.reduceat(np.where(high, flag, np.uint64(0)), at)
-        self.key = mix(a ^ mix(b))
+        self.key = mix(a)
 
     def identity(self, lines: np.ndarray) -> list[pa.Array]:
         return [pa.array(x[lines].view(np.int64)) for x in (self.key, self.b0, self.b1)] + [pa.array(self.size[lines].astype(np.int32))]
@@ -84,25 +87,41 @@ class LineSets:
 IDENTITY = ["h", "b0", "b1", "n"]
 
 
-def rarity(slim: DataFrame) -> np.ndarray:
-    """The rank of each slot by how often its tokens occur, over all documents. SLOTS numbers reach the driver."""
+def surveyed(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """From one pass over slim(doc_id, th, text): (doc_id, th, lines), the numbers of each row's lines that have a word, from 0;
+    and the rank of each slot by how often its tokens occur, over all documents. SLOTS numbers reach the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "th", "lines", "slots", "counts"]
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        total, kind = np.zeros(SLOTS, np.int64), None
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                h, *_ = words(data, offsets, GAP_BYTES)
+            kind = batch.schema.field(0).type
+            for start, end, data, offsets in chunks(batch.column(2)):
+                h, _, at, _ = words(data, offsets, GAP_BYTES)
                 total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                starts, row, number = lines_of(data, offsets)
+                line = np.searchsorted(starts, at, "right") - 1
+                line = line[np.flatnonzero(np.diff(line, prepend=-1))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[line], minlength=end - start))]).astype(np.int32)
+                lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[line].astype(np.int32)))
+                none = [pa.nulls(end - start, t) for t in (ints, longs)]
+                own = [batch.column(k).slice(start, end - start) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, lines, *none], names)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+        if len(some):
+            told = [pa.array([some.astype(np.int32)], ints), pa.array([total[some]], longs)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, ints), *told], names)
 
-    rows = slim.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    both = materialize(slim.mapInArrow(survey, f"doc_id {kind}, th long, lines array<int>, slots array<int>, counts array<long>"))
+    told = both.filter("slots IS NOT NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("z"))
     counts = np.zeros(SLOTS, np.int64)
-    for slot, n in rows:
+    for slot, n in told.groupBy("z.slots").agg(F.sum("z.counts")).collect():
         counts[slot] = n
     rank = np.empty(SLOTS, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
-    return rank
+    return both.filter("slots IS NULL").select("doc_id", "th", "lines"), rank
 
 
 def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
@@ -133,36 +152,92 @@ def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
     return slim.mapInArrow(cut, f"doc_id {kind}, th long, line int, h long, b0 long, b1 long, n int, prefix binary")
 
 
+def prefix_tokens(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, place): the tokens of the prefixes in column k, the row that each is of and its place there."""
+    prefix = batch.column(k).cast(pa.large_binary())
+    if not len(prefix):
+        return (np.zeros(0, np.int64),) * 3
+    _, offs, data = prefix.buffers()
+    ends = np.frombuffer(offs, np.int64)[prefix.offset : prefix.offset + len(prefix) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN_BYTES)
+    token = np.zeros(len(raw), np.int64)
+    for k in range(TOKEN_BYTES):
+        token = (token << 8) | raw[:, k]
+    many = np.diff(ends) // TOKEN_BYTES
+    owner = np.repeat(np.arange(len(many)), many)
+    return token, owner, np.arange(len(token)) - (np.cumsum(many) - many)[owner]
+
+
+def tokens_of(sets: DataFrame) -> DataFrame:
+    """(token) of all prefixes of sets(prefix)."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(prefix_tokens(batch, 0)[0])], ["token"])
+
+    return sets.select("prefix").mapInArrow(tokens, "token long")
+
+
 def spread(sets: DataFrame, tokens=None, open_sets=None) -> DataFrame:
-    """(p, id, b0, b1, open): an entry for each prefix token of sets(id, n, b0, b1, prefix); p packs token, size and place.
+    """(part, block): an entry for each prefix token of sets(id, n, b0, b1, prefix), packed by parts of the tokens.
 
-    With the maps `tokens` and `open_sets` only entries of such tokens, and `open` for such sets only.
+    A block holds the entries that a task has of a part: ENTRY numbers each, p (token, size and place), 2 id + open, b0 and b1.
+    All entries of a token are of one part. With the maps `tokens` and `open_sets` only entries of such tokens, and `open` for
+    such sets only.
     """
+    parts = max(PARTS, 16 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(entries: list[np.ndarray]) -> pa.RecordBatch:
+        m = np.concatenate(entries)
+        part = (m[:, 0] >> 24 & TOKEN_MASK) % parts
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+        m, part = m[order], part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = (np.append(at, len(m)) * ENTRY * 8).astype(np.int32)
+        block = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(m)])
+        return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), block], ["part", "block"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, rows = [], 0
         for batch in batches:
             ids, n, b0, b1 = (batch.column(k).to_numpy() for k in range(4))
-            prefix = batch.column(4).cast(pa.large_binary())
-            if not len(ids):
-                continue
-            _, offs, data = prefix.buffers()
-            ends = np.frombuffer(offs, np.int64)[prefix.offset : prefix.offset + len(ids) + 1]
-            raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN_BYTES)
-            token = np.zeros(len(raw), np.int64)
-            for k in range(TOKEN_BYTES):
-                token = (token << 8) | raw[:, k]
-            many = np.diff(ends) // TOKEN_BYTES
-            owner = np.repeat(np.arange(len(ids)), many)
-            place = np.arange(len(token)) - (np.cumsum(many) - many)[owner]
-            p = (token << 24) | (np.minimum(n[owner], MOST).astype(np.int64) << 12) | np.minimum(place, MOST)
-            wanted = np.ones(len(ids), bool) if open_sets is None else held(open_sets.value, ids)
+            token, owner, place = prefix_tokens(batch, 4)
             if tokens is not None:
                 some = held(tokens.value, token)
-                p, owner = p[some], owner[some]
-            columns = [p, ids[owner], b0[owner], b1[owner], wanted[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p", "id", "b0", "b1", "open"])
-
-    return sets.select("id", "n", "b0", "b1", "prefix").mapInArrow(entries, "p long, id long, b0 long, b1 long, open boolean")
+                token, owner, place = token[some], owner[some], place[some]
+            wanted = np.ones(len(ids), bool) if open_sets is None else held(open_sets.value, ids)
+            m = np.empty((len(token), ENTRY), np.int64)
+            m[:, 0] = (token << 24) | (np.minimum(n[owner], MOST).astype(np.int64) << 12) | np.minimum(place, MOST)
+            m[:, 1] = (2 * ids + wanted)[owner]
+            m[:, 2], m[:, 3] = b0[owner], b1[owner]
+            for k in range(0, len(m), BLOCK):
+                ready.append(m[k : k + BLOCK])
+                rows += len(ready[-1])
+                if rows >= BLOCK:
+                    yield packed(ready)
+                    ready, rows = [], 0
+        if rows:
+            yield packed(ready)
+
+    return sets.select("id", "n", "b0", "b1", "prefix").mapInArrow(entries, "part int, block binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, p, id and open, b0, b1) of the entries of batches(part, block), in their order."""
+    for batch in batches:
+        block = batch.column(1).cast(pa.large_binary())
+        if not len(block):
+            continue
+        _, offs, data = block.buffers()
+        ends = np.frombuffer(offs, np.int64)[block.offset : block.offset + len(block) + 1]
+        m = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int64).reshape(-1, ENTRY)
+        part = np.repeat(batch.column(0).to_numpy(), np.diff(ends) // (8 * ENTRY))
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(m[:, k]) for k in range(ENTRY))], ["part", "p", "id", "b0", "b1"])
+
+
+def slots_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the numbers differ; of a negative number bitwise_count would tell the bits of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
 
 
 def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -172,32 +247,40 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
     reached if the token is one of the first two that the sets share; and the parity of the tokens in 128 slots, which
     differs in no more slots than the sets differ in tokens. So a similar pair is listed in two buckets at least (one of sets
     that may share a single token is listed twice). A set gets `most` candidates of a bucket at most, and more = true if it may have
-    further ones. Entries of a bucket are in classes of size, so that a set meets three of them only; a bucket's entries
-    are fixed-width numbers, about 35 bytes a set.
+    further ones. Entries of a bucket are in classes of size, so that a set meets three of them only; a part's entries
+    are fixed-width numbers, 32 bytes a set and token.
     """
-    rows = entries.repartition(F.shiftright("p", 24)).sortWithinPartitions("p")
+    rows = entries.repartition("part").sortWithinPartitions("part")
     size_class = np.floor(np.log(np.maximum(np.arange(MOST + 1), 1)) / -np.log(similarity) + 1e-9).astype(np.int64) if similarity < 1 else np.arange(MOST + 1)
+    size_class = np.minimum(size_class, (1 << 22) - 2)
 
     def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
         """The candidates of whole buckets: in each step every open entry meets the next set of its list, all buckets at once."""
-        p, ids, b0, b1, wanted = columns
-        order = np.lexsort((ids, size_class[(p >> 12) & MOST], p >> 24))
-        p, ids, b0, b1, wanted = p[order], ids[order], b0[order], b1[order], wanted[order]
-        token, n, i = p >> 24, (p >> 12) & MOST, p & MOST
-        cls = size_class[n]
-        head = np.ones(len(p), bool)
-        head[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        _, p, ids, b0, b1 = columns
+        # by token and class, then by id within them
+        bucket = (p >> 24 & TOKEN_MASK) << 22 | size_class[(p >> 12) & MOST]
+        order = np.argsort(bucket)
+        bucket = bucket[order]
+        head = np.diff(bucket, prepend=-1) != 0
         group, start = np.cumsum(head) - 1, np.flatnonzero(head)
-        rank = np.unique(ids, return_inverse=True)[1]
-        key = group * len(p) + rank
+        rank = ids[order] >> 1
+        if rank.max() >> 40 or len(start) >> 22:
+            rank = np.unique(rank, return_inverse=True)[1]
+        key = (group << 40) + rank
+        inner = np.argsort(key)
+        key, order = key[inner], order[inner]
+        p, ids, b0, b1 = p[order], ids[order] >> 1, b0[order], b1[order]
+        wanted = (columns[2][order] & 1) == 1
+        n, i = (p >> 12) & MOST, p & MOST
         have, more, got = np.zeros(len(p), np.int64), np.zeros(len(p), bool), []
         for side in (0, -1, 1):
             other = group + side
             able = wanted & (other >= 0) & (other < len(start))
             x = np.flatnonzero(able)
-            g = start[other[x]]
-            x = x[(token[g] == token[x]) & (cls[g] == cls[x] + side)]
-            at, end = start[other[x]], np.searchsorted(key, other[x] * len(p) + rank[x])
+            if side:
+                x = x[bucket[start[other[x]]] == bucket[x] + side]
+            at = start[other[x]]
+            end = np.searchsorted(key, key[x] + (side << 40)) if side else x
             while True:
                 live = at < end
                 full = live & (have[x] >= most)
@@ -212,7 +295,7 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
                 reach = np.minimum(a - i[x], b - i[at]) + (np.minimum(i[x], i[at]) > 0)
                 ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((reach >= need) | vague)
                 i0, i1 = x[ok], at[ok]
-                apart = np.bitwise_count(b0[i0] ^ b0[i1]).astype(np.int64) + np.bitwise_count(b1[i0] ^ b1[i1])
+                apart = slots_apart(b0[i0], b0[i1]) + slots_apart(b1[i0], b1[i1])
                 ok[ok] = (apart <= (both - 2 * need)[ok]) | vague[ok]
                 have[x[ok]] += 1
                 got.append((x[ok], at[ok]))
@@ -223,7 +306,7 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_groups(batches, lambda p: p >> 24):
+        for columns in whole_groups(unpacked(batches)):
             yield closed(columns)
 
     return rows.mapInArrow(pairs, "x long, y long, more boolean")
@@ -250,13 +333,14 @@ def held(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def set_texts(slim: DataFrame, pairs: DataFrame, n: int, sets: DataFrame, rank) -> DataFrame:
-    """(id, text): one line of each set that the n pairs name, from the documents that may hold its first line."""
-    used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    named = BitMap(used, "id", 2 * n).within(sets.select("id", *IDENTITY, F.col("first.doc_id").alias("doc_id")), F.col("id"))
+def set_texts(slim: DataFrame, pairs: DataFrame, sets: DataFrame, rank) -> DataFrame:
+    """(id, text): one line of each set that the pairs name, from the documents that may hold its first line."""
+    used = materialize(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct())
+    n = used.count()
+    named = BitMap(used, "id", n).within(sets.select("id", *IDENTITY, F.col("first.doc_id").alias("doc_id")), F.col("id"))
     named = materialize(named.join(used, "id"))
     taken = bit_map(named, "h")
-    texts = BitMap(named, "doc_id", 2 * n).within(slim.select("doc_id", "text"), F.col("doc_id")).select("text")
+    texts = BitMap(named, "doc_id", n).within(slim.select("doc_id", "text"), F.col("doc_id")).select("text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +358,7 @@ def set_texts(slim: DataFrame, pairs: DataFrame, n: int, sets: DataFrame, rank)
 
     lines = texts.mapInArrow(pick, "h long, b0 long, b1 long, n int, text string").groupBy(*IDENTITY).agg(F.first("text").alias("text"))
     out = materialize(lines.join(named.drop("doc_id"), IDENTITY).select("id", "text"))
-    discard(named)
+    discard(named, used)
     return out
 
 
@@ -299,23 +383,24 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def verified_in_turn(listed: DataFrame, gone: DataFrame | None, slim: DataFrame, sets: DataFrame, rank, similarity: float) -> DataFrame:
     """gone (x) and the x of listed(x, ys) that are similar to one of their ys, materialized; a few of a list are verified at a
-    time, and only while nothing is found."""
+    time, and only while nothing is found. The texts of all that the lists name are read once: one for each set at most."""
+    pairs = listed.select("x", F.explode("ys").alias("y"))
+    if not pairs.head(1):
+        return gone if gone is not None else pairs.select("x")
+    texts = set_texts(slim, pairs, sets, rank)
     at, width, left = 0, TAKEN, listed
     while True:
-        pairs = materialize(left.select("x", F.explode(F.slice("ys", at + 1, width)).alias("y")))
-        n = pairs.count()
-        if not n:
-            return gone if gone is not None else pairs.select("x")
-        texts = set_texts(slim, pairs, n, sets, rank)
-        now = similar(pairs, texts, similarity)
+        now = similar(left.select("x", F.explode(F.slice("ys", at + 1, width)).alias("y")), texts, similarity)
         gone = materialize(now if gone is None else gone.unionByName(now).distinct())
-        discard(texts, pairs)
         at, width = at + width, width * LONGER
         left = listed.filter(F.size("ys") > at).join(gone, "x", "left_anti")
+        if not left.head(1):
+            discard(texts)
+            return gone
 
 
-def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, line) of the lines of slim(doc_id, th, text) that stay; th is a hash of the text.
+def kept_lines(slim: DataFrame, ranks: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, th, line) of the lines of slim(doc_id, th, text) that stay; th is a hash of the text, ranks are of surveyed().
 
     A line is a piece between line feeds with a word; its set is that of its distinct words. Lines are ordered by
     (doc_id, nulls last, th, line number). A line goes if an earlier line's set is equal or has the similarity
@@ -324,7 +409,7 @@ def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     verified a few at a time. Further rounds, with longer lists each, are for those that are not settled and whose lists
     were cut: so a group of like lines does not emit all its pairs.
     """
-    rank = slim.sparkSession.sparkContext.broadcast(rarity(slim))
+    rank = slim.sparkSession.sparkContext.broadcast(ranks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line"))
     every = prefixed(slim, rank, similarity).groupBy(*IDENTITY).agg(first.alias("first"), F.first("prefix").alias("prefix"))
     sets = ranked(every, "first", "id")
@@ -344,9 +429,8 @@ def kept_lines(slim: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             break
         most *= LONGER
         done = listed if done is None else materialize(done.unionByName(listed).groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("ys")))
-        asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("id", "n", "b0", "b1", "prefix")
-        tokens = spread(asked).select(F.shiftright("p", 24).alias("token"))
-        entries = spread(sets, bit_map(tokens, "token"), bit_map(left, "x"))
+        asked = BitMap(left, "x").within(sets, F.col("id")).join(left, F.col("id") == F.col("x")).select("prefix")
+        entries = spread(sets, bit_map(tokens_of(asked), "token"), bit_map(left, "x"))
         discard(left)
     out = sets.join(gone, F.col("id") == F.col("x"), "left_anti")
     return out.select("first.doc_id", "first.th", "first.line")
@@ -358,16 +442,11 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def lines_with_words(text: Column) -> Column:
-    """The numbers of the lines that have a word, from 0."""
-    number = lambda line, i: F.when(F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0, i)
-    return F.array_compact(F.transform(F.split(text, "\n", -1), number))
-
-
 def judged(slim: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, th, copies, lines, stay): of each distinct row its lines with words and those of its first copy that stay."""
-    own = slim.select("doc_id", "th", lines_with_words(F.col("text")).alias("lines"), F.lit(None).cast("int").alias("line"))
-    kept = kept_lines(slim, similarity).select("doc_id", "th", F.lit(None).cast("array<int>").alias("lines"), "line")
+    lines, ranks = surveyed(slim)
+    own = lines.withColumn("line", F.lit(None).cast("int"))
+    kept = kept_lines(slim, ranks, similarity).select("doc_id", "th", F.lit(None).cast("array<int>").alias("lines"), "line")
     return own.unionByName(kept).groupBy("doc_id", "th").agg(
         F.count("lines").alias("copies"), F.first("lines", True).alias("lines"), F.collect_list("line").alias("stay")
     )
