@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import tails
 from tidemark.functions.digamma import digamma
@@ -78,6 +79,31 @@ def test_store_round_trip(spark):
     assert not store.exists(spark, "t_bars")
 
 
+@pytest.mark.parametrize("kind", ["logistic", "boosted"])
+def test_classifiers_fit_after_an_ingest_and_an_observation(spark, kind):
+    from pyspark.sql import Observation
+
+    store.create(spark, "t_before_fit", store.OHLCV, ["asset", "timeframe"])
+    batch = spark.createDataFrame([("x", "1h", T0, 1, 1, 1, 1, 1.0)], "asset string, timeframe string, timestamp timestamp, open int, high int, low int, close int, volume double")
+    assert store.ingest(batch.select(*[batch[f.name].cast(f.dataType) for f in store.OHLCV]), "t_before_fit", store.CANDLE_KEY, ("asset", "timeframe")) == 1
+    store.drop(spark, "t_before_fit")
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    x = spark.range(200).selectExpr("CAST(id % 10 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "IF(id % 10 > 4, 1, -1) AS y").withColumn("a", F.when(F.col("a") != 9, F.col("a")))
+    got = models.classify(x, x, ["a", "b"], kind).collect()
+    assert len(got) == 180 and all((r["p_up"] >= 0.5) == (r["y"] == 1) == (r["pred"] == 1) for r in got)
+
+
+def test_logistic_column_equals_the_fitted_model(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.linalg import Vectors
+
+    x = spark.range(300).selectExpr("id", "CAST(id % 13 AS DOUBLE) AS a", "CAST((id * 7) % 11 AS DOUBLE) AS b", "CAST((id * 5) % 13 > 6 AS DOUBLE) AS label")
+    m = Pipeline(stages=[models._features(["a", "b"]), models.classifier("logistic", 300)]).fit(x)
+    got = x.select("a", "b", models.logistic_column(m.stages[-1], ["a", "b"]).alias("p")).collect()
+    assert all(math.isclose(m.stages[-1].predictProbability(Vectors.dense([r["a"], r["b"]]))[1], r["p"], rel_tol=1e-12) for r in got)
+
+
 def test_resample_breaks_ties_by_sequence(spark):
     t = spark.createDataFrame([("a", T0, 2, 5.0, 1), ("a", T0, 1, 3.0, 1)], "asset string, timestamp timestamp_ntz, seq long, price double, size long")
     r = resample(t).first()

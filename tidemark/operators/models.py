@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import ordered
@@ -32,12 +32,25 @@ def classifier(kind: str, rows: int, seed: int = 42):
     raise ValueError(kind)
 
 
+def logistic_column(model, names: list[str]) -> Column:
+    """The probability of label 1 as a column. A fitted logistic model's summary holds the session, which does not always travel
+    to executors (not once an Observation has been made); its coefficients do."""
+    score = F.lit(float(model.intercept))
+    for c, w in zip(names, model.coefficients.toArray()):
+        score = score + F.lit(float(w)) * F.col(c)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
+
+
 def classify(train: DataFrame, test: DataFrame, names: list[str], kind: str = "logistic") -> DataFrame:
     """test with pred (1, -1) and confidence (the larger probability). train has y in {1, -1}."""
     data = train.withColumn("label", (F.col("y") == 1).cast("double"))
     model = Pipeline(stages=[_features(names), classifier(kind, data.count())]).fit(data)
-    p = vector_to_array("probability")[1]
-    out = model.transform(test).withColumn("p_up", p)
+    if kind == "logistic":
+        for c in names:
+            test = test.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+        out = test.withColumn("p_up", logistic_column(model.stages[-1], names))
+    else:
+        out = model.transform(test).withColumn("p_up", vector_to_array("probability")[1])
     out = out.withColumns({"pred": F.when(F.col("p_up") >= 0.5, 1).otherwise(-1), "confidence": F.greatest("p_up", 1 - F.col("p_up"))})
     return out.select(*test.columns, "p_up", "pred", "confidence")
 
@@ -55,8 +68,8 @@ def calibrated(train: DataFrame, test: DataFrame, names: list[str], method: str
         m = IsotonicRegression(featuresCol="p_up", labelCol="label", predictionCol="__p").fit(lab.withColumn("weight", F.lit(1.0)))
         out = m.transform(raw)
     else:
-        m = Pipeline(stages=[VectorAssembler(inputCols=["p_up"], outputCol="__s"), LogisticRegression(featuresCol="__s", labelCol="label", probabilityCol="__pp", rawPredictionCol="__rp", predictionCol="__pr")]).fit(lab)
-        out = m.transform(raw).withColumn("__p", vector_to_array("__pp")[1])
+        m = Pipeline(stages=[VectorAssembler(inputCols=["p_up"], outputCol="__s"), LogisticRegression(featuresCol="__s", labelCol="label")]).fit(lab)
+        out = raw.withColumn("__p", logistic_column(m.stages[-1], ["p_up"]))
     p = F.col("__p")
     return out.withColumns({"p_up": p, "pred": F.when(p >= 0.5, 1).otherwise(-1), "confidence": F.greatest(p, 1 - p)}).select(*raw.columns)
 

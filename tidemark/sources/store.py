@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import discard, materialize
+
 _MONEY = T.DecimalType(18, 8)
 OHLCV = T.StructType(
     [T.StructField("asset", T.StringType()), T.StructField("timeframe", T.StringType()), T.StructField("timestamp", T.TimestampType())]
@@ -51,9 +53,10 @@ def fresh(batch: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequen
 
 
 def ingest(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -> int:
-    """Append the fresh rows of batch to table `name`, partitioned by `by`; the number of rows added, counted as they are written.
+    """Append the fresh rows of batch to table `name`, partitioned by `by`; the number of rows added.
 
-    Only the stored rows of the batch's partitions and span of the key's last column are read.
+    Only the stored rows of the batch's partitions and span of the key's last column are read. The fresh rows are written to
+    the shared folder first: they are then one fixed set of rows, which is counted and appended.
     """
     spark = batch.sparkSession
     stored, at = spark.table(name), key[-1]
@@ -61,10 +64,12 @@ def ingest(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -
     if low is None:
         return 0
     near = stored.filter(F.col(at).between(F.lit(low), F.lit(high))).join(batch.select(*by).distinct(), list(by), "left_semi")
-    seen = Observation()
-    rows = fresh(batch, near, key).select(*stored.columns).observe(seen, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("append").insertInto(name)
-    return seen.get["n"]
+    rows = materialize(fresh(batch, near, key).select(*stored.columns))
+    added = rows.count()
+    if added:
+        rows.write.mode("append").insertInto(name)
+    discard(rows)
+    return added
 
 
 def ingest_parquet(spark: SparkSession, path: str, asset: str, timeframe: str, name: str) -> int:
