@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import tails
 from tidemark.functions.digamma import digamma
 from tidemark.operators import backtest, bars, cv, models, profiling, targets, thresholds, validation
-from tidemark.sources import rest, store
+from tidemark.sources import store
 from tidemark.sources.tables import resample
 from tidemark.streaming import twins
 
@@ -179,19 +179,6 @@ def test_thresholds():
     assert 0 < thresholds.deflated_sharpe(0.1, 500, 10) < 1
 
 
-def test_rest_pages_retry_and_stop(spark):
-    calls = []
-
-    def call(cursor):
-        calls.append(cursor)
-        if len(calls) == 1:
-            raise rest.RateLimited
-        return [[cursor, "1", "2", "0.5", "1.5", "10"]] if cursor < 3000 else []
-
-    df = rest.fetch(spark, call, 0, 10_000, 1000, pause=lambda s: None)
-    assert df.count() == 3 and str(df.first()["open"]) == "1.00000000"
-
-
 def test_streams(spark, tmp_path):
     rows = [("a", T0 + timedelta(minutes=10 * i), i, float(i), 1) for i in range(60)]
     t = spark.createDataFrame(rows, "asset string, timestamp timestamp, seq long, price double, size long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import log, pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,3 +41,91 @@ def chi2_sf(x: Column, k: Column) -> Column:
     total = F.aggregate(terms, F.struct(first.alias("term"), first.alias("sum")).cast(kind), step, lambda acc: acc["sum"])
     tail = 2 * (1 - norm_cdf(F.sqrt(2 * half)))
     return F.when(odd == 0, F.exp(-half) * total).when(k == 1, tail).otherwise(tail + F.exp(-half) * total)
+
+
+def log_gamma(x: Column) -> Column:
+    """ln gamma(x) for x > 0: Stirling's series at x + 8, and the product that leads back."""
+    y = x + 8.0
+    # Bernoulli numbers over 2k (2k - 1)
+    terms = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+    series, inverse = F.lit(0.0), 1 / (y * y)
+    for c in reversed(terms):
+        series = series * inverse + F.lit(c)
+    back = x
+    for k in range(1, 8):
+        back = back * (x + float(k))
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * log(2 * pi)) + series / y - F.log(back)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function by Lentz's recurrence: a fold with as many steps as the larger
+    parameter's root asks for, which stops moving once it has converged."""
+    kind = "struct<c:double,d:double,h:double>"
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")).cast(kind)
+
+    def half(acc: Column, n: Column) -> Column:
+        d = 1 / safe(1 + n * acc["d"])
+        c = safe(1 + n / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h")).cast(kind)
+
+    def step(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return half(acc, F.when(k % 2 == 0, even).otherwise(odd))
+
+    # k = 2, 3, 4, ... takes the even term of m = 1, its odd one, the even one of m = 2, ...
+    steps = F.least(F.ceil(80 + 6 * F.sqrt(F.greatest(a, b))), F.lit(20_000)).cast("int")
+    return F.aggregate(F.sequence(F.lit(2), 1 + 2 * steps), start, lambda acc, k: step(acc, k), lambda acc: acc["h"])
+
+
+def beta_inc(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b), 0 below x = 0 and 1 above x = 1."""
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, at = F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b), F.when(turned, 1 - x).otherwise(x)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / p
+    value = front * _fraction(p, q, at)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(turned, 1 - value).otherwise(value))
+
+
+def t_sf(t: Column, v: Column) -> Column:
+    """Upper tail of Student's t with v degrees of freedom."""
+    v = v.cast("double")
+    half = 0.5 * beta_inc(v / 2, F.lit(0.5), v / (v + t * t))
+    return F.when(t >= 0, half).otherwise(1 - half)
+
+
+def f_sf(f: Column, a: Column, b: Column) -> Column:
+    """Upper tail of F with a and b degrees of freedom."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(f > 0, beta_inc(b / 2, a / 2, b / (b + a * f))).otherwise(1.0)
+
+
+def t_ppf(p: Column, v: Column, steps: int = 30) -> Column:
+    """Quantile of Student's t with v degrees of freedom, 0 < p < 1.
+
+    With t = sqrt(v) tan(angle) the quantile is an angle in (-pi/2, pi/2). Newton's steps start at the median and keep a
+    bracket around the root; one that would leave it halves the bracket instead.
+    """
+    v = v.cast("double")
+    scale = F.exp(log_gamma((v + 1) / 2) - log_gamma(v / 2)) / F.lit(pi**0.5)
+    kind = "struct<low:double,high:double,at:double>"
+    start = F.struct(F.lit(-pi / 2).alias("low"), F.lit(pi / 2).alias("high"), F.lit(0.0).alias("at")).cast(kind)
+
+    def step(acc: Column, _: Column) -> Column:
+        tail = 0.5 * beta_inc(v / 2, F.lit(0.5), F.pow(F.cos(acc["at"]), F.lit(2.0)))
+        over = F.when(acc["at"] >= 0, 1 - tail).otherwise(tail) - p
+
+        def moved(over: Column) -> Column:
+            low, high = F.when(over < 0, acc["at"]).otherwise(acc["low"]), F.when(over < 0, acc["high"]).otherwise(acc["at"])
+            newton = acc["at"] - F.try_divide(over, scale * F.pow(F.cos(acc["at"]), v - 1))
+            inside = (newton >= low) & (newton <= high)
+            return F.struct(low.alias("low"), high.alias("high"), F.when(inside, newton).otherwise((low + high) / 2).alias("at")).cast(kind)
+
+        return F.element_at(F.transform(F.array(over), moved), 1)
+
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["at"])
+    return F.sqrt(v) * F.tan(angle)

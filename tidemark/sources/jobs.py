@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import time
+import uuid
 from collections.abc import Callable
 from itertools import product
 
@@ -10,36 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from . import store
-from .rest import fetch
+from . import paged, store
+from .paged import INTERVALS
 
-#: Milliseconds of a timeframe.
-INTERVALS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "4h": 14_400_000, "1d": 86_400_000}
 #: Thresholds that a bar type has unless another is given.
 THRESHOLDS = {"tick": 1000.0, "volume": 1000.0, "dollar": 1_000_000.0, "tick_imbalance": 100.0, "volume_imbalance": 1000.0, "dollar_imbalance": 1_000_000.0, "tick_run": 100.0, "volume_run": 1000.0, "dollar_run": 1_000_000.0}
 
 Call = Callable[[str, str, int], list[list]]
 
 
+class Paging:
+    """A transport of a call without a page size: call(asset, timeframe, cursor) gives a page."""
+
+    def __init__(self, call: Call):
+        self.call = call
+
+    def __call__(self, asset: str, timeframe: str, open_ms: int, limit: int) -> list[list]:
+        return self.call(asset, timeframe, open_ms)
+
+
 def ingest_asset(spark: SparkSession, call: Call, name: str, asset: str, timeframe: str, start_ms: int, end_ms: int, incremental: bool = False, **kw) -> int:
-    """Fetch one asset's candles and insert those whose key is new; the number added, 0 if nothing is fetched.
+    """ingest_universe() of one asset and timeframe: the number of candles added."""
+    return ingest_universe(spark, call, name, [asset], [timeframe], start_ms, end_ms, incremental, **kw)[asset, timeframe]
+
+
+def ingest_universe(
+    spark: SparkSession, call: Call, name: str, assets: list[str], timeframes: list[str], start_ms: int, end_ms: int, incremental: bool = False, pause: Callable[[float], None] = time.sleep, **options
+) -> dict[tuple[str, str], int]:
+    """Page in the candles of all assets and timeframes in one plan and insert those whose key is new; the number added for each.
 
-    call(asset, timeframe, cursor) gives a page. incremental: from the stored maximum less a second, if that is later.
+    Tasks page through assets and slices of time side by side, and candles go from them to the table. incremental: each
+    pair from its stored maximum less a second, if that is later; a pair that is stored to end_ms is not asked for.
     """
+    starts = dict.fromkeys(product(assets, timeframes), start_ms)
     if incremental:
-        own = spark.table(name).filter((F.col("asset") == asset) & (F.col("timeframe") == timeframe))
-        top = own.agg(F.max(F.unix_millis(F.col("timestamp").cast("timestamp")))).first()[0]
-        start_ms = max(start_ms, top - 1000) if top is not None else start_ms
-        if start_ms >= end_ms:
-            return 0
-    got = fetch(spark, lambda cursor: call(asset, timeframe, cursor), start_ms, end_ms, INTERVALS[timeframe], **kw)
-    rows = got.withColumns({"asset": F.lit(asset), "timeframe": F.lit(timeframe)})
-    return store.ingest(rows, name, store.CANDLE_KEY, ("asset", "timeframe"))
-
-
-def ingest_universe(spark: SparkSession, call: Call, name: str, assets: list[str], timeframes: list[str], start_ms: int, end_ms: int, incremental: bool = False, **kw) -> dict[tuple[str, str], int]:
-    """ingest_asset() for each asset and timeframe in turn, as a paged source is read in turn."""
-    return {(a, t): ingest_asset(spark, call, name, a, t, start_ms, end_ms, incremental, **kw) for a, t in product(assets, timeframes)}
+        own = spark.table(name).filter(F.col("asset").isin(assets) & F.col("timeframe").isin(timeframes))
+        top = own.groupBy("asset", "timeframe").agg(F.max(F.unix_millis(F.col("timestamp").cast("timestamp"))).alias("ms"))
+        starts |= {(a, t): max(start_ms, ms - 1000) for a, t, ms in top.collect()}
+    done = dict.fromkeys(starts, 0)
+    if any(ms < end_ms for ms in starts.values()):
+        source = f"tidemark_pages_{uuid.uuid4().hex}"
+        paged.register(spark, source, Paging(call), pause)
+        got = paged.candles(spark, source, assets, timeframes, starts, end_ms, **options)
+        done |= store.ingest_by(got, name, store.CANDLE_KEY, ("asset", "timeframe"))
+    return done
 
 
 def aggregate(candles: DataFrame, bar_types: list[str], threshold: float = 0.0) -> dict[str, DataFrame]:

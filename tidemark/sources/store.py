@@ -52,26 +52,32 @@ def fresh(batch: DataFrame, stored: DataFrame, key: Sequence[str], order: Sequen
     return first.join(stored.select(*key), list(key), "left_anti").select(*batch.columns)
 
 
-def ingest(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -> int:
-    """Append the fresh rows of batch to table `name`, partitioned by `by`; the number of rows added.
+def ingest_by(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -> dict[tuple, int]:
+    """Append the fresh rows of batch to table `name`, partitioned by `by`; the number of rows added to each of its partitions.
 
-    Only the stored rows of the batch's partitions and span of the key's last column are read. The fresh rows are written to
-    the shared folder first: they are then one fixed set of rows, which is counted and appended.
+    The batch, and then its fresh rows, are written to the shared folder first: they are fixed sets of rows, and a source is
+    read once. Only the stored rows of the batch's partitions and span of the key's last column are read.
     """
-    spark = batch.sparkSession
-    stored, at = spark.table(name), key[-1]
-    low, high = batch.agg(F.min(at), F.max(at)).first()
+    fixed = materialize(batch)
+    stored, at = batch.sparkSession.table(name), key[-1]
+    low, high = fixed.agg(F.min(at), F.max(at)).first()
     if low is None:
-        return 0
-    near = stored.filter(F.col(at).between(F.lit(low), F.lit(high))).join(batch.select(*by).distinct(), list(by), "left_semi")
-    rows = materialize(fresh(batch, near, key).select(*stored.columns))
-    added = rows.count()
+        discard(fixed)
+        return {}
+    near = stored.filter(F.col(at).between(F.lit(low), F.lit(high))).join(fixed.select(*by).distinct(), list(by), "left_semi")
+    rows = materialize(fresh(fixed, near, key).select(*stored.columns))
+    added = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*by).count().collect()}
     if added:
         rows.write.mode("append").insertInto(name)
-    discard(rows)
+    discard(fixed, rows)
     return added
 
 
+def ingest(batch: DataFrame, name: str, key: Sequence[str], by: Sequence[str]) -> int:
+    """ingest_by() in all."""
+    return sum(ingest_by(batch, name, key, by).values())
+
+
 def ingest_parquet(spark: SparkSession, path: str, asset: str, timeframe: str, name: str) -> int:
     rows = spark.read.parquet(path).select(F.lit(asset).alias("asset"), F.lit(timeframe).alias("timeframe"), "timestamp", *[F.col(c).cast(_MONEY) for c in ("open", "high", "low", "close")], F.col("volume").cast("double"))
     return ingest(rows, name, CANDLE_KEY, ("asset", "timeframe"))
