@@ -33,7 +33,7 @@ def label_indicator(spark, d):
     return O.indicator(_labels(spark, d)).groupBy("asset", "label").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-@query("label_concurrency", _LAB + ", c AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2) SELECT asset, CAST(t AS DOUBLE) AS t, n AS alive FROM c")
+@query("label_concurrency", _LAB + ", al AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2) SELECT asset, CAST(t AS DOUBLE) AS t, n AS alive FROM al")
 def label_concurrency(spark, d):
     """Column sums of the indicator matrix, from the labels' ends alone."""
     steps = O.concurrency(_labels(spark, d)).filter("alive > 0")
@@ -41,7 +41,7 @@ def label_concurrency(spark, d):
     return steps.select("asset", at.alias("t"), "alive").withColumn("t", F.col("t").cast("double"))
 
 
-@query("label_uniqueness", _LAB + ", c AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2) SELECT o.asset, label, round(avg(1.0::DOUBLE / n), 9) AS uniqueness FROM o JOIN c ON c.asset = o.asset AND c.t = o.t GROUP BY 1, 2")
+@query("label_uniqueness", _LAB + ", al AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2) SELECT o.asset, label, round(avg(1.0::DOUBLE / n), 9) AS uniqueness FROM o JOIN al ON al.asset = o.asset AND al.t = o.t GROUP BY 1, 2")
 def label_uniqueness(spark, d):
     return rounded(O.uniqueness(_labels(spark, d)), places=9)
 
@@ -52,7 +52,7 @@ def label_weights_subsample(spark, d):
 
 
 @query("label_weights", f"""WITH {FE}, p AS (SELECT asset, row_number() OVER ({T0}) - 1 AS pos FROM x), o AS (SELECT asset, pos, unnest(generate_series(pos, pos + 23)) AS t FROM p),
-c AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2), w AS (SELECT o.asset, pos, avg(1.0::DOUBLE / n) AS w FROM o JOIN c ON c.asset = o.asset AND c.t = o.t GROUP BY 1, 2)
+al AS (SELECT asset, t, count(*) AS n FROM o GROUP BY 1, 2), w AS (SELECT o.asset, pos, avg(1.0::DOUBLE / n) AS w FROM o JOIN al ON al.asset = o.asset AND al.t = o.t GROUP BY 1, 2)
 SELECT asset, count(*) AS n_raw, round(sum(w) * sum(w) / sum(w * w), 6) AS n_eff FROM w GROUP BY 1""")
 def label_weights(spark, d):
     return rounded(O.weights(candles(spark, d), 24)[1])
