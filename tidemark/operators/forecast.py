@@ -283,16 +283,3 @@ def majority(df: DataFrame, by: list[str]) -> DataFrame:
 
 def persistence(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by("y", "timestamp").alias("pred"), F.lit(0.5).alias("confidence"))
-
-
-def diebold_mariano(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(asset, dm): mean loss difference by its Newey-West deviation with n^(1/3) lags (12 at most are looked at)."""
-    d = df.withColumn("__x", F.col(a) - F.col(b)).filter("__x IS NOT NULL")
-    d = d.withColumn("__d", F.col("__x") - F.avg("__x").over(Window.partitionBy("asset")))
-    d = d.withColumns({f"__p{k}": F.col("__d") * F.lag("__d", k).over(ordered()) for k in range(1, 13)})
-    s = d.groupBy("asset").agg(F.avg("__x").alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("v"), *[F.sum(f"__p{k}").alias(f"p{k}") for k in range(1, 13)])
-    h = F.floor(F.pow(F.col("n").cast(D), F.lit(1 / 3)) + 1e-9)
-    lrv = F.col("v") / F.col("n")
-    for k in range(1, 13):
-        lrv = lrv + F.when(h >= k, 2 * (1 - k / (h + 1)) * F.col(f"p{k}") / F.col("n")).otherwise(0.0)
-    return s.select("asset", F.when(lrv > 0, F.col("m") / F.sqrt(lrv / F.col("n"))).alias("dm"))

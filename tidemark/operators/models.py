@@ -12,7 +12,6 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ordered
 from .profiling import garch_fit
 
 
@@ -146,23 +145,6 @@ def quantile_forecast(df: DataFrame, names: list[str], train_share: float = 0.7)
     return df.select("asset", "timestamp", *names, "actual").groupBy("asset").applyInPandas(one, f"asset string, timestamp {kind}, {', '.join(f'{c} double' for c in cols)}, std double")
 
 
-def har_forecast(df: DataFrame, rv: str = "rv", train_share: float = 0.7) -> DataFrame:
-    """(asset, timestamp, predicted_vol): OLS on the means of the last 1, 5 and 22 values; the prediction is read as a
-    variance, 1e-12 at least, and its root is returned."""
-    mean = lambda n: F.when(F.count(rv).over(ordered().rowsBetween(-n, -1)) >= n, F.avg(rv).over(ordered().rowsBetween(-n, -1)))
-    x = df.select("asset", "timestamp", F.col(rv).alias("y"), mean(1).alias("a"), mean(5).alias("b"), mean(22).alias("c")).dropna()
-    kind = df.schema["timestamp"].dataType.simpleString()
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp", kind="stable")
-        m = np.column_stack([np.ones(len(g)), g[["a", "b", "c"]].to_numpy(float)])
-        cut = int(len(g) * train_share)
-        w = np.linalg.lstsq(m[:cut], g["y"].to_numpy(float)[:cut], rcond=None)[0]
-        return pd.DataFrame({"asset": key[0], "timestamp": g["timestamp"].to_numpy()[cut:], "predicted_vol": np.sqrt(np.maximum(m[cut:] @ w, 1e-12))})
-
-    return x.groupBy("asset").applyInPandas(one, f"asset string, timestamp {kind}, predicted_vol double")
-
-
 def garch_forecast(df: DataFrame, ret: str = "ret", horizon: int = 5) -> DataFrame:
     """(asset, step, variance): the GARCH(1,1) variance of the next `horizon` rows."""
 
@@ -211,16 +193,6 @@ def bootstrap_mean(df: DataFrame, c: str, resamples: int = 1000, level: float =
     return df.groupBy("asset").agg(F.avg(c).alias("mean")).join(ci, "asset")
 
 
-def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], kind: str = "ridge") -> dict[str, float]:
-    """RMSE on test with all feature groups ("") and with each group left out."""
-    out = {}
-    for gone in ["", *groups]:
-        names = [c for g, cs in groups.items() if g != gone for c in cs]
-        got = regress(train, test, names, kind)
-        out[gone] = float(got.agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("reg_pred"), F.lit(2.0))))).first()[0])
-    return out
-
-
 class Boosted:
     """Gradient boosting of squared errors by trees over binned columns, grown level by level; for one group's rows."""
 

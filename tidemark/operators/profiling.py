@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..functions.tail_columns import t_ppf
 from ..functions.tail_columns import chi2_sf
 from ..functions.windows import lag, ordered
 from .recommend import pattern
@@ -159,18 +160,6 @@ def variance_ratio(x: np.ndarray, q: int) -> tuple[float, float]:
     return float(vr), float((vr - 1) / theta**0.5) if theta > 0 else float("nan")
 
 
-def granger_p(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """p of the F test that k lags of x add to k lags of y in explaining y."""
-    n = len(y) - k
-    if n <= 2 * k + 1:
-        return float("nan")
-    own = np.column_stack([np.ones(n), *[y[k - j : len(y) - j] for j in range(1, k + 1)]])
-    full = np.column_stack([own, *[x[k - j : len(x) - j] for j in range(1, k + 1)]])
-    rss = [float(((y[k:] - a @ np.linalg.lstsq(a, y[k:], rcond=None)[0]) ** 2).sum()) for a in (own, full)]
-    df = n - 2 * k - 1
-    return tails.f_sf((rss[0] - rss[1]) / k / (rss[1] / df), k, df) if rss[1] > 0 else float("nan")
-
-
 def ols(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Coefficients, residuals and residual sum of squares of y on the columns of a."""
     w = np.linalg.lstsq(a, y, rcond=None)[0]
@@ -504,10 +493,13 @@ def probit(p: Column) -> Column:
     return F.when(p < 0.02425, horner(c, low) / horner(d, low)).when(p > 1 - 0.02425, -horner(c, high) / horner(d, high)).otherwise(mid)
 
 
-def qq_student(x: np.ndarray, fit: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(theoretical, ordered): quantiles of the fitted t at Blom's positions (i - 0.375) / (n + 0.25)."""
-    p = (np.arange(1, len(x) + 1) - 0.375) / (len(x) + 0.25)
-    return np.array([fit["loc"] + fit["scale"] * tails.t_ppf(float(v), fit["nu"]) for v in p]), np.sort(x)
+def qq_student(df: DataFrame, fits: DataFrame, c: str = "ret", by: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """(by, p, theoretical, ordered): quantile data of the t with fits(by, nu, loc, scale) at Blom's positions (i - 0.375) / (n + 0.25)."""
+    x = df.filter(F.col(c).isNotNull())
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    p = (F.row_number().over(Window.partitionBy(*by).orderBy(c)) - 0.375) / (n + 0.25)
+    x = x.select(*by, p.alias("p"), F.col(c).alias("ordered")).join(fits.select(*by, "nu", "loc", "scale"), list(by))
+    return x.select(*by, "p", (F.col("loc") + F.col("scale") * t_ppf(F.col("p"), F.col("nu"))).alias("theoretical"), "ordered")
 
 
 def bars_per_day(df: DataFrame) -> DataFrame:

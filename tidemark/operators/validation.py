@@ -194,15 +194,3 @@ def validate(df: DataFrame, names: list[str], y: str, windows: list[tuple[str, s
     long = df.unpivot(["asset", "timestamp", y], names, "feature", "x").withColumnRenamed(y, "y")
     report = permutation_tests(long, permutations, block, ridge=ridge).join(stability(long, windows, stable, block=block), ["asset", "feature"])
     return keep(report, least=least).withColumn("group", group_of(F.col("feature"))), interactions(df, names, y)
-
-
-def vif(df: DataFrame, names: list[str]) -> dict[str, float]:
-    """Variance inflation: the diagonal of the inverse correlation matrix, which comes from one aggregate."""
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = clean.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    m = np.eye(len(names))
-    for i, (a, b) in enumerate(pairs):
-        m[names.index(a), names.index(b)] = m[names.index(b), names.index(a)] = row[str(i)]
-    d = np.diag(np.linalg.pinv(m))
-    return {c: float("inf") if v > 1e10 else float(v) for c, v in zip(names, d)}

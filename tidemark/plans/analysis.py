@@ -13,6 +13,7 @@ from ..functions import tails
 from ..functions import windows as W
 from ..operators import bars as B
 from ..operators import forecast as FC
+from ..operators import linear as LN
 from ..operators import indicators as I
 from ..operators import profiling as P
 from ..operators import research as RS
@@ -167,18 +168,11 @@ _kernel("stat_ks_normal", lambda x: dict(zip(("ks", "p"), P.ks_normal(x))), "ks
 @query("stat_granger")
 def stat_granger(spark, d):
     """p of every ordered pair of assets at lags 1, 2, 4 and 8, on daily mean returns. The pairs are the result, so it grows with
-    the square of the number of assets; a pair's two series are one task."""
+    the square of the number of assets."""
     daily = _ret(spark, d).groupBy("asset", F.date_trunc("day", "timestamp").alias("day")).agg(F.avg("ret").alias("x"))
     a, b = (daily.select(F.col("asset").alias(k), "day", F.col("x").alias(f"x{k}")) for k in "ab")
-    both = a.join(b, "day").filter("a <> b")
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("day").dropna()
-        x, y = g["xa"].to_numpy(float), g["xb"].to_numpy(float)
-        lags = [1, 2, 4, 8]
-        return pd.DataFrame({"cause": key[0], "effect": key[1], "lag": lags, "p": [float(np.round(P.granger_p(x, y, k), 9)) for k in lags]})
-
-    return both.groupBy("a", "b").applyInPandas(one, "cause string, effect string, lag int, p double")
+    got = LN.granger(a.join(b, "day").filter("a <> b"), "xa", "xb", [1, 2, 4, 8], ["a", "b"], "day")
+    return got.select(F.col("a").alias("cause"), F.col("b").alias("effect"), "lag", F.round("p", 9).alias("p"))
 
 
 # -- forecast evaluation: directions from the slope, outcomes from the next row ------------------------------------------
@@ -335,13 +329,13 @@ def har_features(spark, d):
 
 
 _DMK = ", ".join(f"dd * lag(dd, {k}) OVER ({T0}) AS p{k}" for k in range(1, 13))
-_LRV = "sum(dd * dd) / count(*)" + "".join(f" + CASE WHEN floor(pow(count(*), {1 / 3!r}) + 1e-9) >= {k} THEN 2 * (1 - {k} / (floor(pow(count(*), {1 / 3!r}) + 1e-9) + 1)) * sum(p{k}) / count(*) ELSE 0.0 END" for k in range(1, 13))
+_LRV = "sum(dd * dd) / count(*)" + "".join(f" + CASE WHEN floor(pow(count(*), {1 / 3!r})) >= {k} THEN 2 * (1 - {k} / (floor(pow(count(*), {1 / 3!r})) + 1)) * sum(p{k}) / count(*) ELSE 0.0 END" for k in range(1, 13))
 
 
 @query("dm_test", f"WITH {_EV}, l AS (SELECT asset, timestamp, pow(actual - predicted, 2) - pow(actual, 2) AS x FROM ev), dl AS (SELECT *, x - avg(x) OVER (PARTITION BY asset) AS dd FROM l), pk AS (SELECT *, {_DMK} FROM dl), v AS (SELECT asset, avg(x) AS m, count(*) AS n, {_LRV} AS lrv FROM pk GROUP BY 1) SELECT asset, round(CASE WHEN lrv > 0 THEN m / sqrt(lrv / n) END, 6) AS dm FROM v")
 def dm_test(spark, d):
     e = _eval(spark, d).withColumns({"la": F.pow(F.col("actual") - F.col("predicted"), F.lit(2.0)), "lb": F.pow("actual", F.lit(2.0))})
-    return rounded(FC.diebold_mariano(e, "la", "lb"))
+    return rounded(LN.diebold_mariano(e, "la", "lb", ["asset"]).select("asset", "dm"))
 
 
 # -- research ------------------------------------------------------------------------------------------------------------

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import linear as LN
 from ..operators import overlap as O
+from ..operators import profiling as P
+from ..operators import recommend as RC
 from ..operators import strategies as ST
 from ..sources import paged
 from ..sources import store as S
 from ..sources.shared import materialize
+from ..functions import windows as W
 from ..sources.tables import candles
 from .market import C, T0, query, rounded
-from .trading import FE, _features
+from .analysis import LR, _ret
+from .trading import FE, _features, _outputs
 
 # -- overlapping labels --------------------------------------------------------------------------------------------------
 
@@ -85,3 +90,51 @@ def paged_source(spark, d):
     # the last page may reach past the end
     got = got.filter(F.unix_millis("timestamp") < _JAN[1])
     return got.select("asset", "timeframe", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+# -- linear systems ------------------------------------------------------------------------------------------------------
+
+_VIF = f"""WITH {FE}, v AS (SELECT asset, rv AS a, slope AS b, atr AS c FROM x WHERE rv IS NOT NULL AND slope IS NOT NULL AND atr IS NOT NULL),
+co AS (SELECT asset, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM v GROUP BY 1), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM co)"""
+
+
+@query("vif", _VIF + " " + " UNION ALL ".join(f"SELECT asset, '{f}' AS feature, round((1 - {r} * {r}) / det, 6) AS vif FROM d" for f, r in (("rv", "bc"), ("slope", "ac"), ("atr", "ab"))))
+def vif(spark, d):
+    return rounded(LN.vif(_features(spark, d), ["rv", "slope", "atr"]))
+
+
+def _reco(spark, d):
+    """Recommender features of each bar with the return of the next one."""
+    o = _outputs(spark, d)
+    key = ["asset", "timestamp"]
+    clf = RC.classifier_features(o.select(*key, "clf_direction", "clf_confidence", "clf_correct"))
+    reg = o.select(*key, "reg_predicted_return", F.col("rv").alias("reg_prediction_std"))
+    vol = RC.vol_features(o.select(*key, "vol_predicted", "vol_actual"))
+    x = RC.rolling_entropy(RC.vol_regime(RC.combined_features(RC.features(o.select(*key, "close", "ret"), clf=clf, reg=reg, vol=vol))))
+    return x.withColumn("actual", F.try_divide(W.lead("close", 1), F.col("close")) - 1)
+
+
+ABLATED = ["clf_direction", "clf_confidence", "clf_rolling_accuracy", "forecast_agreement", "conviction_score", "reg_predicted_return", "reg_prediction_std", "vol_regime", "rolling_perm_entropy"]
+
+
+@query("ablation")
+def ablation(spark, d):
+    """What each group of recommender features adds to a ridge on all: fitted up to 22 January, tested on the days after."""
+    x = _reco(spark, d)
+    cut = F.lit("2024-01-22").cast("timestamp_ntz")
+    return rounded(LN.ablation(x.filter(F.col("timestamp") < cut), x.filter(F.col("timestamp") >= cut), ABLATED))
+
+
+@query("qq_student", f"WITH {LR}, o AS (SELECT asset, ret, row_number() OVER (PARTITION BY asset ORDER BY ret) AS i, count(*) OVER (PARTITION BY asset) AS n FROM lr WHERE ret IS NOT NULL), b AS (SELECT asset, ret, (i - 0.375::DOUBLE) / (n + 0.25) AS p FROM o), m AS (SELECT asset, avg(ret) AS loc, stddev_samp(ret) AS s FROM lr GROUP BY 1) SELECT b.asset, round(p, 9) AS p, round(loc + s * (2 * p - 1) / sqrt(2 * p * (1 - p)), 6) AS theoretical, round(ret, 9) AS ordered FROM b JOIN m ON m.asset = b.asset")
+def qq_student(spark, d):
+    """Quantile data of the t with two degrees of freedom, whose quantiles have a closed form."""
+    r = _ret(spark, d)
+    fits = r.groupBy("asset").agg(F.lit(2.0).alias("nu"), F.avg("ret").alias("loc"), F.stddev_samp("ret").alias("scale"))
+    return P.qq_student(r, fits).select("asset", F.round("p", 9).alias("p"), F.round("theoretical", 6).alias("theoretical"), F.round("ordered", 9).alias("ordered"))
+
+
+@query("qq_student_fitted")
+def qq_student_fitted(spark, d):
+    """Quantile data of each asset's own fit."""
+    fits = P.kernel(_ret(spark, d), "ret", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double, bic_t double, bic_normal double")
+    return rounded(P.qq_student(_ret(spark, d), fits), places=9)

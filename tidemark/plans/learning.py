@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..operators import linear as LN
 from ..operators import models as MD
 from ..operators import validation as V
 from .analysis import _eval
@@ -51,7 +52,7 @@ def model_quantile(spark, d):
 
 @query("model_har")
 def model_har(spark, d):
-    return rounded(MD.har_forecast(_features(spark, d).filter("rv IS NOT NULL")))
+    return rounded(LN.har(_features(spark, d).filter("rv IS NOT NULL")))
 
 
 @query("model_garch_forecast")
