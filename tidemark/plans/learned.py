@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import linear as LN
@@ -11,10 +13,11 @@ from ..operators import recommend as RC
 from ..operators import strategies as ST
 from ..sources import paged
 from ..sources import store as S
-from ..sources.shared import materialize
+from ..sources.shared import materialize, shared_folder
 from ..functions import windows as W
 from ..sources.tables import candles
-from .market import C, T0, query, rounded
+from ..streaming import stateful as SF
+from .market import _THRESHOLD, C, SQL, T0, _bars_out, query, rounded
 from .analysis import LR, _ret
 from .trading import FE, _features, _outputs
 
@@ -138,3 +141,43 @@ def qq_student_fitted(spark, d):
     """Quantile data of each asset's own fit."""
     fits = P.kernel(_ret(spark, d), "ret", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double, bic_t double, bic_normal double")
     return rounded(P.qq_student(_ret(spark, d), fits), places=9)
+
+
+# -- streams -------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, df, copies: int):
+    """df's candles as a stream of `copies` files of about as many days; each starts a day before the last one ended."""
+    c = df.select("asset", F.col("timestamp").cast("timestamp").alias("timestamp"), *[F.col(x).cast("double").alias(x) for x in ("open", "high", "low", "close", "volume")])
+    low, high = (x.timestamp() for x in c.agg(F.min("timestamp"), F.max("timestamp")).first())
+    path = f"{shared_folder(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    step = (high - low) / copies
+    for nr in range(copies):
+        at = F.unix_seconds("timestamp")
+        part = c.filter((at >= low + nr * step - 86_400 * (nr > 0)) & (at <= low + (nr + 1) * step + 1))
+        part.coalesce(1).write.parquet(f"{path}/in/{nr:03d}")
+    # a row far ahead moves the watermark past all candles
+    end = c.limit(1).select(F.lit("~").alias("asset"), F.lit("2100-01-01").cast("timestamp").alias("timestamp"), *c.columns[2:])
+    end.coalesce(1).write.parquet(f"{path}/in/{copies:03d}")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
+    return stream, path
+
+
+def _ran(spark, out, path):
+    SF.run(out, f"{path}/out", f"{path}/state")
+    got = spark.read.schema(out.schema).parquet(f"{path}/out").filter("asset <> '~'")
+    return got.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in got.dtypes])
+
+
+@query("stream_insert_or_ignore", f"WITH {C} SELECT asset, timestamp, open, high, low, close, volume FROM c")
+def stream_insert_or_ignore(spark, d):
+    """Candles in overlapping files through a stream: each is kept once."""
+    stream, path = _stream(spark, candles(spark, d), 3)
+    return _ran(spark, SF.insert_or_ignore(stream, "2 days"), path)
+
+
+@query("stream_volume_bars", SQL["bars_volume"])
+def stream_volume_bars(spark, d):
+    """Volume bars of a stream of overlapping files, equal to the batch's."""
+    stream, path = _stream(spark, candles(spark, d), 3)
+    return _bars_out(_ran(spark, SF.bars(stream, "volume", _THRESHOLD["volume"], late="2 days"), path))
