@@ -235,7 +235,7 @@ def test_cutoffs_come_from_all_labels(spark, stage, monkeypatch):
     assert cut == 0.5
 
 
-def test_token_counts(spark, corpus):
+def test_token_counts(spark, corpus, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -247,6 +247,21 @@ def test_token_counts(spark, corpus):
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(t.encode()), n > 512)
     c = tokens.counter(path)
+    # texts of any script are counted by the proven set; only the other pieces are merged
+    other = ["Привет, мир! Это the end", "日本語のテキスト and 漢字", "🎉🎉 party 👩‍👩‍👧 ok", "مرحبا بالعالم 123", "naïve ─ box “quoted” text", "x" + "Ж" * 5000]
+    merged, tokenize = [], c.model.tokenize
+
+    class Model:
+        def tokenize(self, piece):
+            merged.append(piece)
+            return tokenize(piece)
+
+    monkeypatch.setattr(c, "model", Model())
+    for t in other:
+        merged.clear()
+        assert c.strange(t) and c(t) == len(lib.encode(t, add_special_tokens=False).ids)
+        pieces = [p for p, _ in c.lib.pre_tokenizer.pre_tokenize_str(t)]
+        assert merged == [p for p in pieces if len(tokenize(p)) != 1] and len(merged) < max(2, len(pieces))
     assert all(len(lib.encode(x, add_special_tokens=False).ids) == 1 for x in itertools.islice(c.whole, 0, None, 97))
 
 

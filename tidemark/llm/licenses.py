@@ -260,7 +260,7 @@ class Classifier:
         notices = [(t, k) for k, ts in enumerate(TEMPLATES.values()) for t in ts]
         known = tokens_of([t for t, _ in notices] + STRANGE + OTHER)
         self.vocabulary = np.unique(np.concatenate([known.h, known.pair_codes]))
-        filler = [w for t in prose + OTHER for w in t.split()][:20_000]
+        filler = [w for t in prose + OTHER for w in t.split()]
         cases: list[tuple[str, list[int]]] = []
         last = len(self.names) - 1
         for _ in range(copies):
@@ -390,11 +390,11 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
 
 
 def prose_of(docs: DataFrame, rows: int = PROSE) -> list[str]:
-    """Paragraphs of about `rows` documents, without those that a template matches."""
+    """The paragraphs of about `rows` documents, without those that a template matches: whole texts, by a hash of them."""
     slim = docs.select(text_of(docs).alias("text")).filter("length(text) > 0")
     n = slim.count()
     share = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, rows / max(n, 1))))
-    got = sorted(r[0] for r in slim.filter(share).select(F.substring("text", 1, 4000).alias("text")).distinct().limit(4 * rows).collect())
+    got = sorted(r[0] for r in slim.filter(share).select("text").distinct().collect())
     parts = [p for text in got for p in text.split("\n\n") if p.strip()]
     return [p for p in parts if not confirmed(tokens_of([p]).h)]
 
@@ -405,7 +405,7 @@ def scan(docs: DataFrame, prose: int = PROSE) -> DataFrame:
     Paragraphs are the lines of a whole text between lines without a letter or digit (comment marks are none, so wrapped
     notices are one). All are scored by the classifier, a very long one in stretches; templates confirm what it
     finds. A licence that has no family, or that no template confirms, is `unknown`. The classifier is trained when the
-    scan is planned, with the paragraphs (their first 4,000 characters) of about `prose` documents as plain prose. Null
+    scan is planned, with the paragraphs of about `prose` documents as plain prose. Null
     text is empty; score is 0 without licences; repeated rows are scanned each; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(Classifier(prose_of(docs, prose)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, hot_join, let, materialize, text_of
+from .common import BitMap, hot_join, hot_keys, let, materialize, text_of
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: The base patterns in a form that matches the same stretches without stepping back: runs are possessive, and a
@@ -18,8 +18,10 @@ PATTERNS = {
 }
 #: What a text must hold before a pattern is tried on it.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+"}
-#: A token that may be an identifier: 5 to 64 characters between gaps, one digit at least.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{0,63}[0-9])[^\x20\x09-\x0D]{5,64}(?![^\x20\x09-\x0D])"
+#: A token that may be an identifier: 5 characters or more between gaps, one digit at least.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]{5,}+"
+#: Two words and the gap behind them at the end of a line; tried at starts of words only, without stepping back.
+AHEAD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09]++[^\x20\x09-\x0D]++)[\x20\x09]++$"
 #: Bootstrapping: least number of distinct known instances of a pattern, least precision of a pattern, least score of an
 #: instance.
 SUPPORT, PRECISION, ACCEPT = 5, 0.8, 0.75
@@ -96,7 +98,7 @@ def told(spans: Column) -> Column:
 def context(before: Column) -> Column:
     """The two words ahead of a token on its line, lower case; null if there are fewer."""
     line = F.element_at(F.split(before, "\n"), -1)
-    return F.nullif(F.lower(F.regexp_extract(line, r"([^\x20\x09-\x0D]{1,40}[\x20\x09]+[^\x20\x09-\x0D]{1,40})[\x20\x09]+$", 1)), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(line, AHEAD, 1)), r"[\x20\x09]++", " "), F.lit(""))
 
 
 def bigrams(text: Column) -> Column:
@@ -108,9 +110,16 @@ def bigrams(text: Column) -> Column:
     return F.flatten(F.transform(F.split(F.lower(text), "\n"), lambda line: let(words(line), pairs)))
 
 
-def promoted(mentions: DataFrame, totals: DataFrame) -> DataFrame:
-    """Instances that trusted patterns discover. mentions: (pattern, instance, seed); totals: (pattern, total)."""
-    return scored(joined(mentions, totals))[0]
+def promoted(mentions: DataFrame, totals: DataFrame) -> tuple[DataFrame, list]:
+    """Instances that trusted patterns discover, and the hot ones of all. mentions: (pattern, instance, seed); totals: (pattern, total)."""
+    edges = joined(mentions, totals)
+    return scored(edges)[0], hot_instances(edges, "n")
+
+
+def hot_instances(edges: DataFrame, by: str | None = None) -> list:
+    """The instances with a large share of the edges, or of their mentions (by)."""
+    counts = edges.groupBy("instance").agg((F.count(F.lit(1)) if by is None else F.sum(by)).alias("count"))
+    return hot_keys(counts, "instance", edges.agg(F.count(F.lit(1)) if by is None else F.sum(by)).first()[0] or 0)
 
 
 def joined(mentions: DataFrame, totals: DataFrame) -> DataFrame:
@@ -128,9 +137,9 @@ def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed")).filter("seed").select("instance")
     known = materialize(seeds)
-    many = known.count()
+    many, hot = known.count(), hot_instances(edges)
     while True:
-        by_pattern = edges.join(known, "instance", "left_semi").groupBy("pattern", "total")
+        by_pattern = hot_join(edges, known, "instance", "pattern", hot).groupBy("pattern", "total")
         p = by_pattern.agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("support"))
         p = p.withColumn("precision", F.least(F.try_divide("hits", "total"), F.lit(1.0)))
         p = p.filter((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION)).select("pattern", "precision")
@@ -157,16 +166,15 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     has_digit = text.rlike("[0-9]")
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    tail = lambda c: F.right(c, F.lit(120))
     base = docs.select("doc_id", t.alias("text")).select(
         F.monotonically_increasing_id().alias("rid"), "doc_id",
         F.transform(
             base_spans(text),
-            lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(tail(s["before"])).alias("pattern")),
+            lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(s["before"]).alias("pattern")),
         ).alias("base"),
         F.transform(
             F.when(has_digit, located(text, TOKEN)).otherwise(none),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(tail(s["before"])).alias("pattern")),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), context(s["before"]).alias("pattern")),
         ).alias("tokens"),
     )
     apart = lambda x, b: F.forall(b, lambda s: (s["end"] <= x["start"]) | (s["start"] >= x["end"]))
@@ -183,8 +191,8 @@ def find(docs: DataFrame) -> DataFrame:
     result = base.withColumn("found", none_found())
     if candidates.head(1):
         totals = materialize(corpus_totals(candidates, slim))
-        fresh = promoted(mentions, totals)
-        spans = others.join(fresh, "instance", "left_semi")
+        fresh, hot = promoted(mentions, totals)
+        spans = hot_join(others, fresh, "instance", "rid", hot)
         got = spans.groupBy("rid").agg(
             F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", F.col("instance").alias("value")))).alias("got")
         )

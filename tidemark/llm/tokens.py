@@ -27,7 +27,7 @@ _counters: dict[str, Counter] = {}
 class Counter:
     """Counts the tokens that tokenizers gives for a byte-level BPE file, without special tokens added."""
 
-    def __init__(self, path: str, whole: frozenset[str] | None = None):
+    def __init__(self, path: str, proven: tuple[frozenset[str], frozenset[str]] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -39,24 +39,28 @@ class Counter:
         self.specials = sorted((t.content for t in self.lib.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.specials)).split if self.specials else None
         self.letters = byte_letters()
-        self.whole = self.proven() if whole is None else whole
+        self.whole, self.whole_mapped = self.proven() if proven is None else proven
         self.spaced: dict[str, int] = {}
 
-    def proven(self) -> frozenset[str]:
-        """The vocabulary strings that are a pre-token of their own and that the merges build into one token.
+    def proven(self) -> tuple[frozenset[str], frozenset[str]]:
+        """The vocabulary strings that the merges build into one token: as text, those that are also a pre-token of their own by
+        PATTERN; and all of them in the vocabulary's letters, for pre-tokens that the library has cut itself.
 
-        The driver proves them once and sends the set to the workers.
+        The driver proves them once and sends the sets to the workers.
         """
         from_letters = {ord(c): b for b, c in enumerate(self.letters)}
-        out = set()
+        out, mapped_out = set(), set()
         for mapped in self.lib.get_vocab(with_added_tokens=False):
+            if len(self.model.tokenize(mapped)) != 1:
+                continue
+            mapped_out.add(mapped)
             try:
                 text = bytes(from_letters[ord(c)] for c in mapped).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if self.split(text) == [text] and len(self.model.tokenize(mapped)) == 1:
+            if self.split(text) == [text]:
                 out.add(text)
-        return frozenset(out)
+        return frozenset(out), frozenset(mapped_out)
 
     def merged(self, piece: str) -> int:
         letters = self.letters
@@ -93,10 +97,8 @@ class Counter:
             # before a lone space a pre-token always ends, so the stretches between such spaces count on their own
             first, *rest = text.split(" ")
             return self.pieces(self.split(first)) + self.stretches(rest)
-        total = 0
-        for mapped, _ in self.lib.pre_tokenizer.pre_tokenize_str(text):
-            total += len(self.model.tokenize(mapped))
-        return total
+        whole, tokenize = self.whole_mapped, self.model.tokenize
+        return sum([1 if mapped in whole else len(tokenize(mapped)) for mapped, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)])
 
     def __call__(self, text: str) -> int:
         if self.cut and any(s in text for s in self.specials):
@@ -112,10 +114,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def counter(path: str, whole=None) -> Counter:
-    """The process's counter of a file; whole: a broadcast of the set that the driver has proven."""
+def counter(path: str, proven=None) -> Counter:
+    """The process's counter of a file; proven: a broadcast of the sets that the driver has proven."""
     if path not in _counters:
-        _counters[path] = Counter(path, None if whole is None else whole.value)
+        _counters[path] = Counter(path, None if proven is None else proven.value)
     return _counters[path]
 
 
@@ -123,15 +125,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text; null text is empty (0 tokens).
 
     path: a tokenizers JSON file of byte-level BPE, present on every executor. Rows are independent of each
-    other; repeated rows are counted each; an empty table gives an empty result.
+    other; repeated rows are counted each, very long texts whole; an empty table gives an empty result. Every pre-token is looked
+    up in the proven set first, whatever script the text is in.
     """
     text = text_of(docs)
     slim = docs.select(docs["doc_id"], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
-    whole = docs.sparkSession.sparkContext.broadcast(counter(path).whole)
+    own = counter(path)
+    proven = docs.sparkSession.sparkContext.broadcast((own.whole, own.whole_mapped))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count_one = counter(path, whole)
+        count_one = counter(path, proven)
         for batch in batches:
             n = [count_one(t.as_py()) for t in batch.column(2)]
             tokens = pa.array(n, pa.int64())
