@@ -228,7 +228,10 @@ def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for rule in RULES:
         bad = bad | F.coalesce(beyond(rule, F.col(f"cut_{rule}")), F.lit(False))
-    return both.withColumn("kept", ~F.col("base_failed") & ~bad)
+    # one comparison, which cannot be parted: a condition on base_failed alone (or that it is not null) would be moved below the join, and the texts
+    # would be measured for it once more
+    failed = F.coalesce(F.col("base_failed"), F.lit(True))
+    return both.withColumn("kept", failed.cast("int") + bad.cast("int") == 0)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
