@@ -162,7 +162,6 @@ def test_statistics():
     assert validation.mutual_information(x, x + 0.1 * rng.normal(size=3000)) > 1 > 0.05 > validation.mutual_information(x, rng.normal(size=3000))
     assert sorted(validation.block_permute(np.arange(10), 3, rng)) == list(range(10))
     assert (validation.block_permute(np.arange(3), 5, rng) == np.arange(3)).all()
-    assert len(models.sequential_bootstrap(20, 4, 10)) == 10
 
 
 def test_pacf_of_ar1():
@@ -227,3 +226,29 @@ def test_feature_gate_corrects_and_needs_stable_weeks(spark):
     weeks = [("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22")]
     assert validation.stability(x, weeks[:2], 60, block=6).first()["stable_share"] == 0.5
     assert validation.stability(x, weeks[2:], 60).first()["stable_share"] == 1.0
+
+
+def test_bar_checks_and_multiplied_fees(spark):
+    rows, df = candles(spark, 40)
+    backtest.check_bars(df)
+    with pytest.raises(ValueError):
+        backtest.check_bars(df.limit(0))
+    with pytest.raises(ValueError):
+        backtest.check_bars(df.drop("volume"))
+    both = df.unionByName(spark.createDataFrame([("b", *r[1:]) for r in rows], SCHEMA)).withColumns({"side": F.lit("long"), "strength": F.lit(1.0)})
+    got = {(r["asset"]): r for r in backtest.run(both, (10.0,), trades=True, multipliers={"b": 2.5}).groupBy("asset").agg(F.max("fee_bps").alias("fee"), F.sum("commission").alias("c"), F.sum("size").alias("s")).collect()}
+    assert got["a"]["fee"] == got["b"]["fee"] == 10.0 and got["b"]["c"] / got["b"]["s"] == pytest.approx(2.5 * got["a"]["c"] / got["a"]["s"], rel=1e-9)
+
+
+def test_names_suggestions_and_thresholds(spark):
+    assert targets.cross_asset_names() == ["btc_dir", "btc_logret", "btc_rv"]
+    df = spark.range(1)
+    assert targets.new_columns(df, df.withColumns({"z": F.lit(1), "a": F.lit(1)})) == ["a", "z"]
+    names = ["atr_14", "gk_vol_24", "rv_24", "hurst_100", "slope", "arv_"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(profiling.suggested(F.col("n"))).collect()]
+    assert got == ["pct_atr", "rolling_zscore", "first_difference", "first_difference", None, None]
+    rows = [("a", "dollar", 5286, 5000.0, 0.02), ("b", "dollar", 100, 0.0, 0.0), ("c", "tick", 900, 808.0, 0.5)]
+    for r in thresholds.all_thresholds(spark.createDataFrame(rows, "asset string, bar_type string, n_bars long, n_eff double, mean_abs_return double")).collect():
+        assert r["breakeven_da"] == pytest.approx(thresholds.breakeven_da(r["mean_abs_return"], 0.002)) and r["mde_da"] == pytest.approx(thresholds.mde_da(r["n_eff"]))
+        assert r["feasibility"] == thresholds.feasibility(r["breakeven_da"], r["mde_da"]) and r["harvey_z"] == thresholds.harvey_z(345)
+        assert math.ceil(r["n_eff_required"]) == thresholds.required_n(r["breakeven_da"]) and r["stability_windows"] == 2

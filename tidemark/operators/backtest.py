@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fees of the cost sweep in basis points.
@@ -114,14 +114,32 @@ def fold(seconds, opens, highs, lows, closes, times, signal, bps: float, cash: f
     return a
 
 
-def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 100_000.0, size=None, strategy: Callable | None = None, trades: bool = False) -> DataFrame:
+REQUIRED = ("timestamp", "open", "high", "low", "close", "volume")
+
+
+def check_bars(bars: DataFrame) -> None:
+    """An error for bars without rows or without one of the columns."""
+    if bars.isEmpty():
+        raise ValueError("bars must not be empty")
+    missing = sorted(set(REQUIRED) - set(bars.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+
+
+def effective_bps(multipliers: dict[str, float], fee: str = "fee_bps") -> Column:
+    """The commission of a row's asset: fee by the asset's multiplier, 1 unless given."""
+    own = F.coalesce(F.create_map(*[F.lit(x) for pair in multipliers.items() for x in pair])[F.col("asset")], F.lit(1.0)) if multipliers else F.lit(1.0)
+    return F.col(fee) * own
+
+
+def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 100_000.0, size=None, strategy: Callable | None = None, trades: bool = False, multipliers: dict[str, float] | None = None) -> DataFrame:
     """The equity curve (or the trades) of bars(asset, timestamp, open, high, low, close[, side, strength]).
 
     Signals come from the columns side and strength, or from strategy(): a maker of signal functions. One fold per
-    asset and fee: the bars are repeated for each fee, the folds are parallel.
+    asset and fee: the bars are repeated for each fee, the folds are parallel. multipliers: of an asset's fees.
     """
     size = size or fixed_fraction()
-    each = bars.withColumn("fee_bps", F.explode(F.array(*[F.lit(float(f)) for f in fees])))
+    each = bars.withColumn("fee_bps", F.explode(F.array(*[F.lit(float(f)) for f in fees]))).withColumn("__bps", effective_bps(multipliers or {}))
     kind = bars.schema["timestamp"].dataType.simpleString()
     schema = f"asset string, fee_bps double, timestamp {kind}, equity double, drawdown double"
     if trades:
@@ -138,7 +156,7 @@ def run(bars: DataFrame, fees: tuple[float, ...] = (10.0,), cash: float = 100_00
         t = g["timestamp"]
         seconds = (t.astype("int64") / 10 ** {"ns": 9, "us": 6, "ms": 3, "s": 0}[t.dt.unit]).to_numpy(float)
         cols = [g[c].to_numpy(float) for c in ("open", "high", "low", "close")]
-        a = fold(seconds, *cols, list(t), signal, key[1], cash, size)
+        a = fold(seconds, *cols, list(t), signal, float(g["__bps"].iloc[0]), cash, size)
         names = [x.split(" ")[0] for x in schema.split(", ")][2:]
         out = pd.DataFrame(a.trades if trades else a.curve, columns=names)
         out.insert(0, "fee_bps", key[1])

@@ -283,3 +283,10 @@ def majority(df: DataFrame, by: list[str]) -> DataFrame:
 
 def persistence(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by("y", "timestamp").alias("pred"), F.lit(0.5).alias("confidence"))
+
+
+def winsorized_predictions(df: DataFrame, c: str = "predicted", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """df with c clipped to its quantiles within the asset."""
+    from .targets import winsorized
+
+    return winsorized(df, [c], low, high)

@@ -59,6 +59,17 @@ def lo_factor(df: DataFrame, ret: str = "ret", q: int = LO_LAGS) -> DataFrame:
     return s.select("asset", F.when((F.col("n") >= q + 1) & (den > 0), F.sqrt(F.try_divide(F.lit(float(q)), den))).alias("eta"))
 
 
+def lo_unweighted(df: DataFrame, ret: str = "ret", q: int = LO_LAGS) -> DataFrame:
+    """(asset, factor): sqrt(1 + 2 sum rho_k), by which a Sharpe ratio is divided; the autocovariance at lag k is the mean of its n - k
+    products. 1 where the variance or the sum is not above 1e-12."""
+    clean = df.filter(F.col(ret).isNotNull())
+    d = clean.withColumn("__d", F.col(ret) - F.avg(ret).over(Window.partitionBy("asset")))
+    d = d.withColumns({f"__p{k}": F.col("__d") * F.lag("__d", k).over(ordered()) for k in range(1, q + 1)})
+    s = d.groupBy("asset").agg(F.avg(F.col("__d") * F.col("__d")).alias("v"), *[F.avg(f"__p{k}").alias(f"p{k}") for k in range(1, q + 1)])
+    total = 1 + 2 * sum((F.coalesce(F.try_divide(f"p{k}", "v"), F.lit(0.0)) for k in range(1, q + 1)), F.lit(0.0))
+    return s.select("asset", F.when((F.col("v") >= 1e-12) & (total > 1e-12), F.sqrt(total)).otherwise(1.0).alias("factor"))
+
+
 def ratios(df: DataFrame, equity: str = "equity") -> DataFrame:
     """Per asset: total and annual return, volatilities, Sharpe (Lo-corrected too), Sortino, drawdown, Calmar."""
     r = drawdowns(with_returns(df, equity), equity)

@@ -94,57 +94,6 @@ def momentum_sign(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({"pred": F.when(F.col(column) >= 0, 1).otherwise(-1), "confidence": F.lit(0.5)})
 
 
-def quantile_boosting(x: np.ndarray, y: np.ndarray, q: float, rounds: int = 60, rate: float = 0.1, bins: int = 16):
-    """Boosted stumps for the pinball loss: leaves take the q-quantile of their residuals."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    start = float(np.quantile(y, q))
-    f = np.full(len(y), start)
-    stumps = []
-    for _ in range(rounds):
-        r = y - f
-        g = np.where(r > 0, q, q - 1)
-        best = None
-        for j, e in enumerate(edges):
-            for c in e:
-                left = x[:, j] <= c
-                k = int(left.sum())
-                if 5 <= k <= len(y) - 5:
-                    gain = g[left].sum() ** 2 / k + g[~left].sum() ** 2 / (len(y) - k)
-                    if best is None or gain > best[0]:
-                        best = (gain, j, c, left)
-        if best is None:
-            break
-        _, j, c, left = best
-        a, b = rate * float(np.quantile(r[left], q)), rate * float(np.quantile(r[~left], q))
-        f += np.where(left, a, b)
-        stumps.append((j, c, a, b))
-    return lambda z: start + sum((np.where(z[:, j] <= c, a, b) for j, c, a, b in stumps), np.zeros(len(z)))
-
-
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-
-
-def quantile_forecast(df: DataFrame, names: list[str], train_share: float = 0.7) -> DataFrame:
-    """(asset, timestamp, q05.. q95, std) of each asset's last rows by models fitted to its first; quantiles are sorted
-    in a row, std is the interquartile range by 1.349. One kernel an asset."""
-    kind = df.schema["timestamp"].dataType.simpleString()
-    cols = [f"q{int(q * 100):02d}" for q in QUANTILES]
-
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("timestamp", kind="stable").dropna(subset=[*names, "actual"])
-        cut = int(len(g) * train_share)
-        if cut < 20 or cut == len(g):
-            return pd.DataFrame(columns=["asset", "timestamp", *cols, "std"])
-        x, y = g[names].to_numpy(float), g["actual"].to_numpy(float)
-        pred = np.sort(np.column_stack([quantile_boosting(x[:cut], y[:cut], q)(x[cut:]) for q in QUANTILES]), axis=1)
-        out = pd.DataFrame(pred, columns=cols)
-        out.insert(0, "timestamp", g["timestamp"].to_numpy()[cut:])
-        out.insert(0, "asset", key[0])
-        return out.assign(std=(pred[:, 3] - pred[:, 1]) / 1.349)
-
-    return df.select("asset", "timestamp", *names, "actual").groupBy("asset").applyInPandas(one, f"asset string, timestamp {kind}, {', '.join(f'{c} double' for c in cols)}, std double")
-
-
 def garch_forecast(df: DataFrame, ret: str = "ret", horizon: int = 5) -> DataFrame:
     """(asset, step, variance): the GARCH(1,1) variance of the next `horizon` rows."""
 
@@ -164,19 +113,6 @@ def garch_forecast(df: DataFrame, ret: str = "ret", horizon: int = 5) -> DataFra
     return df.select("asset", "timestamp", ret).groupBy("asset").applyInPandas(one, "asset string, step int, variance double")
 
 
-def sequential_bootstrap(n: int, horizon: int, draws: int, seed: int = 42) -> np.ndarray:
-    """Label indices drawn in turn, each with a chance in proportion to its uniqueness given those drawn."""
-    rng = np.random.default_rng(seed)
-    alive = np.zeros(n + horizon - 1)
-    out = []
-    for _ in range(draws):
-        u = np.lib.stride_tricks.sliding_window_view(1.0 / (alive + 1.0), horizon).mean(axis=1)
-        i = int(rng.choice(n, p=u / u.sum()))
-        alive[i : i + horizon] += 1
-        out.append(i)
-    return np.array(out)
-
-
 def bootstrap_mean(df: DataFrame, c: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, per_task: int = 100) -> DataFrame:
     """(asset, mean, low, high): percentile interval of the mean. Resamples are dealt out in batches."""
     batches = -(-resamples // per_task)

@@ -507,6 +507,21 @@ def bars_per_day(df: DataFrame) -> DataFrame:
     return df.groupBy("asset").agg(F.greatest(F.lit(1.0), F.try_divide(F.count(F.lit(1)).cast("double"), days)).alias("bars_per_day"))
 
 
+#: What is done to a feature without a stationary level, by the start of its name.
+SUGGESTED = {
+    "atr_": "pct_atr", "amihud_": "rolling_zscore", "hurst_": "first_difference", "bbwidth_": "first_difference", "gk_vol_": "rolling_zscore",
+    "park_vol_": "first_difference", "rv_": "first_difference",
+}
+
+
+def suggested(feature: Column) -> Column:
+    """The transform of a feature's family, null if none is known."""
+    out = F.lit(None).cast("string")
+    for start, name in reversed(SUGGESTED.items()):
+        out = F.when(F.startswith(feature, F.lit(start)), name).otherwise(out)
+    return out
+
+
 def transforms(df: DataFrame, c: str, atr: str, n: int = 24) -> DataFrame:
     """The stationarity transforms: by close (zero close: null), rolling z-score without eps, first difference."""
     from ..functions.windows import zscore

@@ -133,6 +133,20 @@ def recommendation_metrics(df: DataFrame, actual: str = "actual") -> DataFrame:
     ).withColumn("cumulative", F.exp("log_growth") - 1)
 
 
+def recommendation_sharpe(df: DataFrame, actual: str = "actual", per_year: float = 8766.0, lags: int = 6) -> DataFrame:
+    """(asset, sharpe_sized, sharpe_binary, lo_sized, lo_binary, sizing_value): annualised Sharpe ratios of the sized and of the plain
+    deployments, 0 where nothing is deployed; the Lo factor of the sized returns corrects both. Null below two rows or
+    without a deviation."""
+    from .metrics import lo_factor
+
+    r = F.when(F.col("deploy"), F.col(actual)).otherwise(0.0)
+    x = df.filter(F.col(actual).isNotNull()).select("asset", "timestamp", (F.when(F.col("deploy"), F.col("size")).otherwise(0.0) * r).alias("ret"), r.alias("__binary"))
+    ratio = lambda c: F.when(F.stddev_samp(c) > 0, F.avg(c) / F.stddev_samp(c) * F.lit(per_year**0.5))
+    s = x.groupBy("asset").agg(ratio("ret").alias("sharpe_sized"), ratio("__binary").alias("sharpe_binary")).join(lo_factor(x, "ret", lags), "asset", "left")
+    s = s.withColumns({"lo_sized": F.col("sharpe_sized") * F.col("eta"), "lo_binary": F.col("sharpe_binary") * F.col("eta")}).drop("eta")
+    return s.withColumn("sizing_value", F.col("lo_sized") - F.col("lo_binary"))
+
+
 def conformal_quantile(df: DataFrame, residual: Column, alpha: float = 0.1) -> DataFrame:
     """(asset, q): the split-conformal quantile of the absolute residuals at min(1, (1 - alpha)(1 + 1/n))."""
     a = df.select("asset", F.abs(residual).alias("__r")).filter("__r IS NOT NULL")

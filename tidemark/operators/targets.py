@@ -85,6 +85,15 @@ def asof_bucketed(left: DataFrame, right: DataFrame, values: list[str], segment:
     return got.select(*left.columns, *[F.col(f"__got.{v}").alias(v) for v in values])
 
 
+def cross_asset_names() -> list[str]:
+    return sorted(["btc_logret", "btc_rv", "btc_dir"])
+
+
+def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
+    """The columns that after has and before has not, sorted."""
+    return sorted(set(after.columns) - set(before.columns))
+
+
 def is_reference(asset: str, reference: str = "BTCUSDT") -> bool:
     return asset.upper() == reference
 

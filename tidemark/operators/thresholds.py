@@ -1,9 +1,12 @@
-"""Scalar research thresholds."""
+"""Research thresholds, as scalars and for tables of series."""
 
 from __future__ import annotations
 
 from math import ceil, e, log, pi, sqrt
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.tails import norm_cdf, norm_ppf
 
 
@@ -59,3 +62,21 @@ def wald_ci(p: float, n: int, level: float = 0.95) -> tuple[float, float]:
 
 def binomial_power(p: float, n: int, alpha: float = 0.05) -> float:
     return norm_cdf((p - 0.5) * 2 * sqrt(n) - norm_ppf(1 - alpha)) if n else 0.0
+
+
+def all_thresholds(series: DataFrame, cost: float = 0.002, features: int = 23, bar_types: int = 5, horizons: int = 3, alpha: float = 0.05, power: float = 0.8, windows: int = 4) -> DataFrame:
+    """series(asset, bar_type, n_bars, n_eff, mean_abs_return) with all thresholds of each: break-even and least detectable
+    directional accuracy, their gap and whether it is feasible, the multiple-testing z, the VIF bound, the windows that a
+    feature must hold in, and the effective rows that break-even needs."""
+    z = norm_ppf(1 - alpha) + norm_ppf(power)
+    between = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.5), v))
+    breakeven = F.when(F.col("mean_abs_return") > 0, between(0.5 + F.lit(cost) / (2 * F.col("mean_abs_return")))).otherwise(1.0)
+    mde = F.when(F.col("n_eff") > 0, between(0.5 + F.lit(z) / (2 * F.sqrt("n_eff")))).otherwise(1.0)
+    out = series.withColumns({"breakeven_da": breakeven, "mde_da": mde})
+    gap, edge = F.col("breakeven_da") - F.col("mde_da"), F.col("breakeven_da") - 0.5
+    status: Column = F.when(gap > 0.01, "feasible").when(gap >= -0.01, "marginal").otherwise("underpowered")
+    needed = F.when(edge > 0, F.pow(F.lit(z) / (2 * edge), F.lit(2.0))).otherwise(float("inf"))
+    return out.withColumns({
+        "gap": gap, "feasibility": status, "harvey_z": F.lit(harvey_z(features * bar_types * horizons, alpha)), "vif_threshold": F.lit(vif_threshold()),
+        "stability_windows": F.lit(stability_threshold(windows)), "n_eff_required": needed,
+    })

@@ -6,20 +6,26 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import tails
+from ..operators import backtest as BT
+from ..operators import bars as BA
+from ..operators import forecast as FC
 from ..operators import linear as LN
+from ..operators import metrics as ME
 from ..operators import overlap as O
 from ..operators import profiling as P
 from ..operators import recommend as RC
 from ..operators import strategies as ST
+from ..operators import thresholds as TH
 from ..sources import paged
 from ..sources import store as S
 from ..sources.shared import materialize, shared_folder
 from ..functions import windows as W
 from ..sources.tables import candles
 from ..streaming import stateful as SF
-from .market import _THRESHOLD, C, SQL, T0, _bars_out, query, rounded
-from .analysis import LR, _ret
-from .trading import FE, _features, _outputs
+from .market import _THRESHOLD, C, Q, SQL, T0, _bars_out, query, rounded
+from .analysis import _EV, LR, _eval, _ret
+from .trading import _DEP, _RG, _RS, FE, _features, _outputs, _predictions
 
 # -- overlapping labels --------------------------------------------------------------------------------------------------
 
@@ -181,3 +187,68 @@ def stream_volume_bars(spark, d):
     """Volume bars of a stream of overlapping files, equal to the batch's."""
     stream, path = _stream(spark, candles(spark, d), 3)
     return _bars_out(_ran(spark, SF.bars(stream, "volume", _THRESHOLD["volume"], late="2 days"), path))
+
+
+# -- thresholds, factors and counts --------------------------------------------------------------------------------------
+
+_Z = tails.norm_ppf(0.95) + tails.norm_ppf(0.80)
+
+
+@query("all_thresholds", f"""WITH {LR}, b AS (SELECT asset, 'time' AS bar_type, count(ret) AS n_bars, count(ret) / 3.0 AS n_eff, avg(abs(ret)) AS m FROM lr GROUP BY 1),
+t AS (SELECT *, least(1.0, greatest(0.5, 0.5 + 0.002 / (2 * m))) AS breakeven_da, least(1.0, greatest(0.5, 0.5 + {_Z!r} / (2 * sqrt(n_eff)))) AS mde_da FROM b)
+SELECT asset, bar_type, n_bars, round(n_eff, 6) AS n_eff, round(m, 6) AS mean_abs_return, round(breakeven_da, 6) AS breakeven_da, round(mde_da, 6) AS mde_da, round(breakeven_da - mde_da, 6) AS gap,
+ CASE WHEN breakeven_da - mde_da > 0.01 THEN 'feasible' WHEN breakeven_da - mde_da >= -0.01 THEN 'marginal' ELSE 'underpowered' END AS feasibility,
+ round({TH.harvey_z(345)!r}, 6) AS harvey_z, 5.0::DOUBLE AS vif_threshold, 2 AS stability_windows, round(pow({_Z!r} / (2 * (breakeven_da - 0.5)), 2), 1) AS n_eff_required FROM t""")
+def all_thresholds(spark, d):
+    s = _ret(spark, d).groupBy("asset").agg(F.lit("time").alias("bar_type"), F.count("ret").alias("n_bars"), (F.count("ret") / 3.0).alias("n_eff"), F.avg(F.abs("ret")).alias("mean_abs_return"))
+    x = TH.all_thresholds(s).withColumn("n_eff_required", F.round("n_eff_required", 1))
+    return rounded(x)
+
+
+_LOU = ", ".join(f"dd * lag(dd, {k}) OVER ({T0}) AS p{k}" for k in range(1, 7))
+
+
+@query("lo_unweighted", f"WITH {LR}, cd AS (SELECT asset, timestamp, ret - avg(ret) OVER (PARTITION BY asset) AS dd FROM lr WHERE ret IS NOT NULL), pk AS (SELECT *, {_LOU} FROM cd), v AS (SELECT asset, 1 + 2 * ({' + '.join(f'avg(p{k}) / avg(dd * dd)' for k in range(1, 7))}) AS s FROM pk GROUP BY 1) SELECT asset, round(CASE WHEN s > 1e-12 THEN sqrt(s) ELSE 1.0 END, 6) AS factor FROM v")
+def lo_unweighted(spark, d):
+    return rounded(ME.lo_unweighted(_ret(spark, d), "ret", 6))
+
+
+@query("winsorized_predictions", f"WITH {_EV}, q AS (SELECT asset, quantile_cont(predicted, 0.01) AS lo, quantile_cont(predicted, 0.99) AS hi FROM ev GROUP BY 1) SELECT ev.asset, timestamp, round(greatest(lo, least(hi, predicted)), 9) AS predicted FROM ev JOIN q ON q.asset = ev.asset")
+def winsorized_predictions(spark, d):
+    return rounded(FC.winsorized_predictions(_eval(spark, d).select("asset", "timestamp", "predicted")), places=9)
+
+
+@query("reco_sharpe", _DEP + f""", s AS (SELECT asset, timestamp, CASE WHEN {_RG} THEN ({_RS}) * actual ELSE 0.0 END AS ret, CASE WHEN {_RG} THEN actual ELSE 0.0 END AS b FROM p WHERE actual IS NOT NULL),
+m AS (SELECT asset, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(8766) AS sharpe_sized, avg(b) / nullif(stddev_samp(b), 0) * sqrt(8766) AS sharpe_binary FROM s GROUP BY 1),
+cd AS (SELECT asset, timestamp, ret - avg(ret) OVER (PARTITION BY asset) AS dd FROM s), pk AS (SELECT *, {_LOU} FROM cd),
+e AS (SELECT asset, sqrt(6 / (6 + 2 * ({' + '.join(f'{6 - k} * sum(p{k})' for k in range(1, 7))}) / sum(dd * dd))) AS eta FROM pk GROUP BY 1)
+SELECT m.asset, round(sharpe_sized, 6) AS sharpe_sized, round(sharpe_binary, 6) AS sharpe_binary, round(sharpe_sized * eta, 6) AS lo_sized, round(sharpe_binary * eta, 6) AS lo_binary, round(sharpe_sized * eta - sharpe_binary * eta, 6) AS sizing_value FROM m JOIN e ON e.asset = m.asset""")
+def reco_sharpe(spark, d):
+    return rounded(RC.recommendation_sharpe(RC.deploy(_predictions(spark, d), "regressor_only", 0.05)))
+
+
+@query("bars_by_config", " UNION ALL ".join(f"SELECT asset, '{k}' AS bar_type, '{BA.config_hash(k, _THRESHOLD[k])}' AS bar_config_hash, count(*) AS n FROM ({SQL[f'bars_{k}']}) {k}s GROUP BY 1" for k in ("tick", "volume")))
+def bars_by_config(spark, d):
+    made = [Q[f"bars_{k}"](spark, d).select("asset", F.lit(k).alias("bar_type"), F.lit(BA.config_hash(k, _THRESHOLD[k])).alias("bar_config_hash")) for k in ("tick", "volume")]
+    return S.count_by_config(made[0].unionByName(made[1]))
+
+
+@query("cost_multipliers")
+def cost_multipliers(spark, d):
+    """The last equity of each asset at plain fees, and with purchases at half and views at three times the fee."""
+    x = ST.momentum(_features(spark, d), "slope", 0.1)
+    bars = _features(spark, d).join(x.select("asset", "timestamp", "side", "strength"), ["asset", "timestamp"]).select("asset", "timestamp", "open", "high", "low", "close", "volume", "side", "strength")
+    BT.check_bars(bars)
+    plain, own = BT.cost_sweep(bars, (10.0,)), BT.cost_sweep(bars, (10.0,), multipliers={"purchase": 0.5, "view": 3.0})
+    return rounded(plain.join(own.select("asset", F.col("final_equity").alias("multiplied_equity")), "asset"))
+
+
+@query("transform_suggestions")
+def transform_suggestions(spark, d):
+    """Joint ADF and KPSS verdict of each feature, and the transform of its family where it is not stationary."""
+    x = _features(spark, d).select("asset", "timestamp", F.col("rv").alias("rv_24"), F.col("atr").alias("atr_14"), "slope")
+    long = x.unpivot(["asset", "timestamp"], ["rv_24", "atr_14", "slope"], "feature", "v").filter("v IS NOT NULL")
+    got = P.kernel(long.withColumn("asset", F.concat_ws("\x01", "asset", "feature")), "v", P.stationarity, "adf double, adf_p double, kpss double, kpss_p double, verdict string")
+    parts = F.split("asset", "\x01")
+    got = got.select(parts[0].alias("asset"), parts[1].alias("feature"), "verdict")
+    return got.withColumn("suggested", F.when(F.col("verdict") != "stationary", P.suggested(F.col("feature"))))

@@ -134,6 +134,13 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_by_config(bars: DataFrame, **equal: str) -> DataFrame:
+    """(asset, bar_type, bar_config_hash, n) of the stored bars, of those with the given key values."""
+    for k, v in equal.items():
+        bars = bars.filter(F.col(k) == v)
+    return bars.groupBy("asset", "bar_type", "bar_config_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
 def latest_end(bars: DataFrame) -> DataFrame:
     return bars.groupBy("asset").agg(F.max("end_ts").alias("latest"))
 
