@@ -236,7 +236,7 @@ def test_bar_checks_and_multiplied_fees(spark):
     with pytest.raises(ValueError):
         backtest.check_bars(df.drop("volume"))
     both = df.unionByName(spark.createDataFrame([("b", *r[1:]) for r in rows], SCHEMA)).withColumns({"side": F.lit("long"), "strength": F.lit(1.0)})
-    got = {(r["asset"]): r for r in backtest.run(both, (10.0,), trades=True, multipliers={"b": 2.5}).groupBy("asset").agg(F.max("fee_bps").alias("fee"), F.sum("commission").alias("c"), F.sum("size").alias("s")).collect()}
+    got = {r["asset"]: r for r in backtest.run(both, (10.0,), size=backtest.fixed_fraction(0.5), trades=True, multipliers={"b": 2.5}).groupBy("asset").agg(F.max("fee_bps").alias("fee"), F.sum("commission").alias("c"), F.sum("size").alias("s")).collect()}
     assert got["a"]["fee"] == got["b"]["fee"] == 10.0 and got["b"]["c"] / got["b"]["s"] == pytest.approx(2.5 * got["a"]["c"] / got["a"]["s"], rel=1e-9)
 
 

@@ -239,7 +239,7 @@ def cost_multipliers(spark, d):
     x = ST.momentum(_features(spark, d), "slope", 0.1)
     bars = _features(spark, d).join(x.select("asset", "timestamp", "side", "strength"), ["asset", "timestamp"]).select("asset", "timestamp", "open", "high", "low", "close", "volume", "side", "strength")
     BT.check_bars(bars)
-    plain, own = BT.cost_sweep(bars, (10.0,)), BT.cost_sweep(bars, (10.0,), multipliers={"purchase": 0.5, "view": 3.0})
+    plain, own = (BT.cost_sweep(bars, (10.0,), size=BT.fixed_fraction(0.01), multipliers=m) for m in (None, {"purchase": 0.5, "view": 3.0}))
     return rounded(plain.join(own.select("asset", F.col("final_equity").alias("multiplied_equity")), "asset"))
 
 
