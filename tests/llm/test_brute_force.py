@@ -272,7 +272,11 @@ def multiset(t):
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def test_near_duplicates(spark, corpus):
+@pytest.mark.parametrize("tile,first", [(1 << 13, 4), (6, 4), (11, 1)])
+def test_near_duplicates(spark, corpus, monkeypatch, tile, first):
+    """As whole buckets, and dealt into tiles whose lists are short at first."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "FIRST", first)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(120)]
     texts = list(corpus)
@@ -300,6 +304,8 @@ def test_near_duplicates(spark, corpus):
     assert got == {i: find(i) for i in range(len(texts))}
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(texts))}
+    if tile < 1000:
+        return
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     twice = docs.unionByName(docs)
     assert near_dedup.deduplicated(twice).count() == kept.count()
@@ -472,6 +478,36 @@ def test_benchmark_leaks(spark):
         assert (hit[0] if hit else len(p)) == slow(p, t)
 
 
+def test_units_of_a_bucket_hold_two_tiles(spark, monkeypatch):
+    """One bucket of 2,000 rows, a third in its largest component: every x meets every y once, in units of bounded size."""
+    monkeypatch.setattr(near_dedup, "TILE", 100)
+    rows = [(7, i, i if i % 3 else 0, 0) for i in range(2000)] + [(8, 5000, 5000, 5001), (8, 5001, 5001, 5001)]
+    left = spark.createDataFrame(rows, "key long, id long, root long, main long")
+    units, tiled = near_dedup.dealt(left, [], len(rows))
+    units = units.collect()
+    assert tiled
+    by_unit = collections.defaultdict(list)
+    for r in units:
+        by_unit[r["unit"]].append(r)
+    assert max(map(len, by_unit.values())) <= 2 * 100 * 1.6 and len(by_unit) == 401
+    met = collections.Counter((x["key"], x["id"], y["id"]) for u in by_unit.values() for x in u if x["asks"] and not x["in_main"] for y in u if y["met"])
+    assert set(met.values()) == {1}
+    assert set(met) == {(7, x[1], y[1]) for x in rows[:2000] if x[2] for y in rows[:2000]} | {(8, 5000, 5000), (8, 5000, 5001)}
+
+
+def test_leaks_in_several_blocks_are_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    v = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    items = [" ".join(rng.choice(v) for _ in range(rng.randint(12, 30))) for _ in range(25)]
+    texts = [" ".join(rng.choice(v) for _ in range(30)) + " " + rng.choice(items) + " end" for _ in range(20)] + [" ".join(rng.choice(v) for _ in range(40)) for _ in range(10)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = frame(spark, texts)
+    key = lambda: sorted(map(str, decontam.leaks(docs, bench).collect()))
+    one = key()
+    monkeypatch.setattr(decontam, "BLOCK", 700)
+    assert key() == one and len(one) >= 20
+
+
 def test_leaks_use_the_whole_edit_budget(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))

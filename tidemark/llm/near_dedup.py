@@ -280,6 +280,34 @@ def mixed(s: Signed, members: DataFrame, found: DataFrame) -> DataFrame:
 #: Partners of a list in the first round, and how much longer each further round's lists are.
 FIRST, LONGER = 4, 16
 EXPANDED = 1 << 17
+#: Rows of a tile: a bucket of more is dealt into tiles, each pair of which is a unit of work of its own.
+TILE = 1 << 13
+
+LISTED = "key long, x long, y long, ratio double, near long, tiled boolean"
+
+
+def dealt(left: DataFrame, hot: list, n: int) -> tuple[DataFrame, bool]:
+    """left(key, id, root, main), n rows, by units: (unit, key, id, root, in_main, asks, met, tiled); whether a bucket has several tiles.
+
+    A row's tile is a hash of its id. Unit (i, j) of a bucket holds the rows of tile i outside the largest component, which ask,
+    and all rows of tile j, which are met. So a unit has two tiles of rows, whatever the size of its bucket. Units
+    are told apart by a 64-bit hash; two that share one would only give more pairs to verify.
+    """
+    counts = materialize(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("k")))
+    tiled = bool(counts.filter("k > 1").head(1))
+    in_main = (F.col("root") == F.col("main")).alias("in_main")
+    if not tiled:
+        discard(counts)
+        yes = F.lit(True)
+        return left.select(F.col("key").alias("unit"), "key", "id", "root", in_main, yes.alias("asks"), yes.alias("met"), F.lit(False).alias("tiled")), False
+    rows = hot_join(left, counts, "key", "id", hot, n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
+    rows = rows.select("key", "id", "root", in_main, "own", (F.col("k") > 1).alias("tiled"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    same, no, yes = F.col("own") == F.col("other"), F.lit(False), F.lit(True)
+    role = lambda i, j, asks, met: F.struct(F.xxhash64("key", i, j).alias("unit"), asks.alias("asks"), met.alias("met"))
+    met = role("other", "own", same, yes)
+    roles = F.when(same | F.col("in_main"), F.array(met)).otherwise(F.array(met, role("own", "other", yes, no)))
+    rows = rows.select("key", "id", "root", "in_main", "tiled", F.explode(roles).alias("r"))
+    return rows.select("r.unit", "key", "id", "root", "in_main", "r.asks", "r.met", "tiled"), True
 
 
 def crossed(s: Signed, left: DataFrame, n: int, most: int) -> DataFrame:
@@ -287,24 +315,29 @@ def crossed(s: Signed, left: DataFrame, n: int, most: int) -> DataFrame:
     components that the parity maps leave: of a bucket the `most` nearest ones by the maps for each x, so a text that many
     are copies of comes first; more: x has further ones.
 
-    A bucket's rows are fixed-width numbers, about 150 bytes a text; they are compared EXPANDED pairs at a time.
+    A unit's rows (dealt()) are fixed-width numbers, about 150 bytes a text; they are compared EXPANDED pairs at a time. The
+    lists of a bucket of several tiles are merged by x.
     """
-    rows = left.join(s.shapes(left, n, "id", "m"), "id")
+    placed, tiled = dealt(left, s.hot, n)
+    shapes = s.shapes(left, n, "id", "m")
     maps = [f"m{k}" for k in range(SLOTS // 64)]
-    rows = rows.select("key", "id", "root", (F.col("root") == F.col("main")).alias("in_main"), "m_n", *maps)
-    rows = rows.repartition("key").sortWithinPartitions("key", "id")
+    # a text is in one bucket a band at most, so its rows are BANDS times its tiles
+    rows = placed.join(shapes, "id").select("unit", "key", "id", "root", "in_main", "asks", "met", "tiled", "m_n", *maps)
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "id")
     share = (1 - s.similarity) / (1 + s.similarity)
 
     def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The lists of whole buckets."""
-        key, ids, root, in_main, size, *words = columns
+        """The lists of whole units."""
+        unit, key, ids, root, in_main, asks, met, in_tile, size, *words = columns
         parity = np.stack(words, axis=1).view(np.uint64)
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(head)
+        head = np.ones(len(unit), bool)
+        head[1:] = unit[1:] != unit[:-1]
         of = np.cumsum(head) - 1
-        width = np.diff(np.append(start, len(key)))
-        few = np.flatnonzero(~in_main)
+        # the rows that are met, unit by unit
+        there = np.flatnonzero(met)
+        width = np.bincount(of[there], minlength=int(head.sum()))
+        start = np.cumsum(width) - width
+        few = np.flatnonzero(asks.astype(bool) & ~in_main.astype(bool))
         total = np.cumsum(width[of[few]])
         at = 0
         while at < len(few):
@@ -314,7 +347,7 @@ def crossed(s: Signed, left: DataFrame, n: int, most: int) -> DataFrame:
             at = end
             each = width[of[x]]
             p = np.repeat(x, each)
-            q = np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each) + start[of[p]]
+            q = there[np.arange(len(p)) - np.repeat(np.cumsum(each) - each, each) + start[of[p]]]
             other = root[p] != root[q]
             p, q = p[other], q[other]
             apart = np.zeros(len(p), np.int64)
@@ -323,20 +356,33 @@ def crossed(s: Signed, left: DataFrame, n: int, most: int) -> DataFrame:
             both = size[p] + size[q]
             near = apart <= share * both + 1e-6
             p, q, ratio = p[near], q[near], apart[near] / np.maximum(both[near], 1)
-            order = np.lexsort((q, ratio, p))
-            p, q = p[order], q[order]
+            order = np.lexsort((ids[q], ratio, p))
+            p, q, ratio = p[order], q[order], ratio[order]
             first = np.searchsorted(p, p, "left")
             rank = np.arange(len(p)) - first
+            # how many there are in all stands in a list's first row
+            there_are = np.where(rank == 0, np.searchsorted(p, p, "right") - first, 0)
             some = rank < most
-            more = (np.searchsorted(p, p, "right") - first > most)[some]
-            i, j = ids[p[some]], ids[q[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more)], ["a", "b", "more"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[p[some]]), pa.array(ids[p[some]]), pa.array(ids[q[some]]), pa.array(ratio[some]), pa.array(there_are[some]), pa.array(in_tile[p[some]].astype(bool))],
+                [c.split(" ")[0] for c in LISTED.split(", ")],
+            )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
             yield from closed(columns)
 
-    return materialize(rows.mapInArrow(pairs, "a long, b long, more boolean"))
+    a, b = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    lists = rows.mapInArrow(pairs, LISTED)
+    if not tiled:
+        return materialize(lists.select(a, b, (F.col("near") > most).alias("more")))
+    lists = materialize(lists)
+    whole = Window.partitionBy("key", "x")
+    merged = lists.filter("tiled").withColumns({"all": F.sum("near").over(whole), "rank": F.row_number().over(whole.orderBy("ratio", "y"))})
+    merged = merged.filter(F.col("rank") <= most).select(a, b, (F.col("all") > most).alias("more"))
+    out = materialize(lists.filter("NOT tiled").select(a, b, (F.col("near") > most).alias("more")).unionByName(merged))
+    discard(lists)
+    return out
 
 
 def noded(docs: DataFrame) -> DataFrame:
