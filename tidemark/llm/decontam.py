@@ -14,8 +14,9 @@ from .common import discard, materialize, text_of
 
 #: Edits allowed as a share of an item's characters.
 ERROR_RATE = 0.1
-#: Characters of items that one pass over the documents looks for; more items make more passes.
-BLOCK = 4_000_000
+#: Characters of items that one pass over the documents looks for (about 190 bytes of tables each in every worker); more items make more
+#: passes.
+BLOCK = 500_000
 
 
 def plain(text: Column) -> Column:
