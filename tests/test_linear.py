@@ -130,6 +130,20 @@ def test_har_equals_least_squares(spark):
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], rel=1e-7)
 
 
+def test_arch_and_sign_bias_equal_the_regressions(spark):
+    rng = np.random.default_rng(8)
+    x, h = [], 1.0
+    for _ in range(500):
+        x.append(math.sqrt(h) * rng.normal())
+        h = 0.1 + 0.2 * x[-1] ** 2 + (0.3 * x[-1] ** 2 if x[-1] < 0 else 0) + 0.5 * h
+    x = np.array(x)
+    df = frame(spark, x[:, None], ["ret"]).unionByName(frame(spark, np.ones((20, 1)), ["ret"], "flat"))
+    got = {r["asset"]: r for r in linear.arch_lm(df).collect()}
+    assert (got["a"]["lm"], got["a"]["p"]) == pytest.approx(profiling.arch_lm(x), rel=1e-8, abs=1e-12) and got["flat"]["lm"] is None
+    r, want = linear.sign_bias(df.filter("asset = 'a'")).first(), profiling.sign_bias(x / x.std())
+    assert {k: r[k] for k in want} == pytest.approx(want, rel=1e-8, abs=1e-10)
+
+
 def test_student_quantile_data(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_t(5, 60)

@@ -166,3 +166,36 @@ def har(df: DataFrame, rv: str = "rv", spans: Sequence[int] = (1, 5, 22), train_
     models = ablation_models(x.filter(F.col("__pos") < F.col("__cut")), names, "__y", {}, alpha=0.0)
     got = predictions(x.filter(F.col("__pos") >= F.col("__cut")), models, names)
     return got.select("asset", "timestamp", F.sqrt(F.greatest(F.col("preds")[0]["pred"], F.lit(1e-12))).alias("predicted_vol"))
+
+
+def arch_lm(df: DataFrame, c: str = "ret", lags: int = 10, by: Sequence[str] = ("asset",), at: str = "timestamp") -> DataFrame:
+    """(by, lm, p): n R^2 of c^2 on its own lags, and its chi-square tail. Null without a deviation or with too few rows."""
+    w = Window.partitionBy(*by).orderBy(at)
+    x = df.filter(M.finite([c])).select(*by, at, (F.col(c) * F.col(c)).alias("__y"))
+    names = [f"__l{k}" for k in range(1, lags + 1)]
+    s = M.moments(x.select(*by, "__y", *[F.lag("__y", k).over(w).alias(n) for k, n in enumerate(names, 1)]), [*names, "__y"], by)
+    total = F.col("cross")[lags][lags]
+    s = s.withColumn("m", M.swept(F.col("cross"), range(lags), F.lit(M.LEAST) * total))
+    lm = F.when((F.col("n") > lags + 1) & (total > 0), F.col("n") * (1 - F.col("m")[lags][lags] / total))
+    every = df.select(*by).distinct()
+    out = every.join(s.select(*by, lm.alias("lm")), list(by), "left")
+    return out.withColumn("p", F.when(F.col("lm").isNotNull(), TC.chi2_sf(F.greatest(F.col("lm"), F.lit(0.0)), F.lit(lags))))
+
+
+def sign_bias(df: DataFrame, c: str = "ret", by: Sequence[str] = ("asset",), at: str = "timestamp") -> DataFrame:
+    """(by, sign_t, sign_p, negative_t, ..., joint_f, joint_p): Engle and Ng's regression of z^2 on S, S z and (1 - S) z of the row before,
+    z = c by its deviation, S = [z < 0]; two-sided t tails and the joint F."""
+    w = Window.partitionBy(*by).orderBy(at)
+    z = df.filter(M.finite([c])).select(*by, at, (F.col(c) / F.nullif(F.stddev_pop(c).over(Window.partitionBy(*by)), F.lit(0.0))).alias("__z"))
+    before = F.lag("__z").over(w)
+    down = F.when(before.isNotNull(), (before < 0).cast("double"))
+    names = ["sign", "negative", "positive"]
+    x = z.select(*by, down.alias("sign"), (down * before).alias("negative"), ((1 - down) * before).alias("positive"), (F.col("__z") * F.col("__z")).alias("__y"))
+    s = M.moments(x, [*names, "__y"], by)
+    s = s.withColumn("m", M.swept(F.col("cross"), range(3), F.lit(M.LEAST) * F.greatest(*[F.col("cross")[k][k] for k in range(3)])))
+    dof, rss, total = F.greatest(F.col("n") - 4, F.lit(1)), F.col("m")[3][3], F.col("cross")[3][3]
+    t = [F.col("m")[k][3] / F.greatest(F.sqrt(F.greatest(rss / dof * -F.col("m")[k][k], F.lit(0.0))), F.lit(1e-15)) for k in range(3)]
+    s = s.select(*by, dof.alias("__dof"), *[v.alias(f"{name}_t") for name, v in zip(names, t)], F.try_divide((total - rss) / 3, rss / dof).alias("joint_f"))
+    p = {f"{name}_p": 2 * TC.t_sf(F.abs(f"{name}_t"), F.col("__dof")) for name in names}
+    s = s.withColumns({**p, "joint_p": TC.f_sf(F.col("joint_f"), F.lit(3), F.col("__dof"))})
+    return s.select(*by, *[f"{name}_{k}" for name in names for k in "tp"], "joint_f", "joint_p")

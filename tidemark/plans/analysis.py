@@ -160,11 +160,19 @@ _kernel("stat_garch", P.garch_fit, _FIT)
 _kernel("stat_gjr_garch", lambda x: P.garch_fit(x, True), _FIT)
 _kernel("stat_student_fit", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double, bic_t double, bic_normal double")
 _kernel("stat_bds", lambda x: {f"bds_{m}": s for m, s, _ in P.bds(x)}, "bds_2 double, bds_3 double, bds_4 double, bds_5 double")
-_kernel("stat_sign_bias", lambda x: P.sign_bias(x / x.std()), "sign_t double, sign_p double, negative_t double, negative_p double, positive_t double, positive_p double, joint_f double, joint_p double")
-_kernel("stat_arch_lm", lambda x: dict(zip(("lm", "p"), P.arch_lm(x))), "lm double, p double")
 _kernel("stat_ks_normal", lambda x: dict(zip(("ks", "p"), P.ks_normal(x))), "ks double, p double")
 
 
+@query("stat_sign_bias")
+def stat_sign_bias(spark, d):
+    return rounded(LN.sign_bias(_ret(spark, d)))
+
+
+@query("stat_arch_lm")
+def stat_arch_lm(spark, d):
+    return rounded(LN.arch_lm(_ret(spark, d)))
+
+
 @query("stat_granger")
 def stat_granger(spark, d):
     """p of every ordered pair of assets at lags 1, 2, 4 and 8, on daily mean returns. The pairs are the result, so it grows with
