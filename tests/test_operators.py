@@ -130,6 +130,18 @@ def test_splits(spark):
     assert cv.pipeline_splits(1000)[0] == (0, 600, 615, 680)
     with pytest.raises(ValueError):
         cv.pipeline_splits(20)
+    sizes = spark.createDataFrame([("a", 1000), ("b", 333), ("c", 20), ("d", 47), ("e", 0)], "asset string, n long")
+    for windows in (3, 4, 5):
+        got = {}
+        for r in cv.window_splits(sizes, windows).orderBy("asset", "window").collect():
+            got.setdefault(r["asset"], []).append((r["train_start"], r["train_end"], r["test_start"], r["test_end"]))
+        for asset, n in (("a", 1000), ("b", 333), ("d", 47)):
+            try:
+                want = cv.pipeline_splits(n, windows)
+            except ValueError:
+                want = None
+            assert got.get(asset) == want
+        assert "c" not in got and "e" not in got
     _, df = candles(spark, 31)
     f = cv.cpcv(df).groupBy("fold").count().collect()
     assert len(f) == 15 and all(r["count"] == 31 for r in f)
@@ -252,3 +264,14 @@ def test_names_suggestions_and_thresholds(spark):
         assert r["breakeven_da"] == pytest.approx(thresholds.breakeven_da(r["mean_abs_return"], 0.002)) and r["mde_da"] == pytest.approx(thresholds.mde_da(r["n_eff"]))
         assert r["feasibility"] == thresholds.feasibility(r["breakeven_da"], r["mde_da"]) and r["harvey_z"] == thresholds.harvey_z(345)
         assert math.ceil(r["n_eff_required"]) == thresholds.required_n(r["breakeven_da"]) and r["stability_windows"] == 2
+
+
+def test_neighbour_search_equals_all_pairs():
+    rng = np.random.default_rng(12)
+    cases = [rng.normal(size=(2, 700)), rng.random((2, 5)), np.round(rng.normal(size=(2, 300)), 1) + 1e-10 * rng.normal(size=(2, 300)), np.stack([np.zeros(90), rng.normal(size=90)]), np.stack([np.arange(400.0)] * 2)]
+    for x, y in cases:
+        for k in (1, 3, 4):
+            d = np.maximum(abs(x[:, None] - x), abs(y[:, None] - y))
+            assert (validation.kth_distances(x, y, k) == np.sort(d, axis=1)[:, k]).all()
+    x, y = rng.normal(size=(2, 20_000))
+    assert validation.mutual_information(x, x + y) == pytest.approx(0.5 * math.log(2), abs=0.03)

@@ -124,7 +124,7 @@ def entropy_of(x: np.ndarray, d: int) -> tuple[float, float]:
 
 
 def profile_single(x: np.ndarray, bar_type: str, per_day: float) -> list[tuple]:
-    """(section, name, parameter, value, p) of one series; an analyzer that fails leaves its section out."""
+    """(section, name, parameter, value, p) of one series; a section whose analyzer fails has one row `failed` with the kind of error."""
     t = tier_of(len(x))
     out: list[tuple] = []
     parts = {
@@ -135,8 +135,8 @@ def profile_single(x: np.ndarray, bar_type: str, per_day: float) -> list[tuple]:
     for section, run in parts.items():
         try:
             out += [(section, name, parameter, float(v), p) for name, parameter, v, p in run()]
-        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
-            continue
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+            out.append((section, "failed", type(e).__name__, None, None))
     return out
 
 

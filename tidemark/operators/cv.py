@@ -35,6 +35,18 @@ def pipeline_splits(n: int, windows: int = 5, ratio: float = 0.6, purge: int = 1
     return out
 
 
+def window_splits(sizes: DataFrame, windows: int = 5, ratio: float = 0.6, purge: int = 10, embargo: int = 5) -> DataFrame:
+    """pipeline_splits() of each row of sizes(asset, n): (asset, window, train_start, train_end, test_start, test_end). An asset with
+    too few rows has none."""
+    gap = purge + embargo
+    first = F.floor(F.col("n") * F.lit(ratio)).cast("int")
+    at = lambda i: F.bround(first + i * (F.col("n") - first) / windows).cast("int")  # noqa: E731  rounds half to even
+    w = sizes.filter((first >= 2) & (F.col("n") - first > gap)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    w = w.withColumns({"train_end": at(F.col("__i")), "test_end": at(F.col("__i") + 1)}).filter((F.col("train_end") >= 2) & (F.col("train_end") + gap < F.col("test_end")))
+    nth = F.row_number().over(Window.partitionBy("asset").orderBy("__i")) - 1
+    return w.select("asset", nth.alias("window"), F.lit(0).alias("train_start"), "train_end", (F.col("train_end") + gap).alias("test_start"), "test_end")
+
+
 def with_blocks(df: DataFrame, blocks: int = 6) -> DataFrame:
     """positioned rows with their contiguous block; the first n mod blocks blocks have a row more."""
     n = df.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))

@@ -177,19 +177,17 @@ def slices(df: DataFrame, bounds: DataFrame) -> DataFrame:
     """df's rows by position in each window's training and test part; the part is in the asset's name, so that every window
     function starts anew in it."""
     rows = df.withColumn("__pos", F.row_number().over(ordered()) - 1)
-    both = rows.join(F.broadcast(bounds.withColumnRenamed("asset", "__a")), (F.col("asset") == F.col("__a")) & (F.col("__pos") >= F.col("low")) & (F.col("__pos") < F.col("high")))
-    return both.withColumn("asset", F.concat_ws(_MARK, "asset", F.col("window").cast("string"), "part")).drop("__a", "__pos", "low", "high", "window", "part")
+    both = rows.join(bounds, "asset").filter((F.col("__pos") >= F.col("low")) & (F.col("__pos") < F.col("high")))
+    return both.withColumn("asset", F.concat_ws(_MARK, "asset", F.col("window").cast("string"), "part")).drop("__pos", "low", "high", "window", "part")
 
 
 def window_bounds(bars: DataFrame, **kw) -> DataFrame:
-    """(asset, window, part, low, high) of pipeline_splits(); two rows for each asset and window, from one count per asset."""
-    from .cv import pipeline_splits
-
-    rows = []
-    for asset, n in bars.groupBy("asset").count().collect():
-        for w, (a, b, c, d) in enumerate(pipeline_splits(n, **kw)):
-            rows += [(asset, w, "train", a, b), (asset, w, "test", c, d)]
-    return bars.sparkSession.createDataFrame(rows, "asset string, window int, part string, low int, high int")
+    """(asset, window, part, low, high) of window_splits(); two rows for each asset and window, from one count per asset."""
+    from .cv import window_splits
+
+    w = window_splits(bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")), **kw)
+    part = lambda name, low, high: F.struct(F.lit(name).alias("part"), F.col(low).alias("low"), F.col(high).alias("high"))
+    return w.select("asset", "window", F.explode(F.array(part("train", "train_start", "train_end"), part("test", "test_start", "test_end"))).alias("p")).select("asset", "window", "p.*")
 
 
 def boosted_recommender(x: np.ndarray, y: np.ndarray, z: np.ndarray, **kw) -> tuple[np.ndarray, float]:

@@ -18,9 +18,47 @@ def block_permute(x: np.ndarray, block: int, rng: np.random.Generator) -> np.nda
     return np.concatenate([parts[i] for i in rng.permutation(len(parts))])
 
 
+#: Points of a leaf of the neighbour search, about.
+LEAF = 24
+
+
+def kth_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The distance in the maximum norm from each point (x, y) to its k-th nearest other one.
+
+    Points are halved along the wider side of their box down to leaves. A leaf's own points bound its distances; then only
+    leaves whose box is no further than that are looked at, so the work is n log n and not n^2.
+    """
+    n, leaf = len(x), max(LEAF, 3 * (k + 1))
+    points = np.stack([x, y])
+    order, ends, todo = np.arange(n), [], [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= leaf:
+            ends.append((a, b))
+            continue
+        own = points[:, order[a:b]]
+        wider = int(np.ptp(own[1]) > np.ptp(own[0]))
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(own[wider], half)]
+        todo += [(a, a + half), (a + half, b)]
+    ends.sort()
+    starts = np.array([a for a, _ in ends])
+    placed = points[:, order]
+    low, high = np.minimum.reduceat(placed, starts, axis=1), np.maximum.reduceat(placed, starts, axis=1)
+    out = np.empty(n)
+    for i, (a, b) in enumerate(ends):
+        mine = placed[:, a:b]
+        far = lambda other: np.maximum(abs(mine[0][:, None] - other[0]), abs(mine[1][:, None] - other[1]))  # noqa: B023, E731
+        bound = np.partition(far(mine), k, axis=1)[:, k].max() if b - a > k else np.inf
+        apart = np.maximum(np.maximum(low - high[:, i : i + 1], low[:, i : i + 1] - high), 0.0).max(axis=0)
+        near = [slice(*ends[j]) for j in np.flatnonzero(apart <= bound)]
+        others = np.concatenate([placed[:, s] for s in near], axis=1)
+        out[order[a:b]] = np.partition(far(others), k, axis=1)[:, k]
+    return out
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
-    """Kraskov's nearest-neighbour estimate (first form) in nats, 0 at least; memory is in rows of 512. Noise of 1e-10 deviations
-    parts equal values."""
+    """Kraskov's nearest-neighbour estimate (first form) in nats, 0 at least. Noise of 1e-10 deviations parts equal values."""
     from ..functions.digamma import digamma
 
     n = len(x)
@@ -29,15 +67,9 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     scale = lambda v: (v - v.mean()) / (v.std() or 1.0)
     noise = np.random.default_rng(0).normal(size=(2, n)) * 1e-10
     x, y = scale(x) + noise[0], scale(y) + noise[1]
-    sx, sy = np.sort(x), np.sort(y)
-    total = 0.0
-    for at in range(0, n, 512):
-        a, b = x[at : at + 512, None], y[at : at + 512, None]
-        d = np.maximum(abs(a - x), abs(b - y))
-        r = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
-        nx = np.searchsorted(sx, a[:, 0] + r, "right") - np.searchsorted(sx, a[:, 0] - r, "left") - 1
-        ny = np.searchsorted(sy, b[:, 0] + r, "right") - np.searchsorted(sy, b[:, 0] - r, "left") - 1
-        total += (digamma(nx + 1) + digamma(ny + 1)).sum()
+    r = np.nextafter(kth_distances(x, y, k), 0)
+    within = lambda v, s: np.searchsorted(s, v + r, "right") - np.searchsorted(s, v - r, "left") - 1
+    total = (digamma(within(x, np.sort(x)) + 1) + digamma(within(y, np.sort(y)) + 1)).sum()
     return max(0.0, float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - total / n))
 
 

@@ -420,14 +420,15 @@ def amplification(spark, d):
     return rounded(RS.amplification(_regimes(spark, d)), places=9)
 
 
-_HR = f"{LR}, hr AS (SELECT asset || '_' || CAST(hour(timestamp) AS VARCHAR) AS feature, count(CASE WHEN timestamp < TIMESTAMP '2024-01-16' THEN 1 END) AS a, count(CASE WHEN timestamp >= TIMESTAMP '2024-01-16' THEN 1 END) AS b FROM lr WHERE abs(ret) > 1 GROUP BY 1)"
+_HR = f"{LR}, hr AS (SELECT asset || '_' || CAST(hour(timestamp) AS VARCHAR) AS feature, count(CASE WHEN timestamp < TIMESTAMP '2024-01-16' AND abs(ret) > 1 THEN 1 END) AS a, count(CASE WHEN timestamp >= TIMESTAMP '2024-01-16' AND abs(ret) > 1 THEN 1 END) AS b FROM lr GROUP BY 1)"
 
 
-@query("holdout_retention", f"WITH {_HR}, t AS (SELECT feature, a >= 6 AS kept FROM hr WHERE a > 0), h AS (SELECT feature, b >= 6 AS held FROM hr WHERE b > 0) SELECT t.feature, kept, held, kept AND coalesce(held, false) AS retained FROM t LEFT JOIN h ON h.feature = t.feature")
+@query("holdout_retention", f"WITH {_HR}, t AS (SELECT feature, a >= 6 AS kept FROM hr), h AS (SELECT feature, b >= 6 AS held FROM hr) SELECT t.feature, kept, held, kept AND coalesce(held, false) AS retained FROM t LEFT JOIN h ON h.feature = t.feature")
 def holdout_retention(spark, d):
-    x = _ret(spark, d).filter(F.abs("ret") > 1).withColumn("feature", F.concat_ws("_", "asset", F.hour("timestamp").cast("string")))
+    """Hours of an asset with six moves above 1 or more before the cut, and whether they have as many after it."""
+    x = _ret(spark, d).withColumn("feature", F.concat_ws("_", "asset", F.hour("timestamp").cast("string")))
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    part = lambda f: x.filter(f).groupBy("feature").agg((F.count(F.lit(1)) >= 6).alias("kept"))
+    part = lambda f: x.groupBy("feature").agg((F.count_if(f & (F.abs("ret") > 1)) >= 6).alias("kept"))
     return RS.retention(part(F.col("timestamp") < cut), part(F.col("timestamp") >= cut))
 
 
@@ -447,9 +448,9 @@ def value_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dedup_vote", "WITH f AS (SELECT l_orderkey AS row, avg(l_discount * 10) AS p, max(CAST(l_quantity > 25 AS INT)) AS y FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN CAST(round(p, 9) > 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM f")
+@query("dedup_vote", "WITH f AS (SELECT l_orderkey AS row, avg(l_discount * 10) AS p, max(CAST(l_quantity > 25 AS INT)) AS y FROM lineitem GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN CAST(round(p, 9) > 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM f")
 def dedup_vote(spark, d):
-    x = table(spark, d, "lineitem").filter("l_linenumber <= 3")
+    x = table(spark, d, "lineitem")
     y = x.groupBy(F.col("l_orderkey").alias("row")).agg(F.max((F.col("l_quantity") > 25).cast("int")).alias("y"))
     f = x.select(F.col("l_orderkey").alias("row"), (F.col("l_discount") * 10).alias("p")).join(y, "row")
     return RS.dedup_vote(f).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 9).alias("accuracy"))
@@ -482,10 +483,10 @@ def mi_table(spark, d):
     return rounded(RS.mi_table(_correlated(spark, d)), places=9)
 
 
-@query("stability_pivot", f"WITH {_FTC} SELECT feature, " + ", ".join(f"round(max(CASE WHEN target = 'fwd_{h}' THEN r END), 9) AS fwd_{h}" for h in (1, 4, 24)) + " FROM fc WHERE asset = 'purchase' GROUP BY 1")
+@query("stability_pivot", f"WITH {_FTC} SELECT concat(asset, '/', feature) AS series, " + ", ".join(f"round(max(CASE WHEN target = 'fwd_{h}' THEN r END), 9) AS fwd_{h}" for h in (1, 4, 24)) + " FROM fc GROUP BY 1")
 def stability_pivot(spark, d):
-    x = _correlated(spark, d).filter("asset = 'purchase'")
-    return rounded(RS.pivot(x, "feature", "target", ["fwd_1", "fwd_4", "fwd_24"], "r"), places=9)
+    x = _correlated(spark, d).withColumn("series", F.concat_ws("/", "asset", "feature"))
+    return rounded(RS.pivot(x, "series", "target", ["fwd_1", "fwd_4", "fwd_24"], "r"), places=9)
 
 
 @query("flag_summary", f"WITH {_FTC}, s AS (SELECT feature, sum(CASE WHEN abs(r) > 0.02 THEN 1 ELSE 0 END)::BIGINT AS n_true, count(*) AS n FROM fc WHERE r IS NOT NULL GROUP BY 1) SELECT feature, n_true, n, round(n_true / n, 9) AS share, CASE WHEN n_true = n THEN 'universal' WHEN n_true = 0 THEN 'never' ELSE 'mixed' END AS kind FROM s")

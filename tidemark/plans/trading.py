@@ -305,9 +305,11 @@ def walk_forward_windows(spark, d):
     return w.select("asset", *[F.col(c).cast("int").alias(c) for c in ("window", "train_start", "test_start", "test_end")])
 
 
-@query("pipeline_splits", "SELECT * FROM (VALUES (0, 600, 615, 680), (0, 680, 695, 760), (0, 760, 775, 840), (0, 840, 855, 920), (0, 920, 935, 1000)) t(train_start, train_end, test_start, test_end)")
+@query("pipeline_splits", f"""WITH {C}, n AS (SELECT asset, count(*) AS n, CAST(floor(count(*) * 0.6::DOUBLE) AS INT) AS f FROM c GROUP BY 1),
+p AS (SELECT asset, n, f, i, CAST(round(f + i * (n - f) / 5.0) AS INT) AS a, CAST(round(f + (i + 1) * (n - f) / 5.0) AS INT) AS b FROM n, range(0, 5) t(i) WHERE f >= 2 AND n - f > 15)
+SELECT asset, CAST(row_number() OVER (PARTITION BY asset ORDER BY i) - 1 AS INT) AS window, 0 AS train_start, a AS train_end, a + 15 AS test_start, b AS test_end FROM p WHERE a >= 2 AND a + 15 < b""")
 def pipeline_splits(spark, d):
-    return spark.createDataFrame(CV.pipeline_splits(1000), "train_start int, train_end int, test_start int, test_end int")
+    return CV.window_splits(candles(spark, d).groupBy("asset").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _cpcv_sql(before: int, after: int) -> str:
