@@ -275,3 +275,22 @@ def test_neighbour_search_equals_all_pairs():
             assert (validation.kth_distances(x, y, k) == np.sort(d, axis=1)[:, k]).all()
     x, y = rng.normal(size=(2, 20_000))
     assert validation.mutual_information(x, x + y) == pytest.approx(0.5 * math.log(2), abs=0.03)
+
+
+def test_exact_quantiles_equal_sorted_values(spark, monkeypatch):
+    from tidemark.functions import quantiles
+
+    rng = np.random.default_rng(13)
+    data = {"a": rng.normal(size=5000), "b": np.round(rng.normal(size=3000), 1), "c": np.array([2.0]), "d": np.full(50, 7.0), "e": rng.normal(size=7), "n": np.array([np.nan])}
+    rows = [(k, None if v != v else float(v), float(i)) for k, x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "asset string, v double, w double").repartition(6)
+    shares = (0.0, 0.01, 0.35, 0.5, 0.99, 1.0)
+    for accuracy in (10_000, 50):  # a coarse sketch brackets widely and stays exact
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got = {r["asset"]: r for r in quantiles.exact_quantiles(df, ["v", "w"], shares, ["asset"]).collect()}
+        for k, x in data.items():
+            if k == "n":
+                assert got[k]["q_v"] == [None] * 6
+            else:
+                assert got[k]["q_v"] == pytest.approx(list(np.quantile(x, shares)), rel=1e-12, abs=1e-12)
+            assert got[k]["q_w"] == pytest.approx(list(np.quantile(np.arange(len(x)), shares)))

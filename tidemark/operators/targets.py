@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.windows import EPS, lag, lead, log_ratio, ordered, std
 
 HORIZONS, VOL_HORIZONS = (1, 4, 24), (4, 24)
@@ -35,11 +36,10 @@ def target_names() -> list[str]:
 
 
 def winsorized(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """columns clipped to exact quantiles of the whole asset; one aggregate row per asset joins back."""
-    q = df.groupBy("asset").agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__q_{c}") for c in columns])
-    out = df.join(q, "asset")
-    cut = {c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"__q_{c}")[0], F.least(F.col(f"__q_{c}")[1], F.col(c)))) for c in columns}
-    return out.withColumns(cut).drop(*[f"__q_{c}" for c in columns])
+    """columns clipped to exact quantiles of the whole asset (exact_quantiles()); one aggregate row per asset joins back."""
+    q = exact_quantiles(df, columns, (low, high), ["asset"])
+    cut = {c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"q_{c}")[0], F.least(F.col(f"q_{c}")[1], F.col(c)))) for c in columns}
+    return df.join(q, "asset").withColumns(cut).drop(*[f"q_{c}" for c in columns])
 
 
 def all_targets(candles: DataFrame, winsorize: bool = True) -> DataFrame:
