@@ -144,6 +144,18 @@ def test_arch_and_sign_bias_equal_the_regressions(spark):
     assert {k: r[k] for k in want} == pytest.approx(want, rel=1e-8, abs=1e-10)
 
 
+def test_ks_of_columns_equals_the_kernel(spark):
+    rng = np.random.default_rng(9)
+    series = {"n": rng.normal(3, 2, 300), "e": rng.exponential(size=300), "t": np.repeat(rng.normal(size=40), 3), "flat": np.ones(9), "one": np.ones(1)}
+    df = None
+    for name, x in series.items():
+        one = frame(spark, x[:, None], ["ret"], name)
+        df = one if df is None else df.unionByName(one)
+    for r in profiling.ks_test(df).collect():
+        d, p = profiling.ks_normal(series[r["asset"]])
+        assert (r["ks"], r["p"]) == (None, None) if d != d else (r["ks"], r["p"]) == pytest.approx((d, p), abs=1e-9)
+
+
 def test_student_quantile_data(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_t(5, 60)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.tail_columns import t_ppf
+from ..functions.tail_columns import norm_cdf, once, t_ppf
 from ..functions.tail_columns import chi2_sf
 from ..functions.windows import lag, ordered
 from .recommend import pattern
@@ -381,6 +381,21 @@ def ks_normal(x: np.ndarray) -> tuple[float, float]:
     return d, 1.0 if t < 0.2 else float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * t * t) for k in range(1, 101)))))
 
 
+def ks_test(df: DataFrame, c: str = "ret", by: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """(by, ks, p) of ks_normal(), from ranks in a window and the normal distribution as a column."""
+    x = df.filter(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))).select(*by, F.col(c).alias("__x"))
+    whole = Window.partitionBy(*by)
+    z = F.try_divide(F.col("__x") - F.avg("__x").over(whole), F.stddev_pop("__x").over(whole))
+    x = x.select(*by, z.alias("__z"), F.row_number().over(whole.orderBy("__x")).alias("__i"), F.count(F.lit(1)).over(whole).alias("__n"))
+    cdf = norm_cdf(F.col("__z"))
+    x = x.select(*by, "__n", once(cdf, lambda f: F.greatest(F.col("__i") / F.col("__n") - f, f - (F.col("__i") - 1) / F.col("__n"))).alias("__d"))
+    s = x.groupBy(*by).agg(F.max("__d").alias("ks"), F.first("__n").alias("__n"))
+    t = F.sqrt("__n") * F.col("ks")
+    term = lambda k, t: F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * t * t)
+    tail = once(t, lambda t: F.when(t < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + term(k.cast("double"), t))))))
+    return s.select(*by, "ks", F.when(F.col("ks").isNotNull(), tail).alias("p"))
+
+
 def bds(x: np.ndarray, most: int = 5, distance: float = 1.5, block: int = 256) -> list[tuple[int, float, float]]:
     """(dimension, statistic, two-sided p) of the BDS test for dimensions 2 to `most`; near: within `distance` deviations.
 

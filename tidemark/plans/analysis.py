@@ -160,7 +160,11 @@ _kernel("stat_garch", P.garch_fit, _FIT)
 _kernel("stat_gjr_garch", lambda x: P.garch_fit(x, True), _FIT)
 _kernel("stat_student_fit", P.student_fit, "nu double, loc double, scale double, aic_t double, aic_normal double, bic_t double, bic_normal double")
 _kernel("stat_bds", lambda x: {f"bds_{m}": s for m, s, _ in P.bds(x)}, "bds_2 double, bds_3 double, bds_4 double, bds_5 double")
-_kernel("stat_ks_normal", lambda x: dict(zip(("ks", "p"), P.ks_normal(x))), "ks double, p double")
+
+
+@query("stat_ks_normal")
+def stat_ks_normal(spark, d):
+    return rounded(P.ks_test(_ret(spark, d)))
 
 
 @query("stat_sign_bias")
