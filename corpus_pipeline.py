@@ -13,27 +13,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the risk-controlled cutoffs reject go."""
+    """Documents that the base rules or the risk-controlled cutoffs reject go.
+
+    Null and wordless texts fail the base rules. A label of a document that is not there counts for nothing, several labels of
+    one count once; without labels the base rules alone decide. Repeated rows are judged each; texts are read whole.
+    """
     return quality.accepted(docs, _table(spark, sf_dir, "labels"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the least doc_id (null last), of equal ones that of the
+    least md5 of the text; of rows that repeat, one. Null text is the empty text."""
     return near_dedup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item within its edit budget go. Null and wordless texts and items match nothing; repeated
+    rows go or stay alike; without items all stay."""
     return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document."""
+    """A row for each time that the mix takes a document. Sources by code point, null last, have the weights in turn; documents
+    without words give none; repeated rows count each."""
     return mixing.emit(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot in a reproducible shuffle."""
+    """All rows with their shard and slot in a reproducible shuffle; rows that are equal are interchangeable, a table without
+    rows has none."""
     return sharding.shard(docs)
 
 
