@@ -228,6 +228,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose text holds no item within its budget; all columns stay, nothing is shuffled.
 
+    Null and wordless texts and items match nothing, so without items all rows stay; repeated rows stay or go alike, repeated
+    items are one; texts are searched whole; an empty table gives an empty result.
+
     The driver holds one block of items at a time: if there are several, the rows that a pass leaves are written out
     before the next block is read.
     """

@@ -81,7 +81,10 @@ def sampled(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, see
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix") -> DataFrame:
-    """A row of docs for each copy that mix() takes, with the columns of docs as they are, whatever their names."""
+    """A row of docs for each copy that mix() takes, with the columns of docs as they are, whatever their names.
+
+    Nulls, repeats and ties as in mix(); a text of any length is one document; an empty table gives an empty result.
+    """
     own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
     size = n_words(text_of(docs)).alias("size")
     sized = docs.select(*[docs[c].alias(new) for c, new in own.items()], docs["doc_id"], docs["source"], size)

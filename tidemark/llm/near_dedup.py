@@ -411,7 +411,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """docs with one row of each class: that of the least (doc_id, text); of rows that repeat, one stays.
 
-    A row whose text neither repeats nor is in a class stays where it is. Of the others only those that are kept move,
+    Null text is the empty text; a null doc_id is the largest; texts of any length are compared whole; an empty table gives an
+    empty result. A row whose text neither repeats nor is in a class stays where it is. Of the others only those that are kept move,
     to tell repeated rows apart; the rows of a very common text (there are HOT such at most) are dropped where they are.
     """
     found = classes(noded(docs), similarity, width)

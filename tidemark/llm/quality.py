@@ -237,6 +237,7 @@ def verdict(m: DataFrame, cuts: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of docs that judge() would keep, all columns as they were; no text is shuffled.
 
+    Nulls, repeats, labels and empty tables as in judge(); texts of any length are measured whole.
     Two passes measure the texts: the first keeps the measures alone, from which the cutoffs come as in judge(); the
     second filters the rows.
     """

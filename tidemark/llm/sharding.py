@@ -56,6 +56,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20240, text: str =
 
 
 def placed(rows: DataFrame, keys: list[Column], shards: int = SHARDS, seed: int = 20240) -> DataFrame:
+    """rows with shard and slot as in shard(), numbered in the order of keys, nulls last; rows that tie in all keys are
+    interchangeable. An empty table gives an empty result."""
     rn = numbered(rows, keys, "__row")
     n = rn.count()
     if n == 0:
