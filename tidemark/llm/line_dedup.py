@@ -467,7 +467,7 @@ def line_counts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and the text without its removed lines (lines without words stay); other columns are left out, doc_id joins them.
 
-    Null text stays null, as it has no lines; of rows that repeat in doc_id and text, one loses what is removed within it; lines of
+    Null text stays null, as it has no lines; of rows that repeat in doc_id and text, the later ones lose all their lines; lines of
     any length are compared whole; an empty table gives an empty result.
     """
     rows = identified(docs)
