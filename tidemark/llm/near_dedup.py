@@ -293,13 +293,12 @@ def dealt(left: DataFrame, hot: list, n: int) -> tuple[DataFrame, bool]:
     and all rows of tile j, which are met. So a unit has two tiles of rows, whatever the size of its bucket. Units
     are told apart by a 64-bit hash; two that share one would only give more pairs to verify.
     """
-    counts = materialize(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("k")))
-    tiled = bool(counts.filter("k > 1").head(1))
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     in_main = (F.col("root") == F.col("main")).alias("in_main")
-    if not tiled:
-        discard(counts)
+    if (sizes.agg(F.max("c")).first()[0] or 0) <= TILE:
         yes = F.lit(True)
         return left.select(F.col("key").alias("unit"), "key", "id", "root", in_main, yes.alias("asks"), yes.alias("met"), F.lit(False).alias("tiled")), False
+    counts = sizes.select("key", F.ceil(F.col("c") / TILE).cast("long").alias("k"))
     rows = hot_join(left, counts, "key", "id", hot, n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
     rows = rows.select("key", "id", "root", in_main, "own", (F.col("k") > 1).alias("tiled"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     same, no, yes = F.col("own") == F.col("other"), F.lit(False), F.lit(True)
