@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import chunks, mix, multisets, shingles, whole_groups, words
+from .batches import CHUNK, chunks, mix, multisets, shingles, whole_groups, words
 from .common import HOT, BitMap, discard, hot_join, hot_keys, materialize, text_of
 from .components import components
 
@@ -107,12 +108,19 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
     return apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}_n") + F.col(f"{b}_n")) + 1e-6
 
 
+#: Pairs of texts that are compared at a time at most.
+PAIRS = 256
+
+
 def overlaps(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of each pair of texts."""
+    """Weighted Jaccard similarity of the shingle multisets of each pair of texts, some pairs at a time: PAIRS, or fewer of long texts."""
     out = []
-    n, step = len(left), 256
-    for at in range(0, n, step):
-        a, b = left[at : at + step], right[at : at + step]
+    n, at = len(left), 0
+    size = np.cumsum([np.asarray(pc.fill_null(pc.binary_length(c), 0)) for c in (left, right)], axis=1).sum(axis=0)
+    while at < n:
+        end = max(at + 1, min(at + PAIRS, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right"))))
+        a, b = left[at:end], right[at:end]
+        at = end
         k = len(a)
         parts = []
         for side, column in enumerate((a, b)):
