@@ -23,6 +23,10 @@ def write(folder, docs, labels, benchmark):
     docs.write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
     benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    spark = docs.sparkSession
+    near = [(i if i % 9 else None, i % 3 if i % 8 else None, [float(i % 5), None if i % 11 == 3 else 1.0, 0.5][: i % 4]) for i in range(220)] if docs.head(1) else []
+    vectors = spark.createDataFrame(near + near[:3], "vec_id long, label int, embedding array<float>")
+    vectors.withColumns({c: F.lit("own") for c in CLASH if c != "label"}).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -68,7 +72,10 @@ def test_queries_on_awkward_tables(spark, folder, rows, name):
     docs, _ = rows
     got = QUERIES[name](spark, folder).collect()
     ids = collections.Counter(r[0] for r in docs)
-    if name.startswith("op6"):
+    if name.startswith(("op6_", "op13_")):
+        return
+    if name.startswith("op11_"):
+        assert {(r["lang"], r["source"]) for r in got if r["part"] == "pair"} == {(d[2] or "", d[3] or "") for d in docs}
         return
     assert collections.Counter(r["doc_id"] for r in got) == ids
     by_text = collections.defaultdict(list)
