@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from math import factorial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
