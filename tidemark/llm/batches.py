@@ -13,7 +13,8 @@ import pyarrow as pa
 
 #: Texts are handled in chunks of about this many bytes; a longer single text is a chunk of its own.
 CHUNK = 1 << 21
-_PIECE = 1 << 20
+#: Bytes that the power tables reach; bytes whose words are hashed at a time, so that the sums stay in the cache.
+_PIECE, _WINDOW = 1 << 20, 1 << 15
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,8 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of each chunk of a string column; nulls are empty."""
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of each chunk, of `size` bytes or CHUNK, of a string column; nulls are empty."""
+    size = CHUNK if size is None else size
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -45,7 +47,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         end = min(n, max(at + 1, end))
         yield at, end, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
@@ -71,7 +73,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     at = 0
     while at < len(starts):
         base = int(starts[at])
-        end = max(int(np.searchsorted(ends, base + _PIECE, "right")), at + 1)
+        end = max(int(np.searchsorted(ends, base + _WINDOW, "right")), at + 1)
         stop = int(ends[end - 1])
         if stop - base > _PIECE:  # one word beyond the tables: its pieces are chained
             h = np.uint64(0)
@@ -82,17 +84,24 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
             out[at] = h
         else:
             sums = np.zeros(stop - base + 1, np.uint64)
-            np.cumsum(table[data[base:stop]] * _POWERS[: stop - base], out=sums[1:])
+            part = np.take(table, data[base:stop], mode="clip")
+            part *= _POWERS[: stop - base]
+            np.cumsum(part, out=sums[1:])
             s, e = starts[at:end] - base, ends[at:end] - base
             out[at:end] = (sums[e] - sums[s]) * _INVERSE[s]
         at = end
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def owners(firsts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of each place, in order, the last of the firsts (from the least place or before it on) that is not beyond it."""
+    return np.repeat(np.arange(len(firsts)), np.diff(np.searchsorted(places, firsts), append=len(places)))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = GAP_BYTES, table: np.ndarray = _BYTE):
     """(hash, row, start, end) of each word of the chunk, in order."""
-    starts, ends = spans(~gaps[data], offsets)
-    rows = np.searchsorted(offsets, starts, "right") - 1
+    starts, ends = spans(np.take(~gaps, data, mode="clip"), offsets)
+    rows = owners(offsets[:-1], starts)
     return span_hashes(data, starts, ends, table), rows, starts, ends
 
 

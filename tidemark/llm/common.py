@@ -38,14 +38,15 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, distinct: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back, so that later stages and retries see one fixed set of rows.
 
+    distinct: most values are told apart, so that no dictionaries of them are tried.
     The files go by discard(), at the latest when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not distinct).lower()).parquet(path)
     at, files = _hadoop(spark, path)
     files.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
@@ -161,16 +162,17 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return ranked(keyed, order, name, keep=False)
 
 
-def ranked(df: DataFrame, order: str, name: str, keep: bool = True) -> DataFrame:
-    """df with column `name`: 0-based rank of each row by the column `order`, which tells all rows apart.
+def ranked(df: DataFrame, order: str, name: str, keep: bool = True, by: list[Column] | None = None, distinct: bool = False) -> DataFrame:
+    """df with column `name`: 0-based rank of each row by the column `order`, which tells all rows apart, or by the equal order `by`.
 
     Ranks within a partition of the range exchange come from the position after the local sort; one row per partition
     gives the offsets. The positions are written out before they are used: a recomputed partition could differ.
     """
     spark = df.sparkSession
     mid, pid = f"__{name}_mid", f"__{name}_pid"
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    fixed = materialize((ranged if keep else ranged.drop(order)).withColumn(mid, F.monotonically_increasing_id()))
+    by = [F.col(order).asc()] if by is None else by
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    fixed = materialize((ranged if keep else ranged.drop(order)).withColumn(mid, F.monotonically_increasing_id()), distinct)
     sizes = fixed.groupBy(F.shiftright(mid, 33).alias(pid)).agg(F.count(F.lit(1)).alias("__n")).collect()
     # one row per partition of the exchange
     at, offsets = 0, []

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import GAP_BYTES, chunks, mix, whole_groups, words
-from .common import WORD, BitMap, discard, materialize, ranked, text_of
+from .batches import GAP_BYTES, chunks, mix, owners, whole_groups, words
+from .common import BitMap, discard, materialize, ranked, text_of
 
 SIMILARITY = 0.8
 #: Slots of the table of token counts by hash that orders tokens by rarity. Tokens of one slot share a count: that
 #: costs candidates, never results.
 SLOTS = 1 << 16
+#: Bytes of text whose words are handled at a time; their numbers stay in the cache.
+PIECE = 1 << 19
 #: Bytes of a token in a prefix, and the largest size and place that an index entry tells; larger ones pass the filters.
 TOKEN_BYTES, MOST = 5, (1 << 12) - 1
 TOKEN_MASK = (1 << 8 * TOKEN_BYTES) - 1
@@ -48,7 +50,7 @@ class LineSets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray):
         starts, self.row, self.number = lines_of(data, offsets)
         h, _, at, _ = words(data, offsets, GAP_BYTES)
-        line = np.searchsorted(starts, at, "right") - 1
+        line = owners(starts, at)
         slot = rank[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
         order = None
         if len(starts) < 1 << 20:
@@ -97,11 +99,11 @@ def surveyed(slim: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total, kind = np.zeros(SLOTS, np.int64), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for start, end, data, offsets in chunks(batch.column(2)):
+            for start, end, data, offsets in chunks(batch.column(2), PIECE):
                 h, _, at, _ = words(data, offsets, GAP_BYTES)
                 total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
                 starts, row, number = lines_of(data, offsets)
-                line = np.searchsorted(starts, at, "right") - 1
+                line = owners(starts, at)
                 line = line[np.flatnonzero(np.diff(line, prepend=-1))]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[line], minlength=end - start))]).astype(np.int32)
                 lines = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[line].astype(np.int32)))
@@ -133,7 +135,7 @@ def prefixed(slim: DataFrame, rank, similarity: float) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, _, data, offsets in chunks(batch.column(2)):
+            for start, _, data, offsets in chunks(batch.column(2), PIECE):
                 s = LineSets(data, offsets, rank.value)
                 keep = np.minimum(s.size, s.size - np.ceil(similarity * s.size - 1e-9).astype(np.int64) + 2)
                 short = np.arange(len(s.h)) - s.first[s.line] < keep[s.line]
@@ -253,6 +255,8 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
     rows = entries.repartition("part").sortWithinPartitions("part")
     size_class = np.floor(np.log(np.maximum(np.arange(MOST + 1), 1)) / -np.log(similarity) + 1e-9).astype(np.int64) if similarity < 1 else np.arange(MOST + 1)
     size_class = np.minimum(size_class, (1 << 22) - 2)
+    #: overlap that sets with so many tokens in sum must have
+    needed = np.ceil(similarity / (1 + similarity) * np.arange(2 * MOST + 1) - 1e-9).astype(np.int16)
 
     def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
         """The candidates of whole buckets: in each step every open entry meets the next set of its list, all buckets at once."""
@@ -271,36 +275,50 @@ def candidates(entries: DataFrame, similarity: float, most: int) -> DataFrame:
         key, order = key[inner], order[inner]
         p, ids, b0, b1 = p[order], ids[order] >> 1, b0[order], b1[order]
         wanted = (columns[2][order] & 1) == 1
-        n, i = (p >> 12) & MOST, p & MOST
+        n, i = ((p >> 12) & MOST).astype(np.int16), (p & MOST).astype(np.int16)
+        # what an entry can reach at most with any other; of a set of MOST tokens or more its size does not tell
+        bound = np.where(n == MOST, 2 * MOST, n - i + (i > 0)).astype(np.int16)
+        low = np.minimum.reduceat(n, start)
+        of = bucket[start]
         have, more, got = np.zeros(len(p), np.int64), np.zeros(len(p), bool), []
         for side in (0, -1, 1):
-            other = group + side
-            able = wanted & (other >= 0) & (other < len(start))
-            x = np.flatnonzero(able)
+            # entries that cannot reach even the smallest set of the other class are left out, on both sides
+            near = np.zeros(len(start), bool)
             if side:
-                x = x[bucket[start[other[x]]] == bucket[x] + side]
-            at = start[other[x]]
-            end = np.searchsorted(key, key[x] + (side << 40)) if side else x
+                near[max(0, -side) : len(start) - max(0, side)] = of[max(0, side) : len(start) + min(0, side)] == of[max(0, -side) : len(start) - max(0, side)] + side
+            else:
+                near[:] = True
+            back = np.roll(near, side)
+            asks = wanted & near[group] & (bound >= needed[n + np.roll(low, -side)[group]])
+            gives = back[group] & (bound >= needed[n + np.roll(low, side)[group]])
+            x, given = np.flatnonzero(asks), np.flatnonzero(gives)
+            before = np.concatenate([[0], np.cumsum(gives)])
+            at = before[start[group[x] + side]]
+            end = before[np.searchsorted(key, key[x] + (side << 40)) if side else x]
+            their_n, their_bound = n[given], bound[given]
             while True:
                 live = at < end
                 full = live & (have[x] >= most)
                 more[x[full]] = True
                 live &= ~full
-                x, at, end = x[live], at[live], end[live]
+                if not live.all():
+                    x, at, end = x[live], at[live], end[live]
                 if not len(x):
                     break
-                a, b = n[x], n[at]
-                both, vague = a + b, (a == MOST) | (b == MOST)
-                need = np.ceil(similarity / (1 + similarity) * both - 1e-9)
-                reach = np.minimum(a - i[x], b - i[at]) + (np.minimum(i[x], i[at]) > 0)
-                ok = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((reach >= need) | vague)
-                i0, i1 = x[ok], at[ok]
+                need = needed[n[x] + their_n[at]]
+                ok = np.flatnonzero(np.minimum(bound[x], their_bound[at]) >= need)
+                i0, i1, need = x[ok], given[at[ok]], need[ok].astype(np.int64)
+                a, b = n[i0].astype(np.int64), n[i1].astype(np.int64)
+                vague = (a == MOST) | (b == MOST)
+                reach = np.minimum(a - i[i0], b - i[i1]) + (np.minimum(i[i0], i[i1]) > 0)
+                fit = (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & ((reach >= need) | vague)
                 apart = slots_apart(b0[i0], b0[i1]) + slots_apart(b1[i0], b1[i1])
-                ok[ok] = (apart <= (both - 2 * need)[ok]) | vague[ok]
-                have[x[ok]] += 1
-                got.append((x[ok], at[ok]))
-                if (lone := ok & (need < 2)).any():
-                    got.append((x[lone], at[lone]))
+                fit &= (apart <= a + b - 2 * need) | vague
+                i0, i1 = i0[fit], i1[fit]
+                have[i0] += 1
+                got.append((i0, i1))
+                if (lone := need[fit] < 2).any():
+                    got.append((i0[lone], i1[lone]))
                 at = at + 1
         gx, gy = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(ids[gx]), pa.array(ids[gy]), pa.array(more[gx])], ["x", "y", "more"])
@@ -345,7 +363,7 @@ def set_texts(slim: DataFrame, pairs: DataFrame, sets: DataFrame, rank) -> DataF
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            for start, _, data, offsets in chunks(column):
+            for start, _, data, offsets in chunks(column, PIECE):
                 s = LineSets(data, offsets, rank.value)
                 wanted = s.real[held(taken.value, s.key[s.real].view(np.int64))]
                 found, at, lines = [], -1, []
@@ -368,14 +386,13 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = both.join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y").select("x", "tx", "ty")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        find = re.compile(WORD).findall
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(1), batch.column(2)):
-                s, t = set(find(a.as_py())), set(find(b.as_py()))
-                ok.append(len(s & t) >= similarity * len(s | t) - 1e-9)
+            for a, b in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (1, 2))):
+                # bytes split at the six gap characters and at no others
+                s, t = set(a.split()), set(b.split())
+                n = len(s & t)
+                ok.append(n >= similarity * (len(s) + len(t) - n) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["x"])
 
     return both.mapInArrow(check, "x long").distinct()
@@ -412,7 +429,9 @@ def kept_lines(slim: DataFrame, ranks: np.ndarray, similarity: float = SIMILARIT
     rank = slim.sparkSession.sparkContext.broadcast(ranks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line"))
     every = prefixed(slim, rank, similarity).groupBy(*IDENTITY).agg(first.alias("first"), F.first("prefix").alias("prefix"))
-    sets = ranked(every, "first", "id")
+    # the parts of `first` are sorted faster than the whole
+    by = [F.col("first.doc_id").asc_nulls_last(), F.col("first.th").asc(), F.col("first.line").asc()]
+    sets = ranked(every, "first", "id", by=by, distinct=True)
     done, gone, most = None, None, FIRST
     entries = spread(sets)
     while True:
